@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import common as c
-from tessera.llm import decontamination
+from tessera.llm import decontamination, substring_dedup
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +31,25 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES = {"op3_decontamination": op3_decontamination}
-SQL = {"op3_decontamination": OP3_SQL}
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    return substring_dedup.digest(docs, substring_dedup.find(docs))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, k, sha256(array_to_string(w[k:k + 49], ' ')) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+r AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM g JOIN f USING (g) WHERE least < doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id),
+k AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS kept
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) w
+      LEFT JOIN r ON r.doc_id = w.doc_id AND r.p = w.p WHERE r.p IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
+SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import common as c
-from tessera.llm import decontamination, substring_dedup
+from tessera.llm import decontamination, language_id, minhash_dedup, quality, substring_dedup
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +52,24 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha25
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
+
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(c.table(spark, sf_dir, "documents"))
+
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    filters = language_id.fit(docs.where(c.fold("doc_id", 4) != 2))
+    found = language_id.predict(docs, filters)
+    return found.select("doc_id", (c.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_grams")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    model = quality.fit(docs, c.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", (c.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
 SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL}

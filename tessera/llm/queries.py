@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
-from tessera.llm import decontamination, language_id, minhash_dedup, quality, substring_dedup
+from tessera.llm import decontamination, language_id, language_model, minhash_dedup, quality, substring_dedup
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (c.fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    model, counts = language_model.fit(docs.where(c.fold("doc_id", 7) != 2))
+    found = language_model.score(docs, model, counts)
+    return found.select("doc_id", (c.fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+QUERIES = {"op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
 SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL}

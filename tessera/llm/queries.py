@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
-from tessera.llm import decontamination, language_id, language_model, minhash_dedup, quality, substring_dedup
+from tessera.llm import decontamination, language_id, language_model, minhash_dedup, quality, sentencepiece_codec, substring_dedup
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +79,14 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (c.fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
-QUERIES = {"op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again: ids, their number, the decoded text's digest, and whether it is the text (blanks for U+2581)."""
+    docs = c.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = sentencepiece_codec.encode(docs, decoded_sha256="decoded_sha256")
+    same = F.sha2(F.translate("text", sentencepiece_codec.BLANK, " "), 256) == F.col("decoded_sha256")
+    return found.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded_sha256", same.alias("round_trip"))
+
+
+QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
 SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
-from tessera.llm import decontamination, language_id, language_model, minhash_dedup, quality, sentencepiece_codec, substring_dedup
+from tessera.llm import decontamination, html_extraction, language_id, language_model, media, minhash_dedup, quality, sentencepiece_codec, substring_dedup
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +88,19 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded_sha256", same.alias("round_trip"))
 
 
-QUERIES = {"op2_sentencepiece": op2_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(c.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored image in an interleaved document, resolved by digest."""
+    store = media.stored_payloads(c.table(spark, sf_dir, "documents"))
+    shown = media.sequences(store.select("key", "n_bytes", "html"))
+    each = shown.select("key", "n_bytes", F.inline("parts")).where("digest IS NOT NULL").join(media.described(store), "digest")
+    return each.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+QUERIES = {"op6_html_extraction": op6_html_extraction, "op7_media_columns": op7_media_columns, "op2_sentencepiece": op2_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
 SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL}

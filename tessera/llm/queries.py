@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
-from tessera.llm import decontamination, html_extraction, language_id, language_model, media, minhash_dedup, quality, sentencepiece_codec, substring_dedup
+from tessera.llm import chat_format, decontamination, html_extraction, language_id, language_model, media, minhash_dedup, quality, sentencepiece_codec, substring_dedup
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +102,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES = {"op6_html_extraction": op6_html_extraction, "op7_media_columns": op7_media_columns, "op2_sentencepiece": op2_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted(c.table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op9_chat_formatting": op9_chat_formatting, "op6_html_extraction": op6_html_extraction, "op7_media_columns": op7_media_columns, "op2_sentencepiece": op2_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
 SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL}

@@ -223,7 +223,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     by_pivot = c.stored(pivot_pairs(named(members, components(links)), near).join(stars, ["a", "b"], "left_anti"), "by_pivot")
     links = c.stored(links.unionByName(verified(by_pivot, sets, similarity)), "verified")
     tried = stars.unionByName(by_pivot)
-    crossed = c.stored(cross_pairs(named(members, components(links)), tried, near), "crossed")
+    crossed = c.stored(cross_pairs(named(members, components(links)), made, tried, near), "crossed")
     more = verified(crossed, sets, similarity)
     copies = made.join(same.hint("merge"), "whole").where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
     final = components(links.unionByName(more).unionByName(copies))
@@ -246,11 +246,18 @@ def pivot_pairs(members: DataFrame, near: F.Column) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, tried: DataFrame, near: F.Column) -> DataFrame:
-    """Near pairs of one bucket whose members belong to different components and were not verified yet."""
-    others = members.where("out").select("bucket", F.col("doc").alias("a"), F.col("root").alias("root_a"), "bits")
-    every = members.select("bucket", F.col("doc").alias("b"), "root", "out", F.col("bits").alias("bits_b"))
-    pairs = others.join(every, "bucket").where("root_a != root AND (a > b OR NOT out)").where(near)
+def cross_pairs(members: DataFrame, made: DataFrame, tried: DataFrame, near: F.Column) -> DataFrame:
+    """Near pairs of one bucket whose members belong to different components and were not verified yet.
+
+    A pair is made in the first bucket that its documents share, and in no other.
+    """
+    spots = members.where("out").select("bucket").distinct()
+    lists = made.select("doc", "buckets").dropDuplicates(["doc"])
+    live = members.join(spots.hint("merge"), "bucket", "left_semi").join(lists.hint("merge"), "doc").withColumn("band", F.expr("array_position(buckets, bucket)"))
+    others = live.where("out").select("bucket", "band", F.col("doc").alias("a"), F.col("root").alias("root_a"), "bits", "buckets")
+    every = live.select("bucket", F.col("doc").alias("b"), "root", "out", F.col("bits").alias("bits_b"), F.col("buckets").alias("buckets_b"))
+    first_shared = F.expr("array_position(zip_with(buckets, buckets_b, (x, y) -> x = y), true) = band")
+    pairs = others.join(every, "bucket").where("root_a != root AND (a > b OR NOT out)").where(near).where(first_shared)
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 

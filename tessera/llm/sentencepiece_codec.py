@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,18 @@ from tessera.llm import common as c
 #: Where the driver finds the public vocabulary.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Chunks that a worker remembers at most; a block of text may hold more.
+#: When a worker remembers more chunks than this, it starts anew with the next block.
 REMEMBERED = 200_000
 
 
+class Numbers(dict):
+    """Numbers what it is asked for: 0, 1, 2 and so on."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class PairTable:
     """A hash table from pairs of pieces to yes or no, looked up for whole arrays."""
 
@@ -132,7 +141,7 @@ class Pieces:
 
     def forget(self) -> None:
         """Drop the remembered chunks."""
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.store, self.store_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merge(self, text: str) -> list[str]:
@@ -215,9 +224,12 @@ class Pieces:
         number = np.zeros(len(text), np.int64)
         number[lead] = np.arange(len(lead))
         column = number[start] - np.repeat(number[begins], np.diff(np.append(begins, len(text))))[start]
-        order = np.lexsort((start, column))
+        longest = int(column.max(initial=0))
+        # small numbers are sorted by radix; the order within a column plays no part
+        column = column.astype(np.uint16 if longest < 1 << 16 else np.int64)
+        order = np.argsort(column, kind="stable")
         start, end, piece = start[order], end[order], piece[order]
-        cuts = np.searchsorted(column[order], np.arange(int(column.max(initial=0)) + 2))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=longest + 1))])
         last, back = np.full(len(text), -3, np.int64), np.zeros(len(text), np.int64)
         last[begins] = -1
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -232,11 +244,15 @@ class Pieces:
         while len(at):
             open_ = at > begins[chunk]
             at, chunk = at[open_], chunk[open_]
-            found.append((chunk, np.full(len(at), -step), last[at], back[at], at))
+            found.append((chunk, np.full(len(at), step), last[at], back[at], at))
             at, step = back[at], step + 1
-        chunk, step, piece, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((step, chunk))
-        chunk, piece, start, end = chunk[order], piece[order], start[order], end[order]
+        chunk, step, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+        # found from the back: the place of each piece follows from its chunk's number of pieces
+        place = np.cumsum(np.bincount(chunk, minlength=len(chunks)))[chunk] - 1 - step
+        order = np.empty(len(place), np.int64)
+        order[place] = np.arange(len(place))
+        chunk = chunk[order]
+        piece, start, end = (x[order] for x in rest)
         times = np.where(piece == -2, end - start, 1)
         out = np.repeat(piece, times)
         spelt = out == -2
@@ -246,22 +262,18 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
         self.ready()
-        chunks: dict[str, int] = {}
-        codes, sizes = [], []
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        had, parts, sizes = len(self.known), [], []
         for text in texts:
-            parts = chunks_of(text or "")
-            codes.extend([chunks.setdefault(x, len(chunks)) for x in parts])
-            sizes.append(len(parts))
-        new = [x for x in chunks if x not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new = list(chunks)
-            flat, lengths = self.relaxed(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            own = chunks_of(text or "")
+            parts.extend(own)
+            sizes.append(len(own))
+        code = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        if len(self.known) > had:
+            flat, lengths = self.relaxed(list(islice(self.known, had, None)))
             self.store = np.concatenate([self.store, flat])
             self.store_at = np.concatenate([self.store_at, self.store_at[-1] + np.cumsum(lengths)])
-        code = np.array([self.known[x] for x in chunks], np.int64)[np.array(codes, np.int64)] if codes else np.zeros(0, np.int64)
         n = self.store_at[code + 1] - self.store_at[code]
         ids = self.store[c.ranges(self.store_at[code], n)]
         ends = np.concatenate([[0], np.cumsum(n)])

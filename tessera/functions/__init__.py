@@ -1,0 +1 @@
+"""Column functions: text, time, and the few that need Python (Arrow-batched)."""

@@ -1,0 +1 @@
+"""Whole queries over the tables, and their SQL for comparison."""

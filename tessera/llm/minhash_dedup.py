@@ -264,9 +264,9 @@ def cross_pairs(members: DataFrame, made: DataFrame, tried: DataFrame, near: F.C
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class: the one whose id is the class id. Rows without an id stay."""
-    name = c.free_name(docs, "class_id")
-    found = classes(docs.where(F.col(key).isNotNull()), key, text).select(F.col(key).alias("_key"), F.col("class_id").alias(name)).distinct()
-    joined = docs.join(found, F.col(key) == F.col("_key"), "left").where(F.col(key).isNull() | (F.col(name) == F.col(key)))
+    name, own = c.free_name(docs, "class_id"), c.free_name(docs, "same_key")
+    found = classes(docs.where(F.col(key).isNotNull()), key, text).select(F.col(key).alias(own), F.col("class_id").alias(name)).distinct()
+    joined = docs.join(found, F.col(key) == F.col(own), "left").where(F.col(key).isNull() | (F.col(name) == F.col(key)))
     return joined.select([F.col(f"`{x}`") for x in docs.columns])
 
 

@@ -132,10 +132,26 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-@pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; the order of the arguments matters. Only for pairs that cheaper tests let pass."""
-    return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+def ratio(x: str | None, y: str | None, least: float = 0.0) -> float:
+    """Ratcliff-Obershelp similarity; the order of the arguments matters. Below ``least`` it may be given as 0: lengths and letters alone tell most pairs apart."""
+    if x is None or y is None:
+        return 0.0
+    if x == y:
+        return 1.0
+    m = SequenceMatcher(None, x, y)
+    if m.real_quick_ratio() < least or m.quick_ratio() < least:
+        return 0.0
+    return m.ratio()
+
+
+def sequence_ratio(a: Column | str, b: Column | str, least: float = 0.0) -> Column:
+    """``ratio`` of two columns. Only for pairs that cheaper tests let pass."""
+
+    @pandas_udf(DoubleType())
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([ratio(p, q, least) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return of(a, b)
 
 
 class _Text(HTMLParser):

@@ -1,8 +1,9 @@
 """Similarity joins across sources: items that report one event.
 
-Candidates share an entity and lie within days of each other: an equi-join on
-(entity, day), the day of one side repeated for the days around, and the cheap
-tests in the join's condition. No cross join; AQE splits a hot entity's day.
+Candidates share an entity and two tokens and lie within days of each other: an
+equi-join on (entity, day, token), the day of one side repeated for the days
+around, and the cheap tests in the join's condition; the sequence ratio comes
+last. No cross join; AQE splits what is still skewed.
 """
 
 from __future__ import annotations
@@ -20,22 +21,32 @@ def cards(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     return items.select("item_id", "source_id", "quality", "score", "published_at", F.to_date("published_at").alias("day"), "tokens", F.array_intersect("entities", high).alias("high"), t.amounts(F.col("title")).alias("amounts")).where((F.size("high") > 0) & (F.size("tokens") > 0))
 
 
+def _keyed(cards: DataFrame, side: str) -> DataFrame:
+    """Cards once for each high-value entity and each token of the prefix: two cards that share two tokens share one that isn't the last of either in a fixed order (long ones first)."""
+    order = F.array_sort(F.transform("tokens", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    prefix = F.transform(F.slice(order, 1, F.greatest(F.size("tokens") - 1, F.lit(1))), lambda x: x["x"])
+    cols = {"item_id": side, "source_id": f"source_{side}", "tokens": f"t{side}", "high": f"h{side}", "amounts": f"m{side}"}
+    named = cards.select(*[F.col(c).alias(n) for c, n in cols.items()], "day", prefix.alias(f"p{side}"))
+    return named.withColumn("entity", F.explode(f"h{side}")).withColumn("token", F.explode(f"p{side}"))
+
+
 def pairs(left: DataFrame, right: DataFrame, lexicon: Lexicon, sequence: bool = True, days: int = 3) -> DataFrame:
     """(a, b) of different sources with their score; ``sequence`` adds the order-dependent ratio of the tokens in a row."""
-    a = left.select(F.col("item_id").alias("a"), F.col("source_id").alias("source_a"), F.col("day").alias("day_a"), F.col("tokens").alias("ta"), F.col("high").alias("ha"), F.col("amounts").alias("ma"), F.explode("high").alias("entity"))
-    a = a.withColumn("day", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add("day_a", k))))
-    b = right.select(F.col("item_id").alias("b"), F.col("source_id").alias("source_b"), F.col("day"), F.col("tokens").alias("tb"), F.col("high").alias("hb"), F.col("amounts").alias("mb"), F.explode("high").alias("entity"))
+    words = F.array(*map(F.lit, lexicon.incident_terms))
+    reach = F.when((F.size("ma") > 0) & F.arrays_overlap("ta", words), days).otherwise(1)
+    a = _keyed(left, "a").withColumnRenamed("day", "day_a")
+    a = a.withColumn("day", F.explode(F.transform(F.sequence(-reach, reach), lambda k: F.date_add("day_a", k))))
+    b = _keyed(right, "b")
     gap = F.abs(F.datediff("day", "day_a"))
-    incident = tuple(map(F.lit, lexicon.incident_terms))
-    follow = F.arrays_overlap("ta", F.array(*incident)) & F.arrays_overlap("tb", F.array(*incident)) & t.amounts_match(F.col("ma"), F.col("mb"))
+    follow = F.arrays_overlap("ta", words) & F.arrays_overlap("tb", words) & t.amounts_match(F.col("ma"), F.col("mb"))
     follow = follow & F.arrays_overlap(F.array_intersect("ha", "hb"), F.array(*map(F.lit, lexicon.incident_entities)).cast("array<string>"))
-    # the first shared entity alone makes the pair: no pair twice
-    once = F.element_at(F.array_intersect("ha", "hb"), 1) == F.col("entity")
+    # the first shared entity and token alone make the pair: no pair twice
+    once = (F.element_at(F.array_intersect("ha", "hb"), 1) == F.col("entity")) & (F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("token"))
     other = ~(F.coalesce("source_a", F.lit("")).eqNullSafe(F.coalesce("source_b", F.lit(""))) & (F.coalesce("source_a", F.lit("")) != ""))
     enough = F.size(F.array_intersect("ta", "tb")) >= 2
-    near = a.join(b, ["entity", "day"]).where((F.col("a") != F.col("b")) & other & once & enough & ((gap <= 1) | follow))
+    near = a.join(b, ["entity", "day", "token"]).where((F.col("a") != F.col("b")) & other & once & enough & ((gap <= 1) | follow))
     near = near.select("a", "b", "source_a", "source_b", gap.alias("gap"), t.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"), F.array_intersect("ha", "hb").alias("shared"), F.concat_ws(" ", "ta").alias("xa"), F.concat_ws(" ", "tb").alias("xb"), F.array_intersect("ta", "tb").alias("both"))
-    near = near.withColumn("ratio", t.sequence_ratio("xa", "xb") if sequence else F.lit(0.0))
+    near = near.withColumn("ratio", t.sequence_ratio("xa", "xb", 0.72) if sequence else F.lit(0.0))
     near = near.where((F.col("jaccard") >= 0.30) | (F.col("ratio") >= 0.72) | (F.col("gap") > 1))
     points = F.lit(60) + F.when(F.col("gap") == 0, 15).otherwise(0) + F.when(F.col("jaccard") >= 0.45, 15).otherwise(0) + F.when(F.col("ratio") >= 0.82, 10).otherwise(0)
     return near.select("a", "b", "source_a", "source_b", "gap", "shared", "both", F.least(F.lit(100), points).alias("points"))

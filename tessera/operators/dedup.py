@@ -53,7 +53,7 @@ def near_titles(items: DataFrame, ratio: float = RATIO, order: str = "item_id")
     pairs = grams.join(every, ["day", "gram"]).where(close)
     later = F.col("id") > F.col("id_b")
     pairs = pairs.select(F.greatest("id", "id_b").alias("later"), F.least("id", "id_b").alias("earlier"), F.when(later, F.col("norm")).otherwise(F.col("norm_b")).alias("x"), F.when(later, F.col("norm_b")).otherwise(F.col("norm")).alias("y"))
-    return pairs.dropDuplicates(["later", "earlier"]).where(t.sequence_ratio("x", "y") >= ratio).select("later", "earlier")
+    return pairs.dropDuplicates(["later", "earlier"]).where(t.sequence_ratio("x", "y", ratio) >= ratio).select("later", "earlier")
 
 
 def greedy(items: DataFrame, pairs: DataFrame, order: str = "item_id") -> DataFrame:

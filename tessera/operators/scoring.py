@@ -77,9 +77,10 @@ def band(score: F.Column) -> F.Column:
 
 def histogram(items: DataFrame) -> DataFrame:
     """How many rows lie in each band; bands without rows count 0."""
+    # zeros are added by a union: a join's inferred filters would be pushed down and repeat the score's whole expression
     per_score = items.groupBy("score").agg(F.count("*").alias("n"))
-    bands = items.sparkSession.createDataFrame([(n,) for n, _, _ in BANDS], "band string")
-    return F.broadcast(bands).join(per_score.groupBy(band(F.col("score")).alias("band")).agg(F.sum("n").alias("n")), "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n_items"))
+    zeros = items.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n, _, _ in BANDS])).alias("band"), F.lit(0).cast("bigint").alias("n"))
+    return per_score.select(band(F.col("score")).alias("band"), "n").unionByName(zeros).groupBy("band").agg(F.sum("n").alias("n_items"))
 
 
 def source_yield(items: DataFrame, gate: int) -> DataFrame:

@@ -15,11 +15,14 @@ from tessera.sources import apis, html_pages
 from tessera.tables import stored
 
 #: The time of the run: 24 days after the first item. Items until day 9 are history.
-NOW = F.timestamp_seconds(F.lit(items.START + 24 * 86400))
-HISTORY = F.timestamp_seconds(F.lit(items.START + 10 * 86400))
+NOW_DAY, HISTORY_DAY = 24, 10
 GATE = SAMPLE.publish_score
 
 
+def _day(n: int) -> F.Column:
+    return F.timestamp_seconds(F.lit(items.START + n * 86400))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,8 +35,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scored(items.from_documents(spark, sf_dir), SAMPLE)
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored items without their summaries as a table, for what filters by score: a filter on it must not repeat the expression."""
+    return stored(_scored(spark, sf_dir).drop("summary"), "scored")
+
+
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(correlate.cards(items.with_tokens(_scored(spark, sf_dir)), SAMPLE), "cards")
+    return stored(correlate.cards(items.with_tokens(_judged(spark, sf_dir)), SAMPLE), "cards")
 
 
 def items_normalized(spark, sf_dir):
@@ -52,7 +60,7 @@ def first_arrivals(spark, sf_dir):
 def unseen_items(spark, sf_dir):
     """Items whose headline did not occur in the history."""
     base = items.from_documents(spark, sf_dir).withColumn("headline", F.sha2(F.concat_ws(" ", t.words(F.col("title"))), 256))
-    return dedup.unseen(base.where(F.col("published_at") >= HISTORY), base.where(F.col("published_at") < HISTORY), "headline").select("item_id", "headline")
+    return dedup.unseen(base.where(F.col("published_at") >= _day(HISTORY_DAY)), base.where(F.col("published_at") < _day(HISTORY_DAY)), "headline").select("item_id", "headline")
 
 
 def near_duplicate_headlines(spark, sf_dir):
@@ -82,24 +90,24 @@ def publish_gates(spark, sf_dir):
     """What the chain of gates does with each item, in its order."""
     rows = _scored(spark, sf_dir)
     at = F.col("published_at")
-    what = F.when(times.is_future(at, NOW), "future").when(F.col("score") < GATE, "below").when(scoring.is_commentary(SAMPLE), "commentary").when(times.is_stale(at, NOW, 14), "stale").otherwise("publish")
-    return rows.select("item_id", what.alias("disposition"), times.age_days(at, NOW).alias("age_days"))
+    what = F.when(times.is_future(at, _day(NOW_DAY)), "future").when(F.col("score") < GATE, "below").when(scoring.is_commentary(SAMPLE), "commentary").when(times.is_stale(at, _day(NOW_DAY), 14), "stale").otherwise("publish")
+    return rows.select("item_id", what.alias("disposition"), times.age_days(at, _day(NOW_DAY)).alias("age_days"))
 
 
 def publish_top(spark, sf_dir):
     """The report of the ten best that are neither future nor stale."""
     at = F.col("published_at")
-    rows = _scored(spark, sf_dir).where(~times.is_future(at, NOW) & ~times.is_stale(at, NOW, 14))
-    return scoring.top(rows.drop("summary"), 10, GATE).select("item_id", "score")
+    rows = _judged(spark, sf_dir).where(~times.is_future(at, _day(NOW_DAY)) & ~times.is_stale(at, _day(NOW_DAY), 14))
+    return scoring.top(rows, 10, GATE).select("item_id", "score")
 
 
 def reconsidered_items(spark, sf_dir):
     """Known items (cards of the history, scored by their title alone) that reach the gate with their whole text."""
-    keyed = items.with_keys(_scored(spark, sf_dir))
+    keyed = items.with_keys(_judged(spark, sf_dir))
     old = scoring.scored(items.from_documents(spark, sf_dir).withColumn("summary", F.lit("")), SAMPLE)
-    known = old.where(F.col("published_at") < NOW).select("item_id", "score", F.col("published_at").alias("last_seen"))
-    fresh = keyed.where(F.col("published_at") >= NOW)
-    return dedup.reconsidered(keyed, known, fresh, GATE, NOW, hours=240).select("item_id", "score_before", "score")
+    known = stored(old.select("item_id", "score", "published_at"), "known").where(F.col("published_at") < _day(NOW_DAY)).select("item_id", "score", F.col("published_at").alias("last_seen"))
+    fresh = keyed.where(F.col("published_at") >= _day(NOW_DAY))
+    return dedup.reconsidered(keyed, known, fresh, GATE, _day(NOW_DAY), hours=240).select("item_id", "score_before", "score")
 
 
 def correlation(spark, sf_dir):
@@ -114,7 +122,7 @@ def correlation_by_tokens(spark, sf_dir):
 
 def history_correlation(spark, sf_dir):
     cards = _cards(spark, sf_dir)
-    new, old = cards.where(F.col("published_at") >= HISTORY), cards.where(F.col("published_at") < HISTORY)
+    new, old = cards.where(F.col("published_at") >= _day(HISTORY_DAY)), cards.where(F.col("published_at") < _day(HISTORY_DAY))
     return correlate.rollup(correlate.pairs(new, old, SAMPLE, sequence=False))
 
 
@@ -181,7 +189,7 @@ def thesis_rollup(spark, sf_dir):
 
 def event_freshness(spark, sf_dir):
     rows = items.from_documents(spark, sf_dir).withColumn("headline", F.sha2("title", 256))
-    return theses.freshness(rows, "headline", NOW, 10)
+    return theses.freshness(rows, "headline", _day(NOW_DAY), 10)
 
 
 def event_evidence(spark, sf_dir):
@@ -190,12 +198,12 @@ def event_evidence(spark, sf_dir):
 
 
 def weekly_digest(spark, sf_dir):
-    week = F.timestamp_seconds(F.lit(items.START + 17 * 86400))
-    return theses.digest_sources(items.from_documents(spark, sf_dir).select("source_id", "published_at", "item_id"), week, NOW)
+    week = _day(17)
+    return theses.digest_sources(items.from_documents(spark, sf_dir).select("source_id", "published_at", "item_id"), week, _day(NOW_DAY))
 
 
 def queue_health(spark, sf_dir):
-    return theses.queue_health(items.from_documents(spark, sf_dir).where(F.col("published_at") <= NOW), NOW)
+    return theses.queue_health(items.from_documents(spark, sf_dir).where(F.col("published_at") <= _day(NOW_DAY)), _day(NOW_DAY))
 
 
 def _attempts(spark, sf_dir):
@@ -216,7 +224,7 @@ def health_warnings(spark, sf_dir):
 def _halves(spark, sf_dir):
     """The last event of each user before and after the middle of the month."""
     e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    cut = F.timestamp_seconds(F.lit(items.START + 15 * 86400))
+    cut = _day(15)
     last = lambda d: d.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("l")).select("user_id", "l.*")
     return last(e.where(F.col("ts") < cut)), last(e.where(F.col("ts") >= cut))
 

@@ -1,0 +1 @@
+"""Incremental runs by Structured Streaming."""

@@ -21,7 +21,7 @@ def answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def filings(answer: DataFrame, forms: tuple[str, ...]) -> DataFrame:
     """Column-parallel arrays as rows, shorter ones padded with null; wanted forms, each accession once, and the watermark of its issuer."""
     r = "filings.recent."
-    zipped = F.arrays_zip(*[F.col(r + c) for c in ("accessionNumber", "form", "filingDate", "primaryDocument", "primaryDocDescription")])
+    zipped = F.arrays_zip(*[F.coalesce(F.col(r + c), F.array().cast("array<string>")) for c in ("accessionNumber", "form", "filingDate", "primaryDocument", "primaryDocDescription")])
     rows = answer.select("cik", "name", F.inline_outer(zipped)).toDF("cik", "name", "native_id", "form", "filed", "document", "title")
     rows = rows.where(F.col("form").isin(*forms)).dropDuplicates(["cik", "native_id"])
     return rows.withColumn("published_at", times.parse_iso(F.col("filed")))

@@ -56,7 +56,7 @@ def health(attempts: DataFrame) -> DataFrame:
     return attempts.select("source_id", "event_id", "at", "status").groupBy("source_id").applyInPandasWithState(_streak, STREAK, kept, "update", GroupStateTimeout.NoTimeout)
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None):
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None, mode: str = "append"):
     """Call ``work(batch, id)`` for every micro-batch: a batch may come again after a crash, so work writes by key or by batch id."""
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -106,6 +106,11 @@ def clipped(text: Column, limit: int) -> Column:
     return F.when(F.char_length(line) <= limit, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, limit - 1)), F.lit("…")))
 
 
+def clipped_lines(text: Column, limit: int) -> Column:
+    """As ``clipped``, with its lines."""
+    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…")))
+
+
 def escaped(text: Column) -> Column:
     """Marks of the chat's markup, and mentions, lose their meaning."""
     return F.regexp_replace(text, r"([\\*_`~|>\[\]()@])", r"\\$1")

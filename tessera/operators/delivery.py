@@ -35,3 +35,17 @@ def deliver(queue: DataFrame, send: Callable[[str], bool], key: str = "key", mes
             yield pd.DataFrame({key: b[key], "sent": sent})
 
     return queue.select(key, message).mapInPandas(run, f"{key} {queue.schema[key].dataType.simpleString()}, sent boolean")
+
+
+def digest_text(posts: DataFrame, events: DataFrame, most: int = 2000) -> DataFrame:
+    """One row, ``text``: the number of posts, their five most frequent sources, the first twelve posts and five events of a window.
+
+    ``posts``: title, source_id, published_at, item_id; ``events``: summary, newest, event_id. Each part is a top-k before it is gathered.
+    """
+    count = posts.agg(F.count("*").alias("n"))
+    top = posts.groupBy("source_id").agg(F.count("*").alias("n"), F.min(F.struct("published_at", "item_id")).alias("first")).orderBy(F.desc("n"), "first").limit(5)
+    sources = top.agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "source_id", "n"))), lambda x: F.concat(x["source_id"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))).alias("sources"))
+    shown = posts.orderBy("published_at", "item_id").limit(12).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("published_at", "item_id", "title"))), lambda x: F.concat(F.lit("- "), x["title"]))).alias("items"))
+    told = events.orderBy(F.desc("newest"), "event_id").limit(5).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_timestamp("newest")).alias("m"), "event_id", "summary"))), lambda x: F.concat(F.lit("* "), x["summary"]))).alias("events"))
+    one = count.crossJoin(sources).crossJoin(shown).crossJoin(told)  # four rows of one
+    return one.select(t.clipped_lines(F.concat_ws("\n", F.concat(F.col("n").cast("string"), F.lit(" items in the last week")), F.concat(F.lit("Sources: "), F.col("sources")), "items", F.nullif("events", F.lit(""))), most).alias("text"))

@@ -28,19 +28,36 @@ def changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return both.select(key, kind.alias("change"))
 
 
-def streaks(attempts: DataFrame, key: str, at: str, tie: str, status: str) -> DataFrame:
+def streaks(attempts: DataFrame, key: str, at: str, tie: str, status: str, chunk: str = "day") -> DataFrame:
     """Per attempt: how many of its source failed, or came back empty, in a row up to here, and since when a bad status has lasted.
 
-    Gaps and islands over one window per source; a source's attempts are sorted on disk if they are many.
+    Gaps and islands in two levels: within each source's ``chunk`` of time, and
+    over the chunks' summaries, whose streaks are carried on into the next. No
+    task sorts all attempts of a source.
     """
-    w = Window.partitionBy(key).orderBy(at, tie)
+    names = [F.col(c) for c in attempts.columns]
     failed, empty = F.col(status) == FAILED, F.col(status).isin(*EMPTY)
-    bad = failed | empty
-    same = bad & (F.lag(status).over(w) == F.col(status))
-    cut = attempts.withColumns({"_f": F.sum(F.when(failed, 0).otherwise(1)).over(w), "_e": F.sum(F.when(empty, 0).otherwise(1)).over(w), "_s": F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w)})
-    run = lambda group, hit: F.sum(F.when(hit, 1).otherwise(0)).over(Window.partitionBy(key, group).orderBy(at, tie))
-    began = F.min(at).over(Window.partitionBy(key, "_s").orderBy(at, tie))
-    return cut.withColumns({"consecutive_failures": run("_f", failed), "consecutive_empty": run("_e", empty), "status_started_at": began}).drop("_f", "_e", "_s")
+    part = [key, "_c"]
+    w = Window.partitionBy(*part).orderBy(at, tie)
+    same = F.coalesce((failed | empty) & (F.lag(status).over(w) == F.col(status)), F.lit(False))
+    total = lambda hit: F.sum(F.when(hit, 1).otherwise(0)).over(w)
+    cut = attempts.withColumn("_c", F.date_trunc(chunk, at)).withColumns({"_n": F.row_number().over(w), "_f": total(~failed), "_e": total(~empty), "_s": total(~same)})
+    run = lambda group, hit: F.sum(F.when(hit, 1).otherwise(0)).over(Window.partitionBy(*part, group).orderBy(at, tie))
+    began = F.min(at).over(Window.partitionBy(*part, "_s").orderBy(at, tie))
+    rows = cut.withColumns({"_nf": run("_f", failed), "_ne": run("_e", empty), "_began": began})
+
+    first, last = F.min_by(F.struct(F.col(status).alias("s"), "_s"), "_n"), F.max_by(F.struct(F.col(status).alias("s"), "_s", "_nf", "_ne", "_began"), "_n")
+    ends = rows.groupBy(*part).agg(F.count("*").alias("n"), first.alias("a"), last.alias("z"))
+    v = Window.partitionBy(key).orderBy("_c")
+    joins = (F.col("z._s") == F.col("a._s")) & F.col("z.s").isin(FAILED, *EMPTY) & (F.lag("z.s").over(v) == F.col("a.s"))
+    ends = ends.withColumns({g: F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(v) for g, goes_on in (("gf", F.col("z._nf") == F.col("n")), ("ge", F.col("z._ne") == F.col("n")), ("gs", joins))})
+    of = lambda g: Window.partitionBy(key, g).orderBy("_c")
+    ends = ends.withColumns({"af": F.sum("z._nf").over(of("gf")), "ae": F.sum("z._ne").over(of("ge")), "ab": F.min("z._began").over(of("gs"))})
+    carried = ends.select(F.col(key).alias("_k"), F.col("_c").alias("_d"), *[F.lag(x).over(v).alias(y) for x, y in (("af", "_cf"), ("ae", "_ce"), ("ab", "_cb"), ("z.s", "_cs"))], F.col("a._s").alias("_s1"))
+    met = rows.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_c").eqNullSafe(F.col("_d")))
+    more = lambda n, carry: (F.col(n) + F.when(F.col(n) == F.col("_n"), F.coalesce(carry, F.lit(0))).otherwise(0)).cast("bigint")
+    lasting = (F.col("_s") == F.col("_s1")) & (failed | empty) & (F.col(status) == F.col("_cs"))
+    return met.select(*names, more("_nf", F.col("_cf")).alias("consecutive_failures"), more("_ne", F.col("_ce")).alias("consecutive_empty"), F.when(lasting, F.col("_cb")).otherwise(F.col("_began")).alias("status_started_at"))
 
 
 def warnings(health: DataFrame, at: str, hours: int = 24) -> DataFrame:
@@ -96,3 +113,20 @@ def frontier(rows: DataFrame, boundary: str | None, position: str = "position",
     at = rows.where(F.col(native) == boundary).agg(F.min(position).alias("_at"))
     joined = rows.crossJoin(F.broadcast(at))
     return joined.withColumns({"is_new": F.coalesce(F.col(position) < F.col("_at"), F.lit(True)), "status": F.when(F.col("_at").isNull(), "missing").otherwise("found")}).drop("_at")
+
+
+def retained(rows: DataFrame, at: str, now: F.Column, hours: int, most: int, order: str, tie: str) -> DataFrame:
+    """A memory (not a queue): rows of the last ``hours``, and of those the newest ``most``."""
+    return rows.where(F.unix_timestamp(at) >= F.unix_timestamp(now) - hours * 3600).orderBy(F.desc(order), F.desc(tie)).limit(most)
+
+
+def payload_hash(columns: list[str]) -> F.Column:
+    """Of the content alone: columns in order of name, nulls told from empty texts."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def merged_branches(branches: DataFrame, closed: DataFrame, opened: DataFrame, default: str, now: F.Column, days: int) -> DataFrame:
+    """Branches whose tip was merged ``days`` ago or more, that no open request uses, and that are neither protected nor the default."""
+    old = closed.where(F.unix_timestamp("merged_at") <= F.unix_timestamp(now) - days * 86400).select("name", "sha")
+    free = branches.where((F.col("name") != default) & ~F.coalesce("protected", F.lit(False)))
+    return free.join(old, ["name", "sha"], "left_semi").join(opened.select("name"), "name", "left_anti")

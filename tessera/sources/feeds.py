@@ -50,3 +50,18 @@ def status(rows: DataFrame) -> DataFrame:
     """partial, failed, empty or success: by whether there are rows and problems."""
     n, bad = F.count_if(F.col("problem").isNull()), F.count("problem")
     return rows.agg(F.when((n > 0) & (bad > 0), "partial").when(bad > 0, "failed").when(n == 0, "empty").otherwise("success").alias("status"), n.alias("n_rows"), bad.alias("n_problems"))
+
+
+def sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """``url`` elements: url, published_at (lastmod)."""
+    raw = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
+    return raw.select(F.trim("loc").alias("url"), times.parse_iso(F.col("lastmod")).alias("published_at")).where("url IS NOT NULL")
+
+
+def listing_digest(rows: DataFrame) -> DataFrame:
+    """One checksum of a listing, in any order: equal to the last run's, nothing has changed."""
+    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("url", "published_at").cast("decimal(38,0)")).alias("digest"))
+
+
+def latest(rows: DataFrame, n: int) -> DataFrame:
+    return rows.orderBy(F.desc_nulls_last("published_at"), F.desc("url")).limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -82,3 +83,39 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "position", "href", "title", "date_text"])
 
     return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, position int, href string, title string, date_text string")
+
+
+LD = re.compile(r"<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.S | re.I)
+ARTICLES = frozenset(["Article", "NewsArticle", "PressRelease", "BlogPosting", "Report"])
+
+
+def ld_articles(source: str | None) -> list[tuple[str, str, str]]:
+    """(url, headline, date) of every article in a page's JSON-LD, however deep; scripts that aren't JSON are passed over."""
+    found, todo = [], []
+    for body in LD.findall(source or ""):
+        try:
+            todo.append(json.loads(body))
+        except ValueError:
+            continue
+    while todo:
+        node = todo.pop(0)
+        if isinstance(node, list):
+            todo = node + todo
+        elif isinstance(node, dict):
+            kinds = node.get("@type")
+            url, title, date = node.get("url"), node.get("headline") or node.get("name"), node.get("datePublished")
+            if ARTICLES & set(kinds if isinstance(kinds, list) else [kinds]) and all(isinstance(x, str) and x.strip() for x in (url, title, date)):
+                found.append((url.strip(), " ".join(title.split()), date.strip()))
+            todo = [x for x in node.values() if isinstance(x, (dict, list))] + todo
+    return list(dict.fromkeys(found))
+
+
+def linked_data(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``key``, ``url``, ``title``, ``date_text`` of the articles that pages describe as linked data."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, *a) for k, source in zip(b[key], b[html], strict=True) for a in ld_articles(source)]
+            yield pd.DataFrame(out, columns=[key, "url", "title", "date_text"])
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, url string, title string, date_text string")

@@ -173,3 +173,36 @@ def test_messages_and_delivery(spark):
     ledger = spark.createDataFrame([(1, "https://a/x/"), (9, "https://a/y")], "key int, url string")
     q = spark.createDataFrame([(1, "https://a/0"), (2, "https://a/x"), (3, "https://a/y/"), (4, "https://a/z")], "key int, url string")
     assert [r.key for r in state.undelivered(q, ledger).collect()] == [4]
+
+
+def test_streaks_go_on_over_chunks(spark):
+    rng = random.Random(4)
+    rows = [(k % 2, k, DAY + timedelta(hours=5 * k + rng.randint(0, 4)), rng.choice(["failed"] * 6 + ["empty", "partial", "success"])) for k in range(120)]
+    got = {r.event_id: r for r in state.streaks(spark.createDataFrame(rows, "source_id int, event_id int, at timestamp, status string"), "source_id", "at", "event_id", "status").collect()}
+    for source in (0, 1):
+        f = e = 0
+        last = began = None
+        for _, k, at, s in sorted((r for r in rows if r[0] == source), key=lambda r: (r[2], r[1])):
+            f, e = (f + 1 if s == "failed" else 0), (e + 1 if s in ("empty", "partial") else 0)
+            if s == "success" or s != last:
+                began = at
+            last = s
+            assert (got[k].consecutive_failures, got[k].consecutive_empty, got[k].status_started_at) == (f, e, began)
+
+
+def test_branches_retention_and_hashes(spark):
+    branches = spark.createDataFrame([("main", "1", False), ("old", "2", False), ("used", "3", None), ("moved", "9", False), ("kept", "5", True)], "name string, sha string, protected boolean")
+    closed = spark.createDataFrame([(n, s, DAY - timedelta(days=9)) for n, s in (("main", "1"), ("old", "2"), ("used", "3"), ("moved", "4"), ("kept", "5"))], "name string, sha string, merged_at timestamp")
+    opened = spark.createDataFrame([("used",)], "name string")
+    assert [r.name for r in state.merged_branches(branches, closed, opened, "main", F.lit(DAY), 7).collect()] == ["old"]
+    assert state.merged_branches(branches, closed, opened, "main", F.lit(DAY), 10).count() == 0
+    assert sorted(r.name for r in state.retained(closed, "merged_at", F.lit(DAY), 24 * 10, 2, "sha", "name").collect()) == ["kept", "moved"]
+    r = spark.createDataFrame([(None, ""), ("", None)], "a string, b string").select(state.payload_hash(["b", "a"]).alias("h")).collect()
+    assert r[0].h != r[1].h
+
+
+def test_digest_text(spark):
+    posts = items(spark, [(k, f"T{k}", "", "a" if k % 3 else "b", "primary", k / 10) for k in range(15)])
+    events = spark.createDataFrame([("e1", "first", DAY), ("e2", "second", DAY + timedelta(days=1))], "event_id string, summary string, newest timestamp")
+    text = delivery.digest_text(posts, events).collect()[0].text.split("\n")
+    assert text[:3] == ["15 items in the last week", "Sources: a (10), b (5)", "- T0"] and text[-2:] == ["* second", "* first"] and len(text) == 16

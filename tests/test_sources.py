@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tessera.sources import apis, feeds, html_pages
+from tessera.sources import apis, feeds, html_pages, registry
 from tessera.streaming import jobs
 
 NOW = datetime(2024, 1, 20)
@@ -63,3 +63,21 @@ def test_health_in_a_stream(spark, tmp_path):
         jobs.each_batch(jobs.health(jobs.read(spark, str(tmp_path / "in"), schema)), lambda batch, _, last=last: last.extend(batch.collect()), str(tmp_path / "cp"), mode="update").awaitTermination(120)
         got = last[-1]
         assert (got.consecutive_failures, got.consecutive_empty) == ((2, 0), (0, 1))[k] and got.n_attempts == (2, 5)[k]
+
+
+def test_registry(spark, tmp_path):
+    good = {"source_id": "a", "name": "A", "method": "rss", "url": "https://a.example/f", "authority_tier": 1, "category": "c", "entity_coverage": [], "enabled": True}
+    (tmp_path / "s.json").write_text(json.dumps([good, good | {"source_id": "b", "method": "x", "authority_tier": 9, "enabled": False}, good]))
+    rows = registry.read(spark, str(tmp_path / "s.json"))
+    assert sorted((r.source_id, r.rule) for r in registry.violations(rows).collect()) == [("a", "source_id is not unique"), ("b", "tier is not 1 to 3"), ("b", "unknown method")]
+    assert registry.enabled(rows).count() == 2
+
+
+def test_sitemaps_and_linked_data(spark, tmp_path):
+    (tmp_path / "m.xml").write_text("<urlset><url><loc>https://a/1</loc><lastmod>2024-01-02</lastmod></url><url><loc>https://a/2</loc><lastmod>2024-01-03</lastmod></url><url><loc>https://a/3</loc></url></urlset>")
+    rows = registry.collect_source(spark, "sitemap", str(tmp_path / "m.xml"))
+    assert [r.url for r in feeds.latest(rows, 2).collect()] == ["https://a/2", "https://a/1"]
+    assert feeds.listing_digest(rows).collect() == feeds.listing_digest(rows.repartition(3)).collect() != feeds.listing_digest(feeds.latest(rows, 2)).collect()
+    page = '<script type="application/ld+json">{"@graph": [{"@type": ["NewsArticle"], "url": "u", "headline": "H  x", "datePublished": "2024-01-01", "isPartOf": {"@type": "Article", "url": "v", "name": "N", "datePublished": "d"}}]}</script><script type="application/ld+json">{bad</script>'
+    got = html_pages.linked_data(spark.createDataFrame([(1, page), (2, None)], "page_id bigint, html string"), "page_id", "html").collect()
+    assert [tuple(r) for r in got] == [(1, "u", "H x", "2024-01-01"), (1, "v", "N", "d")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
 from html.parser import HTMLParser
@@ -143,10 +144,16 @@ def ratio(x: str | None, y: str | None, least: float = 0.0) -> float:
         return 0.0
     if x == y:
         return 1.0
-    m = SequenceMatcher(None, x, y)
-    if m.real_quick_ratio() < least or m.quick_ratio() < least:
+    # at that similarity so many characters are inserted or deleted at most, each of which changes five trigrams at most
+    edits = (1 - least) * (len(x) + len(y)) + 1e-9
+    if abs(len(x) - len(y)) > edits:
         return 0.0
-    return m.ratio()
+    if 5 * edits < len(x) + len(y) - 4:
+        a, b = (Counter(map("".join, zip(z, z[1:], z[2:], strict=False))) for z in (x, y))
+        if ((a - b) + (b - a)).total() > 5 * edits:
+            return 0.0
+    m = SequenceMatcher(None, x, y)
+    return m.ratio() if m.quick_ratio() >= least else 0.0
 
 
 def sequence_ratio(a: Column | str, b: Column | str, least: float = 0.0) -> Column:

@@ -42,18 +42,19 @@ def near_titles(items: DataFrame, ratio: float = RATIO, order: str = "item_id")
     """
     w = t.words(F.col("title"))
     base = items.select(F.col(order).alias("id"), F.to_date("published_at").alias("day"), F.concat_ws(" ", w).alias("norm"), F.size(w).alias("n"), F.length(F.concat_ws("", w)).alias("solid"))
-    base = base.where((F.col("n") >= 6) & (F.col("solid") >= 30)).select("id", "day", "norm", F.length("norm").alias("len"))
+    base = stored(base.where((F.col("n") >= 6) & (F.col("solid") >= 30)).select("id", "day", "norm", F.length("norm").alias("len")), "headlines")
+    # pieces and grams travel without their headlines, whose length would be squared
+    gram = lambda at: F.struct(at.alias("at"), F.substring("norm", at, F.lit(GRAM)).alias("gram"))
     slack = F.floor((1 - ratio) * (2 / ratio) * F.col("len") + 1e-9).cast("int")
     pieces = base.withColumn("slack", slack).withColumn("step", F.floor(F.col("len") / (F.col("slack") + 1)).cast("int"))
-    grams = pieces.select("id", "day", "norm", "len", "slack", F.explode(F.transform(F.sequence(F.lit(0), F.col("slack")), lambda k: k * F.col("step") + 1)).alias("at"))
-    grams = grams.select("id", "day", "norm", "len", "slack", "at", F.substring("norm", F.col("at"), F.lit(GRAM)).alias("gram"))
-    every = base.select(F.col("id").alias("id_b"), "day", F.col("norm").alias("norm_b"), F.col("len").alias("len_b"), F.explode(F.sequence(F.lit(1), F.col("len") - GRAM + 1)).alias("at_b"))
-    every = every.withColumn("gram", F.substring("norm_b", F.col("at_b"), F.lit(GRAM)))
+    starts = F.transform(F.sequence(F.lit(0), F.col("slack")), lambda k: gram(k * F.col("step") + 1))
+    grams = pieces.select("id", "day", "len", "slack", F.inline(starts))
+    every = base.select("id", "day", "len", F.inline(F.transform(F.sequence(F.lit(1), F.col("len") - GRAM + 1), gram))).toDF("id_b", "day", "len_b", "at_b", "gram")
     close = (F.abs(F.col("at") - F.col("at_b")) <= F.col("slack")) & (F.col("id") != F.col("id_b")) & (2 * F.least("len", "len_b") >= ratio * (F.col("len") + F.col("len_b")) - 1e-9)
-    pairs = grams.join(every, ["day", "gram"]).where(close)
-    later = F.col("id") > F.col("id_b")
-    pairs = pairs.select(F.greatest("id", "id_b").alias("later"), F.least("id", "id_b").alias("earlier"), F.when(later, F.col("norm")).otherwise(F.col("norm_b")).alias("x"), F.when(later, F.col("norm_b")).otherwise(F.col("norm")).alias("y"))
-    return pairs.dropDuplicates(["later", "earlier"]).where(t.sequence_ratio("x", "y", ratio) >= ratio).select("later", "earlier")
+    pairs = grams.join(every, ["day", "gram"]).where(close).select(F.greatest("id", "id_b").alias("later"), F.least("id", "id_b").alias("earlier")).distinct()
+    text = base.select("id", "norm")
+    both = pairs.join(text.toDF("later", "x"), "later").join(text.toDF("earlier", "y"), "earlier")
+    return both.where(t.sequence_ratio("x", "y", ratio) >= ratio).select("later", "earlier")
 
 
 def greedy(items: DataFrame, pairs: DataFrame, order: str = "item_id") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -43,8 +44,18 @@ def test_amounts_match(spark):
 
 
 def test_ratio_bounds_do_not_change_what_passes():
-    for x, y in [("abcdef ghij", "abcdef ghik"), ("abc", "xyz"), ("same", "same"), ("aab", "baa")]:
-        assert (t.ratio(x, y) >= 0.8) == (t.ratio(x, y, 0.8) >= 0.8)
+    rng = random.Random(8)
+    pairs = [("abcdef ghij", "abcdef ghik"), ("abc", "xyz"), ("same", "same"), ("aab", "baa"), ("", ""), ("", "a")]
+    for _ in range(300):
+        x = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 80)))
+        y = list(x)
+        for _ in range(rng.randint(0, 8)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "ab"])
+        pairs.append((x, "".join(y)))
+    for x, y in pairs:
+        for least in (0.72, 0.82, 0.94):
+            assert (t.ratio(x, y) >= least) == (t.ratio(x, y, least) >= least)
 
 
 def test_stated_negatives():

@@ -1,22 +1,27 @@
 """Language-model scoring with Brown class-based bigrams.
 
 Counts: every training text's words (and one end for each text) are counted,
-all of them, by an aggregation with map-side combine. Words that make up at
-least ``CLUSTER_RATE`` of the tokens, so at most 1 / ``CLUSTER_RATE`` of them,
-are clustered; the others share one class, in which a word's emission follows
-its own count.
+all of them, by an aggregation with map-side combine. Every word seen in
+training gets a class; the number of classes grows with the cube root of the
+number of words. Words that make up at least ``BROADCAST_RATE`` of the tokens
+(at most 1 / ``BROADCAST_RATE`` of them) are broadcast with their classes; the
+classes of all others are a table that is joined to their tokens.
 
 Clustering is the exchange algorithm in its distributed form (Uszkoreit and
-Brants, 2008): a pass over all training texts counts, for each word, the
-classes of its neighbours; then each word, independently of the others, is
-moved to the class that raises the bigram likelihood most. Half of the words
-may move in a round, so that two words do not swap past one another.
+Brants, 2008). Frequent words: a pass over all training texts counts, for each
+word, the classes of its neighbours; then each word, independently of the
+others, is moved to the class that raises the bigram likelihood most. Half of
+the words may move in a round, so that two words do not swap past one another;
+rounds go on until the words that move have less than ``FEW`` of the tokens.
+Then the rare words, dealt out to the classes at first, are exchanged in the
+same way, by the classes of their frequent neighbours; until they have settled,
+rare neighbours count as one class.
 
 Score: P(word | previous) = MIX * P(class | previous class) * P(word | class) +
 (1 - MIX) * P1(word), P1 the add-one unigram of the base score. An unseen word
-has count 0 in the shared class and in P1, so all probabilities add up to 1.
-Of a word of the shared class the count enters as a factor alone, so counts of
-words too rare to broadcast are joined to (document, word) rows afterwards.
+has count 0 in P1 and is all of the class that no seen word is in. What a rare
+word takes part in (its own term and the next word's) is added up after its
+class and count are joined to its tokens.
 
 Defined results: a null or empty text is one end; without training texts every
 count is 0 and all words are unseen; rows with the same id are scored each by
@@ -35,11 +40,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as c
 
-CLUSTER_RATE = 2e-5
-#: Words at least this frequent have their counts broadcast (at most 1 / BROADCAST_RATE words).
+#: Words at least this frequent are broadcast (at most 1 / BROADCAST_RATE words).
 BROADCAST_RATE = 1e-6
+#: Classes at least; more by the cube root of the number of words.
 CLASSES = 64
-ROUNDS = 4
+#: Rounds go on while words with this share of the tokens move, and stop at ROUNDS.
+FEW = 0.01
+ROUNDS = 8
+#: Neighbours counted in one piece, and cells of class likelihoods at once.
+CODES, CELLS = 4 << 20, 1 << 20
 MIX = 0.95
 ADD = 0.5
 #: The end of a text, in place of a word's hash.
@@ -70,7 +79,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The clustered words by hash; index ``size`` is any other word, ``size + 1`` the end."""
+    """The frequent words by hash; index ``size`` is any other word, ``size + 1`` the end."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(words)
@@ -86,153 +95,298 @@ class Vocabulary:
         return out
 
 
-def neighbour_counts(texts: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> DataFrame:
-    """cell, n: how often index w has a word of class k to its right (w * 2m + k) or left (w * 2m + m + k)."""
-    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, classes))
-    cells = (vocabulary.size + 2) * 2 * n_classes
+def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """ids: the vocabulary's index of every token of a text, in order."""
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = sent.value
-        total = np.zeros(cells, np.int64)
         for batch in batches:
             for _, data, offsets in c.blocks(batch, "text"):
-                ids = np.append(words.size + 1, words.index(tokens(data, offsets)[0]))
-                kinds = own[ids]
-                total += np.bincount(ids[:-1] * (2 * n_classes) + kinds[1:], minlength=cells)
-                total += np.bincount(ids[1:] * (2 * n_classes) + n_classes + kinds[:-1], minlength=cells)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+                hashes, at = tokens(data, offsets)
+                yield pa.RecordBatch.from_arrays([c.nested(pa.array(sent.value.index(hashes), pa.int32()), np.diff(at))], ["ids"])
+
+    return c.batched(texts, run, "ids array<int>")
 
-    return c.batched(texts, run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
+def neighbour_counts(ids: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int, part: int) -> DataFrame:
+    """cell, n: how often index w, of this half, has a word of class k to its right (w * 2m + k) or left (w * 2m + m + k)."""
+    sent = ids.sparkSession.sparkContext.broadcast((classes, np.append(vocabulary.words % np.uint64(2) == part, [False, False])))
 
-def class_bigrams(counts: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, mine = sent.value
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n, pa.int64())], ["cell", "n"])
+
+        for batch in batches:
+            w = np.append(len(own) - 1, batch.column("ids").flatten().to_numpy()).astype(np.int64)
+            kinds = own[w]
+            right, left = np.flatnonzero(mine[w[:-1]]), np.flatnonzero(mine[w[1:]])
+            held += [w[right] * (2 * n_classes) + kinds[right + 1], w[left + 1] * (2 * n_classes) + n_classes + kinds[left]]
+            size += len(right) + len(left)
+            if size >= CODES:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
+
+    return c.batched(ids, run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _matrix(cells: DataFrame, n_classes: int) -> np.ndarray:
+    """The n_classes**2 sums of rows (cell, n)."""
+    out = np.zeros(n_classes * n_classes)
+    for row in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[row.cell] = row.n
+    return out.reshape(n_classes, n_classes)
+
+
+def class_bigrams(ids: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
     """The matrix of class bigrams: n_classes**2 numbers, summed by Spark."""
-    sent = counts.sparkSession.sparkContext.broadcast(classes)
+    sent = ids.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_classes * n_classes, np.int64)
         for batch in batches:
-            cell, n = (batch.column(x).to_numpy() for x in ("cell", "n"))
-            slot = cell % (2 * n_classes)
-            right = slot < n_classes
-            np.add.at(total, sent.value[cell[right] // (2 * n_classes)] * n_classes + slot[right], n[right])
+            kinds = sent.value[np.append(len(sent.value) - 1, batch.column("ids").flatten().to_numpy())]
+            total += np.bincount(kinds[:-1] * n_classes + kinds[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    out = np.zeros(n_classes * n_classes)
-    for row in c.batched(counts, run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[row.cell] = row.n
-    return out.reshape(n_classes, n_classes)
+    return _matrix(c.batched(ids, run, "cell bigint, n bigint"), n_classes)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_class(right: np.ndarray, left: np.ndarray, own: int, bigrams: np.ndarray, movable: int) -> int:
-    """The class in which a word with these neighbours raises the likelihood most; its own if none does better."""
-    m = bigrams.copy()
-    m[own] -= right
-    m[:, own] -= left
-    m = np.maximum(m, 0)
-    out, into = m.sum(axis=1), m.sum(axis=0)
-    gain = (_f(m + right) - _f(m)).sum(axis=1) + (_f(m + left[:, None]) - _f(m)).sum(axis=0)
-    gain -= _f(out + right.sum()) - _f(out) + _f(into + left.sum()) - _f(into)
-    best = int(gain[:movable].argmax())
-    return best if gain[best] > gain[own] + 1e-9 else own
+def best_classes(own: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray, bigrams: np.ndarray, movable: int) -> np.ndarray:
+    """The class in which each word raises the likelihood most; its own if none does better.
 
+    Cells (word, slot, n), sorted by word: n words of class ``slot`` to its right, or of ``slot`` - m to its left.
+    """
+    m = len(bigrams)
+    out = np.empty(len(own), np.int64)
+    first = np.searchsorted(word, np.arange(len(own) + 1))
+    rows, columns = bigrams.sum(axis=1), bigrams.sum(axis=0)
+    lo = 0
+    while lo < len(own):
+        hi = max(lo + 1, min(lo + CELLS // m, int(np.searchsorted(first, first[lo] + CELLS // m, "right")) - 1))
+        part, w = slice(first[lo], first[hi]), word[first[lo] : first[hi]] - lo
+        mine, count = own[lo:hi], hi - lo
+        dense = np.bincount(w * (2 * m) + slot[part], weights=n[part], minlength=count * 2 * m).reshape(count, 2, m)
+        right, left = dense[:, 0], dense[:, 1]
+        gain = np.zeros((count, m))
+        for side, table, other in ((0, bigrams.T, left), (1, bigrams, right)):
+            i, s = np.nonzero(dense[:, side])
+            x = dense[i, side, s]
+            base = table[s]
+            # without the word itself: it adds to its own class's row and column
+            again = np.flatnonzero(s == mine[i])
+            base[again] -= other[i[again]]
+            base[np.arange(len(i)), mine[i]] -= x
+            base = np.maximum(base, 0)
+            sums = _f(base + x[:, None]) - _f(base)
+            gain += np.add.reduceat(sums, np.searchsorted(i, np.arange(count)))  # every token has neighbours
+        at = np.arange(count)
+        total = right.sum(axis=1), left.sum(axis=1)
+        before, after = rows - left, columns - right
+        before[at, mine] -= total[0]
+        after[at, mine] -= total[1]
+        for base, x in ((before, total[0]), (after, total[1])):
+            base = np.maximum(base, 0)
+            gain -= _f(base + x[:, None]) - _f(base)
+        best = gain[:, :movable].argmax(axis=1)
+        out[lo:hi] = np.where(gain[at, best] > gain[at, mine] + 1e-9, best, mine)
+        lo = hi
+    return out
 
-def exchanged(counts: DataFrame, classes: np.ndarray, bigrams: np.ndarray, movable: int, size: int, part: int) -> np.ndarray:
-    """One round: the words of this half, each moved to its best class."""
+
+def exchanged(counts: DataFrame, classes: np.ndarray, bigrams: np.ndarray, movable: int) -> np.ndarray:
+    """One round: the words of these counts, each moved to its best class."""
     m = len(bigrams)
     sent = counts.sparkSession.sparkContext.broadcast((classes, bigrams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, matrix = sent.value
         for batch in batches:
-            words, moved = batch.column("w").to_pylist(), []
-            for w, cells in zip(words, batch.column("cells").to_pylist(), strict=True):
-                vector = np.zeros(2 * m)
-                vector[[x["slot"] for x in cells]] = [x["n"] for x in cells]
-                moved.append(best_class(vector[:m], vector[m:], int(own[w]), matrix, movable))
+            words, cells = batch.column("w").to_numpy(), batch.column("cells")
+            slot, n = cells.flatten().flatten()
+            of = np.repeat(np.arange(len(words)), cells.value_lengths().to_numpy())
+            moved = best_classes(own[words], of, slot.to_numpy(), n.to_numpy(), matrix, movable)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(moved, pa.int32())], ["w", "class"])
 
     cells = counts.select(F.expr(f"cell div {2 * m}").alias("w"), (F.col("cell") % (2 * m)).alias("slot"), "n")
-    mine = cells.where((F.col("w") < size) & (F.pmod(F.xxhash64("w"), F.lit(2)) == part))
-    # a word has at most 2 * m cells, and there are at most 1 / CLUSTER_RATE words
-    rows = mine.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("cells"))
+    # a word has at most 2 * m cells, and there are at most 1 / BROADCAST_RATE words
+    rows = cells.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("cells"))
     out = classes.copy()
     for row in c.batched(rows, run, "w bigint, class int").collect():
         out[row.w] = row["class"]
     return out
 
 
+def rare_contexts(texts: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int) -> DataFrame:
+    """word (hash), code (class to its right * m + class to its left), next (the word to its right, if that is rare too), n: of every rare word."""
+    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own = sent.value
+        for batch in batches:
+            for _, data, offsets in c.blocks(batch, "text"):
+                hashes = tokens(data, offsets)[0]
+                ids = words.index(hashes)
+                kinds = np.append(own[ids], n_classes - 1)
+                at = np.flatnonzero(ids == words.size)
+                # the last token is an end, so at + 1 is a token; before the first stands kinds[-1], an end
+                code, both = kinds[at + 1] * n_classes + kinds[at - 1], ids[at + 1] == words.size
+                follower = pa.array(c.as_int64(hashes[at + 1]), mask=~both)
+                yield pa.RecordBatch.from_arrays([pa.array(c.as_int64(hashes[at])), pa.array(code, pa.int32()), follower], ["word", "code", "next"])
+
+    return c.batched(texts, run, "word bigint, code int, next bigint")
+
+
+def placed(contexts: DataFrame, bigrams: np.ndarray, movable: int, rounds: int, few: float) -> tuple[DataFrame, np.ndarray]:
+    """word, class, n of the rare words, exchanged among the classes; and the class bigrams then.
+
+    Until they have settled, rare neighbours count as one class, ``movable``.
+    """
+    m = len(bigrams)
+    spark = contexts.sparkSession
+    schema = "word bigint, class int, n bigint, codes array<int>"
+    frequent = bigrams.copy()
+    frequent[movable] = frequent[:, movable] = 0
+
+    def passed(rows: DataFrame, matrix: np.ndarray | None, part: int) -> tuple[DataFrame, np.ndarray, int]:
+        """Moves the words of this half; their rows, their bigrams, and how many tokens moved."""
+        sent = spark.sparkContext.broadcast(matrix)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words, own, codes = batch.column("word").to_numpy(), batch.column("class").to_numpy().astype(np.int64), batch.column("codes")
+                sizes = codes.value_lengths().to_numpy().astype(np.int64)
+                of, code = np.repeat(np.arange(len(sizes)), sizes), codes.flatten().to_numpy()
+                right, left = code // m, code % m
+                found = own.copy()
+                if sent.value is not None:
+                    mine = words % 2 == part
+                    number = np.cumsum(mine) - 1
+                    at = mine[of]
+                    word = np.concatenate([number[of[at]]] * 2)
+                    order = np.argsort(word, kind="stable")
+                    slot = np.concatenate([right[at], left[at] + m])[order]
+                    found[mine] = best_classes(own[mine], word[order], slot, np.ones(len(slot)), sent.value, movable)
+                now = found[of]
+                cell, n = np.unique(np.concatenate([now * m + right, left * m + now]), return_counts=True)
+                moved = int(sizes[found != own].sum())
+                columns = [
+                    pa.concat_arrays([batch.column("word"), pa.nulls(len(cell) + 1, pa.int64())]),
+                    pa.array(np.concatenate([found, cell, [-1]]), pa.int32()),
+                    pa.array(np.concatenate([sizes, n, [moved]]), pa.int64()),
+                    pa.concat_arrays([codes.cast(pa.list_(pa.int32())), pa.nulls(len(cell) + 1, pa.list_(pa.int32()))]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "class", "n", "codes"])
+
+        out = c.stored(c.batched(rows.select("word", "class", "codes"), run, schema), "rare")
+        cells = {r["class"]: r.n for r in out.where("word IS NULL").groupBy("class").agg(F.sum("n").alias("n")).collect()}
+        moved = cells.pop(-1, 0)
+        total = np.zeros(m * m)
+        total[list(cells)] = list(cells.values())
+        return out.where("word IS NOT NULL"), total.reshape(m, m), moved
+
+    # a rare word has less than BROADCAST_RATE of all tokens, so no list is longer than that
+    lists = contexts.groupBy("word").agg(F.collect_list("code").alias("codes"))
+    rare, cells, _ = passed(lists.withColumn("class", F.pmod(F.xxhash64("word"), F.lit(movable)).cast("int")), None, 0)
+    moved = [few]
+    for k in range(rounds):
+        rare, cells, n = passed(rare, frequent + cells, k % 2)
+        moved.append(n)
+        # one round of either half
+        if sum(moved[-2:]) < few:
+            break
+    rare = rare.select("word", "class", "n")
+    # bigrams of two rare words
+    pairs = contexts.where("next IS NOT NULL").groupBy("word", "next").agg(F.count("*").alias("n"))
+    of_pairs = pairs.join(rare.select("word", F.col("class").alias("a")), "word").join(rare.select(F.col("word").alias("next"), F.col("class").alias("b")), "next")
+    cells[movable] = cells[:, movable] = 0
+    return rare, frequent + cells + _matrix(of_pairs.select((F.col("a") * m + F.col("b")).alias("cell"), "n"), m)
+
+
 class Model:
-    """Classes, their bigrams and the counts of frequent words."""
+    """Classes, their bigrams and the counts of frequent words; class m - 2 is that of unseen words, m - 1 that of ends."""
 
-    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, bigrams: np.ndarray, frequent: Vocabulary, total: int, distinct: int) -> None:
+    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, bigrams: np.ndarray, total: int, distinct: int) -> None:
         m = len(bigrams)
-        self.vocabulary, self.classes, self.frequent = vocabulary, classes, frequent
+        self.vocabulary, self.classes = vocabulary, classes
         self.total, self.distinct = total, distinct
         self.move = (bigrams + ADD) / (bigrams.sum(axis=1, keepdims=True) + ADD * m)
-        sizes = np.bincount(classes[: vocabulary.size], weights=vocabulary.counts, minlength=m)
-        self.emit = vocabulary.counts / np.maximum(sizes[classes[: vocabulary.size]], 1)
-        ends = float(bigrams.sum(axis=0)[m - 1])
-        self.rest = total - float(vocabulary.counts.sum()) - ends  # tokens of the shared class
-        self.rest_words = max(0, distinct - vocabulary.size - (ends > 0))
-        self.ends = ends
-
-    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per document: tokens, known ones, base and score without the counts of rare words; rare words and their offsets."""
+        #: tokens of each class; every token follows another, or the end before a text
+        self.sizes = np.maximum(bigrams.sum(axis=0), 1)
+        self.ends = float(bigrams.sum(axis=0)[m - 1])
+        self.counts = np.append(vocabulary.counts, [0, self.ends]).astype(np.float64)
+        self.emit = np.append(vocabulary.counts / self.sizes[classes[: vocabulary.size]], [0.0, 1.0])
+        self.unigram = 1.0 / (total + distinct + 1)
+
+    def chance(self, before: np.ndarray, kinds: np.ndarray, emit: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of P(word | previous)."""
+        return np.log10(MIX * self.move[before, kinds] * emit + (1 - MIX) * self.unigram * (counts + 1))
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        """Per document: tokens, frequent ones, base and score without what rare words take part in; the rare words
+        (hash, class to the left and index to the right, -1 for a rare one) and how many each document has."""
         hashes, at = tokens(data, offsets)
         ids = self.vocabulary.index(hashes)
-        size, m = self.vocabulary.size, len(self.move)
-        known = self.frequent.index(hashes)
-        counts = np.append(self.frequent.counts, [0, self.ends])[known].astype(np.float64)
-        rare = known == self.frequent.size
-        kinds = self.classes[ids]
-        before = np.concatenate([[m - 1], kinds[:-1]])
-        before[at[:-1]] = m - 1
-        unigram = 1.0 / (self.total + self.distinct + 1)
-        # times count + 1, which for rare words comes later
-        emit = np.append(self.emit, [0.0, 1.0])[ids]
-        shared = ids == size
-        chance = np.where(
-            shared,
-            MIX * self.move[before, kinds] / (self.rest + self.rest_words + 1) * (counts + 1) + (1 - MIX) * unigram * (counts + 1),
-            MIX * self.move[before, kinds] * emit + (1 - MIX) * unigram * (counts + 1),
-        )
+        rare = ids == self.vocabulary.size
+        kinds, counts = self.classes[ids], self.counts[ids]
+        before = np.concatenate([[len(self.move) - 1], kinds[:-1]])
+        before[at[:-1]] = len(self.move) - 1
+        after_rare = np.concatenate([[False], rare[:-1]])
+        base = np.where(rare, 0.0, np.log10(self.unigram * (counts + 1)))
+        full = np.where(rare | after_rare, 0.0, self.chance(before, kinds, self.emit[ids], counts))
         sums = lambda x: np.add.reduceat(np.append(x, 0), at[:-1]) if len(at) > 1 else np.zeros(0)  # noqa: E731  every document has a token
-        words_at = np.searchsorted(np.flatnonzero(rare), at)
-        return np.diff(at), sums((counts > 0).astype(np.int64)), sums(np.log10(unigram * (counts + 1))), sums(np.log10(chance)), hashes[rare], words_at
-
-
-def fit(texts: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """A model from all rows of ``texts`` (column text), and the table of all word counts."""
+        places = np.flatnonzero(rare)
+        left = np.where(after_rare[places], -1, before[places])
+        right = np.where(rare[places + 1], -1, ids[places + 1])
+        return np.diff(at), sums((~rare).astype(np.int64)), sums(base), sums(full), places, hashes[places], left, right, np.diff(np.searchsorted(places, at))
+
+    def rare_parts(self, left: np.ndarray, right: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each rare word adds to base and score; words in the order of their documents."""
+        before = np.where(left >= 0, left, np.concatenate([[0], kinds[:-1]]))
+        unseen = kinds == len(self.move) - 2
+        own = self.chance(before, kinds, np.where(unseen, 1.0, counts / self.sizes[kinds]), counts)
+        after = self.chance(kinds, self.classes[right], self.emit[right], self.counts[right])
+        return np.log10(self.unigram * (counts + 1)), own + np.where(right >= 0, after, 0.0)
+
+
+def fit(texts: DataFrame, n_classes: int | None = None, rounds: int = ROUNDS, rate: float = BROADCAST_RATE) -> tuple[Model, DataFrame]:
+    """A model from all rows of ``texts`` (column text), and the table of rare words: word, class, n."""
     counts = c.stored(word_counts(texts.select("text")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end = int(END)
-
-    def at_least(rate: float) -> Vocabulary:
-        rows = counts.where((F.col("n") >= max(1.0, rate * total)) & (F.col("word") != end)).toArrow()
-        return Vocabulary(rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy())
-
-    vocabulary, frequent = at_least(CLUSTER_RATE), at_least(BROADCAST_RATE)
+    rows = counts.where((F.col("n") >= max(1.0, rate * total)) & (F.col("word") != int(END))).toArrow()
+    vocabulary = Vocabulary(rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+    n_classes = n_classes or max(CLASSES, int(np.ceil(distinct ** (1 / 3))))
     m = n_classes + 2
     classes = np.empty(vocabulary.size + 2, np.int64)
     classes[np.argsort(-vocabulary.counts, kind="stable")] = np.arange(vocabulary.size) % n_classes
     classes[-2:] = n_classes, n_classes + 1
-    train = texts.select("text")
+    ids = c.stored(encoded(texts.select("text"), vocabulary), "ids")
+    moved = [total]
     for k in range(rounds):
-        around = c.stored(neighbour_counts(train, vocabulary, classes, m), "neighbours")
-        bigrams = class_bigrams(around, vocabulary, classes, m)
-        classes = exchanged(around, classes, bigrams, n_classes, vocabulary.size, k % 2)
-    bigrams = class_bigrams(neighbour_counts(train, vocabulary, classes, m), vocabulary, classes, m)
-    return Model(vocabulary, classes, bigrams, frequent, int(total), int(distinct)), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        bigrams = class_bigrams(ids, classes, m)
+        new = exchanged(neighbour_counts(ids, vocabulary, classes, m, k % 2), classes, bigrams, n_classes)
+        moved.append(int(vocabulary.counts[(new != classes)[: vocabulary.size]].sum()))
+        classes = new
+        # one round of either half
+        if sum(moved[-2:]) < FEW * total:
+            break
+    bigrams = class_bigrams(ids, classes, m)
+    contexts = c.stored(rare_contexts(texts.select("text"), vocabulary, classes, m), "contexts")
+    rare, bigrams = placed(contexts, bigrams, n_classes, rounds, FEW * total)
+    return Model(vocabulary, classes, bigrams, int(total), int(distinct)), rare
+
+
+def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -240,44 +394,56 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for block, data, offsets in c.blocks(batch, "text"):
-                n, known, base, full, rare, at = sent.value.parts(data, offsets)
-                columns = [pa.array(np.arange(row, row + len(n))), block.column("key"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), c.nested(pa.array(c.as_int64(rare)), np.diff(at))]
+                n, known, base, full, places, words, left, right, often = sent.value.parts(data, offsets)
+                each = pa.StructArray.from_arrays([pa.array(places, pa.int64()), pa.array(c.as_int64(words)), pa.array(left, pa.int32()), pa.array(right, pa.int32())], ["place", "word", "left", "right"])
+                columns = [pa.array(np.arange(row, row + len(n))), block.column("key"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(full), c.nested(each, often)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "key", "n", "known", "base", "full", "rare"])
                 row += len(n)
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = batch.column("rare")
+            _, left, right, kinds, n = (x.to_numpy() for x in each.flatten().flatten())
+            base, full = sent.value.rare_parts(left, right, kinds, n)
+            first = np.concatenate([[0], np.cumsum(each.value_lengths().to_numpy())[:-1]]).astype(np.int64)
+            sums = [pa.array(np.add.reduceat(x, first) if len(x) else x) for x in (base, full, (n > 0).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *sums], ["row", "more_base", "more", "found"])
+
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     # row numbers are made once and then read from the table
-    made = c.stored(c.batched(rows, run, "row bigint, key bigint, n bigint, known bigint, base double, full double, rare array<bigint>"), "scored")
-    seen = made.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("found"))
-    both = made.drop("rare").join(seen, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    schema = "row bigint, key bigint, n bigint, known bigint, base double, full double, rare array<struct<place:bigint,word:bigint,left:int,right:int>>"
+    made = c.stored(c.batched(rows, run, schema), "scored")
+    each = made.select("row", F.inline("rare")).join(rare, "word", "left")
+    each = each.withColumns({"class": F.coalesce("class", F.lit(len(model.move) - 2)), "n": F.coalesce("n", F.lit(0))})
+    lists = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "left", "right", "class", "n"))).alias("rare"))
+    both = made.drop("rare").join(c.batched(lists, add, "row bigint, more_base double, more double, found bigint"), "row", "left")
     out = both.select(
         F.col("key").alias(key),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("full") + more).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("full") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
-def class_words(texts: DataFrame, model: Model) -> DataFrame:
-    """word, class, n: the clustered words themselves, with their classes and counts."""
+def class_words(texts: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """word, class, n: the words themselves, with their classes and counts."""
     sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_ = sent.value
-        seen = np.zeros(model_.vocabulary.size, bool)
         for batch in batches:
             for _, data, offsets in c.blocks(batch, "text"):
                 low = c.ASCII_LOWER[data]
                 starts, ends, _ = c.word_spans(low, offsets, c.NOT_SPACE)
-                ids, first = np.unique(model_.vocabulary.index(c.span_hashes(low, starts, ends)), return_index=True)
-                new = (ids < len(seen)) & ~seen[np.minimum(ids, len(seen) - 1)] if len(seen) else np.zeros(len(ids), bool)
-                ids, first = ids[new], first[new]
-                seen[ids] = True
+                hashes, first = np.unique(c.span_hashes(low, starts, ends), return_index=True)
+                ids = sent.value.vocabulary.index(hashes)
+                frequent = ids < sent.value.vocabulary.size
                 words = [low[starts[k] : ends[k]].tobytes().decode() for k in first.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(model_.classes[ids], pa.int32()), pa.array(model_.vocabulary.counts[ids], pa.int64())], ["word", "class", "n"])
+                columns = [pa.array(c.as_int64(hashes)), pa.array(words, pa.string()), pa.array(sent.value.classes[ids], pa.int32(), mask=~frequent), pa.array(sent.value.counts[ids].astype(np.int64), mask=~frequent)]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "word", "a", "m"])
 
-    return c.batched(texts.select("text"), run, "word string, class int, n bigint").distinct()
+    words = c.batched(texts.select("text"), run, "hash bigint, word string, a int, m bigint").distinct()
+    known = words.join(rare.select(F.col("word").alias("hash"), "class", "n"), "hash", "left")
+    return known.select("word", F.coalesce("a", "class").alias("class"), F.coalesce("m", "n").alias("n")).where("class IS NOT NULL")

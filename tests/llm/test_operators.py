@@ -1,6 +1,7 @@
 """Each operator on small tables: brute force, round trips, and the defined results for odd rows."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -135,6 +136,34 @@ def test_language_model_beats_the_base_on_its_own_kind(spark):
     assert found[55].train_tokens == total
 
 
+def test_every_word_of_the_language_model_gets_a_class(spark):
+    rng = random.Random(4)
+    # 60 cars and 60 runs, 25 times each or so: too rare to be broadcast at this rate
+    rows = [(k, " ".join(f"the {rng.choice(['red', 'blue'])} car{rng.randrange(60)} then {rng.choice(['he', 'she'])} runs{rng.randrange(60)}" for _ in range(30)), "en") for k in range(50)]
+    docs = table(spark, rows)
+    model, rare = language_model.fit(docs, n_classes=8, rate=0.01)
+    classes = {r.word: r["class"] for r in language_model.class_words(docs, model, rare).collect()}
+    assert set(classes) == {w for _, t, _ in rows for w in t.split()}
+    kinds = [{c for w, c in classes.items() if w.startswith(x)} for x in ("car", "runs")]
+    assert not kinds[0] & kinds[1] and all(c < 8 for c in classes.values())
+    counts = {r.word: r.n for r in language_model.class_words(docs, model, rare).collect()}
+    assert sum(counts.values()) + len(rows) == model.total
+    # broadcast or joined, a word's score is that of the same classes
+    found = {r.doc_id: r for r in language_model.score(table(spark, [(0, rows[0][1], "en"), (1, "car1 runs1 zzz car2", "en")]), model, rare).collect()}
+    vocabulary = {w: (k, counts[w]) for w, k in classes.items()}
+    for i, t in ((0, rows[0][1]), (1, "car1 runs1 zzz car2")):
+        before, want, base = 9, 0.0, 0.0
+        for w in [*t.split(), None]:
+            k, n = (9, len(rows)) if w is None else vocabulary.get(w, (8, 0))
+            emit = 1.0 if k > 7 else n / sum(counts[x] for x in classes if classes[x] == k)
+            unigram = (n + 1) / (model.total + model.distinct + 1)
+            want += math.log10(0.95 * model.move[before, k] * emit + 0.05 * unigram)
+            base += math.log10(unigram)
+            before = k
+        assert found[i].score == pytest.approx(want) and found[i].base_score == pytest.approx(base)
+    assert found[1].n_known == 4
+
+
 def test_media_round_trip(spark, texts):
     store = media.stored_payloads(table(spark, texts))
     rows = {r.digest: r for r in media.described(store).collect()}

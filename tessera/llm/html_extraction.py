@@ -8,8 +8,9 @@ host and vector with map-side combine and a host with a third of all pages costs
 no task more than another. A class is valid if its tokens stand on most pages of
 the host and are nested: the path of its first token leads to all others, or to
 their parents. The class of tokens that stand exactly once is the template; the
-others nest in its slots, and a valid class with several occurrences a page that
-holds links is a menu.
+others nest in its slots. Of a host with several pages, a valid class with several
+occurrences a page that holds links outside the article is a menu; blocks of a menu
+that say something besides their links stay.
 
 What the page has between the tokens of its host's template are slots. Slots of
 navigation, headers, footers, sidebars, notices, adverts, forms, comments,
@@ -67,18 +68,20 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tokens: dict[str, int] = {}
-        self.blocks: list[tuple[str, tuple[tuple[str, str, bool, bool], ...]]] = []
+        self.in_article: set[str] = set()  # links there are no menu
+        self.blocks: list[tuple[str, tuple[tuple[str, str, bool, bool], ...], bool]] = []  # text, stack, whether it is links alone
         stack: list[tuple[str, str, bool, bool]] = []  # element, path, goes out, is main
         words: list[str] = []
         raw_stack: tuple[tuple[str, str, bool, bool], ...] = ()
+        links = True
 
         def close_block() -> None:
-            nonlocal words
+            nonlocal words, links
             if words:
                 text = " ".join(entities.unescape("".join(words)).split())
                 if text:
-                    self.blocks.append((text, raw_stack))
-                words = []
+                    self.blocks.append((text, raw_stack, links))
+                words, links = [], True
 
         for m in TOKEN.finditer(html):
             name = m[3]
@@ -88,6 +91,7 @@ class Page:
                     if not words:
                         raw_stack = tuple(stack)
                     words.append(m[0])
+                    links = links and (not m[0].strip() or any(x[0] == "a" for x in stack))
                 elif m[1]:
                     words.append(" ")
                 continue
@@ -119,6 +123,8 @@ class Page:
                 self.tokens[path] = self.tokens.get(path, 0) + 1
             elif name == "a":
                 self.tokens[path] = self.tokens.get(path, 0) + 1
+                if any(x[3] for x in stack):
+                    self.in_article.add(path)
             if name not in VOID and not m[4].endswith("/"):
                 stack.append((name, path if name in BLOCKS or name == "a" else (stack[-1][1] if stack else ""), out, main))
         close_block()
@@ -149,11 +155,10 @@ def main_text(html: str | None, template: set[int], menus: set[int]) -> str:
         return ""
     page = Page(html)
     left = []
-    for text, stack in page.blocks:
+    for text, stack, links in page.blocks:
         if any(x[2] for x in stack):
             continue
-        paths = [token_hash(x[1]) for x in stack] if menus else []
-        if menus and any(p in menus for p in paths):
+        if menus and links and not any(x[3] for x in stack) and any(token_hash(x[1]) in menus for x in stack):
             continue
         left.append((text, stack))
     # the article slot: by the host's template, else by the page itself
@@ -189,9 +194,11 @@ def occurrences(pages: DataFrame, html: str) -> DataFrame:
                 out: list[tuple[int, int, int, bool]] = []
                 for k, text in enumerate(block.column("html").to_pylist()):
                     out.append((k, 0, 1, 0))
-                    for path, n in Page(text or "").tokens.items():
+                    page = Page(text or "")
+                    for path, n in page.tokens.items():
                         up = path.rpartition("/")[0]
-                        out.append((k, token_hash(path), n, token_hash(up) if path.endswith("/a") or path.rpartition("/")[2].startswith("a.") else 0))
+                        link = path not in page.in_article and (path.endswith("/a") or path.rpartition("/")[2].startswith("a."))
+                        out.append((k, token_hash(path), n, token_hash(up) if link else 0))
                 at = pa.array([x[0] for x in out])
                 columns = [block.column("host").take(at), block.column("page").take(at), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "n", "holder"])
@@ -214,7 +221,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     valid = rated.join(classes, ["host", "vector"]).where("size > 1 OR n = pages")
     once = F.col("n") == F.col("pages")
     # links of a class that repeats: each link's element (a list item) shares its vector
-    menu = valid.where(~once & F.col("links") & (F.col("holder") != 0)).groupBy("host").agg(F.collect_set("holder").alias("menus"))
+    menu = valid.where(~once & F.col("links") & (F.col("holder") != 0) & (F.col("all") > 1)).groupBy("host").agg(F.collect_set("holder").alias("menus"))
     single = valid.where(once).groupBy("host").agg(F.collect_set("token").alias("template"))
     return total.join(single, "host", "left").join(menu, "host", "left")
 

@@ -184,6 +184,17 @@ def test_pages_of_one_host(spark):
     assert found[20] == found[21] == "" and found[22] == "alone"
 
 
+def test_links_in_an_article_are_no_menu(spark):
+    linked = "<article><h2>A{k}</h2><p>x{k} <a href=/l>l</a></p><h2>B{k}</h2><p>y{k} <a href=/m>m</a></p></article>"
+    listed = "<article><h1>H{k}</h1><ul><li><a href=/1>one{k}</a></li><li><a href=/2>two{k}</a></li></ul></article>"
+    bare = "<ul><li><a href=/1>home</a></li><li><a href=/2>about</a></li></ul><p>x{k} <a href=/l>l</a></p><p>y{k} <a href=/m>m</a></p>"
+    hosts = [(linked, 1), (linked, 5), (listed, 5), (bare, 5)]
+    rows = [(10 * h + k, f"https://h{h}.example/{k}", html.replace("{k}", str(k))) for h, (html, n) in enumerate(hosts) for k in range(n)]
+    found = {r.page_id: r.main_text.split("\n\n") for r in html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found[0] == ["A0", "x0 l", "B0", "y0 m"] and found[13] == ["A3", "x3 l", "B3", "y3 m"]
+    assert found[24] == ["H4", "one4", "two4"] and found[32] == ["x2 l", "y2 m"]
+
+
 def test_quotes_are_linked(spark):
     rows = [(1, 0, "user", "How are you today?\nFine weather."), (1, 1, "assistant", "> How are you today?\nWell, thanks."), (1, 2, "user", ">> How are you today?\n> Well, thanks.\nGood."), (1, 3, "assistant", "> never said\nhm"), (2, 0, None, None)]
     found = {(r.conv_id, r.turn): r for r in chat_format.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}

@@ -1,22 +1,27 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Every page is cut into tokens: tags with their path of elements and classes. A
-token's occurrence vector is how often it stands on each page of its host.
-Tokens with one vector form an equivalence class; the vector travels as a
-checksum, a sum over pages of hash(page, count), so that Spark groups tokens by
-host and vector with map-side combine and a host with a third of all pages costs
-no task more than another. A class is valid if its tokens stand on most pages of
-the host and are nested: the path of its first token leads to all others, or to
-their parents. The class of tokens that stand exactly once is the template; the
-others nest in its slots. Of a host with several pages, a valid class with several
-occurrences a page that holds links outside the article is a menu; blocks of a menu
-that say something besides their links stay.
-
-What the page has between the tokens of its host's template are slots. Slots of
+Every page is cut into tokens: tags with their path of elements and classes and,
+outside the article, texts with the path they stand in. A token's occurrence
+vector is how often it stands on each page of its host. Tokens with one vector
+form an equivalence class; the vector travels as a checksum, a sum over pages of
+hash(page, count), so that Spark groups tokens by host and vector with map-side
+combine and a host with a third of all pages costs no task more than another. A
+class is valid if its tokens stand on most pages of the host and it has several
+tokens or one that stands once a page. Tokens that stand exactly once are the
+template. Of a host with several pages, a valid class with several occurrences a
+page that holds links outside the article is a menu; blocks of a menu that say
+something besides their links stay.
+
+What the page has between the tokens of its host's template are slots. A path
+holds the paths above it, so nesting needs no order of tokens: the article slot
+is the template's innermost path with an article element. Text outside the
+article that is itself template goes, from hosts of ``LEAST`` pages on, whatever
+its element or class is named, unless the page has no other text. Slots of
 navigation, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles (by element, role or class words) and menus go. If the
-template has an article slot, its contents are the text; else all slots that are
-left. Constant text is not dropped: a host may well repeat an article.
+scripts and styles are known by element, role or class words, also where they
+vary from page to page. If the template has an article slot, its contents are
+the text; else all slots that are left. Constant text in an article is not
+dropped: a host may well repeat an article.
 
 Defined results: null or empty HTML gives an empty text; a page whose host has
 no template (a single page, or pages without a common part) is judged by its own
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +44,8 @@ from tessera.llm import common as c
 
 #: Share of a host's pages on which a template token stands at least (pages may be cut off).
 SUPPORT = 0.8
+#: Text that repeats is template on hosts of so many pages: fewer may be copies of one another.
+LEAST = 3
 #: A host with this share of all pages is dealt out to so many parts.
 HOT_SHARE, PARTS = 0.001, 64
 TOKEN = re.compile(
@@ -149,6 +157,11 @@ def described(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool
     return name + re.sub(r"\d+", "0", classes), out, article and not out
 
 
+def text_path(text: str, stack: tuple[tuple[str, str, bool, bool], ...]) -> str:
+    """The token of a block of text: the path it stands in, and the text (tags have no line feed in their path)."""
+    return f"{stack[-1][1] if stack else ''}\n{text}"
+
+
 def main_text(html: str | None, template: set[int], menus: set[int]) -> str:
     """The blocks of the main text, joined by two line feeds."""
     if not html:
@@ -161,6 +174,9 @@ def main_text(html: str | None, template: set[int], menus: set[int]) -> str:
         if menus and links and not any(x[3] for x in stack) and any(token_hash(x[1]) in menus for x in stack):
             continue
         left.append((text, stack))
+    if template and not any(x[3] for _, stack in left for x in stack):
+        own = [(text, stack) for text, stack in left if token_hash(text_path(text, stack)) not in template]
+        left = own or left
     # the article slot: by the host's template, else by the page itself
     holds = [any(x[3] and (not template or token_hash(x[1]) in template) for x in stack) for _, stack in left]
     if not any(holds):
@@ -174,7 +190,7 @@ _hashes: dict[str, int] = {}
 def token_hash(path: str) -> int:
     found = _hashes.get(path)
     if found is None:
-        if len(_hashes) > 100_000:
+        if len(_hashes) > 20_000:
             _hashes.clear()
         raw = np.frombuffer(path.encode() or b"/", np.uint8)
         found = _hashes[path] = int(c.as_int64(c.span_hashes(raw, np.zeros(1, np.int64), np.array([len(raw)])))[0])
@@ -186,32 +202,34 @@ def host(url: str) -> F.Column:
 
 
 def occurrences(pages: DataFrame, html: str) -> DataFrame:
-    """One row for each page and token: host, token, page, n, link, and whether it may hold an article. Token 0 stands once on every page."""
+    """One row for each page and token: host, token, page, n, the path that holds it if it is a link, and whether it is text. Token 0 stands once on every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, _, _ in c.blocks(batch, "html"):
-                out: list[tuple[int, int, int, bool]] = []
+                out: list[tuple[int, int, int, int, bool]] = []
                 for k, text in enumerate(block.column("html").to_pylist()):
-                    out.append((k, 0, 1, 0))
+                    out.append((k, 0, 1, 0, False))
                     page = Page(text or "")
                     for path, n in page.tokens.items():
                         up = path.rpartition("/")[0]
                         link = path not in page.in_article and (path.endswith("/a") or path.rpartition("/")[2].startswith("a."))
-                        out.append((k, token_hash(path), n, token_hash(up) if link else 0))
+                        out.append((k, token_hash(path), n, token_hash(up) if link else 0, False))
+                    said = Counter(text_path(t, stack) for t, stack, _ in page.blocks if not any(x[2] or x[3] for x in stack))
+                    out += [(k, token_hash(path), n, 0, True) for path, n in said.items()]
                 at = pa.array([x[0] for x in out])
-                columns = [block.column("host").take(at), block.column("page").take(at), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "n", "holder"])
+                columns = [block.column("host").take(at), block.column("page").take(at), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "n", "holder", "said"])
 
     rows = pages.select(F.col("_host").alias("host"), F.col("_page").alias("page"), F.col(html).alias("html"))
-    return c.batched(rows, run, "host bigint, page bigint, token bigint, n bigint, holder bigint")
+    return c.batched(rows, run, "host bigint, page bigint, token bigint, n bigint, holder bigint, said boolean")
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Per host: the number of its pages (``all``), its template (tokens that stand once on its pages) and its menus (elements that hold the links of a repeated class)."""
+    """Per host: the number of its pages (``all``), its template (tags and texts that stand once on its pages) and its menus (elements that hold the links of a repeated class)."""
     named = pages.withColumns({"_host": host(url), "_page": F.xxhash64(url, html)})
     vectors = occurrences(named, html).groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum(F.shiftright(F.xxhash64("page", "n"), 24)).alias("vector"), F.max("holder").alias("holder")
+        F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum(F.shiftright(F.xxhash64("page", "n"), 24)).alias("vector"), F.max("holder").alias("holder"), F.max("said").alias("said")
     )
     vectors = c.stored(vectors, "vectors")
     total = vectors.where("token = 0").select("host", F.col("pages").alias("all"))
@@ -222,7 +240,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     once = F.col("n") == F.col("pages")
     # links of a class that repeats: each link's element (a list item) shares its vector
     menu = valid.where(~once & F.col("links") & (F.col("holder") != 0) & (F.col("all") > 1)).groupBy("host").agg(F.collect_set("holder").alias("menus"))
-    single = valid.where(once).groupBy("host").agg(F.collect_set("token").alias("template"))
+    single = valid.where(once & (~F.col("said") | (F.col("all") >= LEAST))).groupBy("host").agg(F.collect_set("token").alias("template"))
     return total.join(single, "host", "left").join(menu, "host", "left")
 
 

@@ -195,6 +195,17 @@ def test_links_in_an_article_are_no_menu(spark):
     assert found[24] == ["H4", "one4", "two4"] and found[32] == ["x2 l", "y2 m"]
 
 
+def test_text_of_the_template_goes_whatever_its_class(spark):
+    page = "<body><div class='c7'>Every page says this</div><div class='inhalt'><p>Own {k}</p></div><div class='hinweis'>Und dies</div></body>"
+    rows = [(k, f"https://a.example/{k}", page.replace("{k}", str(k))) for k in range(5)]
+    rows += [(10 + k, f"https://b.example/{k}", "<p>One text</p>") for k in range(5)] + [(20, "https://c.example/", page)]
+    rows += [(30 + k, f"https://d.example/{k}", f"<article><p>Same</p></article><!--{k}-->") for k in range(5)]
+    found = {r.page_id: r.main_text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [found[k] for k in range(5)] == [f"Own {k}" for k in range(5)]
+    # nothing else on the page, a host of one page, an article
+    assert found[10] == "One text" and "Every page says this" in found[20] and found[30] == "Same"
+
+
 def test_quotes_are_linked(spark):
     rows = [(1, 0, "user", "How are you today?\nFine weather."), (1, 1, "assistant", "> How are you today?\nWell, thanks."), (1, 2, "user", ">> How are you today?\n> Well, thanks.\nGood."), (1, 3, "assistant", "> never said\nhm"), (2, 0, None, None)]
     found = {(r.conv_id, r.turn): r for r in chat_format.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}

@@ -213,6 +213,22 @@ def test_quotes_are_linked(spark):
     assert found[1, 1].text == "Well, thanks." and found[1, 3].reply_to is None and found[2, 0].text == ""
 
 
+def test_parts_of_messages_are_quoted(spark):
+    said = "line one here\nline two here\nline three here\nline four. And a second sentence in it.\n\nNext paragraph is\nwrapped like this one.\n\nThird paragraph."
+    replies = [
+        "> line two here\n> line three here\nmiddle lines",
+        "> line one here\n> line two here\n> line three here\n> line four. And a second sentence in it.\n>\n> Next paragraph is wrapped\n> like this one.\ntwo paragraphs",
+        "> And a second sentence in it.\na sentence",
+        "> wrapped\n> like this\na part of a paragraph",
+        "> line one\n>\n> Third paragraph.\nparts apart",
+        "> line one three\nwords not in a row",
+    ]
+    rows = [(1, 0, "user", "something else"), (1, 1, "user", said)] + [(1, 2 + k, "assistant", t) for k, t in enumerate(replies)]
+    found = {r.turn: r for r in chat_format.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [found[k].reply_to for k in range(2, 8)] == [1, 1, 1, 1, 1, None]
+    assert [found[k].n_linked for k in range(2, 8)] == [1, 2, 1, 1, 2, 0] and found[2].text == "middle lines"
+
+
 def test_clashing_and_extra_columns(spark, texts):
     docs = table(spark, texts).withColumnRenamed("source", "class_id").withColumnRenamed("n_chars", "_key")
     assert minhash_dedup.keep_first(docs).columns == docs.columns

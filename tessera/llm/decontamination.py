@@ -217,42 +217,59 @@ def without_spans(text: bytes, words: list[tuple[int, int]], spans: list[tuple[i
     return b"".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def cut(rows: pa.RecordBatch, text: str, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The rows without each one's spans of words; rows with spans of which nothing is left go."""
+    texts = rows.column(text).to_pylist()
+    gone = np.zeros(rows.num_rows, bool)
+    for d, own in enumerate(spans):
+        if own:
+            raw = texts[d].encode()
+            words = [m.span() for m in WORD.finditer(raw.translate(c.ASCII_LOWER.tobytes()))]
+            texts[d] = without_spans(raw, words, own).decode()
+            gone[d] = not WORD.search(texts[d].encode().lower())
+    columns = {n: rows.column(n) for n in rows.schema.names}
+    columns[text] = pa.array(texts, rows.schema.field(text).type)
+    if "n_chars" in columns:
+        columns["n_chars"] = pa.array([n if not own or t is None else len(t) for n, own, t in zip(columns["n_chars"].to_pylist(), spans, texts, strict=True)], rows.schema.field("n_chars").type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(~gone))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """The documents with every benchmark passage cut out of ``text``; rows of which nothing is left go.
 
     All columns stay as they are but ``text``, and ``n_chars`` where there is one.
+    However many blocks the benchmark has, all are judged on the text as it came, and it is cut once.
     """
-    spark = docs.sparkSession
     schema = docs.schema
-    out = docs
-    for items in phrase_blocks(benchmark, "item_id", "text", PHRASE_BYTES):
-        sent = spark.sparkContext.broadcast(Phrases(items, window))
+    blocks = phrase_blocks(benchmark, "item_id", "text", phrase_bytes)
+    first_block = next(blocks)
+    if not next(blocks, None):
+        sent = docs.sparkSession.sparkContext.broadcast(Phrases(first_block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, data, offsets in c.blocks(batch, text):
                     _, hits, (first, last), counts, _, _ = shard(data, offsets, sent.value)
-                    hit = np.flatnonzero(hits)
-                    if not len(hit):
+                    if not hits.any():
                         yield rows
                         continue
-                    texts = rows.column(text).to_pylist()
-                    at = np.cumsum(counts) - counts
-                    gone = np.zeros(rows.num_rows, bool)
-                    for d in hit:
-                        raw = texts[d].encode()
-                        spans = list(zip(first[at[d] : at[d] + counts[d]].tolist(), last[at[d] : at[d] + counts[d]].tolist(), strict=True))
-                        words = [m.span() for m in WORD.finditer(raw.translate(c.ASCII_LOWER.tobytes()))]
-                        texts[d] = without_spans(raw, words, spans).decode()
-                        gone[d] = not WORD.search(texts[d].encode().lower())
-                    columns = {n: rows.column(n) for n in rows.schema.names}
-                    columns[text] = pa.array(texts, rows.schema.field(text).type)
-                    if "n_chars" in columns:
-                        columns["n_chars"] = pa.array([n if not h or t is None else len(t) for n, h, t in zip(columns["n_chars"].to_pylist(), hits.tolist(), texts, strict=True)], rows.schema.field("n_chars").type)
-                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(~gone))
-
-        out = out.mapInArrow(run, schema)
-    return out
+                    pairs, at = list(zip(first.tolist(), last.tolist(), strict=True)), np.cumsum(counts) - counts
+                    yield cut(rows, text, [pairs[k : k + n] for k, n in zip(at.tolist(), counts.tolist(), strict=True)])
+
+        return docs.mapInArrow(run, schema)
+
+    mark, spans = c.free_name(docs, "_text"), c.free_name(docs, "_spans")
+    texts = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).dropDuplicates(["mark"])
+    found = find(texts, benchmark, "mark", "text", window=window, phrase_bytes=phrase_bytes).where("n_hit > 0")
+    joined = docs.withColumn(mark, F.xxhash64(text)).join(found.select(F.col("mark").alias(mark), F.col("spans").alias(spans)), mark, "left")
+
+    def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, _, _ in c.blocks(batch, text):
+                own = [[(x["first"], x["last"]) for x in s or ()] for s in rows.column(spans).to_pylist()]
+                yield cut(rows.select(schema.names), text, own)
+
+    return joined.select(*[F.col(f"`{x}`") for x in docs.columns], spans).mapInArrow(run_merged, schema)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, int, str, bool]]:

@@ -86,6 +86,17 @@ def test_decontamination_in_blocks_of_phrases(spark, texts):
     assert found == decontamination.brute_force([(i, t) for i, t, _ in texts], items)
 
 
+def test_decontamination_cuts_once_for_all_blocks(spark):
+    words = [f"w{k}" for k in range(30)]
+    # items that overlap, and one that only words left and right of a cut make up
+    items = [("a", words[2:12]), ("b", words[7:17]), ("c", [*words[:2], *words[17:25]])]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+    docs = table(spark, [(1, " ".join(words), "en"), (1, " ".join(words[5:9]), "en"), (None, " ".join(words[7:17]), "en"), (3, None, "en")])
+    for size in (10, 1 << 20):
+        kept = decontamination.clean(docs, bench, phrase_bytes=size).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(1, " ".join([*words[:2], *words[17:]])), (1, " ".join(words[5:9])), (3, "")]
+
+
 def test_pieces_equal_the_library(texts):
     sentencepiece = pytest.importorskip("sentencepiece")
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)

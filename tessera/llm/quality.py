@@ -3,7 +3,9 @@
 Fit, on a bounded sample of labelled documents: one half of each class trains a
 zstandard dictionary, the other half calibrates. A text is compressed with
 either dictionary; its compressed sizes differ by how much more it shares with
-good than with bad text. The difference divided by the text's length (plus
+good than with bad text. A text longer than ``SPAN`` bytes is compressed in pieces
+of that size, each with the dictionaries anew, so that their part in the sizes does
+not shrink with the length. The difference divided by the text's length (plus
 ``SOFT`` bytes, so that a few bytes of a short text do not decide) goes through
 a logistic curve fitted on the second half, which makes it the probability of
 label 1.
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as c
 
-#: Labelled documents of each class that are learned from at most, and their length in characters at most.
+#: Labelled documents of each class that are learned from at most, and the characters of each: of longer ones as many, from four places.
 SAMPLE = 3000
 SAMPLE_CHARS = 20_000
 DICTIONARY = 64 << 10
 PIECE = 1024
+SPAN = 20_000
 LEVEL = 3
 SOFT = 60
 THRESHOLD = 0.7
@@ -71,7 +74,8 @@ class Model:
         if not self.good:
             return 0.0
         good, bad = self.compressors()
-        return (len(bad.compress(text)) - len(good.compress(text))) / (len(text) + SOFT)
+        parts = [text] if len(text) <= SPAN else [text[k : k + SPAN] for k in range(0, len(text), SPAN)]
+        return sum(len(bad.compress(x)) - len(good.compress(x)) for x in parts) / (len(text) + SOFT)
 
     def score(self, text: bytes) -> float:
         return float(1 / (1 + np.exp(-(self.a * self.difference(text) + self.b))))
@@ -109,9 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     own = own.select(F.col(key).alias("key"), F.col(label).alias("label"))
     order = [F.xxhash64("key"), "key"]
     picked = own.where("label = 1").orderBy(*order).limit(2 * sample).unionByName(own.where("label = 0").orderBy(*order).limit(2 * sample))
-    short = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     # at most 4 * sample ids, so the broadcast is bounded; documents stay where they are
-    rows = short.join(F.broadcast(picked), "key")
+    quarter = SAMPLE_CHARS // 4
+    places = [(F.lit(1) + F.expr(f"(length(text) - {quarter}) div 3") * k).cast("int") for k in range(4)]
+    some = F.concat(*[F.substring("text", at, F.lit(quarter)) for at in places])
+    rows = texts.join(F.broadcast(picked), "key").withColumn("text", F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(some))
     by_label: dict[int, list[str]] = {}
     for value in (1, 0):
         found = rows.where(F.col("label") == value).orderBy(*order, "text").limit(sample)

@@ -133,6 +133,19 @@ def test_quality_tells_good_from_bad(spark):
     assert len(odd) == 3 and all(0 <= s <= 1 for s in odd.values())
 
 
+def test_quality_learns_from_long_texts_and_scores_them(spark):
+    rng = random.Random(6)
+    bad = lambda n: " ".join(rng.choice(["buy", "$$$", "click!!", "XXX", "win"]) for _ in range(n))
+    # every labelled text has more than 20,000 characters
+    rows = [(k, prose(rng, "en", 5000) if k % 2 else bad(8000), "en") for k in range(24)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(24)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(table(spark, rows), labels, held_out=None)
+    assert model.good and model.score(prose(rng, "en", 300).encode()) > 0.7 > 0.3 > model.score(bad(300).encode())
+    # the difference does not go to 0 with the length
+    short, long = prose(rng, "en", 4000).encode()[:20_000], prose(rng, "en", 200_000).encode()
+    assert model.difference(long) > 0.8 * model.difference(short) > 0
+
+
 def test_language_model_beats_the_base_on_its_own_kind(spark):
     rng = random.Random(2)
     heads = ["red", "blue", "green"]

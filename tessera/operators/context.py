@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 
-#: Aliases have at most so many words; longer ones are matched by their first.
+#: Aliases are looked up by so many of their first words; of longer ones the rest is compared.
 MOST = 4
 
 
@@ -18,17 +18,21 @@ def matches(items: DataFrame, records: DataFrame) -> DataFrame:
     """(item, record, score): an alias occurs as whole words in title or summary.
 
     An equi-join on word sequences: the item's distinct runs of one to four
-    words meet the aliases, so there is no pair without a match.
+    words meet the first words of the aliases; a longer alias must then stand in the
+item as a whole.
     """
     alias = records.select("record_id", "topic", "date", "priority", F.explode(F.array_distinct("aliases")).alias("alias"))
-    alias = alias.withColumn("w", F.slice(t.words(F.col("alias")), 1, MOST)).where(F.size("w") > 0).withColumn("key", F.concat_ws(" ", "w"))
+    alias = alias.withColumn("w", t.words(F.col("alias"))).where(F.size("w") > 0).withColumns({"key": F.concat_ws(" ", F.slice("w", 1, MOST)), "whole": F.concat_ws(" ", F.lit(""), "w", F.lit("")), "size": F.size("w")}).drop("alias")
     sizes = F.array(*[F.lit(k) for k in range(1, MOST + 1)])
     text = items.select("item_id", t.words(F.concat_ws(" ", "title", "summary")).alias("w"))
     runs = text.select("item_id", "w", F.explode(sizes).alias("n")).where(F.size("w") >= F.col("n"))
     runs = runs.select("item_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - n + 1), k -> concat_ws(' ', slice(w, k, n)))"))).alias("key"))
-    n = F.size("w")
+    n = F.col("size")
     weight = F.when(n >= 2, 3 + F.least(F.lit(2), n - 2)).otherwise(2)
-    hit = runs.join(alias.withColumn("weight", weight), "key").groupBy("item_id", "record_id", "topic", "date", "priority").agg(F.sum("weight").alias("alias_score"))
+    found = runs.join(alias.withColumn("weight", weight).drop("w"), "key")
+    whole = text.select("item_id", F.concat_ws(" ", F.lit(""), "w", F.lit("")).alias("said"))
+    held = found.where(n > MOST).alias("f").join(whole.alias("t"), (F.col("f.item_id") == F.col("t.item_id")) & F.contains("said", "whole"), "left_semi")
+    hit = found.where(n <= MOST).unionByName(held).groupBy("item_id", "record_id", "topic", "date", "priority").agg(F.sum("weight").alias("alias_score"))
     year = F.expr("try_cast(substring(date, 1, 4) AS int)")
     recency = F.coalesce(F.least(F.lit(6), F.greatest(F.lit(0), year - 2020)), F.lit(0))
     return hit.select("item_id", "record_id", "topic", "date", (F.col("alias_score") * 4 + F.col("priority") * 3 + recency).cast("bigint").alias("score"))

@@ -287,8 +287,8 @@ def messages(spark, sf_dir):
 
 
 def context_for_items(spark, sf_dir):
-    """Benchmark passages whose first words an item contains: background for it, three at most."""
-    records = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record_id"), F.array(F.concat_ws(" ", F.slice(t.words(F.col("text")), 1, 3))).alias("aliases"), F.lit(2).alias("priority"), (F.col("item_id") % 5).cast("string").alias("topic"), F.lit("2024-01-01").alias("date"))
+    """Benchmark passages that an item contains: background for it, three at most."""
+    records = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record_id"), F.array("text").alias("aliases"), F.lit(2).alias("priority"), (F.col("item_id") % 5).cast("string").alias("topic"), F.lit("2024-01-01").alias("date"))
     return context.select(items.from_documents(spark, sf_dir).select("item_id", "title", "summary"), records, 3)
 
 

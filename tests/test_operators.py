@@ -145,6 +145,12 @@ def test_freshness(spark):
     assert {r.e: r.freshness for r in got} == {"u": "undated", "f": "fresh", "s": "stale", "x": "future"}
 
 
+def test_context_takes_whole_aliases(spark):
+    records = spark.createDataFrame([(1, ["one two three four five six"], "x", "2023-01-01", 2), (2, ["one two three four nine"], "y", "2023-01-01", 2), (3, ["two three"], "z", "2023-01-01", 2)], "record_id bigint, aliases array<string>, topic string, date string, priority int")
+    rows = items(spark, [(1, "Zero one two three four", "five six seven", "s", "primary", 0), (2, "One two three four", "", "s", "primary", 0)])
+    assert sorted((r.item_id, r.record_id) for r in context.matches(rows, records).collect()) == [(1, 1), (1, 3), (2, 3)]
+
+
 def test_context_prefers_other_topics(spark):
     records = spark.createDataFrame([(1, ["alpha beta"], "x", "2023-01-01", 2), (2, ["alpha"], "x", "2024-01-01", 2), (3, ["gamma"], "y", "2021-01-01", 2), (4, ["delta"], "y", "2021-01-01", 2)], "record_id bigint, aliases array<string>, topic string, date string, priority int")
     rows = items(spark, [(1, "Alpha beta gamma", "", "s", "primary", 0), (2, "none", "", "s", "primary", 0)])

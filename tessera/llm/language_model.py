@@ -12,10 +12,10 @@ Brants, 2008). Frequent words: a pass over all training texts counts, for each
 word, the classes of its neighbours; then each word, independently of the
 others, is moved to the class that raises the bigram likelihood most. Half of
 the words may move in a round, so that two words do not swap past one another;
-rounds go on until the words that move have less than ``FEW`` of the tokens.
-Then the rare words, dealt out to the classes at first, are exchanged in the
-same way, by the classes of their frequent neighbours; until they have settled,
-rare neighbours count as one class.
+rounds go on until the words that move have less than ``FEW`` of the tokens, or
+``ROUNDS`` are done. Then the rare words are placed in the same way, all of them in
+each of ``RARE_ROUNDS`` rounds, by the classes of their frequent neighbours; until
+they have settled, rare neighbours count as one class.
 
 Score: P(word | previous) = MIX * P(class | previous class) * P(word | class) +
 (1 - MIX) * P1(word), P1 the add-one unigram of the base score. An unseen word
@@ -44,11 +44,13 @@ from tessera.llm import common as c
 BROADCAST_RATE = 1e-6
 #: Classes at least; more by the cube root of the number of words.
 CLASSES = 64
-#: Rounds go on while words with this share of the tokens move, and stop at ROUNDS.
+#: Rounds of frequent words go on while words with this share of the tokens move, and stop at ROUNDS; rare words have RARE_ROUNDS.
 FEW = 0.01
-ROUNDS = 8
-#: Neighbours counted in one piece, and cells of class likelihoods at once.
-CODES, CELLS = 4 << 20, 1 << 20
+ROUNDS, RARE_ROUNDS = 6, 2
+#: Neighbours counted in one piece, cells of class likelihoods at once, and buckets that words are dealt to.
+CODES, CELLS, BUCKETS = 4 << 20, 1 << 20, 256
+#: Cells of at least so many neighbours add to the likelihood exactly.
+HEAVY = 6
 MIX = 0.95
 ADD = 0.5
 #: The end of a text, in place of a word's hash.
@@ -70,10 +72,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """word (hash as bigint), n: over all texts, ends among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, often = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(c.as_int64(found)), pa.array(often, pa.int64())], ["word", "n"])
+
         for batch in batches:
             for _, data, offsets in c.blocks(batch, "text"):
-                found, often = np.unique(tokens(data, offsets)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c.as_int64(found)), pa.array(often, pa.int64())], ["word", "n"])
+                held.append(tokens(data, offsets)[0])
+                size += len(held[-1])
+                if size >= CODES:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
     return c.batched(texts, run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -108,31 +121,64 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return c.batched(texts, run, "ids array<int>")
 
 
-def neighbour_counts(ids: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, n_classes: int, part: int) -> DataFrame:
-    """cell, n: how often index w, of this half, has a word of class k to its right (w * 2m + k) or left (w * 2m + m + k)."""
-    sent = ids.sparkSession.sparkContext.broadcast((classes, np.append(vocabulary.words % np.uint64(2) == part, [False, False])))
+def moved(ids: DataFrame, vocabulary: Vocabulary, classes: np.ndarray, bigrams: np.ndarray, movable: int, part: int) -> np.ndarray:
+    """One round: the words of this half, each moved to its best class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mine = sent.value
+    Each task counts the cells w * 2m + k (w has a word of class k to its right) and w * 2m + m + k (to its left) of its
+    texts and sends them to the words' buckets, as a few long rows; a bucket adds them up and picks the classes.
+    """
+    m = len(bigrams)
+    own = np.append(vocabulary.words % np.uint64(2) == part, [False, False])
+    sent = ids.sparkSession.sparkContext.broadcast((classes, own, bigrams))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds_of, mine, _ = sent.value
         held, size = [], 0
 
-        def counted() -> pa.RecordBatch:
+        def dealt() -> pa.RecordBatch:
             cell, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n, pa.int64())], ["cell", "n"])
+            bucket = cell // (2 * m) % BUCKETS
+            order = np.argsort(bucket.astype(np.uint16), kind="stable")
+            sizes = np.bincount(bucket, minlength=BUCKETS)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), c.nested(pa.array(cell[order]), sizes), c.nested(pa.array(n[order].astype(np.int32)), sizes)], ["bucket", "cells", "n"])
 
         for batch in batches:
-            w = np.append(len(own) - 1, batch.column("ids").flatten().to_numpy()).astype(np.int64)
-            kinds = own[w]
+            w = np.append(len(kinds_of) - 1, batch.column("ids").flatten().to_numpy()).astype(np.int64)
+            kinds = kinds_of[w]
             right, left = np.flatnonzero(mine[w[:-1]]), np.flatnonzero(mine[w[1:]])
-            held += [w[right] * (2 * n_classes) + kinds[right + 1], w[left + 1] * (2 * n_classes) + n_classes + kinds[left]]
+            held += [w[right] * (2 * m) + kinds[right + 1], w[left + 1] * (2 * m) + m + kinds[left]]
             size += len(right) + len(left)
             if size >= CODES:
-                yield counted()
+                yield dealt()
                 held, size = [], 0
         if size:
-            yield counted()
+            yield dealt()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds_of, _, matrix = sent.value
+        cells, counts, held = [], [], 0
+        total = np.zeros(0, np.int64), np.zeros(0)
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            cell, at = np.unique(np.concatenate([total[0], *cells]), return_inverse=True)
+            return cell, np.bincount(at, weights=np.concatenate([total[1], *counts]), minlength=len(cell))
 
-    return c.batched(ids, run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            cells.append(batch.column("cells").flatten().to_numpy())
+            counts.append(batch.column("n").flatten().to_numpy())
+            held += len(cells[-1])
+            if held >= CODES:
+                total, cells, counts, held = summed(), [], [], 0
+        cell, n = summed()
+        words, of = np.unique(cell // (2 * m), return_inverse=True)
+        best = best_classes(kinds_of[words], of, cell % (2 * m), n, matrix, movable)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int32())], ["w", "class"])
+
+    dealt = c.batched(ids, count, "bucket int, cells array<bigint>, n array<int>").repartition("bucket")
+    rows = c.batched(dealt, pick, "w bigint, class int").toArrow()
+    out = classes.copy()
+    out[rows["w"].to_numpy()] = rows["class"].to_numpy()
+    return out
 
 
 def _matrix(cells: DataFrame, n_classes: int) -> np.ndarray:
@@ -162,68 +208,45 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_classes(own: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray, bigrams: np.ndarray, movable: int) -> np.ndarray:
-    """The class in which each word raises the likelihood most; its own if none does better.
+def best_classes(own: np.ndarray | None, word: np.ndarray, slot: np.ndarray, n: np.ndarray, bigrams: np.ndarray, movable: int, words: int | None = None) -> np.ndarray:
+    """The class in which each word raises the likelihood most; its own if none does better. Without ``own`` the words are in no class yet.
 
     Cells (word, slot, n), sorted by word: n words of class ``slot`` to its right, or of ``slot`` - m to its left.
+    What a cell of under ``HEAVY`` adds is taken as linear in n, which makes it a product of matrices.
     """
     m = len(bigrams)
-    out = np.empty(len(own), np.int64)
-    first = np.searchsorted(word, np.arange(len(own) + 1))
+    words = len(own) if own is not None else words
+    out = np.empty(words, np.int64)
+    first = np.searchsorted(word, np.arange(words + 1))
     rows, columns = bigrams.sum(axis=1), bigrams.sum(axis=0)
-    lo = 0
-    while lo < len(own):
-        hi = max(lo + 1, min(lo + CELLS // m, int(np.searchsorted(first, first[lo] + CELLS // m, "right")) - 1))
+    slope = np.log(bigrams + np.exp(-1)) + 1
+    step = max(1, CELLS // m)
+    for lo in range(0, words, step):
+        hi = min(lo + step, words)
         part, w = slice(first[lo], first[hi]), word[first[lo] : first[hi]] - lo
-        mine, count = own[lo:hi], hi - lo
+        count = hi - lo
         dense = np.bincount(w * (2 * m) + slot[part], weights=n[part], minlength=count * 2 * m).reshape(count, 2, m)
         right, left = dense[:, 0], dense[:, 1]
-        gain = np.zeros((count, m))
-        for side, table, other in ((0, bigrams.T, left), (1, bigrams, right)):
-            i, s = np.nonzero(dense[:, side])
-            x = dense[i, side, s]
-            base = table[s]
-            # without the word itself: it adds to its own class's row and column
-            again = np.flatnonzero(s == mine[i])
-            base[again] -= other[i[again]]
-            base[np.arange(len(i)), mine[i]] -= x
-            base = np.maximum(base, 0)
-            sums = _f(base + x[:, None]) - _f(base)
-            gain += np.add.reduceat(sums, np.searchsorted(i, np.arange(count)))  # every token has neighbours
-        at = np.arange(count)
-        total = right.sum(axis=1), left.sum(axis=1)
-        before, after = rows - left, columns - right
-        before[at, mine] -= total[0]
-        after[at, mine] -= total[1]
-        for base, x in ((before, total[0]), (after, total[1])):
-            base = np.maximum(base, 0)
-            gain -= _f(base + x[:, None]) - _f(base)
+        gain = right @ slope.T + left @ slope
+        for side, table, linear in ((0, bigrams.T, slope.T), (1, bigrams, slope)):
+            i, s = np.nonzero(dense[:, side] >= HEAVY)
+            x = dense[i, side, s][:, None]
+            if len(i):
+                more = _f(table[s] + x) - _f(table[s]) - x * linear[s]
+                at = np.flatnonzero(np.diff(i, prepend=-1))
+                gain[i[at]] += np.add.reduceat(more, at)
+        total = right.sum(axis=1)[:, None], left.sum(axis=1)[:, None]
+        gain -= _f(rows + total[0]) - _f(rows) + _f(columns + total[1]) - _f(columns)
         best = gain[:, :movable].argmax(axis=1)
-        out[lo:hi] = np.where(gain[at, best] > gain[at, mine] + 1e-9, best, mine)
-        lo = hi
-    return out
-
-
-def exchanged(counts: DataFrame, classes: np.ndarray, bigrams: np.ndarray, movable: int) -> np.ndarray:
-    """One round: the words of these counts, each moved to its best class."""
-    m = len(bigrams)
-    sent = counts.sparkSession.sparkContext.broadcast((classes, bigrams))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, matrix = sent.value
-        for batch in batches:
-            words, cells = batch.column("w").to_numpy(), batch.column("cells")
-            slot, n = cells.flatten().flatten()
-            of = np.repeat(np.arange(len(words)), cells.value_lengths().to_numpy())
-            moved = best_classes(own[words], of, slot.to_numpy(), n.to_numpy(), matrix, movable)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(moved, pa.int32())], ["w", "class"])
-
-    cells = counts.select(F.expr(f"cell div {2 * m}").alias("w"), (F.col("cell") % (2 * m)).alias("slot"), "n")
-    # a word has at most 2 * m cells, and there are at most 1 / BROADCAST_RATE words
-    rows = cells.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("cells"))
-    out = classes.copy()
-    for row in c.batched(rows, run, "w bigint, class int").collect():
-        out[row.w] = row["class"]
+        if own is not None:
+            # in its own class the word is taken out first
+            mine, at = own[lo:hi], np.arange(count)
+            kept = np.zeros(count)
+            for base, x, sums in ((bigrams[mine], right, rows), (bigrams.T[mine], left, columns)):
+                here = sums[mine]
+                kept += (_f(base) - _f(np.maximum(base - x, 0))).sum(axis=1) - _f(here) + _f(np.maximum(here - x.sum(axis=1), 0))
+            best = np.where(gain[at, best] > kept + 1e-9, best, mine)
+        out[lo:hi] = best
     return out
 
 
@@ -247,10 +270,11 @@ def rare_contexts(texts: DataFrame, vocabulary: Vocabulary, classes: np.ndarray,
     return c.batched(texts, run, "word bigint, code int, next bigint")
 
 
-def placed(contexts: DataFrame, bigrams: np.ndarray, movable: int, rounds: int, few: float) -> tuple[DataFrame, np.ndarray]:
+def placed(contexts: DataFrame, bigrams: np.ndarray, movable: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
     """word, class, n of the rare words, exchanged among the classes; and the class bigrams then.
 
-    Until they have settled, rare neighbours count as one class, ``movable``.
+    Until they have settled, rare neighbours count as one class, ``movable``. The frequent words' bigrams place the rare
+    ones first; each further round has the bigrams of where they then are.
     """
     m = len(bigrams)
     spark = contexts.sparkSession
@@ -258,53 +282,43 @@ def placed(contexts: DataFrame, bigrams: np.ndarray, movable: int, rounds: int,
     frequent = bigrams.copy()
     frequent[movable] = frequent[:, movable] = 0
 
-    def passed(rows: DataFrame, matrix: np.ndarray | None, part: int) -> tuple[DataFrame, np.ndarray, int]:
-        """Moves the words of this half; their rows, their bigrams, and how many tokens moved."""
+    def passed(rows: DataFrame, matrix: np.ndarray, settled: bool, last: bool) -> tuple[DataFrame, np.ndarray, DataFrame]:
+        """Every word in its best class; the bigrams of where they are; and the table of both."""
         sent = spark.sparkContext.broadcast(matrix)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(m * m, np.int64)
             for batch in batches:
-                words, own, codes = batch.column("word").to_numpy(), batch.column("class").to_numpy().astype(np.int64), batch.column("codes")
+                codes = batch.column("codes")
                 sizes = codes.value_lengths().to_numpy().astype(np.int64)
-                of, code = np.repeat(np.arange(len(sizes)), sizes), codes.flatten().to_numpy()
+                of, code = np.repeat(np.arange(len(sizes)), sizes), codes.flatten().to_numpy().astype(np.int64)
                 right, left = code // m, code % m
-                found = own.copy()
-                if sent.value is not None:
-                    mine = words % 2 == part
-                    number = np.cumsum(mine) - 1
-                    at = mine[of]
-                    word = np.concatenate([number[of[at]]] * 2)
-                    order = np.argsort(word, kind="stable")
-                    slot = np.concatenate([right[at], left[at] + m])[order]
-                    found[mine] = best_classes(own[mine], word[order], slot, np.ones(len(slot)), sent.value, movable)
+                word, slot = np.repeat(of, 2), np.stack([right, left + m], axis=1).reshape(-1)
+                own = batch.column("class").to_numpy(zero_copy_only=False).astype(np.int64) if settled else None
+                found = best_classes(own, word, slot, np.ones(len(slot)), sent.value, movable, len(sizes))
+                if own is None:
+                    # words that stand where no class does are dealt out
+                    dealt = c.mixed(batch.column("word").to_numpy().view(np.uint64)) % np.uint64(movable)
+                    seen = (sent.value[:movable] > 0).any(axis=0)[right] | (sent.value[:, :movable] > 0).any(axis=1)[left]
+                    known = np.logical_or.reduceat(seen, np.cumsum(sizes) - sizes)
+                    found = np.where(known, found, dealt.astype(np.int64))
                 now = found[of]
-                cell, n = np.unique(np.concatenate([now * m + right, left * m + now]), return_counts=True)
-                moved = int(sizes[found != own].sum())
-                columns = [
-                    pa.concat_arrays([batch.column("word"), pa.nulls(len(cell) + 1, pa.int64())]),
-                    pa.array(np.concatenate([found, cell, [-1]]), pa.int32()),
-                    pa.array(np.concatenate([sizes, n, [moved]]), pa.int64()),
-                    pa.concat_arrays([codes.cast(pa.list_(pa.int32())), pa.nulls(len(cell) + 1, pa.list_(pa.int32()))]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "class", "n", "codes"])
+                total += np.bincount(now * m + right, minlength=m * m) + np.bincount(left * m + now, minlength=m * m)
+                kept = pa.nulls(len(sizes), pa.list_(pa.int32())) if last else codes.cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.int32()), pa.array(sizes), kept], ["word", "class", "n", "codes"])
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(total[at]), pa.nulls(len(at), pa.list_(pa.int32()))], ["word", "class", "n", "codes"])
 
         out = c.stored(c.batched(rows.select("word", "class", "codes"), run, schema), "rare")
-        cells = {r["class"]: r.n for r in out.where("word IS NULL").groupBy("class").agg(F.sum("n").alias("n")).collect()}
-        moved = cells.pop(-1, 0)
-        total = np.zeros(m * m)
-        total[list(cells)] = list(cells.values())
-        return out.where("word IS NOT NULL"), total.reshape(m, m), moved
+        return out.where("word IS NOT NULL"), _matrix(out.where("word IS NULL").select(F.col("class").alias("cell"), "n"), m), out
 
     # a rare word has less than BROADCAST_RATE of all tokens, so no list is longer than that
-    lists = contexts.groupBy("word").agg(F.collect_list("code").alias("codes"))
-    rare, cells, _ = passed(lists.withColumn("class", F.pmod(F.xxhash64("word"), F.lit(movable)).cast("int")), None, 0)
-    moved = [few]
-    for k in range(rounds):
-        rare, cells, n = passed(rare, frequent + cells, k % 2)
-        moved.append(n)
-        # one round of either half
-        if sum(moved[-2:]) < few:
-            break
+    lists = contexts.groupBy("word").agg(F.collect_list("code").alias("codes")).withColumn("class", F.lit(None).cast("int"))
+    rare, cells, held = passed(lists, frequent, False, rounds == 1)
+    for k in range(1, rounds):
+        before = held
+        rare, cells, held = passed(rare, frequent + cells, True, k == rounds - 1)
+        c.dropped(before)
     rare = rare.select("word", "class", "n")
     # bigrams of two rare words
     pairs = contexts.where("next IS NOT NULL").groupBy("word", "next").agg(F.count("*").alias("n"))
@@ -371,18 +385,20 @@ def fit(texts: DataFrame, n_classes: int | None = None, rounds: int = ROUNDS, ra
     classes[np.argsort(-vocabulary.counts, kind="stable")] = np.arange(vocabulary.size) % n_classes
     classes[-2:] = n_classes, n_classes + 1
     ids = c.stored(encoded(texts.select("text"), vocabulary), "ids")
-    moved = [total]
+    changed = [total]
     for k in range(rounds):
-        bigrams = class_bigrams(ids, classes, m)
-        new = exchanged(neighbour_counts(ids, vocabulary, classes, m, k % 2), classes, bigrams, n_classes)
-        moved.append(int(vocabulary.counts[(new != classes)[: vocabulary.size]].sum()))
+        new = moved(ids, vocabulary, classes, class_bigrams(ids, classes, m), n_classes, k % 2)
+        changed.append(int(vocabulary.counts[(new != classes)[: vocabulary.size]].sum()))
         classes = new
         # one round of either half
-        if sum(moved[-2:]) < FEW * total:
+        if sum(changed[-2:]) < FEW * total:
             break
     bigrams = class_bigrams(ids, classes, m)
+    c.dropped(ids)
     contexts = c.stored(rare_contexts(texts.select("text"), vocabulary, classes, m), "contexts")
-    rare, bigrams = placed(contexts, bigrams, n_classes, rounds, FEW * total)
+    rare, bigrams = placed(contexts, bigrams, n_classes, RARE_ROUNDS)
+    c.dropped(contexts)
+    c.dropped(counts)
     return Model(vocabulary, classes, bigrams, int(total), int(distinct)), rare
 
 

@@ -74,6 +74,23 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: A key with this share of all rows is hot; at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.001
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """Rows of ``left`` with the one row of ``right`` that has their keys; both are stored tables.
+
+    ``n`` of ``right`` says how many rows of ``left`` have its keys. Rows of hot keys stay where they are and meet a broadcast
+    of at most 1 / ``HOT_SHARE`` rows of ``right``, whose columns must be of bounded size; no task gets all rows of a hot key.
+    """
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    is_hot = F.col(n) >= max(2, HOT_SHARE * total)
+    hot = F.broadcast(right.where(is_hot).drop(n))
+    rest = left.join(F.broadcast(right.where(is_hot).select(*keys)), keys, "left_anti").join(right.where(~is_hot).drop(n).hint("merge"), keys)
+    return left.join(hot, keys).unionByName(rest)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores, so that it is no column of ``df`` (names compare without case)."""
     taken = {c.lower() for c in df.columns}

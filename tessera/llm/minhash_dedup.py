@@ -26,8 +26,9 @@ probability over 0.99998 each; above it, with more.
 
 Defined results: a null or empty text has no shingles and is a class of its
 own; a text of fewer than five words is one shingle; the class id is the
-smallest id in the class; rows with the same id share a class; a null id has a
-null class.
+smallest id in the class; rows with the same id share a class, whatever their
+texts; a null id has a null class; a table without rows gives none; extra columns
+play no part. Of rows with one id ``keep_first`` keeps one.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
@@ -126,6 +127,12 @@ def signatures(elements: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int
     return best
 
 
+def wholes(hashes: np.ndarray, often: np.ndarray, at: np.ndarray, weighted: bool) -> np.ndarray:
+    """A hash of each document's shingle set (with weights: of its multiset)."""
+    sums = np.concatenate([[_U(0)], np.cumsum(c.mixed(hashes + often.astype(_U) * _U(weighted)))])
+    return c.mixed(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(_U))
+
+
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One bucket for each band of each signature."""
     h = np.zeros((len(signature), bands), _U) + np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
@@ -168,8 +175,7 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, weight
                 weights = often.astype(np.float64) if weighted else np.ones(len(often))
                 kept = signatures(hashes, weights, at, bands * rows)
                 buckets, bits = band_hashes(kept, bands, rows), two_bits(kept)
-                sums = np.concatenate([[_U(0)], np.cumsum(c.mixed(hashes + often.astype(_U) * _U(weighted)))])
-                whole = c.mixed(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(_U))
+                whole = wholes(hashes, often, at, weighted)
                 some = np.flatnonzero(np.diff(at) > 0)
                 lists = [c.nested(pa.array(c.as_int64(x[some].reshape(-1))), np.full(len(some), x.shape[1])) for x in (buckets, bits)]
                 yield pa.RecordBatch.from_arrays([block.column("doc").take(pa.array(some)), pa.array(c.as_int64(whole[some])), *lists], ["doc", "whole", "buckets", "bits"])
@@ -178,22 +184,34 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, weight
     return c.batched(picked, run, "doc bigint, whole bigint, buckets array<bigint>, bits array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: its distinct shingles as 32-bit hashes."""
+def shingle_sets(docs: DataFrame, weighted: bool) -> DataFrame:
+    """Of rows (whole, text) whose text has that hash: ``doc`` (the hash) and its distinct shingles as 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data, offsets in c.blocks(batch, "text"):
-                hashes, _, at = shingles(data, offsets)
+                hashes, often, at = shingles(data, offsets)
                 lists = c.nested(pa.array((hashes >> _U(32)).astype(np.uint32).view(np.int32)), np.diff(at))
-                yield pa.RecordBatch.from_arrays([block.column("doc"), lists], ["doc", "grams"])
+                own = c.as_int64(wholes(hashes, often, at, weighted)) == block.column("whole").to_numpy()
+                yield pa.RecordBatch.from_arrays([block.column("whole"), lists], ["doc", "grams"]).filter(pa.array(own))
+
+    return c.batched(docs.select("whole", "text"), run, "doc bigint, grams array<int>").dropDuplicates(["doc"])
+
 
-    return c.batched(docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")), run, "doc bigint, grams array<int>")
+def with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, grams: str) -> DataFrame:
+    """The pairs with the shingle sets of one side. A hot document's pairs are dealt to several copies of its set, at most 2 / ``HOT_SHARE`` copies in all."""
+    counts = c.stored(pairs.groupBy(side).agg(F.count("*").alias("n")), "degrees")
+    least = max(100, c.HOT_SHARE * (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+    hot = F.broadcast(counts.where(F.col("n") >= least).select(side, F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    dealt = pairs.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = sets.select(F.col("doc").alias(side), F.col("grams").alias(grams)).join(hot, side, "left")
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies.hint("merge"), [side, "part"]).drop("part")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("y")), "b")
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; ``pairs`` is a stored table."""
+    both = with_sets(with_sets(pairs, sets, "a", "b", "x"), sets, "b", "a", "y")
     shared = F.size(F.array_intersect("x", "y"))
     # at least `similarity`: shared / (|x| + |y| - shared), without dividing
     enough = shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9
@@ -204,16 +222,20 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """One row for each document: key, class_id (the smallest id of its class)."""
     made = c.stored(sketches(docs, key, text, bands, rows, weighted), "sketches")
-    same = made.groupBy("whole").agg(F.min("doc").alias("first"))
-    # both sides of these joins grow with the input at all sizes: no broadcast
+    ids = c.stored(made.select("doc", "whole"), "ids")
+    same = c.stored(ids.groupBy("whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "same")
+    # both sides of these joins grow with the input at all sizes: no broadcast. From here on ``doc`` is a distinct text, by its hash
     first = same.select("whole", F.col("first").alias("doc")).hint("merge")
-    single = c.stored(made.select("whole", "doc", "buckets").join(first, ["whole", "doc"]).select("doc", F.explode("buckets").alias("bucket")), "buckets")
+    texts = made.join(first, ["whole", "doc"]).dropDuplicates(["whole"]).select(F.col("whole").alias("doc"), "buckets", "bits")
+    texts = c.stored(texts, "texts")
+    c.dropped(made)
+    single = c.stored(texts.select("doc", F.explode("buckets").alias("bucket")), "buckets")
     least = single.groupBy("bucket").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("bucket", "least")
-    members = single.join(least.hint("merge"), "bucket")
-    members = c.stored(members.join(made.select("doc", "bits").dropDuplicates(["doc"]), "doc"), "members")
-    ids = members.select("doc").distinct()
-    picked = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias(text)).join(ids.withColumnRenamed("doc", key).hint("merge"), key)
-    sets = c.stored(shingle_sets(picked, key, text).dropDuplicates(["doc"]), "shingles")
+    members = c.stored(single.join(least.hint("merge"), "bucket").join(texts.select("doc", "bits").hint("merge"), "doc"), "members")
+    c.dropped(single)
+    wanted = members.select(F.col("doc").alias("whole")).distinct().join(same.select("whole", F.col("first").alias("_first")), "whole")
+    picked = docs.select(F.col(key).cast("bigint").alias("_first"), F.col(text).alias("text")).join(wanted.hint("merge"), "_first")
+    sets = c.stored(shingle_sets(picked, weighted), "shingles")
 
     near = distance("bits", "bits_b", -(-bands * rows // 32)) <= apart(bands * rows, similarity)
     centres = members.where("doc = least").select("bucket", F.col("bits").alias("bits_b"))
@@ -223,10 +245,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     by_pivot = c.stored(pivot_pairs(named(members, components(links)), near).join(stars, ["a", "b"], "left_anti"), "by_pivot")
     links = c.stored(links.unionByName(verified(by_pivot, sets, similarity)), "verified")
     tried = stars.unionByName(by_pivot)
-    crossed = c.stored(cross_pairs(named(members, components(links)), made, tried, near), "crossed")
-    more = verified(crossed, sets, similarity)
-    copies = made.join(same.hint("merge"), "whole").where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    final = components(links.unionByName(more).unionByName(copies))
+    crossed = c.stored(cross_pairs(named(members, components(links)), texts, tried, near), "crossed")
+    links = links.unionByName(verified(crossed, sets, similarity))
+    # of texts to documents: the first with each text, and its copies
+    of = lambda x: same.select(F.col("whole").alias(x), F.col("first").alias(f"{x}_doc")).hint("merge")
+    near_links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    copies = c.joined(ids, same, ["whole"]).where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    final = components(near_links.unionByName(copies))
     own = docs.select(F.col(key))
     return own.join(final.select(F.col("id").alias(key), F.col("root")), key, "left").select(F.col(key), F.coalesce("root", F.col(key).cast("bigint")).alias("class_id"))
 
@@ -246,13 +271,13 @@ def pivot_pairs(members: DataFrame, near: F.Column) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def cross_pairs(members: DataFrame, made: DataFrame, tried: DataFrame, near: F.Column) -> DataFrame:
+def cross_pairs(members: DataFrame, texts: DataFrame, tried: DataFrame, near: F.Column) -> DataFrame:
     """Near pairs of one bucket whose members belong to different components and were not verified yet.
 
     A pair is made in the first bucket that its documents share, and in no other.
     """
     spots = members.where("out").select("bucket").distinct()
-    lists = made.select("doc", "buckets").dropDuplicates(["doc"])
+    lists = texts.select("doc", "buckets")
     live = members.join(spots.hint("merge"), "bucket", "left_semi").join(lists.hint("merge"), "doc").withColumn("band", F.expr("array_position(buckets, bucket)"))
     others = live.where("out").select("bucket", "band", F.col("doc").alias("a"), F.col("root").alias("root_a"), "bits", "buckets")
     every = live.select("bucket", F.col("doc").alias("b"), "root", "out", F.col("bits").alias("bits_b"), F.col("buckets").alias("buckets_b"))
@@ -263,11 +288,18 @@ def cross_pairs(members: DataFrame, made: DataFrame, tried: DataFrame, near: F.C
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: the one whose id is the class id. Rows without an id stay."""
-    name, own = c.free_name(docs, "class_id"), c.free_name(docs, "same_key")
-    found = classes(docs.where(F.col(key).isNotNull()), key, text).select(F.col(key).alias(own), F.col("class_id").alias(name)).distinct()
+    """One document of each class: the one whose id is the class id; of rows with that id one. Rows without an id stay."""
+    name, own, n, rank = (c.free_name(docs, x) for x in ("class_id", "same_key", "n_rows", "rank"))
+    found = classes(docs.where(F.col(key).isNotNull()), key, text)
+    found = c.stored(found.groupBy(F.col(key).alias(own)).agg(F.first("class_id").alias(name), F.count("*").alias(n)), "classes")
+    columns = [F.col(f"`{x}`") for x in docs.columns]
     joined = docs.join(found, F.col(key) == F.col(own), "left").where(F.col(key).isNull() | (F.col(name) == F.col(key)))
-    return joined.select([F.col(f"`{x}`") for x in docs.columns])
+    kept = joined.where(F.coalesce(n, F.lit(1)) == 1).select(columns)
+    if found.where((F.col(name) == F.col(own)) & (F.col(n) > 1)).isEmpty():
+        return kept
+    again = joined.where(F.col(n) > 1)
+    first = F.row_number().over(Window.partitionBy(own).orderBy(text, F.xxhash64(*columns)))
+    return kept.unionByName(again.withColumn(rank, first).where(F.col(rank) == 1).select(columns))
 
 
 def brute_force(docs: list[tuple[int, str | None]], similarity: float = SIMILARITY) -> dict[int, int]:

@@ -12,11 +12,14 @@ text. Of that part:
 * pieces that share an anchor but differ go to the anchor's shard. A shard
   builds FM-indexes over its pieces and streams them through backward search
   over the wavelet tree. The matching statistics, cut to ``WINDOW`` words by the
-  LCP, give the rows of every window; the smallest document among these rows
-  decides, and intervals of such windows are reported;
-* an anchor with more than ``HOT`` different pieces is no single shard's work:
-  its windows are hashed one by one and their smallest document is found by an
-  aggregation with map-side combine, which is exact as well.
+  LCP, give the rows of every window; the smallest document among the rows that
+  the search found decides, and intervals of such windows are reported;
+* an anchor with more than ``HOT`` different pieces, or more than
+  ``INDEX_WORDS`` words of them, is no single shard's work: its windows are
+  hashed one by one and their smallest document is found by an aggregation with
+  map-side combine, which is exact as well.
+
+A piece of more than ``LONG`` windows (a text of one repeated word) is cut.
 
 Spans name the piece they were found in, and a document checks the piece's
 hash before it removes anything, so documents that share an id are judged by
@@ -44,8 +47,9 @@ WINDOW = 50
 GRAM = 10
 #: Different pieces of one anchor beyond which its windows are aggregated one by one.
 HOT = 2000
-#: Words in one index, and windows of one piece streamed at a time.
+#: Words in one index and of one anchor's pieces at most, windows of one piece at most, and streamed at a time.
 INDEX_WORDS = 400_000
+LONG = 4096
 STREAM = 64
 
 
@@ -68,6 +72,8 @@ def piece_runs(words: np.ndarray, firsts: np.ndarray, window: int = WINDOW, gram
     anchors = sliding_min(grams, window - gram + 1)[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (anchors[1:] != anchors[:-1]) | (docs[1:] != docs[:-1])
+    runs = np.flatnonzero(new)
+    new |= (np.arange(len(new)) - np.repeat(runs, np.diff(np.append(runs, len(new))))) % LONG == 0
     at = np.flatnonzero(new)
     return anchors[at], docs[at], starts[at] - firsts[docs[at]], np.diff(np.append(at, len(starts)))
 
@@ -133,7 +139,7 @@ def cut_pieces(docs: DataFrame, wanted: DataFrame, key: str, text: str, window:
 
 
 class ShardIndex:
-    """The FM-index of a shard's pieces, with the smallest document of the rows of every window."""
+    """The FM-index of a shard's pieces, with the document of every row."""
 
     def __init__(self, texts: list[bytes], docs: np.ndarray, window: int) -> None:
         self.window = window
@@ -152,10 +158,7 @@ class ShardIndex:
         order = self.index.order
         left = (np.repeat(closes - 1, self.lengths + 1) - np.arange(len(self.sequence)))[order]  # words before the piece ends
         self.short = self._groups(order, left, window - 1)
-        full = self._groups(order, left, window)
-        self.group = full
-        owner = np.repeat(docs, self.lengths + 1)[order]
-        self.least = np.minimum.reduceat(owner, np.flatnonzero(np.diff(full, prepend=-1)))
+        self.owner = np.repeat(docs, self.lengths + 1)[order]
         self.index.compact()
         edges = np.flatnonzero(np.diff(self.short, prepend=-1))
         self.short_at = np.append(edges, len(order))
@@ -182,6 +185,7 @@ class ShardIndex:
         end = self.begins[piece] + start + count + self.window - 1
         lo, hi = np.zeros(len(piece), np.int64), np.full(len(piece), len(self.sequence), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        least, known = np.zeros(len(self.sequence), np.int64), np.zeros(len(self.sequence), bool)
         for k in range(1, int((count + self.window).max(initial=0))):
             live = np.flatnonzero(k <= count + self.window - 1)
             if k > self.window:  # keep the first window - 1 words of the match: its LCP interval
@@ -189,7 +193,13 @@ class ShardIndex:
                 lo[live], hi[live] = self.short_at[g], self.short_at[g + 1]
             lo[live], hi[live] = self.index.step(self.sequence[end[live] - k], lo[live], hi[live])
             if k >= self.window:
-                found.append((piece[live], (end[live] - k) - self.begins[piece[live]], self.least[self.group[lo[live]]]))
+                # rows of different windows do not overlap: the documents of each interval are looked at once
+                fresh = live[~known[lo[live]]]
+                first, at = np.unique(lo[fresh], return_index=True)
+                edges = np.stack([first, hi[fresh[at]]], axis=1).reshape(-1)
+                least[first] = np.minimum.reduceat(np.append(self.owner, 0), edges)[::2] if len(edges) else 0
+                known[first] = True
+                found.append((piece[live], (end[live] - k) - self.begins[piece[live]], least[lo[live]]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
@@ -261,26 +271,29 @@ def hot_spans(cut: DataFrame, window: int) -> DataFrame:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, index_words: int = INDEX_WORDS) -> DataFrame:
     """Per document with repeats: doc and a list of (first, n, piece, spans): the spans of words to remove, from the piece's first word."""
     every = c.stored(pieces(docs, key, text, window, gram), "pieces")
-    shared = every.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
-    every = c.stored(every.join(shared, "anchor"), "shared-pieces")
-    distinct = every.groupBy("anchor", "piece").agg(F.min("doc").alias("least"))
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    shared = every.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
+    shared = c.stored(shared.withColumnRenamed("n", "rows"), "anchors")
+    held = c.stored(c.joined(every, shared, ["anchor"], "rows"), "shared-pieces")
+    c.dropped(every)
+    distinct = c.stored(held.groupBy("anchor", "piece").agg(F.min("doc").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")), "distinct-pieces")
+    several = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (window - 1)).alias("size")).where("kinds > 1")
     wanted = (
-        every.join(distinct.withColumnRenamed("least", "doc"), ["anchor", "piece", "doc"])
+        held.join(distinct.select("anchor", "piece", F.col("least").alias("doc")), ["anchor", "piece", "doc"])
         .join(several, "anchor")
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("anchor", "piece", "first", "n", (F.col("kinds") > hot).alias("hot"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("anchor", "piece", "first", "n", ((F.col("kinds") > hot) | (F.col("size") > index_words)).alias("hot"))).alias("wanted"))
     )
     cut = c.stored(cut_pieces(docs, wanted, key, text, window), "cut-pieces")
     inner = shard_spans(cut, window, index_words).unionByName(hot_spans(cut, window))
+    judged = c.stored(distinct.drop("n").join(inner, ["anchor", "piece"], "left"), "judged-pieces")
+    c.dropped(cut)
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") + (window - 1)).alias("last")))
-    hits = (
-        every.join(distinct, ["anchor", "piece"])
-        .join(inner, ["anchor", "piece"], "left")
-        .withColumn("spans", F.when(F.col("least") < F.col("doc"), whole).otherwise(F.col("spans")))
-        .where("spans IS NOT NULL")
-    )
-    return c.stored(hits.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "piece", "spans")).alias("found")), "repeats")
+    # a piece has at most LONG windows, so its spans are bounded
+    hits = c.joined(held, judged, ["anchor", "piece"], "rows").withColumn("spans", F.when(F.col("least") < F.col("doc"), whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
+    found = c.stored(hits.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "piece", "spans")).alias("found")), "repeats")
+    for table in (shared, held, distinct, judged):
+        c.dropped(table)
+    return found
 
 
 def removed_words(words: np.ndarray, firsts: np.ndarray, found: list, window: int) -> np.ndarray:
@@ -336,8 +349,8 @@ def digest(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without repeated passages; rows of which no word is left go. White space between kept words stays."""
-    found, columns = c.free_name(docs, "found"), docs.columns
-    repeats = find(docs, key, text, window).select(F.col("doc").alias("_doc"), F.col("found").alias(found))
+    found, own_key, columns = c.free_name(docs, "found"), c.free_name(docs, "_doc"), docs.columns
+    repeats = find(docs, key, text, window).select(F.col("doc").alias(own_key), F.col("found").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +378,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     parts["n_chars"] = pa.array([len(t) if x else v for x, v, t in zip(changed.tolist(), parts["n_chars"].to_pylist(), texts, strict=True)], own.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(parts.values()), columns).filter(pa.array(keep))
 
-    joined = docs.join(repeats, F.col(key).cast("bigint") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(repeats, F.col(key).cast("bigint") == F.col(own_key), "left").drop(own_key)
     return joined.mapInArrow(run, docs.schema)
 
 

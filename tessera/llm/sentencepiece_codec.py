@@ -2,9 +2,9 @@
 
 A batch's text is cut into chunks at blanks, where no piece of the vocabulary
 can continue (checked when the model is read), and each chunk that is new to
-the worker is indexed once: the chunks are concatenated, a suffix array of the
-concatenation is sorted, and every piece is binary-searched for the range of its
-occurrences. The resulting edges (start, end, piece) are sorted by position and
+the worker is indexed once: the chunks are concatenated, their suffixes are
+sorted (as far as the longest piece reaches), and every piece is binary-searched
+in this suffix array for the range of its occurrences. The resulting edges (start, end, piece) are sorted by position and
 relaxed from left to right, all chunks side by side.
 
 The public models are BPE, so relaxing is not a best-score search: the encoding
@@ -16,7 +16,9 @@ piece has become their UTF-8 bytes' pieces.
 
 Only identity-normalised BPE models with byte pieces are read; others are
 refused. Defined results: a null text encodes to an empty list, as does an
-empty one; U+2581 in a text counts as a blank, so it decodes to one.
+empty one; U+2581 in a text counts as a blank, so it decodes to one; each row is
+encoded by itself, so repeated rows have equal ids; a table without rows gives
+none; a result whose name a column already has gets underscores in front.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ from tessera.llm import common as c
 #: Where the driver finds the public vocabulary.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: When a worker remembers more chunks than this, it starts anew with the next block.
-REMEMBERED = 200_000
+#: When a worker remembers more chunks than this, or more characters of them, it starts anew with the next block.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 4 << 20
 
 
 class Numbers(dict):
@@ -126,9 +128,10 @@ class Pieces:
             self.piece_bytes[k, : len(b)] = np.frombuffer(b, np.uint8)
         self.key_ids = np.array([k for _, k in order], np.int64)
         self.key_sizes = np.array([len(b) for b, _ in order], np.int64)
-        short = np.minimum(self.key_sizes, 8)
-        self.low = self.piece_bytes[:, :8].copy().view(">u8").ravel().astype(np.uint64)
-        self.high = self.low | ((np.uint64(1) << ((8 - short) * 8 % 64).astype(np.uint64)) - np.uint64(1))
+        # the smallest and the largest words of eight bytes that a suffix with each piece in front can have
+        self.low = self.piece_bytes.view(">u8").astype(np.uint64)
+        filled = np.where(np.arange(8 * self.width) < self.key_sizes[:, None], self.piece_bytes, np.uint8(0xFF))
+        self.high = np.ascontiguousarray(filled).view(">u8").astype(np.uint64)
         raw = [p.replace(BLANK, " ").encode() for p in self.pieces]
         for b, k in enumerate(self.byte_ids):
             raw[k] = bytes([b])
@@ -141,7 +144,7 @@ class Pieces:
 
     def forget(self) -> None:
         """Drop the remembered chunks."""
-        self.known = Numbers()
+        self.known, self.held = Numbers(), 0
         self.store, self.store_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merge(self, text: str) -> list[str]:
@@ -176,31 +179,38 @@ class Pieces:
             value[~there] = np.array(found)[place]
         return value
 
-    def edges(self, text: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and piece of every occurrence in the concatenated text (0xFF closes each chunk).
+    def suffixes(self, eight: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The given places in the order of their suffixes; ``eight`` has the eight bytes from each place as a number."""
+        place = begins[np.argsort(eight[begins])]
+        new = np.diff(eight[place], prepend=eight[place[:1]] - np.uint64(1)) != 0
+        for k in range(1, self.width):
+            # those that are equal so far go on with their next eight bytes
+            open_ = np.flatnonzero(~new | ~np.append(new[1:], True))
+            if not len(open_):
+                break
+            group, key = np.cumsum(new)[open_], eight[place[open_] + 8 * k]
+            order = np.lexsort((key, group))
+            place[open_], key = place[open_[order]], key[order]
+            new[open_[1:]] |= key[1:] != key[:-1]
+        return place
 
-        The suffixes are sorted by their first eight bytes, by which each piece
-        finds its range; the rest of longer pieces is compared in that range.
-        """
-        padded = np.concatenate([text, np.full(8 * self.width + 8, 0xFF, np.uint8)])
+    def edges(self, text: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of every occurrence in the concatenated text (0xFF closes each chunk)."""
+        padded = np.concatenate([text, np.full(16 * self.width + 8, 0xFF, np.uint8)])
         eight = np.zeros(len(padded) - 7, np.uint64)
         for k in range(8):
             eight = eight << np.uint64(8) | padded[k : len(padded) - 7 + k]
-        order = np.argsort(eight[begins])
-        place = begins[order]
+        place = self.suffixes(eight, begins)
         array = eight[place]
-        lo, hi = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
-        counts = hi - lo
+        lo, hi = np.searchsorted(array, self.low[:, 0], "left"), np.searchsorted(array, self.high[:, 0], "right")
+        for k in range(1, self.width):
+            long = np.flatnonzero((self.key_sizes > 8 * k) & (lo < hi))
+            first, last = lo[long], hi[long]
+            lo[long] = bisected(eight, place, 8 * k, first, last, self.low[long, k], False)
+            hi[long] = bisected(eight, place, 8 * k, first, last, self.high[long, k], True)
+        counts = np.maximum(hi - lo, 0)
         which = np.repeat(np.arange(len(counts)), counts)
         start = place[c.ranges(lo, counts)]
-        long = np.flatnonzero(self.key_sizes[which] > 8)
-        same = np.ones(len(which), bool)
-        for k in range(8, 8 * self.width):
-            on = long[(self.key_sizes[which[long]] > k) & same[long]]
-            if not len(on):
-                break
-            same[on] = padded[start[on] + k] == self.piece_bytes[which[on], k]
-        start, which = start[same], which[same]
         return start, start + self.key_sizes[which], self.key_ids[which]
 
     def relaxed(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +272,7 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
         self.ready()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_CHARS:
             self.forget()
         had, parts, sizes = len(self.known), [], []
         for text in texts:
@@ -271,7 +281,9 @@ class Pieces:
             sizes.append(len(own))
         code = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         if len(self.known) > had:
-            flat, lengths = self.relaxed(list(islice(self.known, had, None)))
+            fresh = list(islice(self.known, had, None))
+            self.held += sum(map(len, fresh))
+            flat, lengths = self.relaxed(fresh)
             self.store = np.concatenate([self.store, flat])
             self.store_at = np.concatenate([self.store_at, self.store_at[-1] + np.cumsum(lengths)])
         n = self.store_at[code + 1] - self.store_at[code]
@@ -288,6 +300,20 @@ class Pieces:
         return [data[a + (data[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def bisected(eight: np.ndarray, place: np.ndarray, at: int, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, right: bool) -> np.ndarray:
+    """Where each key belongs in its own range lo to hi of the suffix array, by the eight bytes at ``at``; after equal ones if ``right``."""
+    lo, hi = lo.copy(), hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        middle = (lo[open_] + hi[open_]) // 2
+        have = eight[place[middle] + at]
+        below = have <= key[open_] if right else have < key[open_]
+        lo[open_[below]] = middle[below] + 1
+        hi[open_[~below]] = middle[~below]
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
+
+
 def chunks_of(text: str) -> list[str]:
     """The text with a blank in front, cut before every blank that follows something else."""
     if not text:
@@ -311,6 +337,8 @@ def read_pieces(path: str) -> Pieces:
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", decoded_sha256: str | None = None, model: str = MODEL) -> DataFrame:
     """All columns and ``ids``, an array of int; with ``decoded_sha256`` also the digest of the ids decoded again."""
+    ids = c.free_name(docs, ids)
+    decoded_sha256 = decoded_sha256 and c.free_name(docs, decoded_sha256)
     sent = docs.sparkSession.sparkContext.broadcast(read_pieces(model))
     extra = f", {decoded_sha256} string" if decoded_sha256 else ""
 
@@ -330,6 +358,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", decoded_sha256
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """All columns and the text of ``ids``; null ids give an empty text."""
+    text = c.free_name(df, text)
     sent = df.sparkSession.sparkContext.broadcast(read_pieces(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,8 @@ occurrences are merged into removal spans.
 Defined results: a null or empty text has no words and no spans; an item
 without words has no windows; repeated items and repeated documents are judged
 row by row; a null item_id never enters an item list but its words count as
-hits; extra columns of either table are left alone.
+hits; empty tables give no rows, or no hits; extra columns of either table are
+left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from tessera.llm import common as c
 from tessera.llm.fm_index import FMIndex
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text in one block of phrases: what a broadcast can hold.
-PHRASE_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text in one block of phrases; a worker holds some five times that of it.
+PHRASE_BYTES = 8 << 20
 WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 SCHEMA = "key bigint, n_words bigint, n_hit bigint, spans array<struct<first:int,last:int>>, items array<string>"
@@ -41,40 +42,36 @@ class Phrases:
     """A block of benchmark windows: vocabulary, pairs, distinct patterns and the items of each."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
-        patterns: dict[bytes, int] = {}
-        rows: list[list[bytes]] = []
-        owners: list[tuple[int, int]] = []
-        self.ids: list[str] = []
+        raw = [text.encode() for _, text in items]
+        data = c.ASCII_LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
+        starts, ends, firsts = c.word_spans(data, offsets, c.ALNUM)
+        words = c.span_hashes(data, starts, ends)
+        self.hashes, symbols = np.unique(words, return_inverse=True)
+        self.sigma = len(self.hashes) + 1
+        self.text = (symbols + 1).astype(np.int32)
+        # windows of each item; an item of fewer words is one
+        n = np.diff(firsts)
+        counts, sizes = np.where(n < window, n > 0, n - window + 1).astype(np.int64), np.minimum(n, window)
+        at, item = c.ranges(firsts[:-1], counts), np.repeat(np.arange(len(n)), counts)
+        grams, length = np.zeros(len(at), np.uint64), sizes[item]
+        for size in np.unique(length).tolist():
+            own = length == size
+            grams[own] = c.mixed(c.gram_hashes(words, at[own], size) + np.uint64(size))
+        _, first, pattern = np.unique(grams, return_index=True, return_inverse=True)
+        self.at, self.lengths = at[first].astype(np.int32), length[first].astype(np.int32)
+        self.least = int(self.lengths.min(initial=0))
+        follows = np.zeros(len(words), bool)
+        follows[: len(words) - 1] = True
+        follows[firsts[1:][firsts[1:] > 0] - 1] = False
+        left = np.flatnonzero(follows)
+        self.pairs = np.unique(self.text[left].astype(np.int64) * self.sigma + self.text[left + 1])
         known: dict[str, int] = {}
-        for item, text in items:
-            words = WORD.findall((text or "").encode().translate(c.ASCII_LOWER.tobytes()))
-            owner = -1 if item is None else known.setdefault(item, len(known))
-            for k in range(min(1, len(words)) if len(words) < window else len(words) - window + 1):
-                part = words[k : k + window]
-                p = patterns.setdefault(b" ".join(part), len(rows))
-                if p == len(rows):
-                    rows.append(part)
-                owners.append((p, owner))
+        owner = np.array([-1 if i is None else known.setdefault(i, len(known)) for i, _ in items], np.int64)[item]
         self.ids = list(known)
-        vocabulary = {w: None for part in rows for w in part}
-        flat = np.frombuffer(b"".join(vocabulary), np.uint8)
-        ends = np.cumsum([len(w) for w in vocabulary]).astype(np.int64)
-        hashes = c.span_hashes(flat, ends - [len(w) for w in vocabulary], ends) if vocabulary else np.zeros(0, np.uint64)
-        by_hash = np.argsort(hashes)
-        self.hashes = hashes[by_hash]
-        symbol = dict(zip((list(vocabulary)[k] for k in by_hash), range(1, len(by_hash) + 1), strict=True))
-        self.sigma = len(symbol) + 1
-        self.lengths = np.array([len(part) for part in rows], np.int64)
-        self.width = int(self.lengths.max(initial=0))
-        self.least = int(self.lengths.min(initial=self.width))
-        self.patterns = np.zeros((len(rows), self.width), np.int64)
-        for p, part in enumerate(rows):
-            self.patterns[p, self.width - len(part) :] = [symbol[w] for w in part]
-        pairs = {(symbol[a], symbol[b]) for part in rows for a, b in zip(part, part[1:], strict=False)}
-        self.pairs = np.sort(np.array([a * self.sigma + b for a, b in pairs], np.int64))
-        owned = np.array(sorted({o for o in owners if o[1] >= 0}), np.int64).reshape(-1, 2)
-        self.owner = owned[:, 1]
-        self.owner_at = np.searchsorted(owned[:, 0], np.arange(len(rows) + 1))
+        owned = np.unique(pattern[owner >= 0] * max(1, len(known)) + owner[owner >= 0])
+        self.owner = (owned % max(1, len(known))).astype(np.int32)
+        self.owner_at = np.searchsorted(owned // max(1, len(known)), np.arange(len(first) + 1))
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """The symbol of each word hash; 0 where no phrase has it."""
@@ -113,10 +110,15 @@ def occurrences(symbols: np.ndarray, firsts: np.ndarray, phrases: Phrases) -> tu
     sequence[places] = symbols[words]
     word_of = np.zeros(len(sequence), np.int64)
     word_of[places] = words
+    # phrases with a word that the shard lacks need no search
+    lacks = np.ones(phrases.sigma, bool)
+    lacks[sequence] = False
+    missing = np.concatenate([[0], np.cumsum(lacks[phrases.text])])
+    live = np.flatnonzero(missing[phrases.at + phrases.lengths] == missing[phrases.at])
     index = FMIndex(sequence, phrases.sigma).compact()
-    lo, hi = index.search(phrases.patterns, phrases.lengths)
+    lo, hi = index.search(phrases.text, phrases.at[live], phrases.lengths[live])
     counts = np.maximum(hi - lo, 0)
-    return np.repeat(np.arange(len(counts)), counts), word_of[index.locate(c.ranges(lo, counts))]
+    return np.repeat(live, counts), word_of[index.locate(c.ranges(lo, counts))]
 
 
 def shard(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, list, np.ndarray]:

@@ -118,8 +118,8 @@ class FMIndex:
         self.order = order
         bwt = sequence[order - 1]
         self.wavelet = WaveletMatrix(bwt, sigma)
-        counts = np.bincount(sequence, minlength=sigma)
-        self.first = np.cumsum(counts) - counts
+        self.counts = np.bincount(sequence, minlength=sigma)
+        self.first = np.cumsum(self.counts) - self.counts
         starts = np.zeros(self.n, bool)
         starts[0] = True
         starts[ends[:-1] + 1] = True
@@ -138,15 +138,14 @@ class FMIndex:
         start = self.first[symbols]
         return start + below, start + above
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows lo to hi of each pattern; ``patterns`` is a matrix, right-aligned. Unknown symbols are -1."""
-        m, width = patterns.shape
-        lo, hi = np.zeros(m, np.int64), np.full(m, self.n, np.int64)
-        hi[((patterns < 0) & (np.arange(width)[None, :] >= width - lengths[:, None])).any(axis=1)] = 0
-        for k in range(width - 1, -1, -1):
-            live = np.flatnonzero((hi > lo) & (lengths >= width - k))
+    def search(self, symbols: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows lo to hi of each pattern: ``lengths`` of the symbols from ``at``."""
+        last = symbols[at + lengths - 1]
+        lo, hi = self.first[last], self.first[last] + self.counts[last]
+        for k in range(2, int(lengths.max(initial=0)) + 1):
+            live = np.flatnonzero((hi > lo) & (lengths >= k))
             if len(live):
-                lo[live], hi[live] = self.step(patterns[live, k], lo[live], hi[live])
+                lo[live], hi[live] = self.step(symbols[at[live] + lengths[live] - k], lo[live], hi[live])
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:

@@ -12,7 +12,8 @@ length is a multiple of 64 is kept exactly.
 Defined results: null or empty HTML has no parts; a reference without a digest,
 or with one that the table does not have, stays in its place with null media
 columns; equal references in one document are separate parts; a null text is an
-empty text.
+empty text; rows with a null or repeated key are rows of their own; a table without
+rows gives none; a result whose name a column already has gets underscores in front.
 """
 
 from __future__ import annotations
@@ -210,6 +211,7 @@ def parts_of(html: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, html: str = "html", parts: str = "parts") -> DataFrame:
     """All columns and ``parts``, the ordered text and media references of ``html``."""
+    parts = c.free_name(pages, parts)
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +224,15 @@ def sequences(pages: DataFrame, html: str = "html", parts: str = "parts") -> Dat
     return c.batched(pages, run, f"{fields}, {parts} array<{PART}>")
 
 
-def resolved(found: DataFrame, media: DataFrame, key: str, parts: str = "parts") -> DataFrame:
-    """One row for each part, in place: key, position, kind, text, digest, caption and the columns of ``media`` (one row per digest)."""
-    each = found.select(key, F.inline(parts))
-    return each.join(media, "digest", "left")
+def resolved(found: DataFrame, media: DataFrame, key: str | list[str], parts: str = "parts") -> DataFrame:
+    """One row for each part, in place: key, position, kind, text, digest, caption and the columns of ``media`` (one row per digest, of bounded size).
+
+    References to a digest that very many parts name do not all go to one task.
+    """
+    each = c.stored(found.select(*([key] if isinstance(key, str) else key), F.inline(parts)), "parts")
+    named = each.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("_n"))
+    known = c.stored(named.join(media, "digest", "left"), "described")
+    return c.joined(each, known, ["digest"], "_n").unionByName(each.where("digest IS NULL"), allowMissingColumns=True)
 
 
 def interleaved(each: DataFrame, key: str) -> DataFrame:

@@ -98,7 +98,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a stored image in an interleaved document, resolved by digest."""
     store = media.stored_payloads(c.table(spark, sf_dir, "documents"))
     shown = media.sequences(store.select("key", "n_bytes", "html"))
-    each = shown.select("key", "n_bytes", F.inline("parts")).where("digest IS NOT NULL").join(media.described(store), "digest")
+    each = media.resolved(shown, media.described(store), ["key", "n_bytes"]).where("digest IS NOT NULL")
     return each.select(F.col("key").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 

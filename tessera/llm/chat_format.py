@@ -18,7 +18,8 @@ that no earlier message said are cut as well but link nothing; rows with the sam
 conversation and turn are separate messages with the same place; a message with
 a null conversation or turn links to nothing and is its own thread. A line that
 introduces a quote (ends with "wrote:" or the like, before a quoted line) goes
-with it.
+with it; repeated rows are repeated messages; extra columns are left out; a table
+without rows gives none.
 """
 
 from __future__ import annotations
@@ -168,12 +169,13 @@ def threads(links: DataFrame) -> DataFrame:
 def formatted(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each message: conv, turn, role, reply_to, thread, depth, n_quotes, n_linked, text without quotes, formatted.
 
-    Sorted by (conv, thread, turn) the rows are each conversation in the order of its replies.
+    The rows are in the order of conversations, in each in the order of its threads, in these in the order of turns, so that a
+    reply follows what it answers: a range-partitioned sort, which cuts a conversation of any length into parts.
     """
     found = c.stored(messages(chats, conv, turn, role, text), "messages")
     links = c.stored(replies(found), "links")
     placed = links.join(threads(links), ["conv", "turn"])
-    return found.join(placed, ["conv", "turn"], "left").select(
+    out = found.join(placed, ["conv", "turn"], "left").select(
         F.col("conv").alias(conv),
         F.col("turn").alias(turn),
         F.col("role").alias(role),
@@ -185,3 +187,4 @@ def formatted(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.col("said").alias(text),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "said", F.lit("\n<|end|>\n")).alias("formatted"),
     )
+    return out.sort(conv, "thread", turn)

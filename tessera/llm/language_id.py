@@ -15,7 +15,8 @@ decides, the score is its share of all languages' counts; among equal counts the
 alphabetically first language wins.
 
 Defined results: a null text or one without letters is ``und`` with score 0, as
-is every text where nothing could be learned; a null id is never held out.
+is every text where nothing could be learned; a null id is never held out;
+repeated rows are judged each by itself; a table without rows gives none.
 """
 
 from __future__ import annotations

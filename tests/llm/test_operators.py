@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
+import numpy as np
 import pytest
 
 from tessera.llm import chat_format, decontamination, html_extraction, language_id, language_model, media, minhash_dedup, quality, sentencepiece_codec, substring_dedup
@@ -263,6 +265,140 @@ def test_clashing_and_extra_columns(spark, texts):
     assert [tuple(r) for r in html_extraction.extract(pages).collect()] == [(1, "https://a.example/", "<p>x</p>", 5, 6, "x")]
 
 
+def test_results_whose_names_are_taken(spark, texts):
+    docs = table(spark, texts[:8])
+    clash = docs.withColumnsRenamed({"lang": "ids", "source": "decoded_sha256"})
+    out = sentencepiece_codec.encode(clash, decoded_sha256="decoded_sha256")
+    assert out.columns == [*clash.columns, "_ids", "_decoded_sha256"] and {r.ids for r in out.collect()} == {r[2] for r in texts[:8]}
+    assert sentencepiece_codec.decode(out, "_ids", "text").select("_text").first()[0] == texts[0][1]
+    taken = docs.withColumnsRenamed({"text": "html", "lang": "Parts"})
+    assert media.sequences(taken).columns == [*taken.columns, "_parts"]
+    pages = spark.createDataFrame([(1, "https://a.example/", "<p>x</p>", "y", 3)], "page_id bigint, url string, html string, main_text string, _slots int")
+    assert [tuple(r) for r in html_extraction.extract(pages).collect()] == [(1, "https://a.example/", "<p>x</p>", "y", 3, "x")]
+    odd = table(spark, texts).withColumnsRenamed({"lang": "_doc", "source": "found", "n_chars": "spans"})
+    assert {r.doc_id: r.text for r in substring_dedup.clean(odd).collect()} == {r.doc_id: r.text for r in substring_dedup.clean(table(spark, texts)).collect()}
+
+
+def test_repeated_rows_and_ids(spark, texts):
+    rng = random.Random(12)
+    a, b, other = (prose(rng, "en", 60) for _ in range(3))
+    # id 1 twice with one text, id 5 with two texts that others have
+    rows = [(1, a, "en"), (1, a, "en"), (4, a, "en"), (5, b, "en"), (5, other, "en"), (7, other, "en"), (9, b + " more", "en"), (None, a, "en"), (None, a, "en")]
+    docs = table(spark, rows)
+    found = sorted((r.doc_id, r.class_id) for r in minhash_dedup.classes(docs).collect() if r.doc_id is not None)
+    assert found == [(1, 1), (1, 1), (4, 1), (5, 5), (5, 5), (7, 5), (9, 5)]
+    kept = minhash_dedup.keep_first(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, a), (1, a), (5, min(b, other))])
+    # substring dedup: equal ids are not smaller than one another
+    found = substring_dedup.digest(docs, substring_dedup.find(docs)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in found) == [(0, 0), (0, 0), (1, 0), (1, 0), (4, 60), (5, 0), (5, 0), (7, 60), (9, 60)]
+    bench = spark.createDataFrame([(1, a), (1, a), (None, b)], "item_id bigint, text string")
+    hits = decontamination.digest(decontamination.find(docs, bench)).collect()
+    assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in hits) == [(0, 60, 1), (0, 60, 1), (1, 60, 1), (1, 60, 1), (4, 60, 1), (5, 0, 0), (5, 60, 0), (7, 0, 0), (9, 60, 0)]
+    model, rare = language_model.fit(docs)
+    scores = {(r.doc_id, r.n_tokens): round(r.score, 9) for r in language_model.score(docs, model, rare).collect()}
+    assert len(scores) == 6 and language_model.score(docs, model, rare).count() == len(rows)
+    told = language_id.predict(docs, language_id.fit(docs)).collect()
+    assert len(told) == len(rows) and {r.lang_pred for r in told} == {"en"}
+
+
+def test_one_word_over_and_over(spark):
+    rows = [(1, "x " * 30_000, "en"), (2, "x " * 20_000 + "y", "en"), (3, "x " * 49, "en")]
+    docs = table(spark, rows)
+    found = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.digest(docs, substring_dedup.find(docs)).collect()}
+    assert found == {1: (30_000, 0), 2: (20_001, 20_000), 3: (49, 0)}
+    assert {r.doc_id: r.class_id for r in minhash_dedup.classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_quality_with_one_class_ties_and_repeated_labels(spark):
+    docs = table(spark, [(k, f"text {k} " * 20, "en") for k in range(8)])
+    labels = spark.createDataFrame([(k % 4, 1, 0) for k in range(8)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(docs, labels, held_out=None)
+    found = quality.score(docs, model).collect()
+    assert len({r.score for r in found}) == 1 and found[0].predicted == 1
+    # a score of just the threshold is accepted
+    assert {r.predicted for r in quality.score(docs, model, threshold=found[0].score).collect()} == {1}
+    assert quality.keep_good(docs, model, threshold=found[0].score).count() == 8
+
+
+def test_probabilities_of_all_words_add_up(spark):
+    docs = table(spark, [(k, "a b c a b d a", "en") for k in range(5)])
+    model, rare = language_model.fit(docs, n_classes=3)
+    words = ["a", "b", "c", "d"]
+    asked = table(spark, [(k, w, None) for k, w in enumerate(words)] + [(9, "", None), (10, "unseen", None)])
+    found = {r.doc_id: r for r in language_model.score(asked, model, rare).collect()}
+    # of an empty text the score is that of the end; first words and the end together leave something for unseen words
+    end = 10 ** found[9].score
+    assert 0 < end < 1 and all(0 < 10 ** found[k].score < 1 for k in (0, 1, 2, 3, 10))
+
+
+def test_slots_of_pages_without_an_article(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(9):
+        own = "".join(f"<p>{prose(rng, 'en', 80)}</p>" for _ in range(1 + k % 3))
+        # no element or class says what it is
+        page = f"<body><div class='u1'>{prose(rng, 'de', 4)}</div><div class='u2'><h1>T{k}</h1><span>by x</span></div><div class='u3'><div class='u4'>{own}</div></div><div class='u5'>{prose(rng, 'de', 5)}</div></body>"
+        rows.append((k, f"https://a.example/{k}", page))
+    # an article of two parts keeps both
+    for k in range(9):
+        rows.append((20 + k, f"https://b.example/{k}", f"<body><div class='a'><p>{prose(rng, 'en', 20)}</p></div><div class='b'><p>{prose(rng, 'en', 20)}</p></div></body>"))
+    # one page alone has no template to go by
+    rows.append((40, "https://c.example/", rows[0][2]))
+    found = {r.page_id: r.main_text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k, _, page in rows[:9]:
+        wanted = [f"T{k}", *[x.split("</p>")[0] for x in page.split("<p>")[1:]]]
+        assert found[k] == "\n\n".join(wanted)
+        # without the template the page can't tell
+        assert html_extraction.main_text(page, set(), set(), set()) != found[k]
+    assert all(len(found[20 + k].split("\n\n")) == 2 for k in range(9)) and len(found[40].split("\n\n")) == 4
+
+
+def test_classes_that_do_not_nest_are_no_template():
+    token = lambda t, up, vector, n=4, kind=0, size=0, at=0: dict(token=t, pages=4, n=n, vector=vector, up=up, kind=kind, size=size, at=at)
+    rows = [token(1, 0, 10, kind=html_extraction.CONTAINER, size=100), token(2, 1, 10, kind=html_extraction.CONTAINER, size=90), token(3, 99, 11), token(4, 3, 12), token(5, 2, 13, n=9)]
+    template, menus, slots = html_extraction.deduced(rows, 4)
+    # 3 stands in what is on few pages, and 4 in 3; 5 repeats alone
+    assert template == [1, 2] and menus == [] and slots == [2]
+
+
+@pytest.mark.parametrize("source", ["<a ", "<a '\"", "<p><a href='", "<div class=a>x", "<!--", "<script '"])
+def test_broken_pages_cost_no_more_than_their_length(source):
+    began = time.time()
+    html_extraction.main_text(source * 20_000, set(), set(), set())
+    assert time.time() - began < 20
+
+
+def test_pages_that_repeat_and_tie(spark):
+    page = "<body><div class='u'><p>same text here</p></div></body>"
+    rows = [(k, "https://a.example/", page) for k in (1, 1, 2)] + [(None, None, page), (5, None, page)]
+    found = html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(found) == 5 and {r.main_text for r in found} == {"same text here"}
+
+
+def test_suffix_array_is_sorted_and_finds_every_piece():
+    pieces = sentencepiece_codec.Pieces.read()
+    pieces.ready()
+    rng = np.random.default_rng(3)
+    raw = ["ab" * 40, "internationalisation", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "unbelievable", " ".join("the of and".split()), "internationalisation!"]
+    text = np.frombuffer(b"\xff".join(x.encode() for x in raw) + b"\xff", np.uint8)
+    begins = np.flatnonzero(text != 0xFF)
+    start, end, ids = pieces.edges(text, rng.permutation(begins))
+    found = set(zip(start.tolist(), end.tolist(), ids.tolist(), strict=True))
+    whole = text.tobytes()
+    wanted = {(k, k + len(b), n) for b, n in ((p.encode(), n) for p, n in pieces.ids.items()) for k in begins.tolist() if whole.startswith(b, k)}
+    assert found == wanted and len(found) == len(start)
+
+
+def test_many_references_to_one_digest(spark):
+    store = media.stored_payloads(table(spark, [(k, "same" if k % 3 else f"t{k}", None) for k in range(300)] + [(None, "same", None)]))
+    shown = media.sequences(store.select("key", "html"))
+    lost = spark.createDataFrame([(900, f'<img src="sha256:{"0" * 64}"><img src="x.png" alt="y">')], "key bigint, html string")
+    found = media.resolved(shown.unionByName(media.sequences(lost)), media.described(store), "key").where("kind = 'img'").collect()
+    assert len(found) == 303 and sum(r.payload_bytes == 64 for r in found) == 301
+    assert sorted((r.position, r.digest is None, r.caption, r.payload_bytes) for r in found if r.key == 900) == [(0, False, None, None), (1, True, "y", None)]
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     bench = spark.createDataFrame([], "item_id bigint, text string")

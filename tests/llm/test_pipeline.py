@@ -33,3 +33,22 @@ def test_stages_equal_brute_force(spark):
         if k < 4:
             assert docs.columns == columns
     assert "ids" in docs.columns and after
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_stages_take_nulls_repeats_and_other_columns(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        common.table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, passage, "en"), (1, None, "en"), (2, "", None), (3, passage, "en"), (3, passage, "en"), (4, passage + " tail", "en"), (5, "x" * 300_000, "en")]
+    docs = spark.createDataFrame([(*r, "s", 0, 1, 2, 3) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, ids int, _doc int, class_id int")
+    columns, now = docs.columns, docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        # the classifier may reject these texts; all stages are to see them
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns[: len(columns)] == columns and out.count() <= now.count()
+        if k:
+            now = common.stored(out, f"odd-{k}")
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = {(r.doc_id, len(r.text or "")) for r in now.collect()}
+    assert {(1, 0), (2, 0), (5, 300_000)} <= kept and sum(d == 3 for d, _ in kept) == 1 and now.columns[-2:] == ["_ids", "decoded_sha256"]

@@ -1,6 +1,10 @@
 """A pipeline over ``documents``: each stage reads what its predecessor kept.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``. Every stage takes
+null, empty and very long texts, repeated rows and ids, empty tables and further
+columns of any name: null and empty texts have no words, so no later stage than
+the classifier drops them; of rows with one id near-dedup keeps one; rows with a
+null id are kept by near-dedup and substring dedup as they are.
 """
 
 from __future__ import annotations

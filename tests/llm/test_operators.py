@@ -338,7 +338,7 @@ def test_slots_of_pages_without_an_article(spark):
     for k in range(9):
         own = "".join(f"<p>{prose(rng, 'en', 80)}</p>" for _ in range(1 + k % 3))
         # no element or class says what it is
-        page = f"<body><div class='u1'>{prose(rng, 'de', 4)}</div><div class='u2'><h1>T{k}</h1><span>by x</span></div><div class='u3'><div class='u4'>{own}</div></div><div class='u5'>{prose(rng, 'de', 5)}</div></body>"
+        page = f"<body><div class='ua'>{prose(rng, 'de', 4)}</div><div class='ub'><h1>T{k}</h1><span>by x</span></div><div class='uc'><div class='ud'>{own}</div></div><div class='ue'>{prose(rng, 'de', 5)}</div></body>"
         rows.append((k, f"https://a.example/{k}", page))
     # an article of two parts keeps both
     for k in range(9):

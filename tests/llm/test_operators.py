@@ -351,7 +351,7 @@ def test_slots_of_pages_without_an_article(spark):
         assert found[k] == "\n\n".join(wanted)
         # without the template the page can't tell
         assert html_extraction.main_text(page, set(), set(), set()) != found[k]
-    assert all(len(found[20 + k].split("\n\n")) == 2 for k in range(9)) and len(found[40].split("\n\n")) == 4
+    assert all(len(found[20 + k].split("\n\n")) == 2 for k in range(9)) and len(found[40].split("\n\n")) == 5
 
 
 def test_classes_that_do_not_nest_are_no_template():

@@ -185,7 +185,7 @@ def sketches(docs: DataFrame, key: str, text: str, bands: int, rows: int, weight
 
 
 def shingle_sets(docs: DataFrame, weighted: bool) -> DataFrame:
-    """Of rows (whole, text) whose text has that hash: ``doc`` (the hash) and its distinct shingles as 32-bit hashes."""
+    """Of rows (doc, whole, text) whose text has that hash: doc and its distinct shingles as 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,9 +193,9 @@ def shingle_sets(docs: DataFrame, weighted: bool) -> DataFrame:
                 hashes, often, at = shingles(data, offsets)
                 lists = c.nested(pa.array((hashes >> _U(32)).astype(np.uint32).view(np.int32)), np.diff(at))
                 own = c.as_int64(wholes(hashes, often, at, weighted)) == block.column("whole").to_numpy()
-                yield pa.RecordBatch.from_arrays([block.column("whole"), lists], ["doc", "grams"]).filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([block.column("doc"), lists], ["doc", "grams"]).filter(pa.array(own))
 
-    return c.batched(docs.select("whole", "text"), run, "doc bigint, grams array<int>").dropDuplicates(["doc"])
+    return c.batched(docs.select("doc", "whole", "text"), run, "doc bigint, grams array<int>").dropDuplicates(["doc"])
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, grams: str) -> DataFrame:
@@ -223,17 +223,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     """One row for each document: key, class_id (the smallest id of its class)."""
     made = c.stored(sketches(docs, key, text, bands, rows, weighted), "sketches")
     ids = c.stored(made.select("doc", "whole"), "ids")
-    same = c.stored(ids.groupBy("whole").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "same")
-    # both sides of these joins grow with the input at all sizes: no broadcast. From here on ``doc`` is a distinct text, by its hash
-    first = same.select("whole", F.col("first").alias("doc")).hint("merge")
-    texts = made.join(first, ["whole", "doc"]).dropDuplicates(["whole"]).select(F.col("whole").alias("doc"), "buckets", "bits")
+    same = ids.groupBy("whole").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    # a distinct text goes by the first id that has it, so that it stands before its later copies; an id's further texts by their hashes
+    owns = same.groupBy("first").agg(F.min("whole").alias("own"))
+    same = c.stored(same.join(owns.hint("merge"), "first").select("whole", "first", "n", F.when(F.col("whole") == F.col("own"), F.col("first")).otherwise(F.col("whole")).alias("node")), "same")
+    # both sides of these joins grow with the input at all sizes: no broadcast. From here on ``doc`` is a distinct text
+    first = same.select("whole", F.col("first").alias("doc"), "node").hint("merge")
+    texts = made.join(first, ["whole", "doc"]).dropDuplicates(["whole"]).select(F.col("node").alias("doc"), "buckets", "bits")
     texts = c.stored(texts, "texts")
     c.dropped(made)
     single = c.stored(texts.select("doc", F.explode("buckets").alias("bucket")), "buckets")
     least = single.groupBy("bucket").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("bucket", "least")
     members = c.stored(single.join(least.hint("merge"), "bucket").join(texts.select("doc", "bits").hint("merge"), "doc"), "members")
     c.dropped(single)
-    wanted = members.select(F.col("doc").alias("whole")).distinct().join(same.select("whole", F.col("first").alias("_first")), "whole")
+    wanted = members.select("doc").distinct().join(same.select(F.col("node").alias("doc"), "whole", F.col("first").alias("_first")), "doc")
     picked = docs.select(F.col(key).cast("bigint").alias("_first"), F.col(text).alias("text")).join(wanted.hint("merge"), "_first")
     sets = c.stored(shingle_sets(picked, weighted), "shingles")
 
@@ -248,9 +251,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     crossed = c.stored(cross_pairs(named(members, components(links)), texts, tried, near), "crossed")
     links = links.unionByName(verified(crossed, sets, similarity))
     # of texts to documents: the first with each text, and its copies
-    of = lambda x: same.select(F.col("whole").alias(x), F.col("first").alias(f"{x}_doc")).hint("merge")
+    of = lambda x: same.select(F.col("node").alias(x), F.col("first").alias(f"{x}_doc")).hint("merge")
     near_links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
-    copies = c.joined(ids, same, ["whole"]).where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    copies = c.joined(ids, same.select("whole", "first", "n"), ["whole"]).where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
     final = components(near_links.unionByName(copies))
     own = docs.select(F.col(key))
     return own.join(final.select(F.col("id").alias(key), F.col("root")), key, "left").select(F.col(key), F.coalesce("root", F.col(key).cast("bigint")).alias("class_id"))

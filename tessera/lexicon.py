@@ -36,7 +36,23 @@ STOPWORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "in
 # Titles that say nothing about an event.
 GENERIC_TITLES = ("read more", "learn more", "click here", "view more", "more", "details")
 # Points of the additive score.
-WEIGHTS = {"high_keyword": 15, "medium_keyword": 7, "context_keyword": 4, "primary_source_bonus": 20, "multiple_entity_bonus": 8, "title_match_bonus": 5, "action_bonus": 20}
+WEIGHTS = {"high_keyword": 15, "medium_keyword": 7, "context_keyword": 4, "primary_source_bonus": 20, "multiple_entity_bonus": 8, "title_match_bonus": 5, "action_bonus": 20, "institutional_source_bonus": 5, "protocol_bonus": 10, "ledger_bonus": 10}
+# Words of incidents, of joint projects and of the regions and money they are about, by which reports of one event are told.
+INCIDENT_TERMS = ("hack", "hacked", "exploit", "exploited", "breach", "breached")
+EVENT_TERMS = ("cross", "border", "settlement", "stablecoin", "tokenized", "tokenised", "payment", "payments", "custody", "wallet", "ledger", "initiative", "partnership", "digital", "blockchain")
+REGION_TERMS = ("singapore", "malaysia", "thailand", "indonesia", "philippines", "vietnam", "cambodia", "laos", "myanmar", "brunei", "brazil", "canada", "mexico", "india", "china", "japan", "korea", "australia", "switzerland", "uae", "saudi", "europe")
+FINANCE_TERMS = ("settlement", "stablecoin", "tokenized", "tokenised", "payment", "payments", "digital", "money", "blockchain", "ledger")
+# Some of the markers of speculative headlines; more are configuration.
+COMMENTARY = ("price prediction", "price forecast", "price target", "price analysis", "technical analysis", "chart analysis")
+
+
+@dataclass(frozen=True)
+class Landing:
+    """A page that announces nothing: a title with ``phrase`` and one of ``kinds``, a summary that opens with ``stub`` and names no figure."""
+
+    phrase: str
+    kinds: tuple[str, ...]
+    stub: str
 
 
 @dataclass(frozen=True)
@@ -49,14 +65,30 @@ class Lexicon:
     high_value: tuple[str, ...]
     #: those for which follow-ups of an incident may lie further apart
     incident_entities: tuple[str, ...] = ()
-    incident_terms: tuple[str, ...] = ("hack", "hacked", "exploit", "exploited", "breach", "breached")
+    incident_terms: tuple[str, ...] = INCIDENT_TERMS
+    #: tokens of joint projects, of regions (two of which count), that must all stand for these, and one of which must
+    event_terms: tuple[str, ...] = EVENT_TERMS
+    region_terms: tuple[str, ...] = REGION_TERMS
+    across_terms: tuple[str, ...] = ("cross", "border")
+    finance_terms: tuple[str, ...] = FINANCE_TERMS
+    #: aliases that count only as they are written
+    exact: tuple[str, ...] = ()
     keywords: dict[str, tuple[str, ...]] = field(default_factory=dict)
     terms: dict[str, tuple[str, ...]] = field(default_factory=dict)
     categories: tuple[Category, ...] = ()
     #: categories that make a row topical, and those that earn the action bonus
     topical: tuple[str, ...] = ()
     action: tuple[str, ...] = ()
-    commentary: tuple[str, ...] = ("price prediction", "price forecast", "price target", "price analysis", "technical analysis", "chart analysis")
+    commentary: tuple[str, ...] = COMMENTARY
+    #: medium keywords that count in a title only, beside a direct entity
+    bare: tuple[str, ...] = ()
+    #: categories that earn the bonuses of protocol and ledger, that are institutional, and that are if one of ``rail`` stands there too
+    protocol: tuple[str, ...] = ()
+    ledger: tuple[str, ...] = ()
+    institutional: tuple[str, ...] = ()
+    by_rail: tuple[str, ...] = ()
+    rail: tuple[str, ...] = ()
+    landing: Landing | None = None
     themes: tuple[Theme, ...] = ()
     weights: dict[str, int] = field(default_factory=lambda: dict(WEIGHTS))
     publish_score: int = 30
@@ -69,6 +101,9 @@ class Lexicon:
             raise ValueError("scores lie between 0 and 100, weights are whole and not negative")
         if any(not a.strip() for g in self.entities.values() for aliases in g.values() for a in aliases):
             raise ValueError("an alias is empty")
+        kinds = {c.name for c in self.categories}
+        if unknown := [x for x in (*self.topical, *self.action, *self.protocol, *self.ledger, *self.institutional, *self.by_rail) if x not in kinds]:
+            raise ValueError(f"unknown categories: {unknown}")
         groups = set(self.terms) | {f"entity:{g}" for g in self.entities}
         for c in self.categories:
             if missing := [g for g in (*c.all_of, *c.any_of, *c.none_of) if g not in groups]:
@@ -78,15 +113,26 @@ class Lexicon:
         """(group, canonical name, aliases) in the order of results."""
         return [(g, name, aliases) for g, members in self.entities.items() for name, aliases in members.items()]
 
+    def vocabulary(self) -> tuple[str, ...]:
+        """Every term that is looked for in title and summary."""
+        named = [a for _, _, aliases in self.ordered() for a in aliases if a not in self.exact]
+        themes = [x for theme in self.themes for x in theme.terms]
+        return tuple(dict.fromkeys([*named, *self.rail, *themes, *(x for g in (*self.keywords.values(), *self.terms.values()) for x in g)]))
+
+    def title_terms(self) -> tuple[str, ...]:
+        kinds = self.landing.kinds if self.landing else ()
+        return tuple(dict.fromkeys([*kinds, *(x for g in self.keywords.values() for x in g)]))
+
     @classmethod
     def read(cls, text: str) -> "Lexicon":
         """From JSON with the fields above; unknown fields are refused."""
         raw = json.loads(text)
-        lists = {k: tuple(raw[k]) for k in ("high_value", "incident_entities", "incident_terms", "topical", "action", "commentary") if k in raw}
+        lists = {k: tuple(raw[k]) for k in ("high_value", "incident_entities", "incident_terms", "event_terms", "region_terms", "across_terms", "finance_terms", "exact", "topical", "action", "commentary", "bare", "protocol", "ledger", "institutional", "by_rail", "rail") if k in raw}
         maps = {k: {n: tuple(v) for n, v in raw[k].items()} for k in ("keywords", "terms") if k in raw}
         made = {
             "entities": {g: {n: tuple(a) for n, a in m.items()} for g, m in raw["entities"].items()},
             "categories": tuple(Category(**{k: tuple(v) if isinstance(v, list) else v for k, v in c.items()}) for c in raw.get("categories", [])),
+            "landing": Landing(**raw["landing"] | {"kinds": tuple(raw["landing"]["kinds"])}) if raw.get("landing") else None,
             "themes": tuple(Theme(t["name"], tuple(t["terms"])) for t in raw.get("themes", [])),
         }
         rest = {k: v for k, v in raw.items() if k not in lists and k not in maps and k not in made}
@@ -97,7 +143,7 @@ class Lexicon:
 SAMPLE = Lexicon(
     entities={
         "asset": {"Thanea": ("thanea", "anea"), "Eriner": ("eriner",)},
-        "company": {"Attion": ("attion", "tionatt"), "Elle": ("elle",), "Keit": ("keit", "heit")},
+        "company": {"Attion": ("attion", "tionatt"), "Elle": ("elle",), "Keit": ("keit", "heit"), "Une": ("Une",)},
         "authority": {"Thanedble": ("thanedble",), "Nicht": ("nicht", "auch nicht")},
     },
     direct="asset",
@@ -110,8 +156,22 @@ SAMPLE = Lexicon(
         Category("direct_asset", all_of=("entity:asset",)),
         Category("authority_topic_action", all_of=("entity:authority", "action", "topic")),
         Category("authority_action", all_of=("entity:authority", "action"), unless="authority_topic_action"),
+        Category("protocol_change", all_of=("entity:asset",), any_of=("topic",)),
+        Category("ledger_note", all_of=("entity:authority", "entity:asset")),
         Category("company_topic", all_of=("entity:company",), any_of=("topic", "action"), none_of=("quiet",)),
     ),
+    event_terms=("thanedble", "that", "with", "from", "this", "nicht", "sich"),
+    region_terms=("attion", "eriner", "thanea", "elle", "keit", "thnt", "thre", "avec", "pour"),
+    across_terms=("that", "from"),
+    finance_terms=("tion", "ment", "ther"),
+    exact=("Une",),
+    bare=("tion",),
+    protocol=("protocol_change",),
+    ledger=("ledger_note",),
+    institutional=("authority_action",),
+    by_rail=("company_topic",),
+    rail=("avec", "sich", "with", "auch nicht"),
+    landing=Landing("th", ("tion", "thst", "than"), "t"),
     topical=("direct_asset", "authority_topic_action", "authority_action", "company_topic"),
     action=("authority_topic_action", "company_topic"),
     commentary=("thing", "thly"),

@@ -1,11 +1,8 @@
-"""Background for an item: curated records whose aliases it names, few and of different topics."""
+"""Background for an item: curated records whose aliases it names, few and of different topics; earlier events; theses."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
@@ -19,7 +16,7 @@ def matches(items: DataFrame, records: DataFrame) -> DataFrame:
 
     An equi-join on word sequences: the item's distinct runs of one to four
     words meet the first words of the aliases; a longer alias must then stand in the
-item as a whole.
+    item as a whole.
     """
     alias = records.select("record_id", "topic", "date", "priority", F.explode(F.array_distinct("aliases")).alias("alias"))
     alias = alias.withColumn("w", t.words(F.col("alias"))).where(F.size("w") > 0).withColumns({"key": F.concat_ws(" ", F.slice("w", 1, MOST)), "whole": F.concat_ws(" ", F.lit(""), "w", F.lit("")), "size": F.size("w")}).drop("alias")
@@ -38,28 +35,50 @@ item as a whole.
     return hit.select("item_id", "record_id", "topic", "date", (F.col("alias_score") * 4 + F.col("priority") * 3 + recency).cast("bigint").alias("score"))
 
 
-def _pick(rows: list[tuple], most: int) -> list[tuple]:
-    """Greedy: a first record of its topic counts 5 more, each earlier one of it 5 less; ties to the later date, then id."""
-    left, used, out = list(rows), {}, []
-    while left and len(out) < most:
-        best = max(left, key=lambda r: (r[3] + (0 if used.get(r[1]) else 5) - 5 * used.get(r[1], 0), r[2], r[0]))
-        left.remove(best)
-        used[best[1]] = used.get(best[1], 0) + 1
-        out.append(best)
-    return out
+def select(items: DataFrame, records: DataFrame, most: int) -> DataFrame:
+    """``item_id``, ``rank``, ``record_id``: the picks for each item. A first record of its topic counts 5 more, each later one 5 less for every one before it.
 
+    Within a topic that order is that of the scores, so a record's worth follows from its place there, and the picks are the records of most worth.
+    """
+    order = lambda score: [F.desc(score), F.desc("date"), F.desc("record_id")]
+    place = F.row_number().over(Window.partitionBy("item_id", "topic").orderBy(*order("score"))) - 1
+    worth = matches(items, records).withColumn("place", place).where(f"place < {most}").withColumn("worth", F.col("score") + F.when(F.col("place") == 0, 5).otherwise(-5 * F.col("place")))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(*order("worth")))
+    return worth.withColumn("rank", rank).where(f"rank <= {most}").select("item_id", "rank", "record_id")
 
-def select(items: DataFrame, records: DataFrame, most: int) -> DataFrame:
-    """``item_id``, ``rank``, ``record_id``: the picks for each item. Only the ``most`` best of each topic can be picked, so a group is that times the topics."""
-    from pyspark.sql import Window
 
-    found = matches(items, records)
-    rank = F.row_number().over(Window.partitionBy("item_id", "topic").orderBy(F.desc("score"), F.desc("date"), F.desc("record_id")))
-    found = found.withColumn("_r", rank).where(f"_r <= {most}").groupBy("item_id").agg(F.collect_list(F.struct("record_id", "topic", "date", "score")).alias("rows"))
+def prior_events(items: DataFrame, events: DataFrame, most: int = 3) -> DataFrame:
+    """``item_id``, ``rank``, ``event_id``, ``score``: earlier events of an entity of the item that share two more words with it.
+
+    Both tables have ``tokens`` and ``entities``; events have ``date``. Score: three for each entity, one for each word; ties to the older.
+    Candidates meet by (entity, rare word): of two common words one is not the most frequent of either.
+    """
+    every = items.select("tokens").unionByName(events.select("tokens")).select(F.explode("tokens").alias("token"))
+    counts = every.groupBy("token").agg(F.count("*").alias("n"))
+
+    def keyed(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.select(key, F.explode("tokens").alias("token")).join(counts, "token")
+        rare = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
+        lists = each.groupBy(key).agg(rare.alias("rare"))
+        named = rows.select(key, F.explode("entities").alias("entity")).join(lists, key)
+        return named.select(key, "entity", F.explode(F.slice("rare", 1, F.greatest(F.size("rare") - 1, F.lit(1)))).alias("token"))
+
+    met = keyed(items, "item_id").join(keyed(events, "event_id"), ["entity", "token"]).select("item_id", "event_id").distinct()
+    both = met.join(items.select("item_id", F.col("tokens").alias("x"), F.col("entities").alias("ex")), "item_id").join(events.select("event_id", "date", F.col("tokens").alias("y"), F.col("entities").alias("ey")), "event_id")
+    shared, common = F.array_intersect("ex", "ey"), F.array_intersect("x", "y")
+    own = F.flatten(F.transform(shared, lambda x: F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), 1)))
+    found = both.where(F.size(F.array_except(common, own)) >= 2).withColumn("score", F.size(shared) * 3 + F.size(common))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "date", "event_id"))
+    return found.withColumn("rank", rank).where(f"rank <= {most}").select("item_id", "rank", "event_id", "score")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            picks = [(i, k + 1, r[0]) for i, rows in zip(b["item_id"], b["rows"], strict=True) for k, r in enumerate(_pick([(x["record_id"], x["topic"], x["date"], x["score"]) for x in rows], most))]
-            yield pd.DataFrame(picks, columns=["item_id", "rank", "record_id"])
 
-    return found.mapInPandas(run, "item_id bigint, rank int, record_id bigint")
+def theses_of(items: DataFrame, theses: DataFrame, most: int = 3) -> DataFrame:
+    """``item_id``, ``rank``, ``thesis_id``: theses of the item's entities; supported before mixed before weakened, then the latest.
+
+    An entity has few theses (one a theme), so only the best ``most`` of each are repeated for its items.
+    """
+    order = [F.desc(F.when(F.col("status") == "supported", 2).when(F.col("status") == "mixed", 1).otherwise(0)), F.desc("updated_at"), F.desc("thesis_id")]
+    best = theses.withColumn("_r", F.row_number().over(Window.partitionBy("entity").orderBy(*order))).where(f"_r <= {most}").drop("_r")
+    found = items.select("item_id", F.explode("entities").alias("entity")).join(best, "entity")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(*order))
+    return found.withColumn("rank", rank).where(f"rank <= {most}").select("item_id", "rank", "thesis_id")

@@ -1,9 +1,11 @@
 """Similarity joins across sources: items that report one event.
 
 Candidates share an entity and two tokens and lie within days of each other: an
-equi-join on (entity, day, token), the day of one side repeated for the days
-around, and the cheap tests in the join's condition; the sequence ratio comes
-last. No cross join; AQE splits what is still skewed.
+equi-join on (entity, day, token). Tokens are ordered by how many items have them
+and each item leaves its most frequent one out: two items that share two tokens
+share one that is not the last of either. The join carries ids, sizes and sources
+alone; each candidate pair is one row before its tokens are fetched and compared,
+and the sequence ratio comes last. No cross join; AQE splits what is still skewed.
 """
 
 from __future__ import annotations
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.lexicon import Lexicon
+from tessera.tables import stored
+
+#: Least share of common tokens, and least similarity of the tokens in a row, for one event; and what earns points.
+JACCARD, RATIO, CLOSE_JACCARD, CLOSE_RATIO = 0.30, 0.72, 0.45, 0.82
+OTHER_PATHS = 85
 
 
 def cards(items: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -21,35 +28,89 @@ def cards(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     return items.select("item_id", "source_id", "quality", "score", "published_at", F.to_date("published_at").alias("day"), "tokens", F.array_intersect("entities", high).alias("high"), t.amounts(F.col("title")).alias("amounts")).where((F.size("high") > 0) & (F.size("tokens") > 0))
 
 
-def _keyed(cards: DataFrame, side: str) -> DataFrame:
-    """Cards once for each high-value entity and each token of the prefix: two cards that share two tokens share one that isn't the last of either in a fixed order (long ones first)."""
-    order = F.array_sort(F.transform("tokens", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
-    prefix = F.transform(F.slice(order, 1, F.greatest(F.size("tokens") - 1, F.lit(1))), lambda x: x["x"])
-    cols = {"item_id": side, "source_id": f"source_{side}", "tokens": f"t{side}", "high": f"h{side}", "amounts": f"m{side}"}
-    named = cards.select(*[F.col(c).alias(n) for c, n in cols.items()], "day", prefix.alias(f"p{side}"))
-    return named.withColumn("entity", F.explode(f"h{side}")).withColumn("token", F.explode(f"p{side}"))
+def rarest(cards: DataFrame, counts: DataFrame) -> DataFrame:
+    """The cards with ``prefix``: their tokens without the most frequent (one token stays)."""
+    each = cards.select("item_id", F.explode("tokens").alias("token")).join(counts, "token")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
+    lists = each.groupBy("item_id").agg(order.alias("rare"))
+    return cards.join(lists, "item_id").withColumn("prefix", F.slice("rare", 1, F.greatest(F.size("rare") - 1, F.lit(1)))).drop("rare")
 
 
-def pairs(left: DataFrame, right: DataFrame, lexicon: Lexicon, sequence: bool = True, days: int = 3) -> DataFrame:
-    """(a, b) of different sources with their score; ``sequence`` adds the order-dependent ratio of the tokens in a row."""
-    words = F.array(*map(F.lit, lexicon.incident_terms))
-    reach = F.when((F.size("ma") > 0) & F.arrays_overlap("ta", words), days).otherwise(1)
-    a = _keyed(left, "a").withColumnRenamed("day", "day_a")
+def candidates(left: DataFrame, right: DataFrame, lexicon: Lexicon, days: int = 3, bounded: bool = True) -> DataFrame:
+    """(a, b), once each: items of different sources with a common entity and two common tokens, a day apart at most, or ``days`` for an incident.
+
+    ``bounded``: without pairs whose numbers of tokens rule out the Jaccard and whose lengths rule out the ratio.
+    """
+    each = left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens").alias("token")))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    told = F.arrays_overlap("tokens", t.listed(lexicon.incident_terms)) & (F.size("amounts") > 0)
+
+    def keyed(cards: DataFrame, side: str) -> DataFrame:
+        of = {"item_id": side, "source_id": f"source_{side}"}
+        sizes = [F.size("tokens").alias(f"n{side}"), F.char_length(F.concat_ws(" ", "tokens")).alias(f"l{side}"), told.alias(f"told_{side}")]
+        return rarest(cards, counts).select(*[F.col(c).alias(n) for c, n in of.items()], *sizes, "day", F.explode("high").alias("entity"), "prefix").withColumn("token", F.explode("prefix")).drop("prefix")
+
+    a = keyed(left, "a").withColumnRenamed("day", "day_a")
+    reach = F.when(F.col("told_a"), days).otherwise(1)
     a = a.withColumn("day", F.explode(F.transform(F.sequence(-reach, reach), lambda k: F.date_add("day_a", k))))
-    b = _keyed(right, "b")
-    gap = F.abs(F.datediff("day", "day_a"))
-    follow = F.arrays_overlap("ta", words) & F.arrays_overlap("tb", words) & t.amounts_match(F.col("ma"), F.col("mb"))
-    follow = follow & F.arrays_overlap(F.array_intersect("ha", "hb"), F.array(*map(F.lit, lexicon.incident_entities)).cast("array<string>"))
-    # the first shared entity and token alone make the pair: no pair twice
-    once = (F.element_at(F.array_intersect("ha", "hb"), 1) == F.col("entity")) & (F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("token"))
+    b = keyed(right, "b")
+    far = F.abs(F.datediff("day", "day_a")) > 1
     other = ~(F.coalesce("source_a", F.lit("")).eqNullSafe(F.coalesce("source_b", F.lit(""))) & (F.coalesce("source_a", F.lit("")) != ""))
-    enough = F.size(F.array_intersect("ta", "tb")) >= 2
-    near = a.join(b, ["entity", "day", "token"]).where((F.col("a") != F.col("b")) & other & once & enough & ((gap <= 1) | follow))
-    near = near.select("a", "b", "source_a", "source_b", gap.alias("gap"), t.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"), F.array_intersect("ha", "hb").alias("shared"), F.concat_ws(" ", "ta").alias("xa"), F.concat_ws(" ", "tb").alias("xb"), F.array_intersect("ta", "tb").alias("both"))
-    near = near.withColumn("ratio", t.sequence_ratio("xa", "xb", 0.72) if sequence else F.lit(0.0))
-    near = near.where((F.col("jaccard") >= 0.30) | (F.col("ratio") >= 0.72) | (F.col("gap") > 1))
-    points = F.lit(60) + F.when(F.col("gap") == 0, 15).otherwise(0) + F.when(F.col("jaccard") >= 0.45, 15).otherwise(0) + F.when(F.col("ratio") >= 0.82, 10).otherwise(0)
-    return near.select("a", "b", "source_a", "source_b", "gap", "shared", "both", F.least(F.lit(100), points).alias("points"))
+    possible = (F.least("na", "nb") >= JACCARD * F.greatest("na", "nb") - 1e-9) | (2 * F.least("la", "lb") >= RATIO * (F.col("la") + F.col("lb")) - 1e-9) | far
+    met = a.join(b, ["entity", "day", "token"]).where((F.col("a") != F.col("b")) & other & (~far | (F.col("told_a") & F.col("told_b"))))
+    return (met.where(possible) if bounded else met).select("a", "b").distinct()
+
+
+def compared(found: DataFrame, left: DataFrame, right: DataFrame, sequence: bool = True) -> DataFrame:
+    """The pairs (a, b) with gap in days, shared entities, common tokens, Jaccard and sequence ratio (0 where it is too small to count; always without ``sequence``)."""
+    side = lambda cards, x: cards.select(F.col("item_id").alias(x), F.col("source_id").alias(f"source_{x}"), F.col("tokens").alias(f"t{x}"), F.col("high").alias(f"h{x}"), F.col("amounts").alias(f"m{x}"), F.col("day").alias(f"day_{x}"))
+    both = found.join(side(left, "a"), "a").join(side(right, "b"), "b")
+    both = both.withColumns({"gap": F.abs(F.datediff("day_a", "day_b")), "shared": F.array_intersect("ha", "hb"), "both": F.array_intersect("ta", "tb"), "jaccard": t.jaccard(F.col("ta"), F.col("tb"))})
+    if not sequence:
+        return both.withColumn("ratio", F.lit(0.0))
+    row = lambda x: F.concat_ws(" ", F.array_sort(x))
+    return both.withColumn("ratio", t.sequence_ratio(row("ta"), row("tb"), F.when(F.col("jaccard") >= JACCARD, CLOSE_RATIO).otherwise(RATIO)))
+
+
+def pairs(left: DataFrame, right: DataFrame, lexicon: Lexicon, sequence: bool = True, days: int = 3) -> DataFrame:
+    """(a, b) of different sources that report one event, with their score; ``sequence`` adds the order-dependent ratio of the tokens in a row."""
+    near = compared(stored(candidates(left, right, lexicon, days), "candidates"), left, right, sequence)
+    words = t.listed(lexicon.incident_terms)
+    follow = F.arrays_overlap("ta", words) & F.arrays_overlap("tb", words) & t.amounts_match(F.col("ma"), F.col("mb")) & F.arrays_overlap("shared", t.listed(lexicon.incident_entities))
+    near = near.where((F.size("both") >= 2) & ((F.col("gap") <= 1) | follow))
+    near = near.where((F.col("jaccard") >= JACCARD) | (F.col("ratio") >= RATIO) | (F.col("gap") > 1))
+    return near.select("a", "b", "source_a", "source_b", "gap", "shared", "both", F.least(F.lit(100), points()).alias("points"))
+
+
+def points() -> F.Column:
+    return F.lit(60) + F.when(F.col("gap") == 0, 15).otherwise(0) + F.when(F.col("jaccard") >= CLOSE_JACCARD, 15).otherwise(0) + F.when(F.col("ratio") >= CLOSE_RATIO, 10).otherwise(0)
+
+
+def regional(left: DataFrame, right: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(a, b), a day apart at most, with two regions and the words for what crosses between them in common: an equi-join on (day, region, region)."""
+
+    def keyed(cards: DataFrame, side: str) -> DataFrame:
+        across = F.size(F.array_intersect("tokens", t.listed(lexicon.across_terms))) == len(set(lexicon.across_terms))
+        named = cards.where(across).withColumn("r", F.array_sort(F.array_intersect("tokens", t.listed(lexicon.region_terms)))).where(F.size("r") >= 2)
+        two = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        return named.select(F.col("item_id").alias(side), F.col("source_id").alias(f"source_{side}"), "day", F.inline(two))
+
+    a = keyed(left, "a").withColumn("day", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.date_add("day", k))))
+    return a.join(keyed(right, "b"), ["day", "x", "y"]).where("a != b AND NOT coalesce(source_a = source_b AND source_a != '', false)").select("a", "b").distinct()
+
+
+def duplicates(second: DataFrame, first: DataFrame, lexicon: Lexicon, sequence: bool = True) -> DataFrame:
+    """(a, b, points) where b reports what a does, by points of 75 or more: of their titles, by three common entities, or by two common regions."""
+    found = candidates(second, first, lexicon, days=1, bounded=False).unionByName(regional(second, first, lexicon)).distinct()
+    near = compared(stored(found, "candidates"), second, first, sequence).where("gap <= 1")
+    shared, common = F.size("shared"), F.size("both")
+    alike = (shared > 0) & (common >= 2) & ((F.col("jaccard") >= JACCARD) | (F.col("ratio") >= RATIO))
+    names = (shared >= 3) & (common >= 4) & F.arrays_overlap("both", t.listed(lexicon.event_terms))
+    regions = (F.size(F.array_intersect("both", t.listed(lexicon.region_terms))) >= 2) & (common >= 4) & (F.size(F.array_intersect("both", t.listed(lexicon.across_terms))) == len(set(lexicon.across_terms)))
+    regions = regions & (F.arrays_overlap("ta", t.listed(lexicon.finance_terms)) | F.arrays_overlap("tb", t.listed(lexicon.finance_terms)))
+    own = F.least(F.lit(100), points())
+    score = F.when(alike & (own >= 75), own).when(names | regions, OTHER_PATHS)
+    return near.withColumn("points", score).where("points IS NOT NULL").select("a", "b", "source_a", "source_b", "gap", "points")
 
 
 def rollup(found: DataFrame) -> DataFrame:
@@ -72,7 +133,7 @@ def buried(items: DataFrame, rolled: DataFrame, gate: int) -> DataFrame:
 def preferred(found: DataFrame, secondary: DataFrame, primary: DataFrame) -> DataFrame:
     """For each qualifying secondary item the primary one that it repeats: best by (points, score, source, id)."""
     p = primary.select(F.col("item_id").alias("b"), F.col("score").alias("score_b"))
-    hit = found.where("points >= 75 AND gap <= 1").join(secondary.select(F.col("item_id").alias("a")), "a").join(p, "b")
+    hit = found.join(secondary.select(F.col("item_id").alias("a")), "a").join(p, "b")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("points"), F.desc("score_b"), F.desc("source_b"), F.desc("b")))
     return hit.withColumn("_r", rank).where("_r = 1").select(F.col("a").alias("item_id"), F.col("b").alias("repeats"), "points")
 

@@ -37,24 +37,30 @@ def near_titles(items: DataFrame, ratio: float = RATIO, order: str = "item_id")
     Headlines count from six words and 30 characters. At the ratio r at most
     (1 - r) of both lengths differ, so of that many pieces and one more of a
     headline one stands unchanged in the other, not far from its place: pieces
-    are joined by their first characters, lengths and places are compared, and
-    only then the ratio itself.
+    are joined by their first characters and the stretch of the headline that they
+    stand in (or beside), lengths and places are compared, and only then the ratio
+    itself.
     """
     w = t.words(F.col("title"))
     base = items.select(F.col(order).alias("id"), F.to_date("published_at").alias("day"), F.concat_ws(" ", w).alias("norm"), F.size(w).alias("n"), F.length(F.concat_ws("", w)).alias("solid"))
     base = stored(base.where((F.col("n") >= 6) & (F.col("solid") >= 30)).select("id", "day", "norm", F.length("norm").alias("len")), "headlines")
     # pieces and grams travel without their headlines, whose length would be squared
     gram = lambda at: F.struct(at.alias("at"), F.substring("norm", at, F.lit(GRAM)).alias("gram"))
-    slack = F.floor((1 - ratio) * (2 / ratio) * F.col("len") + 1e-9).cast("int")
-    pieces = base.withColumn("slack", slack).withColumn("step", F.floor(F.col("len") / (F.col("slack") + 1)).cast("int"))
+    slack = lambda n: F.floor((1 - ratio) * (2 / ratio) * n + 1e-9).cast("int")
+    # stretches are a power of two that is longer than the slack; a near headline's length may call for the next one up or down
+    stretch = lambda n: F.ceil(F.log2(slack(n) + 1.0)).cast("int")
+    pieces = base.withColumn("slack", slack(F.col("len"))).withColumn("step", F.floor(F.col("len") / (F.col("slack") + 1)).cast("int"))
     starts = F.transform(F.sequence(F.lit(0), F.col("slack")), lambda k: gram(k * F.col("step") + 1))
-    grams = pieces.select("id", "day", "len", "slack", F.inline(starts))
+    grams = pieces.select("id", "day", "len", "slack", stretch(F.col("len")).alias("bits"), F.inline(starts))
+    grams = grams.withColumn("part", F.explode(F.expr("transform(array(-1, 0, 1), k -> shiftright(at, bits) + k)")))
     every = base.select("id", "day", "len", F.inline(F.transform(F.sequence(F.lit(1), F.col("len") - GRAM + 1), gram))).toDF("id_b", "day", "len_b", "at_b", "gram")
+    sizes = F.array_distinct(F.array(*[stretch(F.col("len_b") * x) for x in (ratio / (2 - ratio), 1.0, (2 - ratio) / ratio)]))
+    every = every.withColumn("bits", F.explode(sizes)).withColumn("part", F.expr("shiftright(at_b, bits)"))
     close = (F.abs(F.col("at") - F.col("at_b")) <= F.col("slack")) & (F.col("id") != F.col("id_b")) & (2 * F.least("len", "len_b") >= ratio * (F.col("len") + F.col("len_b")) - 1e-9)
-    pairs = grams.join(every, ["day", "gram"]).where(close).select(F.greatest("id", "id_b").alias("later"), F.least("id", "id_b").alias("earlier")).distinct()
+    pairs = grams.join(every, ["day", "gram", "bits", "part"]).where(close).select(F.greatest("id", "id_b").alias("later"), F.least("id", "id_b").alias("earlier")).distinct()
     text = base.select("id", "norm")
     both = pairs.join(text.toDF("later", "x"), "later").join(text.toDF("earlier", "y"), "earlier")
-    return both.where(t.sequence_ratio("x", "y", ratio) >= ratio).select("later", "earlier")
+    return both.where(t.sequence_ratio(F.col("x"), F.col("y"), ratio) >= ratio).select("later", "earlier")
 
 
 def greedy(items: DataFrame, pairs: DataFrame, order: str = "item_id") -> DataFrame:

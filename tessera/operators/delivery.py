@@ -21,6 +21,49 @@ def messages(items: DataFrame) -> DataFrame:
     return items.withColumn("message", F.concat_ws("\n", F.concat(F.lit("**"), title, F.lit("**")), F.nullif(summary, F.lit("")), F.concat(F.lit("*"), meta, F.lit("*")), link))
 
 
+#: How many claims, conflicts, open questions, sources, names and later events a message shows, and its length.
+CAPS = {"claims": 4, "conflicts": 3, "uncertainties": 3, "evidence": 4, "entities": 6, "updated_by": 3}
+LONGEST = 2000
+
+
+def event_messages(events: DataFrame) -> DataFrame:
+    """``message`` of an event, section by section, each with its own cap; empty sections are left out.
+
+    ``events``: event_type, summary, significance, status, entities, claims (text, certainty), conflicts, uncertainties,
+    evidence (title, source, source_quality, published_at as text, url), updated_by.
+    """
+    plain = lambda x: F.regexp_replace(t.squeezed(x), r"([\\*_~`|>])", r"\\$1")
+    say = lambda x, n: t.clipped(F.replace(plain(x), F.lit("@"), F.lit("@\u200b")), n)
+    some = lambda c: F.slice(F.coalesce(c, F.array().cast("array<string>")) if c in ("conflicts", "uncertainties") else F.col(c), 1, CAPS[c])
+    point = lambda x: F.concat(F.lit("• "), x)
+
+    def section(head: str, lines: F.Column) -> F.Column:
+        return F.when(F.size(lines) > 0, F.concat(F.lit(f"**{head}:**\n"), F.array_join(lines, "\n")))
+
+    names = F.array_sort(F.array_distinct(F.filter(F.transform("entities", F.trim), lambda x: x != "")), lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0))
+    certain = lambda c: F.lower(F.trim(F.coalesce(c["certainty"], F.lit(""))))
+    claim = lambda c: point(F.concat(F.when(certain(c).isin("", "unknown"), "").otherwise(F.concat(F.lit("*"), say(certain(c), 20), F.lit("* — "))), say(c["text"], 240)))
+    kind = lambda e: F.when(F.lower(e["source_quality"]) == "primary", "Primary source").when(F.lower(e["source_quality"]) == "high_signal", "Independent reporting").otherwise("Source")
+    label = lambda e: F.coalesce(F.nullif(say(e["title"], 130), F.lit("")), say(e["source"], 80))
+    day = lambda e: F.nullif(F.substring(F.trim(e["published_at"]), 1, 10), F.lit(""))
+    link = lambda e: F.when(e["url"].rlike(r"^https://[^ \t\n\r\f]+$"), F.concat(F.lit("\n  "), e["url"])).otherwise("")
+    source = lambda e: point(F.concat(F.concat_ws(" · ", kind(e), label(e), day(e)), link(e)))
+    why = F.when(F.col("event_type") == "partnership", "Strategic read-through").otherwise("Why it matters")
+    parts = [
+        F.concat(F.lit("**"), say(F.initcap(F.replace("event_type", F.lit("_"), F.lit(" "))), 70), F.lit("**")),
+        say(F.col("summary"), 420),
+        F.when(F.trim(F.coalesce("significance", F.lit(""))) != "", F.concat(F.lit("**"), why, F.lit(":** "), say(F.col("significance"), 700))),
+        F.concat(F.lit("**Status:** "), say(F.col("status"), 32)),
+        F.when(F.size(names) > 0, F.concat(F.lit("**Key entities:** "), say(F.array_join(F.slice(names, 1, CAPS["entities"]), ", "), 180))),
+        section("Grounded updates", F.transform(some("claims"), claim)),
+        section("Conflicting reports", F.transform(some("conflicts"), lambda x: point(say(x, 220)))),
+        section("Still unclear", F.transform(some("uncertainties"), lambda x: point(say(x, 220)))),
+        section("Sources", F.transform(some("evidence"), source)),
+        F.when(F.size("updated_by") > 0, F.concat(F.lit("**Updated by:** "), say(F.array_join(F.slice("updated_by", 1, CAPS["updated_by"]), ", "), 140))),
+    ]
+    return events.withColumn("message", F.substring(F.concat_ws("\n", *parts), 1, LONGEST))
+
+
 def deliver(queue: DataFrame, send: Callable[[str], bool], key: str = "key", message: str = "message") -> DataFrame:
     """Send every row where it lies: ``key``, ``sent``. After two failures in a row a task sends no more; write the result to the ledger before rows leave the queue."""
 

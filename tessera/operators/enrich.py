@@ -30,6 +30,43 @@ class Unavailable(RuntimeError):
     """The provider can't be reached."""
 
 
+def one_naming(text: F.Column, source: F.Column, expansions: dict[str, tuple[str, ...]]) -> F.Column:
+    """A text in which names stand as their source has them: where the source has only an acronym its expansion becomes that, and the other way round.
+
+    ``expansions``: acronym (lower case) to the names that it stands for. "Name (ACR)" and "ACR (Name)" become the one that is kept.
+    """
+    said = F.lower(source)
+    whole = lambda x: rf"\b{re.escape(x)}\b"
+    for short, names in expansions.items():
+        for long in names:
+            has_short, has_long = said.rlike(whole(short)), said.rlike(whole(long))
+
+            def put(value: F.Column, gone: str, kept: str) -> F.Column:
+                either = rf"(?i)\b{re.escape(gone)}\s*\(\s*{re.escape(kept)}\s*\)|\b{re.escape(kept)}\s*\(\s*{re.escape(gone)}\s*\)|\b{re.escape(gone)}\b"
+                return F.regexp_replace(value, either, kept)
+
+            text = F.when(has_short & ~has_long, put(text, long, short.upper())).when(has_long & ~has_short, put(text, short, long.title())).otherwise(text)
+    return text
+
+
+# Words of completed and of planned launches, of formal filings, and of the choice of a custodian.
+LAUNCHED, PLANNED = r"\blaunch(es|ed)?\b", r"\bto launch\b|\bplans? to launch\b|\bplanned launch\b"
+FILED = r"\b(filed|filing|submitted|petition|complaint|motion|registration statement|form [a-z0-9-]+)\b"
+CHOSEN, CUSTODY = r"\b(selects?|selected|appoints?|appointed)\b", r"\b(custody|custodian|custodial)\b"
+
+
+def event_type(given: F.Column, title: F.Column, source: F.Column, acquired: tuple[str, ...], not_final: str) -> F.Column:
+    """The type of an event, put right where its source says so; null for an acquisition that the source does not bear out.
+
+    ``acquired``: phrases one of which such a source must have; ``not_final``: a pattern that it must not.
+    """
+    head, said = F.lower(F.trim(title)), F.lower(F.trim(F.regexp_replace(source, r"\s+", " ")))
+    launch = (given == "announcement") & head.rlike(LAUNCHED) & ~head.rlike(PLANNED)
+    partner = (given == "filing") & said.rlike(CHOSEN) & said.rlike(CUSTODY) & ~said.rlike(FILED)
+    final = F.coalesce(*[F.when(said.contains(x), True) for x in acquired], F.lit(False)) & ~said.rlike(not_final)
+    return F.when(launch, "product_launch").when(partner, "partnership").when((given == "acquisition") & ~final, None).otherwise(given)
+
+
 def select(items: DataFrame, k: int, gate: int, specificity: F.Column) -> DataFrame:
     """The k items to analyse: highest score, then most specific, latest, title, id."""
     return items.where(F.col("score") >= gate).orderBy(F.desc("score"), specificity, F.desc("published_at"), F.lower("title"), "item_id").limit(k)
@@ -145,3 +182,8 @@ def evaluated(answers: DataFrame, cases: DataFrame) -> DataFrame:
     both = cases.join(answers.select("cluster_id", F.lower("summary").alias("said")), "cluster_id", "left")
     good = F.forall("must_match", lambda p: F.regexp_like(F.coalesce("said", F.lit("")), p)) & ~F.exists("must_not_match", lambda p: F.regexp_like(F.coalesce("said", F.lit("")), p))
     return both.select("cluster_id", (good & F.col("said").isNotNull()).alias("passed"))
+
+
+def evaluation_counts(judged: DataFrame) -> DataFrame:
+    """How many cases passed, and how many did not."""
+    return judged.groupBy("passed").agg(F.count("*").alias("n_cases"))

@@ -25,20 +25,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def clusters(items: DataFrame, roots: DataFrame) -> DataFrame:
-    """Per component: an id made of its smallest member, size, best score and the representative: highest score, then earliest, then smallest id."""
+    """Per component: an id made of all its members, the members in order of time, source and URL, size, best score and the representative: highest score, then earliest, then smallest id."""
     named = items.join(roots.withColumnRenamed("id", "item_id"), "item_id")
     best = F.max_by("item_id", F.struct("score", -F.unix_timestamp("published_at"), -F.col("item_id")))
-    made = named.groupBy("root").agg(F.count("*").alias("n_members"), F.count_distinct("source_id").alias("n_sources"), F.max("score").alias("best_score"), best.alias("representative"))
-    return made.withColumn("cluster_id", t.short_id("cluster-", 20, F.col("root").cast("string")))
+    ids = F.array_sort(F.collect_list(F.col("item_id").cast("string")))
+    members = F.transform(F.array_sort(F.collect_list(F.struct("published_at", F.coalesce("source_id", F.lit("")).alias("s"), F.coalesce("url", F.lit("")).alias("u"), "item_id"))), lambda x: x["item_id"])
+    made = named.groupBy("root").agg(F.count("*").alias("n_members"), F.count_distinct("source_id").alias("n_sources"), F.max("score").alias("best_score"), best.alias("representative"), F.array_join(ids, "|").alias("_ids"), members.alias("members"))
+    return made.withColumn("cluster_id", t.short_id("cluster-", 24, F.col("_ids"))).drop("_ids")
 
 
 def projection(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of events with entities and a source: entity to event, source to event."""
+    """Nodes and edges of events: entity to event, source to event, and each claim (where there is a column ``claims``) to its event."""
     event = F.concat(F.lit("event:"), F.col("item_id").cast("string"))
-    mention = events.select(F.explode("entities").alias("e"), event.alias("dst")).select(F.concat(F.lit("entity:"), F.lower("e")).alias("src"), "dst", F.lit("mentioned_in").alias("kind"))
-    report = events.where("source_id IS NOT NULL").select(F.concat(F.lit("source:"), F.col("source_id")).alias("src"), event.alias("dst"), F.lit("reports").alias("kind"))
-    edges = mention.unionByName(report).distinct()
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    mention = events.select(F.explode("entities").alias("e"), event.alias("dst")).select(F.concat(F.lit("entity:"), F.lower(F.trim("e"))).alias("src"), "dst", F.lit("mentioned_in").alias("kind"))
+    report = events.where("trim(coalesce(source_id, '')) != ''").select(F.concat(F.lit("source:"), F.trim("source_id")).alias("src"), event.alias("dst"), F.lit("reports").alias("kind"))
+    edges = mention.unionByName(report)
+    if "claims" in events.columns:
+        each = events.select(event.alias("dst"), "item_id", F.posexplode("claims").alias("k", "claim"))
+        edges = edges.unionByName(each.select(F.concat_ws(":", F.lit("claim"), F.col("item_id").cast("string"), F.col("k").cast("string")).alias("src"), "dst", F.lit("claimed_of").alias("kind")))
+    edges = edges.distinct()
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(events.select(event)).distinct()
     return nodes.withColumn("type", F.split_part("id", F.lit(":"), F.lit(1))), edges
 
 

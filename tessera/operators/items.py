@@ -33,8 +33,8 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized(items: DataFrame) -> DataFrame:
-    """Titles squeezed and without a trailing source name, summaries without markup, canonical URLs."""
-    return items.withColumns({"title": t.without_source(t.squeezed(F.col("title")), F.col("source_id")), "summary": t.without_tags(F.col("summary")), "url": t.canonical_url(F.col("url"))})
+    """Titles squeezed, composed (NFKC) and without a trailing source name, summaries without markup, canonical URLs."""
+    return items.withColumns({"title": t.without_source(t.composed(t.squeezed(F.col("title"))), F.col("source_id")), "summary": t.composed(t.without_tags(F.col("summary"))), "url": t.canonical_url(F.col("url"))})
 
 
 def with_keys(items: DataFrame) -> DataFrame:
@@ -43,3 +43,21 @@ def with_keys(items: DataFrame) -> DataFrame:
 
 def with_tokens(items: DataFrame) -> DataFrame:
     return items.withColumns({"tokens": t.title_tokens(F.col("title")), "day": F.to_date("published_at")})
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Candidates as sources give them: titles without character references, composed; summaries as plain text; canonical URLs; each page of ``provenance`` once, in order; an id where there is none.
+
+    The id is made of the source's own id, else of the URL.
+    """
+    urls = F.array_distinct(F.array_compact(F.transform("provenance", t.canonical_url)))
+    made = rows.withColumns({"title": t.composed(t.unescaped(t.squeezed(F.col("title")))), "summary": t.composed(t.unescaped(t.without_tags(F.col("summary")))), "url": t.canonical_url(F.col("url")), "provenance": urls})
+    own = F.coalesce(F.nullif(F.col("native_id"), F.lit("")), F.col("url"))
+    return made.withColumn("candidate_id", F.coalesce(F.nullif(F.col("candidate_id"), F.lit("")), t.short_id("item-", 24, F.col("source_id"), own)))
+
+
+def publication_key() -> F.Column:
+    """The key that a row was published with, else one of its id and the hash of its content, each of which its fingerprint stands in for."""
+    known = F.col("key").startswith("chat|")
+    part = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("fingerprint"))
+    return F.when(F.coalesce(known, F.lit(False)), F.col("key")).otherwise(F.concat(F.lit("chat|"), part("candidate_id"), F.lit("|"), part("content_hash")))

@@ -1,7 +1,7 @@
 """Entities, categories and the additive score, as expressions over one scan.
 
-Each term group is one alternation and one boolean column, so that a row is
-matched once per group, not once per term, and no Python runs.
+A text is folded and split into words once; all terms of the lexicon that it holds
+are one short array, against which entities, term groups and keywords are tested.
 """
 
 from __future__ import annotations
@@ -15,22 +15,41 @@ from tessera.lexicon import Lexicon
 BANDS = (("0-14", 0, 14), ("15-29", 15, 29), ("30-49", 30, 49), ("50-69", 50, 69), ("70-100", 70, 100))
 
 
+HITS, TITLE_HITS = "_hits", "_title_hits"
+#: A figure that a report names.
+FIGURE = r"(?i)([$€£]\s*\d|(^|[^\p{L}\p{N}_])\d+([.,]\d+)?\s*(%|(million|billion|thousand|m|b)($|[^\p{L}\p{N}_])))"
+
+
+def with_hits(items: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The terms of the lexicon in title and summary, and those in the title, as hidden columns for what follows."""
+    if HITS in items.columns:
+        return items
+    both = F.concat_ws(" ", "title", "summary")
+    made = items.withColumns({"_folded": t.folded(both), "_folded_title": t.folded(F.coalesce("title", F.lit("")))})
+    return made.withColumns({HITS: t.term_hits(F.col("_folded"), lexicon.vocabulary()), TITLE_HITS: t.term_hits(F.col("_folded_title"), lexicon.title_terms())}).drop("_folded", "_folded_title")
+
+
+def hit(terms: tuple[str, ...], column: str = HITS) -> F.Column:
+    return F.arrays_overlap(column, t.listed(list(map(t.fold, terms)))) if terms else F.lit(False)
+
+
+def _entities(items: DataFrame, lexicon: Lexicon) -> DataFrame:
+    both = F.concat_ws(" ", "title", "summary")
+    found = []
+    for _, name, aliases in lexicon.ordered():
+        exact = [both.contains(a) & both.rlike(t.phrase_pattern((a,)).removeprefix("(?i)")) for a in aliases if a in lexicon.exact]
+        found.append(F.when(t.any_of([hit(tuple(a for a in aliases if a not in lexicon.exact)), *exact]), F.lit(name)))
+    return items.withColumn("entities", F.array_compact(F.array(*found)))
+
+
 def with_entities(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``entities``: the names found in title and summary, in the lexicon's order."""
-    text = F.concat_ws(" ", "title", "summary")
-    found = [F.when(t.contains_any(text, aliases), F.lit(name)) for _, name, aliases in lexicon.ordered()]
-    return items.withColumn("entities", F.array_compact(F.array(*found)))
+    return _entities(with_hits(items, lexicon), lexicon).drop(HITS, TITLE_HITS)
 
 
-def with_categories(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``categories`` in the lexicon's order, by its rules over term and entity groups."""
-    text = F.concat_ws(" ", "title", "summary")
-    names = {f"_g{k}": group for k, group in enumerate([*lexicon.terms, *(f"entity:{g}" for g in lexicon.entities)])}
-    column = {group: F.col(c) for c, group in names.items()}
-    made = {}
-    for c, group in names.items():
-        kind, _, which = group.partition(":")
-        made[c] = F.arrays_overlap("entities", F.array(*map(F.lit, lexicon.entities[which]))) if kind == "entity" and which else t.contains_any(text, lexicon.terms[group])
+def _categories(items: DataFrame, lexicon: Lexicon) -> DataFrame:
+    column = {g: hit(terms) for g, terms in lexicon.terms.items()}
+    column |= {f"entity:{g}": F.arrays_overlap("entities", t.listed(list(members))) for g, members in lexicon.entities.items()}
     held: dict[str, F.Column] = {}
     for c in lexicon.categories:
         rule = t.all_of([column[g] for g in c.all_of])
@@ -39,33 +58,60 @@ def with_categories(items: DataFrame, lexicon: Lexicon) -> DataFrame:
         if c.none_of:
             rule = rule & ~t.any_of([column[g] for g in c.none_of])
         held[c.name] = rule & ~held[c.unless] if c.unless else rule
-    listed = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in held.items()]))
-    return items.withColumns(made).withColumn("categories", listed).drop(*names)
+    return items.withColumn("categories", F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in held.items()])))
 
 
-def with_score(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``score`` (0 to 100) and ``reasons``: each signal adds its points once."""
-    text, w = F.concat_ws(" ", "title", "summary"), lexicon.weights
-    direct = F.arrays_overlap("entities", F.array(*map(F.lit, lexicon.entities[lexicon.direct])))
-    topical = direct | F.arrays_overlap("categories", F.array(*map(F.lit, lexicon.topical)))
-    every = tuple(dict.fromkeys(x for group in lexicon.keywords.values() for x in group))
+def with_categories(items: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``categories`` in the lexicon's order, by its rules over term and entity groups; needs ``entities``."""
+    return _categories(with_hits(items, lexicon), lexicon).drop(HITS, TITLE_HITS)
+
+
+def is_landing(lexicon: Lexicon) -> F.Column:
+    """Whether a row is a landing page that announces nothing (needs hidden hits)."""
+    rule = lexicon.landing
+    if rule is None:
+        return F.lit(False)
+    title, summary = F.lower(F.coalesce("title", F.lit(""))), F.coalesce("summary", F.lit(""))
+    return title.contains(rule.phrase.lower()) & hit(rule.kinds, TITLE_HITS) & F.ltrim(F.lower(summary)).startswith(rule.stub) & ~summary.rlike(FIGURE)
+
+
+def _score(items: DataFrame, lexicon: Lexicon) -> DataFrame:
+    w, words = lexicon.weights, lexicon.keywords
+    any_category = lambda names: F.arrays_overlap("categories", t.listed(list(names)))
+    marked = items.withColumns({
+        "_landing": F.coalesce(is_landing(lexicon), F.lit(False)),
+        "_direct": F.arrays_overlap("entities", t.listed(list(lexicon.entities[lexicon.direct]))),
+        "_institutional": any_category(lexicon.institutional) | (any_category(lexicon.by_rail) & hit(lexicon.rail)),
+    }).withColumn("_topical", F.col("_direct") | F.col("_institutional") | any_category(lexicon.topical))
+    direct, topical, primary = F.col("_direct"), F.col("_topical"), F.col("quality") == "primary"
+    every = tuple(dict.fromkeys(x for group in words.values() for x in group))
+    plain = tuple(x for x in every if x not in lexicon.bare)
     signals = {
-        "high_keyword": direct & t.contains_any(text, lexicon.keywords.get("high", ())),
-        "medium_keyword": topical & t.contains_any(text, lexicon.keywords.get("medium", ())),
-        "context_keyword": topical & t.contains_any(text, lexicon.keywords.get("context", ())),
-        "action_bonus": F.arrays_overlap("categories", F.array(*map(F.lit, lexicon.action))),
-        "primary_source_bonus": topical & (F.col("quality") == "primary"),
+        "high_keyword": direct & hit(words.get("high", ())),
+        "medium_keyword": topical & hit(tuple(x for x in words.get("medium", ()) if x not in lexicon.bare)),
+        "context_keyword": topical & hit(words.get("context", ())),
+        "protocol_bonus": any_category(lexicon.protocol),
+        "ledger_bonus": any_category(lexicon.ledger),
+        "action_bonus": any_category(lexicon.action),
+        "primary_source_bonus": topical & primary,
+        "institutional_source_bonus": F.col("_institutional") & primary,
         "multiple_entity_bonus": direct & (F.size("entities") > 1),
-        "title_match_bonus": topical & t.contains_any(F.col("title"), every),
+        "title_match_bonus": topical & (hit(plain, TITLE_HITS) | (direct & hit(every, TITLE_HITS))),
     }
-    marked = items.withColumns({f"_s_{k}": F.coalesce(v, F.lit(False)) for k, v in signals.items()})
+    marked = marked.withColumns({f"_s_{k}": ~F.col("_landing") & F.coalesce(v, F.lit(False)) for k, v in signals.items()})
     points = sum((F.when(F.col(f"_s_{k}"), w[k]).otherwise(0) for k in signals), F.lit(0))
-    reasons = F.array_compact(F.array(*[F.when(F.col(f"_s_{k}"), F.lit(f"{k} (+{w[k]})")) for k in signals]))
-    return marked.withColumns({"score": F.least(F.lit(100), points).cast("int"), "reasons": reasons}).drop(*[f"_s_{k}" for k in signals])
+    reasons = F.array_compact(F.array(F.when(F.col("_landing"), F.lit("landing page")), *[F.when(F.col(f"_s_{k}"), F.lit(f"{k} (+{w[k]})")) for k in signals]))
+    marked = marked.withColumns({"score": F.least(F.lit(100), points).cast("int"), "reasons": reasons, "categories": F.when(F.col("_landing"), t.listed([])).otherwise(F.col("categories"))})
+    return marked.drop("_landing", "_direct", "_institutional", "_topical", *[f"_s_{k}" for k in signals])
+
+
+def with_score(items: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``score`` (0 to 100) and ``reasons``: each signal adds its points once; a landing page has score 0 and no category. Needs ``entities`` and ``categories``."""
+    return _score(with_hits(items, lexicon), lexicon).drop(HITS, TITLE_HITS)
 
 
 def scored(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    return with_score(with_categories(with_entities(items, lexicon), lexicon), lexicon)
+    return _score(_categories(_entities(with_hits(items, lexicon), lexicon), lexicon), lexicon).drop(HITS, TITLE_HITS)
 
 
 def band(score: F.Column) -> F.Column:
@@ -94,5 +140,5 @@ def is_commentary(lexicon: Lexicon) -> F.Column:
 
 
 def top(items: DataFrame, k: int, gate: int = 0) -> DataFrame:
-    """The k best, ties to the later, then by title, then by id."""
-    return items.where(F.col("score") >= gate).orderBy(F.desc("score"), F.desc("published_at"), F.lower("title"), "item_id").limit(k)
+    """The k best, ties to the later, then by title, then by id; they come oldest first."""
+    return items.where(F.col("score") >= gate).orderBy(F.desc("score"), F.desc("published_at"), F.lower("title"), "item_id").limit(k).orderBy("published_at", "item_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.tables import stored
+
 FAILED, EMPTY = "failed", ("empty", "partial")
 
 
@@ -83,6 +85,21 @@ def refuse_overflow(queue: DataFrame, most: int) -> DataFrame:
     return queue.crossJoin(F.broadcast(n)).where(fits).drop("_n")
 
 
+def without_delivered(events: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Events whose id isn't in the ledger (rows of ``event_id`` and ``signature``, either may be null) and none of whose signatures is."""
+    by_id = events.join(ledger.where("event_id IS NOT NULL").select("event_id").distinct(), "event_id", "left_anti")
+    said = by_id.select("event_id", F.explode("signatures").alias("signature")).join(ledger.select("signature").distinct(), "signature", "left_semi").select("event_id").distinct()
+    return by_id.join(said, "event_id", "left_anti")
+
+
+def seen_tail(old: DataFrame, new: DataFrame, most: int) -> DataFrame:
+    """``place``, ``fingerprint``: the keys of ``old`` in their places, then new ones in their own order; the last ``most``."""
+    added = numbered(new.select("fingerprint").distinct().join(old.select("fingerprint"), "fingerprint", "left_anti"), "fingerprint")
+    end = old.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("_end"))
+    every = old.select("place", "fingerprint").unionByName(added.crossJoin(F.broadcast(end)).select((F.col("_end") + 1 + F.col("_place")).alias("place"), "fingerprint"))
+    return every.orderBy(F.desc("place")).limit(most)
+
+
 def undelivered(queue: DataFrame, ledger: DataFrame) -> DataFrame:
     """Queued rows whose key isn't in the ledger, nor their URL (a closing slash apart)."""
     bare = lambda c: F.regexp_replace(c, "/+$", "")
@@ -95,24 +112,60 @@ def collisions(a: DataFrame, b: DataFrame, key: str, digest: str) -> DataFrame:
     return a.select(key, F.col(digest).alias("x")).join(b.select(key, F.col(digest).alias("y")), key).where("x != y").select(key)
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with their place in the order, from 0, in ``_place``: sorted by range, counted by partition, no task sorts all."""
+    made = stored(rows.sort(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_id", 33)
+    sizes = made.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # a row for each partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = made.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn("_place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
+
+
 def rotated(rows: DataFrame, order: str, start: int, k: int) -> DataFrame:
     """k of n rows in their order, beginning after ``start`` and around the end."""
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    numbered = rows.withColumn("_p", place)
     n = rows.agg(F.count("*").alias("_n"))
-    return numbered.crossJoin(F.broadcast(n)).where(F.pmod(F.col("_p") - start, F.col("_n")) < k).drop("_p", "_n")
+    return numbered(rows, order).crossJoin(F.broadcast(n)).where(F.pmod(F.col("_place") - start, F.col("_n")) < k).drop("_place", "_n")
 
 
-def frontier(rows: DataFrame, boundary: str | None, position: str = "position", native: str = "native_id") -> DataFrame:
-    """Rows of a listing (newest first) with whether they stand before the boundary, and the frontier's status.
+def frontiers(listing: DataFrame, saved: DataFrame) -> DataFrame:
+    """What each source's listing says of its saved frontier: source, found_page, found_place, first_id, last_page, last_id, status.
 
-    Without a boundary all are new; a boundary that isn't found leaves the status ``missing`` and moves nothing.
+    ``listing``: source, page (0: newest), place, native_id, of the pages that were read; ``saved``: source, boundary_id, hint.
+    initial: nothing was saved; found: the boundary stands in the listing; missing: it does not; unread: nothing was read.
     """
-    if boundary is None:
-        return rows.withColumns({"is_new": F.lit(True), "status": F.lit("initial")})
-    at = rows.where(F.col(native) == boundary).agg(F.min(position).alias("_at"))
-    joined = rows.crossJoin(F.broadcast(at))
-    return joined.withColumns({"is_new": F.coalesce(F.col(position) < F.col("_at"), F.lit(True)), "status": F.when(F.col("_at").isNull(), "missing").otherwise("found")}).drop("_at")
+    at = F.struct("page", "place")
+    met = listing.join(saved, "source", "left")
+    of = met.groupBy("source").agg(F.min(F.when(F.col("native_id") == F.col("boundary_id"), at)).alias("found"), F.min_by("native_id", at).alias("first_id"), F.max(F.when(F.col("page") == 0, F.struct("place", "native_id"))).alias("last"), F.max("page").alias("last_page"))
+    both = saved.join(of, "source", "full_outer")
+    status = F.when(F.col("last_page").isNull(), "unread").when(F.col("boundary_id").isNull(), "initial").when(F.col("found").isNull(), "missing").otherwise("found")
+    return both.select("source", "boundary_id", "hint", F.col("found.page").alias("found_page"), F.col("found.place").alias("found_place"), "first_id", F.col("last.native_id").alias("last_id"), "last_page", status.alias("status"))
+
+
+def beyond(listing: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows to take: of an initial listing the first page, else what stands before the boundary; nothing while it is missing."""
+    met = listing.join(found.select("source", "status", "found_page", "found_place"), "source")
+    newer = (F.col("page") < F.col("found_page")) | ((F.col("page") == F.col("found_page")) & (F.col("place") < F.col("found_place")))
+    return met.where(((F.col("status") == "initial") & (F.col("page") == 0)) | ((F.col("status") == "found") & newer)).select(*listing.columns)
+
+
+def advanced(listing: DataFrame, found: DataFrame) -> DataFrame:
+    """The frontier to save for each source: the oldest row that was taken is its boundary, the page after it the hint; a missing boundary stays, and the hint moves on."""
+    at = F.struct("page", "place")
+    last = beyond(listing, found).groupBy("source").agg(F.max_by("native_id", at).alias("taken"))
+    both = found.join(last, "source", "left")
+    hint = F.when(F.col("status") == "initial", F.lit(1)).when((F.col("status") == "found") & F.col("taken").isNotNull(), F.col("found_page") + 1).when((F.col("status") == "missing") & (F.col("last_page") > 0), F.col("last_page") + 1).otherwise(F.col("hint"))
+    return both.select("source", F.coalesce("taken", "boundary_id").alias("boundary_id"), hint.cast("int").alias("hint"), "status")
+
+
+def term_frontiers(rows: DataFrame, saved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows newer than the saved (published_at, native_id) of their term, and each term's new frontier; a term without news keeps its own."""
+    at = F.struct("published_at", "native_id")
+    met = rows.join(saved.select("term", F.struct(F.col("published_at").alias("p"), F.col("native_id").alias("i")).alias("frontier")), "term", "left")
+    fresh = met.where(F.col("frontier").isNull() | (F.col("published_at") > F.col("frontier.p")) | ((F.col("published_at") == F.col("frontier.p")) & (F.col("native_id") > F.col("frontier.i")))).drop("frontier")
+    every = saved.select("term", at.alias("f")).unionByName(fresh.select("term", at.alias("f")))
+    return fresh, every.groupBy("term").agg(F.max("f").alias("f")).select("term", "f.published_at", "f.native_id")
 
 
 def retained(rows: DataFrame, at: str, now: F.Column, hours: int, most: int, order: str, tie: str) -> DataFrame:
@@ -130,3 +183,8 @@ def merged_branches(branches: DataFrame, closed: DataFrame, opened: DataFrame, d
     old = closed.where(F.unix_timestamp("merged_at") <= F.unix_timestamp(now) - days * 86400).select("name", "sha")
     free = branches.where((F.col("name") != default) & ~F.coalesce("protected", F.lit(False)))
     return free.join(old, ["name", "sha"], "left_semi").join(opened.select("name"), "name", "left_anti")
+
+
+def first_in(queue: DataFrame, n: int, at: str, key: str) -> DataFrame:
+    """The n rows that have waited longest."""
+    return queue.orderBy(at, key).limit(n)

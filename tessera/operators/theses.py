@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.lexicon import Lexicon
+from tessera.lexicon import GENERIC_TITLES, Lexicon
+from tessera.operators import scoring
 
 
 def themed(events: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Events once for each theme whose terms they contain and each of their entities."""
-    text = F.lower(F.concat_ws(" ", "title", "summary"))
-    hits = F.array_compact(F.array(*[F.when(t.any_of([text.contains(x) for x in th.terms]), F.lit(th.name)) for th in lexicon.themes]))
-    return events.withColumn("theme", F.explode(hits)).withColumn("entity", F.explode("entities"))
+    """Events once for each theme one of whose terms they name and each of their entities."""
+    found = scoring.with_hits(events, lexicon)
+    hits = F.array_compact(F.array(*[F.when(scoring.hit(th.terms), F.lit(th.name)) for th in lexicon.themes]))
+    return found.withColumn("theme", F.explode(hits)).withColumn("entity", F.explode("entities")).drop(scoring.HITS, scoring.TITLE_HITS)
+
+
+def revised(old: DataFrame, new: DataFrame, content: list[str]) -> DataFrame:
+    """Theses with their revision: 1 when new, one more when any column of ``content`` has changed; first_seen stays, and theses without news stay as they are."""
+    o = old.select("thesis_id", F.struct(*content).alias("was"), F.col("revision").alias("r"), F.col("first_seen").alias("seen"), F.col("updated_at").alias("at"))
+    n = new.select("thesis_id", F.struct(*content).alias("is"), F.col("updated_at").alias("now"))
+    both = o.join(n, "thesis_id", "full_outer")
+    fresh = F.col("is").isNotNull()
+    moved = (fresh & ~F.col("was").eqNullSafe(F.col("is"))).cast("int")
+    return both.select("thesis_id", F.when(F.col("was").isNull(), 1).otherwise(F.col("r") + moved).alias("revision"), F.coalesce("seen", "now").alias("first_seen"), F.coalesce("now", "at").alias("updated_at"), F.coalesce("is", "was").alias("content")).select("thesis_id", "revision", "first_seen", "updated_at", "content.*")
 
 
 def theses(rows: DataFrame) -> DataFrame:
@@ -60,3 +71,54 @@ def digest_sources(posts: DataFrame, since: F.Column, until: F.Column, k: int =
 def queue_health(queue: DataFrame, now: F.Column) -> DataFrame:
     age = (F.unix_timestamp(now) - F.unix_timestamp("published_at"))
     return queue.agg(F.count("*").alias("n_rows"), F.min(age).cast("bigint").alias("youngest_s"), F.max(age).cast("bigint").alias("oldest_s"))
+
+
+def says_nothing(titles: F.Column) -> F.Column:
+    """Whether an event has evidence and all its titles are blank or of the kind that says nothing."""
+    return (F.size(titles) > 0) & F.forall(titles, lambda x: F.trim(t.folded_ascii(x)).isin("", *GENERIC_TITLES))
+
+
+def dated_links(evidence: F.Column, now: F.Column, days: int = 30) -> F.Column:
+    """The evidence (url, published_at) with a web address and a time of the last ``days``, or at most a day ahead."""
+    at = lambda x: F.unix_timestamp(x["published_at"])
+    n = F.unix_timestamp(now)
+    good = lambda x: x["url"].rlike(r"^(?i:https?)://[^/?#\s]+") & (at(x) >= n - days * 86400) & (at(x) <= n + 86400)
+    return F.filter(evidence, lambda x: F.coalesce(good(x), F.lit(False)))
+
+
+def action(freshness: F.Column, says_nothing: F.Column) -> F.Column:
+    """What an editor is to do with a queued event."""
+    return F.when(freshness == "future", "hold: dated in the future").when(freshness == "undated", "hold: no valid date").when(freshness == "stale", "quarantine: stale").when(says_nothing, "quarantine: titles say nothing").otherwise("review")
+
+
+def has_progress(pagination: F.Column, keys: tuple[str, ...]) -> F.Column:
+    """Whether a map of counters has one of the keys that are a place to go on from."""
+    return F.coalesce(F.arrays_overlap(F.map_keys(pagination), t.listed(keys)), F.lit(False))
+
+
+def worth_saving(status: F.Column, n_rows: F.Column, progress: F.Column) -> F.Column:
+    """A run that failed saves nothing; an empty one, or one with rows or progress, does."""
+    return status.isin("success", "empty", "partial") & ((n_rows > 0) | (status == "empty") | progress)
+
+
+def inventory(tables: dict[str, DataFrame]) -> DataFrame:
+    """How many rows each state table has."""
+    each = [df.agg(F.lit(name).alias("state"), F.count("*").alias("n_rows")) for name, df in tables.items()]
+    out = each[0]
+    for other in each[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def newest_of(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The n last rows in an order, the last first, with their ``rank``."""
+    top = rows.orderBy(*[F.desc(x) for x in order]).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*[F.desc(x) for x in order])))
+
+
+def products(spark, **lists: list) -> DataFrame:
+    """Every combination of the values of small lists of parameters, as rows."""
+    out = spark.range(1).select()
+    for name, values in lists.items():
+        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return out

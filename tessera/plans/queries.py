@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.functions import times
 from tessera.lexicon import GENERIC_TITLES, SAMPLE
-from tessera.operators import context, correlate, dedup, delivery, graph, items, scoring, state, theses
+from tessera.operators import context, correlate, dedup, delivery, enrich, graph, items, scoring, state, theses
 from tessera.sources import apis, html_pages
-from tessera.tables import stored
+from tessera.streaming import jobs
+from tessera.tables import fresh_path, stored
 
 #: The time of the run: 24 days after the first item. Items until day 9 are history.
 NOW_DAY, HISTORY_DAY = 24, 10
@@ -123,19 +124,19 @@ def correlation_by_tokens(spark, sf_dir):
 def history_correlation(spark, sf_dir):
     cards = _cards(spark, sf_dir)
     new, old = cards.where(F.col("published_at") >= _day(HISTORY_DAY)), cards.where(F.col("published_at") < _day(HISTORY_DAY))
-    return correlate.rollup(correlate.pairs(new, old, SAMPLE, sequence=False))
+    return correlate.rollup(correlate.pairs(new, old, SAMPLE))
 
 
 def buried_signals(spark, sf_dir):
     cards = _cards(spark, sf_dir)
-    rolled = correlate.rollup(correlate.pairs(cards, cards, SAMPLE, sequence=False))
+    rolled = correlate.rollup(correlate.pairs(cards, cards, SAMPLE))
     return correlate.buried(cards, rolled, GATE).select("item_id", "buried_score", "sources")
 
 
 def delivery_duplicates(spark, sf_dir):
     cards = _cards(spark, sf_dir)
     second, first = (cards.where((F.col("quality") == q) & (F.col("score") >= GATE)) for q in ("high_signal", "primary"))
-    return correlate.preferred(correlate.pairs(second, first, SAMPLE, sequence=False), second, first)
+    return correlate.preferred(correlate.duplicates(second, first, SAMPLE), second, first)
 
 
 def near_amounts(spark, sf_dir):
@@ -148,23 +149,38 @@ def near_amounts(spark, sf_dir):
 
 def _clusters(spark, sf_dir):
     cards = _cards(spark, sf_dir)
-    edges = correlate.pairs(cards, cards, SAMPLE, sequence=False).select("a", "b")
-    return cards, graph.components(cards.select(F.col("item_id").alias("id")), edges)
+    edges = correlate.pairs(cards, cards, SAMPLE).select("a", "b")
+    return cards.withColumn("url", F.lit("")), graph.components(cards.select(F.col("item_id").alias("id")), edges)
 
 
 def event_clusters(spark, sf_dir):
     cards, roots = _clusters(spark, sf_dir)
-    return graph.clusters(cards, roots).select("cluster_id", F.col("root").alias("first_item"), "n_members", "n_sources", "best_score", "representative")
+    return graph.clusters(cards, roots).select("cluster_id", F.col("root").alias("first_item"), "n_members", "n_sources", "best_score", "representative", F.concat_ws(",", "members").alias("members"))
+
+
+def cluster_members(spark, sf_dir):
+    """Orders of one customer whose prices are near one another, as clusters: members in order of date, priority and key."""
+    o = _table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").cast("timestamp").alias("published_at"), F.col("o_orderpriority").alias("source_id"), F.concat(F.lit("https://shop.example/"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_totalprice").cast("int").alias("score"))
+    roots = graph.components(rows.select(F.col("item_id").alias("id")), near_amounts(spark, sf_dir).select("a", "b"))
+    found = graph.clusters(rows, roots).where("n_members > 1")
+    return found.select("cluster_id", "n_members", "n_sources", "best_score", "representative", F.concat_ws(",", "members").alias("members"))
+
+
+def _claimed(spark, sf_dir):
+    """Items with entities; each paragraph's first word of a primary source is a claim."""
+    rows = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
+    return rows.withColumn("claims", F.when(F.col("quality") == "primary", F.filter(F.split("summary", "\n"), lambda x: x != "")).otherwise(t.listed([])))
 
 
 def graph_nodes(spark, sf_dir):
-    nodes, _ = graph.projection(scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE))
+    nodes, _ = graph.projection(_claimed(spark, sf_dir))
     return nodes.groupBy("type").agg(F.count("*").alias("n_nodes"))
 
 
 def graph_edges(spark, sf_dir):
-    _, edges = graph.projection(scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE))
-    return edges.groupBy("src", "kind").agg(F.count("*").alias("n_events"))
+    _, edges = graph.projection(_claimed(spark, sf_dir))
+    return edges.where("kind != 'claimed_of'").groupBy("src", "kind").agg(F.count("*").alias("n_events"))
 
 
 def supersession(spark, sf_dir):
@@ -178,15 +194,24 @@ def supersession(spark, sf_dir):
 
 def _thesis_rows(spark, sf_dir):
     events = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
+    events = events.withColumn("stated", t.confirmed_negative(F.concat_ws(" ", "title", "summary")))
     toxic = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").cast("bigint").alias("item_id")).agg(F.max(F.col("toxic") == 1).alias("toxic"))
     rows = theses.themed(events, SAMPLE).join(toxic, "item_id", "left")
-    return rows.select("theme", "entity", F.sha2("title", 256).alias("event_id"), "source_id", (F.col("quality") == "primary").alias("is_primary"), F.coalesce("toxic", F.lit(False)).alias("is_negative"))
+    return rows.select("theme", "entity", F.sha2("title", 256).alias("event_id"), "source_id", "published_at", (F.col("quality") == "primary").alias("is_primary"), (F.coalesce("toxic", F.lit(False)) | F.col("stated")).alias("is_negative"))
 
 
 def thesis_rollup(spark, sf_dir):
     return theses.theses(_thesis_rows(spark, sf_dir))
 
 
+def thesis_revisions(spark, sf_dir):
+    """Theses of the history, and what the whole makes of them."""
+    rows = stored(_thesis_rows(spark, sf_dir), "thesis_rows")
+    old = theses.theses(rows.where(F.col("published_at") < _day(HISTORY_DAY))).withColumns({"revision": F.lit(1), "first_seen": F.lit("history"), "updated_at": F.lit("history")})
+    content = ["status", "strength", "n_events", "n_sources", "n_primary", "n_negative"]
+    return theses.revised(old, theses.theses(rows).withColumn("updated_at", F.lit("run")), content).select("thesis_id", "revision", "first_seen", "updated_at", "status", "strength")
+
+
 def event_freshness(spark, sf_dir):
     rows = items.from_documents(spark, sf_dir).withColumn("headline", F.sha2("title", 256))
     return theses.freshness(rows, "headline", _day(NOW_DAY), 10)
@@ -272,14 +297,39 @@ def source_rotation(spark, sf_dir):
     return state.rotated(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 7, 25)
 
 
+def _listings(spark, sf_dir):
+    """Each user's events, newest first, as a listing in pages of ten of which two were read; the frontiers saved for them: none, one on the second page, or one further back."""
+    from pyspark.sql import Window
+
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("native_id"), "ts")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("ts"), F.desc("native_id")))
+    rows = stored(e.withColumn("r", rank).where("r <= 40"), "listing")
+    saved = rows.groupBy("source").agg(F.max(F.when(F.col("r") == F.when(F.col("source") % 3 == 1, 13).when(F.col("source") % 3 == 2, 33), F.col("native_id"))).alias("boundary_id"), F.lit(1).alias("hint"))
+    return rows.where("r <= 20").select("source", F.expr("(r - 1) div 10").cast("int").alias("page"), ((F.col("r") - 1) % 10).alias("place"), "native_id"), saved
+
+
 def listing_frontier(spark, sf_dir):
-    rows = _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("position"), F.col("r_name").alias("native_id"))
-    return state.frontier(rows, "EUROPE").select("position", "native_id", "is_new", "status")
+    listing, saved = _listings(spark, sf_dir)
+    return state.beyond(listing, state.frontiers(listing, saved)).select("source", "page", "place", "native_id")
+
+
+def frontier_state(spark, sf_dir):
+    listing, saved = _listings(spark, sf_dir)
+    return state.advanced(listing, state.frontiers(listing, saved))
+
+
+def term_frontiers(spark, sf_dir):
+    """Each user's event stream as a search term: what is newer than its last event before mid month."""
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("term"), F.col("ts").cast("timestamp").alias("published_at"), F.col("event_id").alias("native_id"))
+    saved = rows.where(F.col("published_at") < _day(15)).groupBy("term").agg(F.max(F.struct("published_at", "native_id")).alias("f")).select("term", "f.*")
+    fresh, moved = state.term_frontiers(rows, saved)
+    n = fresh.groupBy("term").agg(F.count("*").alias("n_fresh"))
+    return moved.join(n, "term", "left").select("term", F.coalesce("n_fresh", F.lit(0)).cast("bigint").alias("n_fresh"), "native_id")
 
 
 def event_signatures(spark, sf_dir):
     rows = items.from_documents(spark, sf_dir)
-    return rows.select("item_id", F.concat_ws(",", t.signatures(F.array("title"), F.col("summary"), GENERIC_TITLES)).alias("signatures"))
+    return rows.select("item_id", F.concat_ws(",", t.signatures(F.array(t.folded(F.col("title"))), F.col("summary"), GENERIC_TITLES)).alias("signatures"))
 
 
 def messages(spark, sf_dir):
@@ -317,12 +367,191 @@ def conversation_bundles(spark, sf_dir):
     return first.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.concat_ws(",", F.transform(turns, lambda x: x["role"])).alias("roles"))
 
 
+def candidates_normalized(spark, sf_dir):
+    base = items.from_documents(spark, sf_dir)
+    rows = base.withColumns({"native_id": F.when(F.col("item_id") % 2 == 0, F.col("item_id").cast("string")), "candidate_id": F.when(F.col("item_id") % 5 == 0, "own"), "provenance": F.array("url", F.concat("url", F.lit("#top")), F.lit("http://plain.example/"))})
+    return items.candidates(rows).select("item_id", "title", "summary", "url", F.concat_ws(" ", "provenance").alias("provenance"), "candidate_id")
+
+
+def publication_keys(spark, sf_dir):
+    rows = _keyed(spark, sf_dir).select("item_id", "fingerprint", F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("chat|"), "source_id")).otherwise("old").alias("key"), F.when(F.col("item_id") % 2 == 0, "id").otherwise("").alias("candidate_id"), F.when(F.col("item_id") % 5 == 0, "hash").alias("content_hash"))
+    return rows.select("item_id", items.publication_key().alias("key"))
+
+
+def recommended_actions(spark, sf_dir):
+    """Items of one headline as an event: what is to be done with it, and whether it may be sent as a single one."""
+    rows = items.from_documents(spark, sf_dir).withColumn("headline", F.sha2("title", 256))
+    # all titles of a headline are one
+    g = rows.groupBy("headline").agg(F.collect_set("title").alias("titles"))
+    links = theses.dated_links(F.array(F.struct("url", "published_at")), _day(NOW_DAY), 10)
+    dated = rows.select("headline", (F.size(links) > 0).alias("dated")).groupBy("headline").agg(F.max("dated").alias("eligible"))
+    fresh = theses.freshness(rows, "headline", _day(NOW_DAY), 10)
+    return fresh.join(g, "headline").join(dated, "headline").select("headline", theses.action(F.col("freshness"), theses.says_nothing(F.col("titles"))).alias("action"), "eligible")
+
+
+def allowed_items(spark, sf_dir):
+    """Items with a link whose id stands on a list."""
+    listed = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("bigint").alias("item_id"))
+    rows = items.from_documents(spark, sf_dir).where(F.col("url").startswith("https://"))
+    return rows.join(listed, "item_id", "left_semi").select("item_id", "url")
+
+
+def saved_progress(spark, sf_dir):
+    """Which attempts are worth saving, by status, rows and the counters in their properties."""
+    rows = _attempts(spark, sf_dir).join(_table(spark, sf_dir, "events").select("event_id", "value", "props"), "event_id")
+    progress = theses.has_progress(F.from_json("props", "map<string,bigint>"), ("k", "next_page"))
+    return rows.select("event_id", progress.alias("progress"), theses.worth_saving(F.col("status"), (F.col("value") > 50).cast("int"), progress & (F.col("value") > 20)).alias("saved"))
+
+
+def state_inventory(spark, sf_dir):
+    return theses.inventory({n: _table(spark, sf_dir, n) for n in ("documents", "events", "orders", "labels", "benchmark")})
+
+
+def model_selection(spark, sf_dir):
+    """The twelve items to analyse, in their order."""
+    rows = _judged(spark, sf_dir).withColumn("breadth", F.size("entities"))
+    order = [F.desc("score"), F.col("breadth"), F.desc("published_at"), F.lower("title"), F.col("item_id")]
+    top = enrich.select(rows, 12, GATE, F.col("breadth"))
+    from pyspark.sql import Window
+
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "item_id", "score")
+
+
+def near_misses(spark, sf_dir):
+    return enrich.near_misses(_judged(spark, sf_dir), 5, GATE).select("item_id", "score")
+
+
+def outbox_first(spark, sf_dir):
+    return state.first_in(_table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("queued_at"), F.col("o_orderkey").alias("key")), 25, "queued_at", "key").select("key")
+
+
+def observation_preview(spark, sf_dir):
+    return theses.newest_of(_table(spark, sf_dir, "events").select("ts", "user_id", "event_id"), 20, "ts", "user_id", "event_id").select("rank", "event_id")
+
+
+def retained_cards(spark, sf_dir):
+    rows = items.from_documents(spark, sf_dir).select("item_id", "published_at")
+    return state.retained(rows, "published_at", _day(NOW_DAY), 72, 500, "published_at", "item_id").select("item_id")
+
+
+def seen_fingerprints(spark, sf_dir):
+    rows = _keyed(spark, sf_dir)
+    old = rows.where(F.col("published_at") < _day(HISTORY_DAY)).select(F.col("item_id").alias("place"), "fingerprint")
+    return state.seen_tail(old, rows, 500)
+
+
+def released_retries(spark, sf_dir):
+    """Of the seen fingerprints those that stay: without selected items that failed (labels of quality 0)."""
+    rows = _keyed(spark, sf_dir).select("item_id", "fingerprint")
+    failed = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("bigint").alias("item_id"))
+    return enrich.released(rows.select("fingerprint"), rows.where("item_id % 3 = 0"), failed)
+
+
+def merged_branches(spark, sf_dir):
+    """Customers as branches, their closed and open orders as requests."""
+    o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    branches = c.select(F.col("c_custkey").cast("string").alias("name"), F.lit("1-URGENT").alias("sha"), (F.col("c_nationkey") == 3).alias("protected"))
+    of = lambda s: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderpriority").alias("sha"), F.col("o_orderdate").cast("timestamp").alias("merged_at"))
+    return state.merged_branches(branches, of("F"), of("O").where("merged_at > TIMESTAMP '1997-01-01'"), "1", F.lit("1996-01-01").cast("timestamp"), 30).select("name")
+
+
+def _told(spark, sf_dir):
+    named = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
+    return stored(items.with_tokens(named).select("item_id", "published_at", "tokens", "entities").where(F.size("entities") > 0), "told")
+
+
+def prior_events(spark, sf_dir):
+    rows = _told(spark, sf_dir)
+    events = rows.where(F.col("published_at") < _day(HISTORY_DAY)).select(F.col("item_id").alias("event_id"), F.to_date("published_at").alias("date"), "tokens", "entities")
+    return context.prior_events(rows.where(F.col("published_at") >= _day(HISTORY_DAY)), events).select("item_id", "rank", "event_id", F.col("score").cast("bigint").alias("score"))
+
+
+def thesis_context(spark, sf_dir):
+    found = stored(thesis_rollup(spark, sf_dir).select("thesis_id", "entity", "status", F.col("strength").alias("updated_at")), "theses")
+    return context.theses_of(_told(spark, sf_dir), found)
+
+
+def parameter_products(spark, sf_dir):
+    """Every year and kind of event with the number of its events."""
+    e = _table(spark, sf_dir, "events").select(F.year("ts").alias("year"), F.col("event_type").alias("kind"))
+    asked = theses.products(spark, year=[2023, 2024], kind=["click", "error", "purchase", "view"])
+    n = e.groupBy("year", "kind").agg(F.count("*").alias("n"))
+    return asked.join(n, ["year", "kind"], "left").select("year", "kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_events"))
+
+
+def undelivered_events(spark, sf_dir):
+    """Items as events, without those delivered: by id, or by a signature."""
+    rows = items.from_documents(spark, sf_dir)
+    said = stored(rows.select(F.col("item_id").alias("event_id"), t.signatures(F.array(t.folded(F.col("title"))), F.col("summary"), GENERIC_TITLES).alias("signatures")), "signed")
+    ledger = said.where("event_id % 7 = 0").select("event_id", F.lit(None).cast("string").alias("signature")).unionByName(said.where("event_id % 7 = 1").select(F.lit(None).cast("bigint").alias("event_id"), F.explode("signatures").alias("signature")))
+    return state.without_delivered(said, ledger).select("event_id")
+
+
+#: Names for words of the synthetic prose.
+NAMES = {"thnt": ("thanedble", "attion"), "une": ("eriner",)}
+
+
+def acronyms(spark, sf_dir):
+    rows = items.from_documents(spark, sf_dir)
+    return rows.select("item_id", F.sha2(enrich.one_naming(F.concat(F.lit("Thnt (Thanedble), Eriner and une. "), "title"), F.col("summary"), NAMES), 256).alias("named"))
+
+
+def event_types(spark, sf_dir):
+    """Given types put right by what the item says; a copy of the title with the words for a launch and a custodian stands in for such news."""
+    rows = items.from_documents(spark, sf_dir).select("item_id", "title", "summary")
+    given = F.when(F.col("item_id") % 3 == 0, "announcement").when(F.col("item_id") % 3 == 1, "filing").otherwise("acquisition")
+    title = F.concat("title", F.when(F.col("item_id") % 2 == 0, " launched today").when(F.col("item_id") % 5 == 0, " plans to launch").otherwise(""))
+    source = F.concat("title", F.lit(" selected as custodian "), F.when(F.col("item_id") % 4 == 0, " petition ").otherwise(""), "summary")
+    return rows.select("item_id", enrich.event_type(given, title, source, ("thnt", "thre"), r"\bsich\b").alias("event_type"))
+
+
+def event_messages(spark, sf_dir):
+    """Each item as an event: its title as summary and claim, its entities as open questions."""
+    rows = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
+    sure = F.when(F.col("quality") == "primary", "Confirmed").otherwise("unknown")
+    evidence = F.struct("title", F.coalesce("source_id", F.lit("")).alias("source"), F.col("quality").alias("source_quality"), F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"), "url")
+    made = rows.select("item_id", F.when(F.col("quality") == "primary", "partnership").otherwise("regulatory_action").alias("event_type"), F.col("title").alias("summary"), F.when(F.col("item_id") % 2 == 0, F.col("summary")).alias("significance"), F.lit("reported").alias("status"), "entities", F.array(F.struct(F.col("title").alias("text"), sure.alias("certainty"))).alias("claims"), t.listed([]).alias("conflicts"), F.col("entities").alias("uncertainties"), F.array(evidence).alias("evidence"), F.when(F.col("item_id") % 5 == 0, t.listed(["event-a", "event-b"])).otherwise(t.listed([])).alias("updated_by"))
+    return delivery.event_messages(made).select("item_id", F.sha2("message", 256).alias("message"))
+
+
+def evaluation_counts(spark, sf_dir):
+    """Titles as answers, judged by patterns."""
+    rows = items.from_documents(spark, sf_dir).select(F.col("item_id").cast("string").alias("cluster_id"), "title")
+    cases = rows.select("cluster_id", F.array(F.lit("th"), F.lit("t.e")).alias("must_match"), F.array(F.lit("qu|oi")).alias("must_not_match"))
+    return enrich.evaluation_counts(enrich.evaluated(rows.withColumnRenamed("title", "summary"), cases))
+
+
+def stream_daily_counts(spark, sf_dir):
+    """Events as a stream, counted by day and type; days that the watermark has passed."""
+    e = jobs.read(spark, f"{sf_dir}/events.parque[t]", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    rows = jobs.daily_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
+    out = jobs.appended(rows, fresh_path(spark, "days"), fresh_path(spark, "offsets"))
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def stream_latest(spark, sf_dir):
+    """Events as a stream into a table of each user's last."""
+    e = jobs.read(spark, f"{sf_dir}/events.parque[t]", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    rows = e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return jobs.latest_by_key(rows, "user_id", "ts", "event_id", fresh_path(spark, "latest"), fresh_path(spark, "offsets")).select("user_id", "event_id", "event_type")
+
+
+def stream_cards(spark, sf_dir):
+    """Events as a stream against the table of customers."""
+    e = jobs.read(spark, f"{sf_dir}/events.parque[t]", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    cards = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return jobs.appended(jobs.with_cards(e.select("user_id", "event_id"), cards, "user_id"), fresh_path(spark, "met"), fresh_path(spark, "offsets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         items_normalized, item_keys, first_arrivals, unseen_items, near_duplicate_headlines, entities, relevance, source_yield, score_bands, publish_gates, publish_top, reconsidered_items,
         correlation, correlation_by_tokens, history_correlation, buried_signals, delivery_duplicates, near_amounts, event_clusters, graph_nodes, graph_edges, supersession, thesis_rollup,
         event_freshness, event_evidence, weekly_digest, queue_health, health_streaks, health_warnings, change_detection, keyed_upsert, insert_if_absent, key_collisions, event_revisions,
+        candidates_normalized, publication_keys, recommended_actions, allowed_items, saved_progress, state_inventory, model_selection, near_misses, outbox_first, observation_preview, retained_cards,
+        seen_fingerprints, released_retries, merged_branches, prior_events, thesis_context, thesis_revisions, parameter_products, undelivered_events, acronyms, event_types, event_messages,
+        evaluation_counts, stream_daily_counts, stream_latest, stream_cards, cluster_members, frontier_state, term_frontiers,
         retention_per_source, undelivered_orders, source_rotation, listing_frontier, event_signatures, messages, context_for_items, stated_negatives, event_properties, page_texts, page_links, conversation_bundles,
     )
 }

@@ -5,6 +5,7 @@ Lists of terms come from the sample lexicon; the rules are written out here.
 
 from __future__ import annotations
 
+from tessera.functions import text
 from tessera.functions.text import phrase_pattern
 from tessera.lexicon import GENERIC_TITLES, SAMPLE, STOPWORDS, Category
 from tessera.operators.items import START
@@ -17,8 +18,8 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _has(text: str, terms) -> str:
-    return f"regexp_matches({text}, '{phrase_pattern(tuple(terms))}')"
+def _has(of: str, terms) -> str:
+    return f"regexp_matches({of}, '{phrase_pattern(tuple(terms))}')"
 
 
 def _case(rule: str, value: str) -> str:
@@ -30,7 +31,18 @@ def _compact(cases) -> str:
 
 
 BOTH = "(title || ' ' || summary)"
-WORDS = "regexp_extract_all(lower(title), '[a-z0-9]+')"
+
+
+def _folded(x: str) -> str:
+    """NFKC and case folding of the letters that the tables have."""
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+def _words(x: str) -> str:
+    return f"regexp_extract_all({_folded(x)}, '[a-z0-9]+')"
+
+
+WORDS = _words("title")
 ITEMS = f"""items AS (SELECT *, CASE tier WHEN 1 THEN 'primary' WHEN 2 THEN 'high_signal' ELSE 'discovery' END AS quality,
   strftime(make_timestamp(tm * 1000000), '%Y-%m-%d') AS day FROM (
   SELECT CAST(doc_id AS BIGINT) AS item_id, split_part(coalesce(text, ''), chr(10), 1) AS title,
@@ -39,7 +51,15 @@ ITEMS = f"""items AS (SELECT *, CASE tier WHEN 1 THEN 'primary' WHEN 2 THEN 'hig
   {START} + doc_id % 30 * 86400 + doc_id % 1440 * 60 AS tm FROM documents))"""
 KEYS = f"""{ITEMS}, keyed AS (SELECT *, sha256(lower(trim(url)) || '|' || lower(trim(title))) AS fingerprint, {WORDS} AS w FROM items),
 keys AS (SELECT *, CASE WHEN len(w) < 4 OR length(array_to_string(w, '')) < 20 THEN fingerprint ELSE sha256('headline|' || day || '|' || array_to_string(w, ' ')) END AS event_key FROM keyed)"""
-ENTITIES = f"{ITEMS}, named AS (SELECT *, {_compact(_case(_has(BOTH, aliases), name) for _, name, aliases in SAMPLE.ordered())} AS entities FROM items)"
+
+
+def _named(aliases) -> str:
+    """Any alias, those that count as written with their case."""
+    plain, exact = [a for a in aliases if a not in SAMPLE.exact], [a for a in aliases if a in SAMPLE.exact]
+    return " OR ".join([_has(BOTH, plain)] * bool(plain) + [f"regexp_matches({BOTH}, '{phrase_pattern(tuple(exact)).removeprefix('(?i)')}')"] * bool(exact))
+
+
+ENTITIES = f"{ITEMS}, named AS (SELECT *, {_compact(_case(_named(aliases), name) for _, name, aliases in SAMPLE.ordered())} AS entities FROM items)"
 
 
 def _group(g: str) -> str:
@@ -59,19 +79,32 @@ def _rule(c: Category) -> str:
 
 _W, _K = SAMPLE.weights, SAMPLE.keywords
 _DIRECT = f"list_has_any(entities, {_list(SAMPLE.entities[SAMPLE.direct])})"
-_TOPICAL = f"({_DIRECT} OR list_has_any(categories, {_list(SAMPLE.topical)}))"
+_ALL = tuple(dict.fromkeys(x for g in _K.values() for x in g))
+
+
+def _any_category(names) -> str:
+    return f"list_has_any(rules, {_list(names)})"
+
+
+_INSTITUTIONAL = f"({_any_category(SAMPLE.institutional)} OR ({_any_category(SAMPLE.by_rail)} AND {_has(BOTH, SAMPLE.rail)}))"
+_TOPICAL = f"({_DIRECT} OR {_INSTITUTIONAL} OR {_any_category(SAMPLE.topical)})"
+_LANDING = f"""(contains(lower(title), '{SAMPLE.landing.phrase}') AND {_has('title', SAMPLE.landing.kinds)} AND starts_with(ltrim(lower(summary)), '{SAMPLE.landing.stub}')
+  AND NOT regexp_matches(summary, '(?i)([$€£]\\s*\\d|(^|[^\\p{{L}}\\p{{N}}_])\\d+([.,]\\d+)?\\s*(%|(million|billion|thousand|m|b)($|[^\\p{{L}}\\p{{N}}_])))'))"""
 _SIGNALS = {
     "high_keyword": f"{_DIRECT} AND {_has(BOTH, _K['high'])}",
-    "medium_keyword": f"{_TOPICAL} AND {_has(BOTH, _K['medium'])}",
+    "medium_keyword": f"{_TOPICAL} AND {_has(BOTH, [x for x in _K['medium'] if x not in SAMPLE.bare])}",
     "context_keyword": f"{_TOPICAL} AND {_has(BOTH, _K['context'])}",
-    "action_bonus": f"list_has_any(categories, {_list(SAMPLE.action)})",
+    "protocol_bonus": _any_category(SAMPLE.protocol),
+    "ledger_bonus": _any_category(SAMPLE.ledger),
+    "action_bonus": _any_category(SAMPLE.action),
     "primary_source_bonus": f"{_TOPICAL} AND quality = 'primary'",
+    "institutional_source_bonus": f"{_INSTITUTIONAL} AND quality = 'primary'",
     "multiple_entity_bonus": f"{_DIRECT} AND len(entities) > 1",
-    "title_match_bonus": f"{_TOPICAL} AND {_has('title', dict.fromkeys(x for g in _K.values() for x in g))}",
+    "title_match_bonus": f"{_TOPICAL} AND ({_has('title', [x for x in _ALL if x not in SAMPLE.bare])} OR ({_DIRECT} AND {_has('title', _ALL)}))",
 }
-SCORED = f"""{ENTITIES}, classed AS (SELECT *, {_compact(_case(_rule(c), c.name) for c in SAMPLE.categories)} AS categories FROM named),
-scored AS (SELECT *, CAST(least(100, {' + '.join(f'CASE WHEN {s} THEN {_W[k]} ELSE 0 END' for k, s in _SIGNALS.items())}) AS INT) AS score,
-  {_compact(_case(s, f'{k} (+{_W[k]})') for k, s in _SIGNALS.items())} AS reasons FROM classed)"""
+SCORED = f"""{ENTITIES}, classed AS (SELECT *, {_compact(_case(_rule(c), c.name) for c in SAMPLE.categories)} AS rules, {_LANDING} AS landing FROM named),
+scored AS (SELECT *, CASE WHEN landing THEN [] ELSE rules END AS categories, CASE WHEN landing THEN 0 ELSE CAST(least(100, {' + '.join(f'CASE WHEN {s} THEN {_W[k]} ELSE 0 END' for k, s in _SIGNALS.items())}) AS INT) END AS score,
+  CASE WHEN landing THEN ['landing page'] ELSE {_compact(_case(s, f'{k} (+{_W[k]})') for k, s in _SIGNALS.items())} END AS reasons FROM classed)"""
 _BAND = "CASE WHEN score <= 14 THEN '0-14' WHEN score <= 29 THEN '15-29' WHEN score <= 49 THEN '30-49' WHEN score <= 69 THEN '50-69' ELSE '70-100' END"
 #: Tokens and high-value entities. No title of the tables names an amount, so the join leaves out follow-ups of incidents; tests cover them.
 CARDS = f"""{SCORED}, cards AS MATERIALIZED (SELECT item_id, source_id, quality, score, tm, CAST(day AS DATE) AS day,
@@ -100,8 +133,15 @@ d AS (SELECT *, sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITI
 _HALVES = f"""WITH e AS (SELECT *, ts >= TIMESTAMP '2024-01-16' AS late FROM events),
 l AS (SELECT late, user_id, max_by(struct_pack(event_id, event_type, value), struct_pack(ts, event_id)) AS l FROM e GROUP BY 1, 2),
 old AS (SELECT user_id, l.event_id, l.event_type, l.value FROM l WHERE NOT late), new AS (SELECT user_id, l.event_id, l.event_type, l.value FROM l WHERE late)"""
-_THEMES = _compact(_case(" OR ".join(f"contains(lower({BOTH}), '{x}')" for x in th.terms), th.name) for th in SAMPLE.themes)
-_NORM = "array_to_string(regexp_extract_all(regexp_replace(lower({x}), 'https?://[^ \\t\\n\\r\\f]+', ' ', 'g'), '[a-z0-9]+'), ' ')"
+_THEMES = _compact(_case(_has(BOTH, th.terms), th.name) for th in SAMPLE.themes)
+_NORM = "array_to_string(regexp_extract_all(replace(regexp_replace(lower({x}), 'https?://[^ \\t\\n\\r\\f]+', ' ', 'g'), 'ß', 'ss'), '[a-z0-9]+'), ' ')"
+_ACTION = rf"(?is)(.*?)\b({text._NEGATIVE})\b"
+#: Items with a clause that states such an action, neither denied nor speculated about.
+STATED = rf"""clauses AS (SELECT item_id, unnest(regexp_split_to_array({BOTH}, '[.!?;]\s+|,\s+|(?i:\bbut\b|\bhowever\b)')) AS clause FROM items),
+actions AS (SELECT item_id, regexp_extract_all(clause, '{_ACTION}', 1) AS b, regexp_extract_all(clause, '{_ACTION}', 2) AS w FROM clauses),
+each_action AS (SELECT item_id, array_to_string(list_transform(range(1, k), lambda i: b[i] || w[i]), '') || b[k] AS before, w[k] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM actions)),
+stated AS (SELECT DISTINCT item_id FROM each_action WHERE NOT regexp_matches(right(before, 120), '(?i)\b({text._SPECULATION})\b')
+  AND NOT regexp_matches(right(before, 80) || word, '(?i)\b({text._DENIAL})\s+(yet\s+)?(being\s+|been\s+|be\s+)?({text._NEGATIVE})\b'))"""
 _SQUEEZE = "trim(regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _ESCAPE = "regexp_replace({x}, '([\\\\*_`~|>\\[\\]()@])', '\\\\\\1', 'g')"
 
@@ -111,6 +151,43 @@ def _clip(x: str, n: int) -> str:
     return f"CASE WHEN length({line}) <= {n} THEN {line} ELSE rtrim(substring({line}, 1, {n - 1})) || '…' END"
 
 
+def _theses(where: str = "true") -> str:
+    return f"""WITH {ENTITIES}, {STATED}, h AS (SELECT item_id, title, source_id, quality, entities, unnest({_THEMES}) AS theme FROM named WHERE {where}), x AS (SELECT theme, unnest(entities) AS entity, title, source_id, quality, item_id FROM h),
+      t AS (SELECT doc_id, max(toxic) = 1 AS bad FROM labels GROUP BY 1), y AS (SELECT x.*, coalesce(bad, false) OR item_id IN (SELECT item_id FROM stated) AS bad FROM x LEFT JOIN t ON t.doc_id = item_id),
+      g AS (SELECT theme, entity, count(DISTINCT title) AS n_events, count(DISTINCT source_id) AS n_sources, count(DISTINCT source_id) FILTER (quality = 'primary') AS n_primary, count(DISTINCT title) FILTER (bad) AS n_negative FROM y GROUP BY 1, 2),
+      r AS (SELECT *, least(90, 35 + 7 * least(n_events, 5) + 4 * least(n_sources, 5) + 3 * least(n_primary, 3) - 8 * n_negative) AS raw FROM g WHERE n_events >= 2 AND n_sources >= 2),
+      theses AS (SELECT theme, entity, n_events, n_sources, n_primary, n_negative, CASE WHEN n_negative > n_events / 2 THEN 'weakened' WHEN n_negative > 0 THEN 'mixed' ELSE 'supported' END AS status, greatest(0, raw) AS strength,
+      CASE WHEN raw >= 70 THEN 'high' WHEN raw >= 50 THEN 'moderate' ELSE 'early' END AS label, 'thesis-' || substring(sha256(theme || '|' || lower(entity)), 1, 20) AS thesis_id FROM r)"""
+
+
+_SIGNED = f"""{ITEMS}, n AS (SELECT item_id, {_NORM.format(x='title')} AS t, {_NORM.format(x='summary')} AS s FROM items),
+  signed AS (SELECT item_id, list_sort(list_distinct(list_concat(CASE WHEN len(string_split(t, ' ')) >= 5 AND NOT list_contains({_list(GENERIC_TITLES)}, t) THEN [sha256(t)] ELSE [] END,
+  CASE WHEN len(string_split(s, ' ')) >= 10 THEN [sha256('event-summary:' || s)] ELSE [] END))) AS signatures FROM n)"""
+_LISTING = """WITH l AS (SELECT user_id AS source, event_id AS native_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events QUALIFY r <= 40),
+  f AS (SELECT source, max(r) FILTER (r = CASE source % 3 WHEN 1 THEN 13 WHEN 2 THEN 33 END) AS spot, max(native_id) FILTER (r = CASE source % 3 WHEN 1 THEN 13 WHEN 2 THEN 33 END) AS boundary, max(r) AS n FROM l GROUP BY 1),
+  t AS (SELECT l.*, f.* EXCLUDE (source) FROM l JOIN f USING (source) WHERE r <= 20 AND CASE WHEN spot IS NULL THEN r <= 10 WHEN spot <= 20 THEN r < spot ELSE false END)"""
+_SAY_PLAIN = r"regexp_replace(trim(regexp_replace({x}, '[ \t\n\r\f]+', ' ', 'g')), '([\\*_~`|>])', '\\\1', 'g')"
+
+
+def _say(x: str, n: int) -> str:
+    line = f"replace({_SAY_PLAIN.format(x=x)}, '@', '@\u200b')"
+    return f"CASE WHEN length({line}) <= {n} THEN {line} ELSE rtrim(substring({line}, 1, {n - 1})) || '…' END"
+
+
+def _one_naming(value: str, source: str) -> str:
+    for short, names in NAMES.items():
+        for long in names:
+            has = [f"regexp_matches(lower({source}), '\\b{x}\\b')" for x in (short, long)]
+            put = lambda gone, kept: f"regexp_replace({value}, '(?i)\\b{gone}\\s*\\(\\s*{kept}\\s*\\)|\\b{kept}\\s*\\(\\s*{gone}\\s*\\)|\\b{gone}\\b', '{kept}', 'g')"
+            value = f"CASE WHEN {has[0]} AND NOT {has[1]} THEN {put(long, short.upper())} WHEN {has[1]} AND NOT {has[0]} THEN {put(short, long.title())} ELSE {value} END"
+    return value
+
+
+#: Names for words of the synthetic prose.
+NAMES = {"thnt": ("thanedble", "attion"), "une": ("eriner",)}
+_TITLE = "title || CASE WHEN item_id % 2 = 0 THEN ' launched today' WHEN item_id % 5 = 0 THEN ' plans to launch' ELSE '' END"
+_NEWS = "lower(trim(regexp_replace(title || ' selected as custodian ' || CASE WHEN item_id % 4 = 0 THEN ' petition ' ELSE '' END || summary, '\\s+', ' ', 'g')))"
+
 SQL = {
     "items_normalized": f"""WITH {ITEMS}, s AS (SELECT *, {_SQUEEZE.format(x='title')} AS t FROM items),
       p AS (SELECT *, regexp_extract(t, '^(.*?)[ ]+[|—–-][ ]+([^|—–]*)$', 2) AS tail FROM s)
@@ -134,29 +211,20 @@ SQL = {
       x AS (SELECT s.item_id, score_before, score, tm, event_key FROM scored s JOIN k USING (item_id) LEFT JOIN o USING (item_id))
       SELECT item_id, score_before, score FROM x WHERE score_before < {GATE} AND score >= {GATE} AND tm >= {NOW} - 240 * 3600 AND tm < {NOW} AND event_key NOT IN (SELECT event_key FROM x WHERE tm >= {NOW})""",
     "correlation_by_tokens": f"WITH {CARDS}, {_pairs('card', 'card')}, {_ROLL} {_ROLLED}",
-    "history_correlation": f"WITH {CARDS}, {_pairs(f'(SELECT * FROM card WHERE tm >= {HISTORY})', f'(SELECT * FROM card WHERE tm < {HISTORY})')}, {_ROLL} {_ROLLED}",
-    "buried_signals": f"""WITH {CARDS}, {_pairs('card', 'card')}, {_ROLL} SELECT item_id, CAST(least(100, correlation_score + 25 + CASE WHEN contains(sources, ',') THEN 5 ELSE 0 END) AS INT) AS buried_score, sources
-      FROM card JOIN rolled USING (item_id) WHERE quality = 'primary' AND score < {GATE} AND correlation_score >= 75""",
-    "delivery_duplicates": f"""WITH {CARDS}, {_pairs(f"(SELECT * FROM card WHERE quality = 'high_signal' AND score >= {GATE})", f"(SELECT * FROM card WHERE quality = 'primary' AND score >= {GATE})")}
-      SELECT a AS item_id, b AS repeats, CAST(points AS INT) AS points FROM pairs WHERE points >= 75 QUALIFY row_number() OVER (PARTITION BY a ORDER BY points DESC, score_b DESC, source_b DESC, b DESC) = 1""",
     "near_amounts": """SELECT x.o_custkey AS k, x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey
       WHERE abs(x.o_totalprice - y.o_totalprice) / greatest(abs(x.o_totalprice), abs(y.o_totalprice), 1) <= 0.03""",
-    "event_clusters": f"""WITH RECURSIVE {CARDS}, {_pairs('card', 'card')}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-      reach(id, root) AS (SELECT item_id, item_id FROM card UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id WHERE r.root < e.b),
-      c AS (SELECT id AS item_id, min(root) AS root FROM reach GROUP BY 1), m AS (SELECT * FROM c JOIN card USING (item_id)),
-      b AS (SELECT root, item_id AS representative FROM m QUALIFY row_number() OVER (PARTITION BY root ORDER BY score DESC, tm, item_id) = 1)
-      SELECT 'cluster-' || substring(sha256(CAST(root AS VARCHAR)), 1, 20) AS cluster_id, root AS first_item, count(*) AS n_members, count(DISTINCT source_id) AS n_sources, max(score) AS best_score, any_value(representative) AS representative FROM m JOIN b USING (root) GROUP BY root""",
     "graph_nodes": f"""WITH {ENTITIES}, x AS (SELECT item_id, unnest(entities) AS e FROM named) SELECT 'entity' AS type, count(DISTINCT lower(e)) AS n_nodes FROM x
-      UNION ALL SELECT 'source', count(DISTINCT source_id) FROM named UNION ALL SELECT 'event', count(*) FROM named WHERE source_id IS NOT NULL OR len(entities) > 0""",
+      UNION ALL SELECT 'source', count(DISTINCT source_id) FROM named UNION ALL SELECT 'event', count(*) FROM named
+      UNION ALL SELECT 'claim', CAST(sum(len(list_filter(string_split(summary, chr(10)), lambda x: x <> ''))) AS BIGINT) FROM named WHERE quality = 'primary'""",
     "graph_edges": f"""WITH {ENTITIES}, x AS (SELECT item_id, unnest(entities) AS e FROM named) SELECT 'entity:' || lower(e) AS src, 'mentioned_in' AS kind, count(*) AS n_events FROM x GROUP BY 1
       UNION ALL SELECT 'source:' || source_id, 'reports', count(*) FROM named WHERE source_id IS NOT NULL GROUP BY 1""",
     "supersession": f"WITH {ITEMS}, m AS (SELECT item_id, max(item_id) OVER (PARTITION BY title) AS new FROM items) SELECT item_id AS old, new FROM m WHERE item_id < new",
-    "thesis_rollup": f"""WITH {ENTITIES}, h AS (SELECT item_id, title, source_id, quality, entities, unnest({_THEMES}) AS theme FROM named), x AS (SELECT theme, unnest(entities) AS entity, title, source_id, quality, item_id FROM h),
-      t AS (SELECT doc_id, max(toxic) = 1 AS bad FROM labels GROUP BY 1), y AS (SELECT x.*, coalesce(bad, false) AS bad FROM x LEFT JOIN t ON t.doc_id = item_id),
-      g AS (SELECT theme, entity, count(DISTINCT title) AS n_events, count(DISTINCT source_id) AS n_sources, count(DISTINCT source_id) FILTER (quality = 'primary') AS n_primary, count(DISTINCT title) FILTER (bad) AS n_negative FROM y GROUP BY 1, 2),
-      r AS (SELECT *, least(90, 35 + 7 * least(n_events, 5) + 4 * least(n_sources, 5) + 3 * least(n_primary, 3) - 8 * n_negative) AS raw FROM g WHERE n_events >= 2 AND n_sources >= 2)
-      SELECT theme, entity, n_events, n_sources, n_primary, n_negative, CASE WHEN n_negative > n_events / 2 THEN 'weakened' WHEN n_negative > 0 THEN 'mixed' ELSE 'supported' END AS status, greatest(0, raw) AS strength,
-      CASE WHEN raw >= 70 THEN 'high' WHEN raw >= 50 THEN 'moderate' ELSE 'early' END AS label, 'thesis-' || substring(sha256(theme || '|' || lower(entity)), 1, 20) AS thesis_id FROM r""",
+    "thesis_rollup": _theses() + " SELECT theme, entity, n_events, n_sources, n_primary, n_negative, status, strength, label, thesis_id FROM theses",
+    "thesis_revisions": f"""WITH a AS ({_theses(f'tm < {HISTORY}')} SELECT * FROM theses), b AS ({_theses()} SELECT * FROM theses)
+      SELECT thesis_id, CASE WHEN a.thesis_id IS NULL THEN 1 WHEN b.thesis_id IS NULL OR (a.status, a.strength, a.n_events, a.n_sources, a.n_primary, a.n_negative) = (b.status, b.strength, b.n_events, b.n_sources, b.n_primary, b.n_negative) THEN 1 ELSE 2 END AS revision,
+      CASE WHEN a.thesis_id IS NULL THEN 'run' ELSE 'history' END AS first_seen, CASE WHEN b.thesis_id IS NULL THEN 'history' ELSE 'run' END AS updated_at, coalesce(b.status, a.status) AS status, coalesce(b.strength, a.strength) AS strength FROM a FULL JOIN b USING (thesis_id)""",
+    "thesis_context": f"""WITH t AS ({_theses()} SELECT * FROM theses), n AS (WITH {ENTITIES} SELECT item_id, unnest(entities) AS entity FROM named)
+      SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY CASE status WHEN 'supported' THEN 2 WHEN 'mixed' THEN 1 ELSE 0 END DESC, strength DESC, thesis_id DESC) AS INT) AS rank, thesis_id FROM n JOIN t USING (entity) QUALIFY rank <= 3""",
     "event_freshness": f"""WITH {ITEMS} SELECT sha256(title) AS headline, count(*) AS n_evidence, CASE WHEN max(tm) > {NOW} + 86400 THEN 'future' WHEN max(tm) < {NOW} - 10 * 86400 THEN 'stale' ELSE 'fresh' END AS freshness FROM items GROUP BY 1""",
     "event_evidence": f"""WITH {ITEMS}, r AS (SELECT sha256(title) AS headline, url, row_number() OVER (PARTITION BY title ORDER BY tm DESC, url DESC) AS r FROM items) SELECT headline, string_agg(url, ' ' ORDER BY r) AS urls, count(*) AS n_urls FROM r WHERE r <= 12 GROUP BY 1""",
     "weekly_digest": f"WITH {ITEMS} SELECT source_id, count(*) AS n_posts FROM items WHERE tm BETWEEN {START + 17 * 86400} AND {NOW} GROUP BY 1 ORDER BY 2 DESC, min(struct_pack(tm, item_id)) LIMIT 5",
@@ -172,10 +240,64 @@ SQL = {
     "retention_per_source": f"WITH {ITEMS} SELECT item_id, source_id FROM items QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY tm DESC, item_id DESC) <= 20",
     "undelivered_orders": "SELECT o_orderkey AS key, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING max(l_shipdate) < TIMESTAMP '1995-06-01')",
     "source_rotation": "SELECT s_suppkey, s_name FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p, count(*) OVER () AS n FROM supplier) WHERE ((p - 7) % n + n) % n < 25",
-    "listing_frontier": "SELECT r_regionkey AS position, r_name AS native_id, r_regionkey < (SELECT min(r_regionkey) FROM region WHERE r_name = 'EUROPE') AS is_new, 'found' AS status FROM region",
-    "event_signatures": f"""WITH {ITEMS}, n AS (SELECT item_id, {_NORM.format(x='title')} AS t, {_NORM.format(x='summary')} AS s FROM items)
-      SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN len(string_split(t, ' ')) >= 5 AND NOT list_contains({_list(GENERIC_TITLES)}, t) THEN [sha256(t)] ELSE [] END,
-        CASE WHEN len(string_split(s, ' ')) >= 10 THEN [sha256('event-summary:' || s)] ELSE [] END))), ',') AS signatures FROM n""",
+    "listing_frontier": f"{_LISTING} SELECT source, CAST((r - 1) // 10 AS INT) AS page, CAST((r - 1) % 10 AS INT) AS place, native_id FROM t",
+    "event_signatures": f"WITH {_SIGNED} SELECT item_id, array_to_string(signatures, ',') AS signatures FROM signed",
+    "undelivered_events": f"""WITH {_SIGNED} SELECT item_id AS event_id FROM signed WHERE item_id % 7 <> 0 AND NOT list_has_any(signatures, (SELECT flatten(list(signatures)) FROM signed WHERE item_id % 7 = 1))""",
+    "stated_negatives": f"WITH {ITEMS}, {STATED} SELECT item_id, item_id IN (SELECT item_id FROM stated) AS negative FROM items",
+    "context_for_items": f"""WITH {ITEMS}, w AS (SELECT item_id, ' ' || array_to_string({_words("concat_ws(' ', title, summary)")}, ' ') || ' ' AS said FROM items),
+      r AS (SELECT item_id AS record_id, {_words('text')} AS a, CAST(item_id % 5 AS VARCHAR) AS topic FROM benchmark),
+      m AS (SELECT w.item_id, record_id, topic, (CASE WHEN len(a) >= 2 THEN 3 + least(2, len(a) - 2) ELSE 2 END) * 4 + 2 * 3 + 4 AS score FROM w JOIN r ON len(a) > 0 AND contains(said, ' ' || array_to_string(a, ' ') || ' ')),
+      p AS (SELECT *, row_number() OVER (PARTITION BY item_id, topic ORDER BY score DESC, record_id DESC) - 1 AS place FROM m),
+      v AS (SELECT *, score + CASE WHEN place = 0 THEN 5 ELSE -5 * place END AS worth FROM p)
+      SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY worth DESC, record_id DESC) AS INT) AS rank, record_id FROM v QUALIFY rank <= 3""",
+    "candidates_normalized": f"""WITH {ITEMS}, u AS (SELECT *, {_SQUEEZE.format(x='title')} AS t, {_SQUEEZE.format(x="regexp_replace(summary, '<[^>]*>', ' ', 'g')")} AS s, 'https://' || lower(coalesce(source_id, 'none')) || '.example/' || item_id AS c FROM items)
+      SELECT item_id, t AS title, s AS summary, c AS url, c AS provenance, CASE WHEN item_id % 5 = 0 THEN 'own' ELSE 'item-' || substring(sha256(concat_ws('|', source_id, CASE WHEN item_id % 2 = 0 THEN CAST(item_id AS VARCHAR) ELSE c END)), 1, 24) END AS candidate_id FROM u""",
+    "publication_keys": f"""WITH {KEYS} SELECT item_id, CASE WHEN item_id % 3 = 0 AND source_id IS NOT NULL THEN 'chat|' || source_id ELSE 'chat|' || CASE WHEN item_id % 2 = 0 THEN 'id' ELSE fingerprint END || '|' || CASE WHEN item_id % 5 = 0 THEN 'hash' ELSE fingerprint END END AS key FROM keys""",
+    "recommended_actions": f"""WITH {ITEMS}, g AS (SELECT title, max(tm) AS newest, bool_or(tm BETWEEN {NOW - 10 * 86400} AND {NOW + 86400}) AS eligible FROM items GROUP BY 1)
+      SELECT sha256(title) AS headline, CASE WHEN newest > {NOW + 86400} THEN 'hold: dated in the future' WHEN newest < {NOW - 10 * 86400} THEN 'quarantine: stale' WHEN trim(lower(title)) IN ('', {_list(GENERIC_TITLES)[1:-1]}) THEN 'quarantine: titles say nothing' ELSE 'review' END AS action, eligible FROM g""",
+    "allowed_items": f"WITH {ITEMS} SELECT item_id, url FROM items WHERE item_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "saved_progress": f"""WITH a AS (SELECT event_id, value, {_STATUS} AS status, json_extract(props, '$.k') IS NOT NULL AS progress FROM events)
+      SELECT event_id, progress, status <> 'failed' AND (value > 50 OR status = 'empty' OR (progress AND value > 20)) AS saved FROM a""",
+    "state_inventory": " UNION ALL ".join(f"SELECT '{n}' AS state, count(*) AS n_rows FROM {n}" for n in ("documents", "events", "orders", "labels", "benchmark")),
+    "model_selection": f"WITH {SCORED} SELECT CAST(row_number() OVER (ORDER BY score DESC, len(entities), tm DESC, lower(title), item_id) AS INT) AS rank, item_id, score FROM scored WHERE score >= {GATE} QUALIFY rank <= 12",
+    "near_misses": f"WITH {SCORED} SELECT item_id, score FROM scored WHERE score < {GATE} ORDER BY score DESC, tm DESC, lower(title), item_id LIMIT 5",
+    "outbox_first": "SELECT o_orderkey AS key FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25",
+    "observation_preview": "SELECT CAST(row_number() OVER (ORDER BY ts DESC, user_id DESC, event_id DESC) AS INT) AS rank, event_id FROM events QUALIFY rank <= 20",
+    "retained_cards": f"WITH {ITEMS} SELECT item_id FROM items WHERE tm >= {NOW} - 72 * 3600 ORDER BY tm DESC, item_id DESC LIMIT 500",
+    "seen_fingerprints": f"""WITH {KEYS}, o AS (SELECT item_id AS place, fingerprint FROM keys WHERE tm < {HISTORY}), n AS (SELECT DISTINCT fingerprint FROM keys WHERE fingerprint NOT IN (SELECT fingerprint FROM o)),
+      e AS (SELECT * FROM o UNION ALL SELECT (SELECT max(place) FROM o) + row_number() OVER (ORDER BY fingerprint), fingerprint FROM n) SELECT * FROM e ORDER BY place DESC LIMIT 500""",
+    "released_retries": f"WITH {KEYS} SELECT fingerprint FROM keys WHERE NOT (item_id % 3 = 0 AND item_id IN (SELECT doc_id FROM labels WHERE quality = 0))",
+    "merged_branches": """SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_custkey <> 1 AND c_nationkey <> 3 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderdate <= TIMESTAMP '1995-12-02')
+      AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1997-01-01')""",
+    "prior_events": f"""WITH {ENTITIES}, c AS MATERIALIZED (SELECT item_id, tm, CAST(day AS DATE) AS day, entities, list_filter(list_distinct({WORDS}), lambda x: NOT list_contains({_list(STOPWORDS)}, x) AND (length(x) > 2 OR regexp_matches(x, '^[0-9]+$'))) AS tokens FROM named WHERE len(entities) > 0),
+      m AS (SELECT l.item_id, r.item_id AS event_id, r.day, list_intersect(l.entities, r.entities) AS shared, list_intersect(l.tokens, r.tokens) AS common FROM c l JOIN c r ON l.tm >= {HISTORY} AND r.tm < {HISTORY} AND list_has_any(l.entities, r.entities)),
+      s AS (SELECT *, len(shared) * 3 + len(common) AS score FROM m WHERE len(list_filter(common, lambda x: NOT list_contains(list_transform(shared, lambda e: lower(e)), x))) >= 2)
+      SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, day, event_id) AS INT) AS rank, event_id, score FROM s QUALIFY rank <= 3""",
+    "parameter_products": "SELECT CAST(y AS INT) AS year, k AS kind, (SELECT count(*) FROM events WHERE year(ts) = y AND event_type = k) AS n_events FROM (SELECT unnest([2023, 2024]) AS y), (SELECT unnest(['click', 'error', 'purchase', 'view']) AS k)",
+    "acronyms": f"""WITH {ITEMS} SELECT item_id, sha256({_one_naming("('Thnt (Thanedble), Eriner and une. ' || title)", 'summary')}) AS named FROM items""",
+    "event_types": f"""WITH {ITEMS}, g AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'announcement' WHEN 1 THEN 'filing' ELSE 'acquisition' END AS given, lower(trim({_TITLE})) AS head, {_NEWS} AS said FROM items)
+      SELECT item_id, CASE WHEN given = 'announcement' AND regexp_matches(head, '\\blaunch(es|ed)?\\b') AND NOT regexp_matches(head, '\\bto launch\\b|\\bplanned launch\\b') THEN 'product_launch'
+      WHEN given = 'filing' AND NOT regexp_matches(said, '\\b(filed|filing|submitted|petition|complaint|motion|registration statement|form [a-z0-9-]+)\\b') THEN 'partnership'
+      WHEN given = 'acquisition' AND (NOT (contains(said, 'thnt') OR contains(said, 'thre')) OR regexp_matches(said, '\\bsich\\b')) THEN NULL ELSE given END AS event_type FROM g""",
+    "event_messages": f"""WITH {ENTITIES}, m AS (SELECT *, list_sort(list_distinct(entities)) AS names FROM named) SELECT item_id, sha256(concat_ws(chr(10), CASE WHEN quality = 'primary' THEN '**Partnership**' ELSE '**Regulatory Action**' END, {_say('title', 420)},
+      CASE WHEN item_id % 2 = 0 AND trim(summary) <> '' THEN CASE WHEN quality = 'primary' THEN '**Strategic read-through:** ' ELSE '**Why it matters:** ' END || {_say('summary', 700)} END, '**Status:** reported',
+      CASE WHEN len(names) > 0 THEN '**Key entities:** ' || array_to_string(names[1:6], ', ') END, '**Grounded updates:**' || chr(10) || '• ' || CASE WHEN quality = 'primary' THEN '*confirmed* — ' ELSE '' END || {_say('title', 240)},
+      CASE WHEN len(entities) > 0 THEN '**Still unclear:**' || chr(10) || array_to_string(list_transform(entities[1:3], lambda x: '• ' || x), chr(10)) END,
+      '**Sources:**' || chr(10) || '• ' || concat_ws(' · ', CASE quality WHEN 'primary' THEN 'Primary source' WHEN 'high_signal' THEN 'Independent reporting' ELSE 'Source' END, coalesce(nullif({_say('title', 130)}, ''), {_say("coalesce(source_id, '')", 80)}), day) || chr(10) || '  ' || url,
+      CASE WHEN item_id % 5 = 0 THEN '**Updated by:** event-a, event-b' END)[:2000]) AS message FROM m""",
+    "evaluation_counts": f"WITH {ITEMS} SELECT regexp_matches(lower(title), 'th') AND regexp_matches(lower(title), 't.e') AND NOT regexp_matches(lower(title), 'qu|oi') AS passed, count(*) AS n_cases FROM items GROUP BY 1",
+    "stream_daily_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY date_trunc('day', ts), event_type HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
+    "stream_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stream_cards": "SELECT user_id, event_id, c_mktsegment FROM events JOIN customer ON c_custkey = user_id",
+    "cluster_members": """WITH RECURSIVE e AS (SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey <> y.o_orderkey WHERE abs(x.o_totalprice - y.o_totalprice) / greatest(abs(x.o_totalprice), abs(y.o_totalprice), 1) <= 0.03),
+      reach(id, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id), c AS (SELECT id AS o_orderkey, min(root) AS root FROM reach GROUP BY 1), m AS (SELECT * FROM c JOIN orders USING (o_orderkey))
+      SELECT 'cluster-' || substring(sha256(string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY CAST(o_orderkey AS VARCHAR))), 1, 24) AS cluster_id, count(*) AS n_members, count(DISTINCT o_orderpriority) AS n_sources, max(CAST(floor(o_totalprice) AS INT)) AS best_score,
+      arg_max(o_orderkey, struct_pack(s := floor(o_totalprice), t := -epoch(o_orderdate), k := -o_orderkey)) AS representative, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderpriority, 'https://shop.example/' || o_orderkey) AS members FROM m GROUP BY root""",
+    "frontier_state": f"""{_LISTING}, k AS (SELECT source, max_by(native_id, r) AS taken FROM t GROUP BY 1)
+      SELECT source, coalesce(taken, boundary) AS boundary_id, CAST(CASE WHEN spot IS NULL THEN 1 WHEN spot <= 20 THEN CASE WHEN taken IS NOT NULL THEN (spot - 1) // 10 + 1 ELSE 1 END WHEN (least(n, 20) - 1) // 10 > 0 THEN (least(n, 20) - 1) // 10 + 1 ELSE 1 END AS INT) AS hint,
+      CASE WHEN spot IS NULL THEN 'initial' WHEN spot <= 20 THEN 'found' ELSE 'missing' END AS status FROM f LEFT JOIN k USING (source)""",
+    "term_frontiers": """WITH o AS (SELECT user_id AS term, max(struct_pack(ts, event_id)) AS f FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), a AS (SELECT user_id AS term, max(struct_pack(ts, event_id)) AS l FROM events GROUP BY 1)
+      SELECT term, (SELECT count(*) FROM events e WHERE e.user_id = term AND (f IS NULL OR struct_pack(ts := e.ts, event_id := e.event_id) > f)) AS n_fresh, l.event_id AS native_id FROM a LEFT JOIN o USING (term)""",
     "messages": f"""WITH {ENTITIES}, m AS (SELECT *, coalesce(nullif({_clip('title', 220)}, ''), 'Untitled source item') AS t, {_clip('summary', 360)} AS s, array_to_string(entities[1:4], ', ') AS e FROM named)
       SELECT item_id, concat_ws(chr(10), '**' || t || '**', nullif(s, ''), '*' || coalesce(source_id, 'Unknown source') || ' · ' || day || CASE WHEN e <> '' THEN ' · ' || e ELSE '' END || '*', 'Source: ' || url) AS message FROM m""",
     "event_properties": "SELECT event_type, count(*) AS n_events, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS max_k FROM events GROUP BY 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -60,13 +61,16 @@ def parsed(html: str | None) -> _Links:
 def nearest(links: list[list], dates: list[tuple[int, str]], most: int = 2500) -> dict[int, str]:
     """For each date the one nearest link within reach; a date between two equally near links belongs to none. Links keep their nearest date."""
     best: dict[int, tuple[int, str]] = {}
+    places = [l[2] for l in links]
     for at, text in dates:
-        by = sorted((abs(at - l[2]), k) for k, l in enumerate(links))
-        if not by or by[0][0] > most or (len(by) > 1 and by[0][0] == by[1][0]):
+        # links are in the order of their places
+        right = bisect_left(places, at)
+        near = [(abs(at - places[k]), k) for k in (right - 2, right - 1, right, right + 1) if 0 <= k < len(places)]
+        least = min(near, default=(most + 1, -1))
+        if least[0] > most or sum(d == least[0] for d, _ in near) > 1:
             continue
-        d, k = by[0]
-        if k not in best or d < best[k][0]:
-            best[k] = (d, text)
+        if least[1] not in best or least[0] < best[least[1]][0]:
+            best[least[1]] = (least[0], text)
     return {k: text for k, (_, text) in best.items()}
 
 

@@ -60,3 +60,32 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     """Call ``work(batch, id)`` for every micro-batch: a batch may come again after a crash, so work writes by key or by batch id."""
     writer = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def with_cards(stream: DataFrame, cards: DataFrame, key: str) -> DataFrame:
+    """Each row of a stream with the cards of its key, as the card table is when the batch starts."""
+    return stream.join(cards, key)
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there, its rows written to ``path`` exactly once; the table of them."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def latest_by_key(stream: DataFrame, key: str, at: str, tie: str, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there into a table of the last row of each key; a late row replaces nothing newer.
+
+    Each batch writes the table anew under its own number and reads its predecessor's, so a batch that comes again gives the same.
+    """
+    rows = F.struct(*stream.columns)
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        every = batch if number == 0 else batch.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/{number - 1}"))
+        last = every.groupBy(key).agg(F.max_by(rows, F.struct(at, tie)).alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    query = each_batch(stream, work, checkpoint)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{query.lastProgress['batchId']}")

@@ -27,7 +27,7 @@ def test_queries_equal_their_sql(spark, name):
         assert len(got.columns)
         return
     con = duckdb.connect()
-    for t in ("region", "supplier", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("region", "supplier", "customer", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
     want = con.execute(__spark_entry__.OWN_SQL[name]).df()
     order = sorted(want.columns)

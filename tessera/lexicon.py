@@ -171,7 +171,7 @@ SAMPLE = Lexicon(
     institutional=("authority_action",),
     by_rail=("company_topic",),
     rail=("avec", "sich", "with", "auch nicht"),
-    landing=Landing("th", ("tion", "thst", "than"), "t"),
+    landing=Landing("the ", ("tion", "thst", "than", "that"), "th"),
     topical=("direct_asset", "authority_topic_action", "authority_action", "company_topic"),
     action=("authority_topic_action", "company_topic"),
     commentary=("thing", "thly"),

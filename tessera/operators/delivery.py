@@ -40,7 +40,7 @@ def event_messages(events: DataFrame) -> DataFrame:
     def section(head: str, lines: F.Column) -> F.Column:
         return F.when(F.size(lines) > 0, F.concat(F.lit(f"**{head}:**\n"), F.array_join(lines, "\n")))
 
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("entities", F.trim), lambda x: x != "")), lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform("entities", lambda x: F.trim(x)), lambda x: x != "")), lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0))
     certain = lambda c: F.lower(F.trim(F.coalesce(c["certainty"], F.lit(""))))
     claim = lambda c: point(F.concat(F.when(certain(c).isin("", "unknown"), "").otherwise(F.concat(F.lit("*"), say(certain(c), 20), F.lit("* — "))), say(c["text"], 240)))
     kind = lambda e: F.when(F.lower(e["source_quality"]) == "primary", "Primary source").when(F.lower(e["source_quality"]) == "high_signal", "Independent reporting").otherwise("Source")

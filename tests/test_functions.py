@@ -58,12 +58,19 @@ def test_ratio_bounds_do_not_change_what_passes():
             assert (t.ratio(x, y) >= least) == (t.ratio(x, y, least) >= least)
 
 
-def test_stated_negatives():
-    assert t.states_negative("The court rejected the plan.")
-    assert not t.states_negative("The court has not rejected the plan.")
-    assert not t.states_negative("It could be rejected.")
-    assert t.states_negative("It may grow, but the deal was cancelled.")
-    assert not t.states_negative(None)
+def test_stated_negatives(spark):
+    said = {
+        "The court rejected the plan.": True, "The court has not rejected the plan.": False, "It could be rejected.": False, "It may grow, but the deal was cancelled.": True, None: None, "": False,
+        "It was not yet being suspended; it was halted": True, "They never denied it": False, "x" * 130 + " might " + "y" * 130 + " failed": True, "might " + "y" * 100 + " failed": False, "Rejected or possibly rejected": True,
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "x string")
+    assert {r.x: r.n for r in rows.select("x", t.confirmed_negative(F.col("x")).alias("n")).collect()} == {k: bool(v) for k, v in said.items()}
+
+
+def test_terms_are_found_folded_and_whole(spark):
+    rows = spark.createDataFrame([("Ｒipple and GROẞE Straße; auch  nicht, auch nicht!",), ("ripples großen",), (None,), ("e\u0301t\u00e9 auch-nicht",)], "x string")
+    hits = t.term_hits(t.folded(F.coalesce("x", F.lit(""))), ("Ripple", "große", "straße", "auch nicht", "été", "auch-nicht"))
+    assert [sorted(r.h) for r in rows.select(hits.alias("h")).collect()] == [["auch nicht", "grosse", "ripple", "strasse"], [], [], ["auch-nicht", "été"]]
 
 
 def test_html_text():

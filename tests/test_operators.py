@@ -20,7 +20,7 @@ def items(spark, rows):
 def test_scores_add_up(spark):
     rows = [(1, "thanea thst", "thre", "a", "primary", 0), (2, "nothing", "", "a", "primary", 0), (3, "keit thst", "", "b", "discovery", 0), (4, "keit thst", "asci", "b", "discovery", 0), (5, "nicht thon thst", "", "c", "discovery", 0)]
     got = {r.item_id: r for r in scoring.scored(items(spark, rows), SAMPLE).collect()}
-    assert got[1].categories == ["direct_asset"] and got[1].score == 15 + 20 + 5
+    assert got[1].categories == ["direct_asset", "protocol_change"] and got[1].score == 15 + 20 + 5 + 10
     assert got[2].score == 0 and got[3].categories == ["company_topic"] and got[4].categories == []
     assert got[5].categories == ["authority_topic_action"]
     assert {r.band: r.n_items for r in scoring.histogram(scoring.scored(items(spark, rows), SAMPLE)).collect()}["70-100"] == 0
@@ -126,10 +126,39 @@ def test_streaks(spark):
     assert [(r.status_started_at - DAY).seconds // 3600 for r in got] == [0, 0, 2, 3, 4, 4, 6]
 
 
-def test_frontier(spark):
-    rows = spark.createDataFrame([(0, "e"), (1, "d"), (2, "c")], "position int, native_id string")
-    assert [r.native_id for r in state.frontier(rows, "c").where("is_new").orderBy("position").collect()] == ["e", "d"]
-    assert {r.status for r in state.frontier(rows, "zz").collect()} == {"missing"} and {r.status for r in state.frontier(rows, None).collect()} == {"initial"}
+def test_frontiers(spark):
+    listing = spark.createDataFrame([("a", 0, 0, "e"), ("a", 0, 1, "d"), ("a", 1, 0, "c"), ("a", 1, 1, "b"), ("b", 0, 0, "y"), ("b", 0, 1, "x"), ("c", 0, 0, "q"), ("c", 1, 0, "p"), ("e", 0, 0, "z")], "source string, page int, place int, native_id string")
+    saved = spark.createDataFrame([("a", "b", 4), ("b", None, None), ("c", "gone", 2), ("d", "k", 3), ("e", "z", 5)], "source string, boundary_id string, hint int")
+    found = state.frontiers(listing, saved)
+    assert {r.source: r.status for r in found.collect()} == {"a": "found", "b": "initial", "c": "missing", "d": "unread", "e": "found"}
+    assert sorted((r.source, r.native_id) for r in state.beyond(listing, found).collect()) == [("a", "c"), ("a", "d"), ("a", "e"), ("b", "x"), ("b", "y")]
+    assert {r.source: (r.boundary_id, r.hint) for r in state.advanced(listing, found).collect()} == {"a": ("c", 2), "b": ("x", 1), "c": ("gone", 2), "d": ("k", 3), "e": ("z", 5)}
+
+
+def test_event_messages_have_capped_sections(spark):
+    schema = "event_type string, summary string, significance string, status string, entities array<string>, claims array<struct<text:string,certainty:string>>, conflicts array<string>, uncertainties array<string>, evidence array<struct<title:string,source:string,source_quality:string,published_at:string,url:string>>, updated_by array<string>"
+    rows = [
+        ("product_launch", "A  *new* thing @all", None, "reported", ["b", "A", "b", " "], [(f"c{k}", "Confirmed" if k else "unknown") for k in range(6)], ["x"] * 5, None, [("t", "s", "primary", "2024-01-02T03:04", "https://a/b"), ("", "s", None, None, "http://a")], ["e1", "e2", "e3", "e4"]),
+        ("partnership", "s" * 500, "why", "active", [], [], [], [], [], []),
+    ]
+    a, b = (r.message for r in delivery.event_messages(spark.createDataFrame(rows, schema)).collect())
+    assert a.split("\n") == [
+        "**Product Launch**", "A \\*new\\* thing @\u200ball", "**Status:** reported", "**Key entities:** A, b", "**Grounded updates:**", "• c0", "• *confirmed* — c1", "• *confirmed* — c2", "• *confirmed* — c3",
+        "**Conflicting reports:**", "• x", "• x", "• x", "**Sources:**", "• Primary source · t · 2024-01-02", "  https://a/b", "• Source · s", "**Updated by:** e1, e2, e3",
+    ]
+    assert b.split("\n") == ["**Partnership**", "s" * 419 + "…", "**Strategic read-through:** why", "**Status:** active"]
+
+
+def test_landing_pages_and_written_aliases(spark):
+    rows = [(1, "The than page", "this names no figure", "a", "primary", 0), (2, "The than page", "this took 5 million", "a", "primary", 0), (3, "Une page", "", "a", "primary", 0), (4, "une page", "", "a", "primary", 0)]
+    got = {r.item_id: r for r in scoring.scored(items(spark, rows), SAMPLE).collect()}
+    assert got[1].reasons == ["landing page"] and got[1].score == 0 and got[1].categories == [] and got[2].reasons != ["landing page"]
+    assert got[3].entities == ["Une"] and got[4].entities == []
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    rows = spark.range(1000).repartition(7).select((F.col("id") * 37 % 1000).alias("k"))
+    assert [(r.k, r._place) for r in state.numbered(rows, "k").orderBy("k").collect()] == [(k, k) for k in range(1000)]
 
 
 def test_theses(spark):

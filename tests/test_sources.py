@@ -81,3 +81,54 @@ def test_sitemaps_and_linked_data(spark, tmp_path):
     page = '<script type="application/ld+json">{"@graph": [{"@type": ["NewsArticle"], "url": "u", "headline": "H  x", "datePublished": "2024-01-01", "isPartOf": {"@type": "Article", "url": "v", "name": "N", "datePublished": "d"}}]}</script><script type="application/ld+json">{bad</script>'
     got = html_pages.linked_data(spark.createDataFrame([(1, page), (2, None)], "page_id bigint, html string"), "page_id", "html").collect()
     assert [tuple(r) for r in got] == [(1, "u", "H x", "2024-01-01"), (1, "v", "N", "d")]
+
+
+def test_listings_by_rules(spark):
+    base = "https://news.example/list"
+    pages = {
+        "time": "<nav><a href='/x'>home</a></nav><li><time datetime='2024-03-02T08:00:00-05:00'></time> <a href='/press/a-1'>First</a></li><li><time datetime='2024-03-01'></time><a href='/press/a-2'>Second</a></li><a href='https://else.example/press/a-3'>Decoy</a>",
+        "path": "<a href='/actions/20240305'>Fifth</a><a href='/actions/other'>None</a><a href='/actions/20240305'>Read more</a>",
+        "after": "<a href='/r/1'>One</a> January 5, 2024 <a href='/r/2'>Two</a><a href='/r/3'>Three</a> 7 Sept 2023",
+        "before": "02/01/2024 <a href='/p?id=9'>Nine</a> 02/02/2024 <a href='/p?id=10'>Ten</a>",
+        "none": "<a href='/u/1'>Undated</a>",
+        "inside": "<a href='/r/0'>Outside</a><main><a href='/r/1'>In</a></main><a href='/r/2'>Out</a>",
+        "broken": "<a href='/r/1'>One<a href='/r/2'>Two</a>",
+    }
+    rules = {
+        "time": html_pages.Listing("news.example", r"^/press/(a-\d+)$"), "path": html_pages.Listing("news.example", r"^/actions/(\d+)$", date="path"), "after": html_pages.Listing("news.example", r"^/r/", date="after"),
+        "before": html_pages.Listing("news.example", r"^/p\?id=(\d+)", date="before", reach=1200), "none": html_pages.Listing("news.example", r"^/u/", date="none"),
+        "inside": html_pages.Listing("news.example", r"^/r/", date="none", inside=("<main>", "</main>")), "broken": html_pages.Listing("news.example", r"^/r/", whole=True),
+    }
+    got = {}
+    for k, rule in rules.items():
+        found = html_pages.releases(spark.createDataFrame([(1, pages[k], base), (2, None, None)], "page int, html string, base string"), "page", "html", "base", rule)
+        got[k] = [(r.native_id, r.title, r.published_at and r.published_at.isoformat(), r.problem) for r in found.orderBy("position").collect()]
+    assert got["time"] == [("a-1", "First", "2024-03-02T13:00:00", None), ("a-2", "Second", "2024-03-01T00:00:00", None)]
+    assert got["path"] == [("20240305", "Fifth", "2024-03-05T00:00:00", None)]
+    assert got["after"] == [("/r/1", "One", "2024-01-05T00:00:00", None), ("/r/2", "Two", None, "no date"), ("/r/3", "Three", "2023-09-07T00:00:00", None)]
+    assert got["before"] == [("9", "Nine", "2024-02-01T00:00:00", None), ("10", "Ten", "2024-02-02T00:00:00", None)]
+    assert got["none"] == [("/u/1", "Undated", None, None)] and got["inside"] == [("/r/1", "In", None, None)] and got["broken"][0][3] == "links that never end"
+    rows = html_pages.releases(spark.createDataFrame([(1, pages["time"], base), (2, pages["before"], base)], "page int, html string, base string"), "page", "html", "base", html_pages.Listing("news.example", r"^/(?:press/|p\?)"))
+    since = F.lit("2024-02-15").cast("timestamp")
+    assert {r.page: r.is_old for r in html_pages.pages_to_read(rows, "page", since).collect()} == {1: False, 2: True}
+    assert html_pages.in_window(rows, since, F.lit("2024-03-01").cast("timestamp")).count() == 1
+
+
+def test_issues_shards_and_publishers(spark):
+    feed = spark.createDataFrame([("https://g.example/2024/2024-05-04/index", "2024-05-04"), ("https://g.example/2024/2024-05-11/index", "2024-06-01")], "url string, day string").withColumn("published_at", F.to_timestamp("day"))
+    issues = spark.createDataFrame([(u, "<a href='/n/1'>Notice</a>") for u in ("https://g.example/2024/2024-05-04/index", "https://g.example/2024/2024-05-11/index")], "url string, html string")
+    found = html_pages.two_levels(feed, issues, html_pages.Listing("g.example", "^/n/", date="none")).orderBy("issue").collect()
+    assert [(r.title, r.problem) for r in found] == [("Notice", None), ("Notice", "the issue's date is not the feed's")]
+    shards = html_pages.shards(spark.createDataFrame([(0, '[{"id": "a"}, {"id": "b"}]'), (1, "no")], "page int, text string"), "id: string")
+    assert [tuple(r) for r in shards.orderBy("page", "place").collect()] == [(0, 0, "a"), (0, 1, "b")]
+    assert html_pages.publisher_only("(a OR b) site:x.example") and not html_pages.publisher_only("a OR b site:x.example") and not html_pages.publisher_only("site:a site:b")
+    news = spark.createDataFrame([("https://search.example/1", "<a href=\"https://www.pub.example/a\">t</a>"), ("https://search.example/2", None)], "url string, summary string")
+    assert [r.url for r in html_pages.publisher_links(news, "pub.example").collect()] == ["https://www.pub.example/a", "https://search.example/2"]
+
+
+def test_a_stream_in_batches_keeps_the_last_of_each_key(spark, tmp_path):
+    for k, rows in enumerate([[(1, 5, "a"), (2, 1, "b")], [(1, 3, "late"), (2, 4, "c")]]):
+        spark.createDataFrame(rows, "k int, at int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.read(spark, f"{tmp_path}/in", "k int, at int, v string", files_per_batch=1)
+        found = jobs.latest_by_key(stream, "k", "at", "v", f"{tmp_path}/out", f"{tmp_path}/offsets").collect()
+    assert {r.k: r.v for r in found} == {1: "a", 2: "c"}

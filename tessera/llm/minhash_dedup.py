@@ -198,9 +198,9 @@ def shingle_sets(docs: DataFrame, weighted: bool) -> DataFrame:
     return c.batched(docs.select("doc", "whole", "text"), run, "doc bigint, grams array<int>").dropDuplicates(["doc"])
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, grams: str) -> DataFrame:
-    """The pairs with the shingle sets of one side. A hot document's pairs are dealt to several copies of its set, at most 2 / ``HOT_SHARE`` copies in all."""
-    counts = c.stored(pairs.groupBy(side).agg(F.count("*").alias("n")), "degrees")
+def with_sets(pairs: DataFrame, stored: DataFrame, sets: DataFrame, side: str, other: str, grams: str) -> DataFrame:
+    """The pairs with the shingle sets of one side. A hot document's pairs (counted in ``stored``, a table of the same pairs) are dealt to several copies of its set, at most 2 / ``HOT_SHARE`` copies in all."""
+    counts = c.stored(stored.groupBy(side).agg(F.count("*").alias("n")), "degrees")
     least = max(100, c.HOT_SHARE * (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     hot = F.broadcast(counts.where(F.col("n") >= least).select(side, F.ceil(F.col("n") / least).cast("int").alias("parts")))
     dealt = pairs.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
@@ -211,7 +211,7 @@ def with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str, grams: s
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this Jaccard similarity; ``pairs`` is a stored table."""
-    both = with_sets(with_sets(pairs, sets, "a", "b", "x"), sets, "b", "a", "y")
+    both = with_sets(with_sets(pairs, pairs, sets, "a", "b", "x"), pairs, sets, "b", "a", "y")
     shared = F.size(F.array_intersect("x", "y"))
     # at least `similarity`: shared / (|x| + |y| - shared), without dividing
     enough = shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9

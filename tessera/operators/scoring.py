@@ -43,8 +43,9 @@ def _entities(items: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def with_entities(items: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``entities``: the names found in title and summary, in the lexicon's order."""
-    return _entities(with_hits(items, lexicon), lexicon).drop(HITS, TITLE_HITS)
+    """``entities``: the names found in title and summary, in the lexicon's order. Hidden hits stay where they were there before."""
+    found = _entities(with_hits(items, lexicon), lexicon)
+    return found if HITS in items.columns else found.drop(HITS, TITLE_HITS)
 
 
 def _categories(items: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -10,11 +10,16 @@ from tessera.lexicon import GENERIC_TITLES, Lexicon
 from tessera.operators import scoring
 
 
-def themed(events: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Events once for each theme one of whose terms they name and each of their entities."""
+def with_themes(events: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``themes``: those one of whose terms an event names."""
     found = scoring.with_hits(events, lexicon)
     hits = F.array_compact(F.array(*[F.when(scoring.hit(th.terms), F.lit(th.name)) for th in lexicon.themes]))
-    return found.withColumn("theme", F.explode(hits)).withColumn("entity", F.explode("entities")).drop(scoring.HITS, scoring.TITLE_HITS)
+    return found.withColumn("themes", hits).drop(scoring.HITS, scoring.TITLE_HITS)
+
+
+def themed(events: DataFrame) -> DataFrame:
+    """Events once for each of their themes and entities. ``events`` is a stored table: the filter that an explode implies would repeat what makes the themes."""
+    return events.withColumn("theme", F.explode("themes")).withColumn("entity", F.explode("entities"))
 
 
 def revised(old: DataFrame, new: DataFrame, content: list[str]) -> DataFrame:

@@ -170,7 +170,8 @@ def cluster_members(spark, sf_dir):
 def _claimed(spark, sf_dir):
     """Items with entities; each paragraph's first word of a primary source is a claim."""
     rows = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
-    return rows.withColumn("claims", F.when(F.col("quality") == "primary", F.filter(F.split("summary", "\n"), lambda x: x != "")).otherwise(t.listed([])))
+    claims = F.when(F.col("quality") == "primary", F.filter(F.split("summary", "\n"), lambda x: x != "")).otherwise(t.listed([]))
+    return stored(rows.select("item_id", "source_id", "entities", claims.alias("claims")), "claimed")
 
 
 def graph_nodes(spark, sf_dir):
@@ -193,11 +194,12 @@ def supersession(spark, sf_dir):
 
 
 def _thesis_rows(spark, sf_dir):
-    events = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
-    events = events.withColumn("stated", t.confirmed_negative(F.concat_ws(" ", "title", "summary")))
+    events = scoring.with_entities(scoring.with_hits(items.from_documents(spark, sf_dir), SAMPLE), SAMPLE)
+    events = events.withColumns({"stated": t.confirmed_negative(F.concat_ws(" ", "title", "summary")), "event_id": F.sha2("title", 256)})
     toxic = _table(spark, sf_dir, "labels").groupBy(F.col("doc_id").cast("bigint").alias("item_id")).agg(F.max(F.col("toxic") == 1).alias("toxic"))
-    rows = theses.themed(events, SAMPLE).join(toxic, "item_id", "left")
-    return rows.select("theme", "entity", F.sha2("title", 256).alias("event_id"), "source_id", "published_at", (F.col("quality") == "primary").alias("is_primary"), (F.coalesce("toxic", F.lit(False)) | F.col("stated")).alias("is_negative"))
+    named = stored(theses.with_themes(events, SAMPLE).select("item_id", "themes", "entities", "event_id", "source_id", "published_at", "quality", "stated"), "themes")
+    rows = theses.themed(named).join(toxic, "item_id", "left")
+    return rows.select("theme", "entity", "event_id", "source_id", "published_at", (F.col("quality") == "primary").alias("is_primary"), (F.coalesce("toxic", F.lit(False)) | F.col("stated")).alias("is_negative"))
 
 
 def thesis_rollup(spark, sf_dir):
@@ -457,7 +459,8 @@ def merged_branches(spark, sf_dir):
 
 def _told(spark, sf_dir):
     named = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
-    return stored(items.with_tokens(named).select("item_id", "published_at", "tokens", "entities").where(F.size("entities") > 0), "told")
+    # filtered after it is written: a filter on entities would repeat what finds them
+    return stored(items.with_tokens(named).select("item_id", "published_at", "tokens", "entities"), "told").where(F.size("entities") > 0)
 
 
 def prior_events(spark, sf_dir):

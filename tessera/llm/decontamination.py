@@ -60,7 +60,7 @@ class Phrases:
             grams[own] = c.mixed(c.gram_hashes(words, at[own], size) + np.uint64(size))
         _, first, pattern = np.unique(grams, return_index=True, return_inverse=True)
         self.at, self.lengths = at[first].astype(np.int32), length[first].astype(np.int32)
-        self.least = int(self.lengths.min(initial=0))
+        self.least = int(self.lengths.min()) if len(first) else 0
         follows = np.zeros(len(words), bool)
         follows[: len(words) - 1] = True
         follows[firsts[1:][firsts[1:] > 0] - 1] = False

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common as c
-from tessera.llm import chat_format, decontamination, html_extraction, language_id, language_model, media, minhash_dedup, quality, sentencepiece_codec, substring_dedup
+from tessera.llm import chat_format, decontamination, html_extraction, language_id, language_model, media, minhash_dedup, mixing, quality, sentencepiece_codec, source_audit, substring_dedup, vector_codes
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +107,76 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted(c.table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op9_chat_formatting": op9_chat_formatting, "op6_html_extraction": op6_html_extraction, "op7_media_columns": op7_media_columns, "op2_sentencepiece": op2_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination}
-SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.codes(c.table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+#: A round: the nearest entries, their parts' means rounded down, and the next codebooks.
+_FIT = "".join(
+    f"""
+a{k} AS MATERIALIZED (SELECT id, part, arg_min(entry, gap) AS entry, min(gap.far) AS far FROM (
+      SELECT v.id, v.part, b.entry, {{'far': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'entry': b.entry}} AS gap
+      FROM v JOIN b{k} b ON b.part = v.part) GROUP BY id, part),
+m{k} AS (SELECT part, entry, list(CAST(floor_sum AS BIGINT) ORDER BY place) AS x FROM (
+      SELECT part, entry, place, sum(n) // count(*) - CASE WHEN sum(n) < 0 AND sum(n) % count(*) <> 0 THEN 1 ELSE 0 END AS floor_sum
+      FROM (SELECT v.part, a.entry, unnest(v.x) AS n, unnest(range(len(v.x))) AS place FROM v JOIN a{k} a ON a.id = v.id AND a.part = v.part)
+      GROUP BY part, entry, place) GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry),"""
+    for k in range(6)
+)
+
+OP11_SQL = f"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT id, part, x[part * (len(x) // 8) + 1 : (part + 1) * (len(x) // 8)] AS x FROM e, range(8) AS r(part)),
+b0 AS (SELECT part, id AS entry, x FROM v WHERE id < 16),{_FIT}
+a6 AS (SELECT id, part, arg_min(entry, gap) AS entry, min(gap.far) AS far FROM (
+      SELECT v.id, v.part, b.entry, {{'far': list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'entry': b.entry}} AS gap
+      FROM v JOIN b6 b ON b.part = v.part) GROUP BY id, part),
+c AS (SELECT id, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(far) AS error FROM a6 GROUP BY id),
+d AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN e ON e.id = c.id, d
+"""
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(c.table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+t AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+l AS (SELECT lang, count(*) AS words, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang, l.words, l.total AS total_lang,
+             sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+      FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n,
+             CAST(1 + (CAST(1000000000 AS HUGEINT) * CAST(n + 5 AS HUGEINT)) // CAST(total + 5 * words AS HUGEINT) AS BIGINT) AS p,
+             CAST(1 + (CAST(1000000000 AS HUGEINT) * CAST(n_lang + 5 AS HUGEINT)) // CAST(total_lang + 5 * words AS HUGEINT) AS BIGINT) AS q
+      FROM f),
+s AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+      LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM a)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: equal documents that are taken equally often are one row of the operator."""
+    rows = mixing.copies(c.table(spark, sf_dir, "documents")).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+QUERIES = {"op9_chat_formatting": op9_chat_formatting, "op6_html_extraction": op6_html_extraction, "op7_media_columns": op7_media_columns, "op2_sentencepiece": op2_sentencepiece, "op5_lm_scoring": op5_lm_scoring, "op1_language_id": op1_language_id, "op4_quality_classifier": op4_quality_classifier, "op10_minhash_dedup": op10_minhash_dedup, "op8_substring_dedup": op8_substring_dedup, "op3_decontamination": op3_decontamination, "op11_vector_codes": op11_vector_codes, "op12_source_audit": op12_source_audit, "op13_source_mixing": op13_source_mixing}
+SQL = {"op8_substring_dedup": OP8_SQL, "op3_decontamination": OP3_SQL, "op11_vector_codes": OP11_SQL, "op12_source_audit": OP12_SQL}

@@ -39,7 +39,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,15 +60,16 @@ DEPTH = 512
 FAILED = 8
 #: A host with this share of all pages is dealt out to so many parts.
 HOT_SHARE, PARTS = 0.001, 64
+# Names and attributes are possessive: what a tag has taken it does not give back, so that one that never ends is read once.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|[^<]+|<",
+    r"|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<[!?/][^>]*+(?:>|\Z)"
+    r"|[^<]++|<",
     re.S | re.I,
 )
-PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?/][^<>]*>|[^<]+|<", re.S | re.I)
+PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?/][^<>]*+>|[^<]++|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -103,26 +104,56 @@ def scanned(html: str) -> Iterator[re.Match]:
     yield from PLAIN.finditer(html, at)
 
 
+class Element:
+    """An open element, with what holds for it and all it stands in: a block needs only the innermost one, however deep it is."""
+
+    __slots__ = ("name", "path", "own_path", "above", "goes_out", "main", "in_main", "in_link", "size")
+
+    def __init__(self, name: str, path: str, own_path: bool, out: bool, main: bool, above: Element | None) -> None:
+        self.name, self.path, self.own_path, self.above, self.main, self.size = name, path, own_path, above, main, 0
+        self.goes_out = out or (above is not None and above.goes_out)
+        self.in_main = main or (above is not None and above.in_main)
+        self.in_link = name == "a" or (above is not None and above.in_link)
+
+
+def stands_in(element: Element | None, found: Callable[[Element], bool], known: dict[Element, bool]) -> bool:
+    """Whether ``found`` holds for an element or one that it stands in; ``known`` keeps the answers of a page."""
+    todo, at = [], element
+    while at is not None and at not in known:
+        todo.append(at)
+        at = at.above
+    is_in = at is not None and known[at]
+    for x in reversed(todo):
+        is_in = known[x] = is_in or found(x)
+    return is_in
+
+
 class Page:
-    """The blocks of one page, each with the stack of elements it stands in, and its tokens."""
+    """The blocks of one page, each with the element it stands in, and its tokens."""
 
     def __init__(self, html: str) -> None:
         self.tokens: dict[str, int] = {}
         self.kinds: dict[str, int] = {}
         self.first: dict[str, int] = {}  # place of a token among the page's tokens
         self.in_article: set[str] = set()  # links there are no menu
-        self.blocks: list[tuple[str, tuple[tuple[str, str, bool, bool], ...], bool]] = []  # text, stack, whether it is links alone
-        stack: list[tuple[str, str, bool, bool]] = []  # element, path, goes out, is main
+        self.blocks: list[tuple[str, Element | None, bool]] = []  # text, innermost element, whether it is links alone
+        self.elements: list[Element] = []
+        stack: list[Element] = []
         words: list[str] = []
-        raw_stack: tuple[tuple[str, str, bool, bool], ...] = ()
+        holder: Element | None = None
         links = True
+        open_names: Counter[str] = Counter()
+
+        def end_from(k: int) -> None:
+            open_names.subtract(x.name for x in stack[k:])
+            del stack[k:]
 
         def close_block() -> None:
             nonlocal words, links
             if words:
                 text = " ".join(entities.unescape("".join(words)).split())
                 if text:
-                    self.blocks.append((text, raw_stack, links))
+                    self.blocks.append((text, holder, links))
                 words, links = [], True
 
         for m in scanned(html):
@@ -131,9 +162,9 @@ class Page:
                 first = m[0][0]
                 if first != "<" or m[0] == "<":
                     if not words:
-                        raw_stack = tuple(stack)
+                        holder = stack[-1] if stack else None
                     words.append(m[0])
-                    links = links and (not m[0].strip() or any(x[0] == "a" for x in stack))
+                    links = links and (not m[0].strip() or bool(stack and stack[-1].in_link))
                 elif m[1]:
                     words.append(" ")
                 continue
@@ -141,11 +172,11 @@ class Page:
             if m[2]:
                 if name in BLOCKS:
                     close_block()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                for k in range(len(stack) - 1 if open_names[name] else -1, -1, -1):
+                    if stack[k].name == name:
+                        end_from(k)
                         break
-                    if name not in BLOCKS and stack[k][0] in BLOCKS:
+                    if name not in BLOCKS and stack[k].name in BLOCKS:
                         break  # a stray inline end tag closes no block
                 continue
             if name == "br" or name == "img":
@@ -153,14 +184,15 @@ class Page:
             if name in BLOCKS:
                 close_block()
                 for k in range(len(stack) - 1, -1, -1):
-                    above = stack[k][0]
+                    above = stack[k].name
                     if above in ENDS and name in ENDS[above]:
-                        del stack[k:]
+                        end_from(k)
                         break
                     if above in BLOCKS:
                         break
-            kind, out, main = described(name, m[4], any(x[3] for x in stack))
-            path = f"{stack[-1][1] if stack else ''}/{kind}"
+            in_main, path = (stack[-1].in_main, stack[-1].path) if stack else (False, "")
+            kind, out, main = described(name, m[4], in_main)
+            path = f"{path}/{kind}" if name in BLOCKS or name == "a" else path
             if name in BLOCKS:
                 self.tokens[path] = self.tokens.get(path, 0) + 1
                 self.first.setdefault(path, len(self.first))
@@ -168,19 +200,27 @@ class Page:
             elif name == "a":
                 self.tokens[path] = self.tokens.get(path, 0) + 1
                 self.first.setdefault(path, len(self.first))
-                if any(x[3] for x in stack):
+                if in_main:
                     self.in_article.add(path)
             if name not in VOID and not m[4].endswith("/") and len(stack) < DEPTH:
-                stack.append((name, path if name in BLOCKS or name == "a" else (stack[-1][1] if stack else ""), out, main))
+                stack.append(Element(name, path, name in BLOCKS or name == "a", out, main, stack[-1] if stack else None))
+                self.elements.append(stack[-1])
+                open_names[name] += 1
         close_block()
 
     def text_sizes(self) -> dict[str, int]:
         """How much text, links not counted, each path holds."""
         sizes: dict[str, int] = {}
-        for text, stack, links in self.blocks:
-            if not links and not any(x[2] for x in stack):
-                for path in {x[1] for x in stack}:
-                    sizes[path] = sizes.get(path, 0) + len(text)
+        for x in self.elements:
+            x.size = 0
+        for text, element, links in self.blocks:
+            if not links and element is not None and not element.goes_out:
+                element.size += len(text)
+        for x in reversed(self.elements):  # what stands in an element was opened after it
+            if x.above is not None:
+                x.above.size += x.size
+            if x.own_path and x.size:
+                sizes[x.path] = sizes.get(x.path, 0) + x.size
         return sizes
 
 
@@ -203,9 +243,13 @@ def described(name: str, attributes: str, inside: bool) -> tuple[str, bool, bool
     return name + re.sub(r"\d+", "0", classes), out, article and not out
 
 
-def text_path(text: str, stack: tuple[tuple[str, str, bool, bool], ...]) -> str:
+def path_of(element: Element | None) -> str:
+    return element.path if element is not None else ""
+
+
+def text_path(text: str, element: Element | None) -> str:
     """The token of a block of text: the path it stands in, and the text (tags have no line feed in their path)."""
-    return f"{stack[-1][1] if stack else ''}\n{text}"
+    return f"{path_of(element)}\n{text}"
 
 
 def main_text(html: str | None, template: set[int], menus: set[int], slots: set[int]) -> str:
@@ -213,22 +257,26 @@ def main_text(html: str | None, template: set[int], menus: set[int], slots: set[
     if not html:
         return ""
     page = Page(html)
-    left = []
-    for text, stack, links in page.blocks:
-        if any(x[2] for x in stack):
+    left, in_menu = [], {}
+    for text, x, links in page.blocks:
+        if x is not None and x.goes_out:
             continue
-        if menus and links and not any(x[3] for x in stack) and any(token_hash(x[1]) in menus for x in stack):
+        if menus and links and x is not None and not x.in_main and stands_in(x, lambda e: token_hash(e.path) in menus, in_menu):
             continue
-        left.append((text, stack))
-    own_article = any(x[3] for _, stack in left for x in stack)
+        left.append((text, x))
+    own_article = any(x is not None and x.in_main for _, x in left)
     if template and not own_article:
-        own = [(text, stack) for text, stack in left if token_hash(text_path(text, stack)) not in template]
+        own = [(text, x) for text, x in left if token_hash(text_path(text, x)) not in template]
         left = own or left
     # the article slot: of the template's article elements, else of the page's, else by what the slots hold
-    holds = [any(x[3] and (not template or token_hash(x[1]) in template) for x in stack) for _, stack in left]
+    known: dict[Element, bool] = {}
+    holds = [stands_in(x, lambda e: e.main and (not template or token_hash(e.path) in template), known) for _, x in left]
+    if not any(holds):
+        known = {}
+        holds = [x is not None and x.in_main if own_article else stands_in(x, lambda e: token_hash(e.path) in slots, known) for _, x in left]
     if not any(holds):
-        holds = [any(x[3] for x in stack) if own_article else any(token_hash(x[1]) in slots for x in stack) for _, stack in left]
-    return "\n\n".join(text for (text, _), held in zip(left, holds, strict=True) if held or not any(holds))
+        return "\n\n".join(text for text, _ in left)
+    return "\n\n".join(text for (text, _), held in zip(left, holds, strict=True) if held)
 
 
 def deduced(rows: list[dict], pages: int) -> tuple[list[int], list[int], list[int]]:
@@ -306,7 +354,7 @@ def occurrences(pages: DataFrame, html: str) -> DataFrame:
                         up = path.rpartition("/")[0]
                         link = path not in page.in_article and (path.endswith("/a") or path.rpartition("/")[2].startswith("a."))
                         out.append((k, token_hash(path), n, token_hash(up) if up else 0, LINK if link else page.kinds.get(path, 0), sizes.get(path, 0), page.first[path]))
-                    said = Counter((text_path(t, stack), stack[-1][1] if stack else "", len(t), links) for t, stack, links in page.blocks if not any(x[2] or x[3] for x in stack))
+                    said = Counter((text_path(t, x), path_of(x), len(t), links) for t, x, links in page.blocks if x is None or not (x.goes_out or x.in_main))
                     out += [(k, token_hash(path), n, token_hash(up) if up else 0, SAID, 0 if links else n * size, 0) for (path, up, size, links), n in said.items()]
                 at = pa.array([x[0] for x in out])
                 columns = [block.column("host").take(at), block.column("page").take(at), *[pa.array([x[k] for x in out], pa.int64()) for k in range(1, 7)]]

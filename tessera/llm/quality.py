@@ -1,6 +1,6 @@
 """Quality classifier by compression.
 
-Fit, on a bounded sample of labelled documents: one half of each class trains a
+Fit, on a bounded sample of labelled documents, each of them whole: one half of each class trains a
 zstandard dictionary, the other half calibrates. A text is compressed with
 either dictionary; its compressed sizes differ by how much more it shares with
 good than with bad text. A text longer than ``SPAN`` bytes is compressed in pieces
@@ -12,8 +12,8 @@ label 1.
 
 Defined results: a null text counts as empty, and an empty text gets the score
 of difference 0; where a class has no labelled text the score is the share of
-label 1 (0.5 without labels); a null id is never held out; repeated labels of a
-document each count.
+label 1 (0.5 without labels); a null id is never held out; repeated rows and
+repeated labels of a document count once for each label.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as c
 
-#: Labelled documents of each class that are learned from at most, and the characters of each: of longer ones as many, from four places.
+#: Labelled documents of each class that are learned from at most, and their bytes together: documents are taken whole, in an order of hashes, and one that does not fit any more is passed over.
 SAMPLE = 3000
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 32 << 20
 DICTIONARY = 64 << 10
 PIECE = 1024
 SPAN = 20_000
@@ -110,19 +110,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     if held_out is not None:
         own = own.where(c.fold(key, 4) != held_out)
-    own = own.select(F.col(key).alias("key"), F.col(label).alias("label"))
-    order = [F.xxhash64("key"), "key"]
-    picked = own.where("label = 1").orderBy(*order).limit(2 * sample).unionByName(own.where("label = 0").orderBy(*order).limit(2 * sample))
+    own = own.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    # at most 4 * sample ids, so the broadcast is bounded; documents stay where they are
-    quarter = SAMPLE_CHARS // 4
-    places = [(F.lit(1) + F.expr(f"(length(text) - {quarter}) div 3") * k).cast("int") for k in range(4)]
-    some = F.concat(*[F.substring("text", at, F.lit(quarter)) for at in places])
-    rows = texts.join(F.broadcast(picked), "key").withColumn("text", F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(some))
-    by_label: dict[int, list[str]] = {}
+    sized = texts.select("key", F.octet_length("text").alias("n"), F.xxhash64("text").alias("digest")).join(own, "key")
+    picked = []
     for value in (1, 0):
-        found = rows.where(F.col("label") == value).orderBy(*order, "text").limit(sample)
-        by_label[value] = [r.text for r in found.select("text").collect()]
+        # at most ``sample`` rows of three numbers and a label
+        found, left = sized.where(F.col("label") == value).orderBy(F.xxhash64("key"), "key", "digest").limit(sample).collect(), SAMPLE_BYTES
+        for place, r in enumerate(found):
+            if r.n <= left:
+                left -= r.n
+                picked.append((place, r.key, r.digest, value))
+    wanted = docs.sparkSession.createDataFrame(picked, f"place int, key {sized.schema['key'].dataType.simpleString()}, digest bigint, label int").dropDuplicates(["key", "digest", "label"])
+    # at most 2 * ``sample`` names of texts, so the broadcast is bounded; documents stay where they are
+    rows = texts.withColumn("digest", F.xxhash64("text")).join(F.broadcast(wanted), ["key", "digest"]).dropDuplicates(["key", "digest", "label"])
+    by_label: dict[int, list[str]] = {value: [r.text for r in rows.where(F.col("label") == value).orderBy("place").select("text").collect()] for value in (1, 0)}
     return Model(by_label[1], by_label[0])
 
 

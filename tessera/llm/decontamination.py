@@ -1,7 +1,8 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
 The test phrases (windows of consecutive words of each benchmark item) go to
-every shard in blocks of bounded size. A shard is a run of documents in one
+every shard in blocks of bounded size; where they are several, each is a pass of
+its own over the documents, of which only rows with hits are kept. A shard is a run of documents in one
 task. Its words become symbols of the phrase block's vocabulary; only runs of
 words in which every neighbouring pair also stands side by side in some phrase
 can hold a phrase, so the shard's FM-index is built over these runs and nothing
@@ -20,10 +21,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ WINDOW = 10
 PHRASE_BYTES = 8 << 20
 WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-SCHEMA = "key bigint, n_words bigint, n_hit bigint, spans array<struct<first:int,last:int>>, items array<string>"
+FOUND = "n_words bigint, n_hit bigint, spans array<struct<first:int,last:int>>, items array<string>"
 
 
 class Phrases:
@@ -160,47 +164,65 @@ def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int)
     yield block
 
 
+def _searched(rows: DataFrame, phrases: Phrases, every: bool, keys: list[str]) -> tuple[DataFrame, Broadcast]:
+    """``keys``, n_words, n_hit, spans and items of each row (or of those with hits) of ``keys`` and ``text``; and the broadcast that it needs."""
+    sent = rows.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in c.blocks(batch, "text"):
+                words, hits, (first, last), spans, items, n_items = shard(data, offsets, sent.value)
+                pairs = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["first", "last"])
+                columns = [*(part.column(k) for k in keys), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), c.nested(pairs, spans), c.nested(pa.array(items, pa.string()), n_items)]
+                found = pa.RecordBatch.from_arrays(columns, [*keys, "n_words", "n_hit", "spans", "items"])
+                yield found if every else found.filter(pa.array(hits > 0))
+
+    return c.batched(rows, run, ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), FOUND])), sent
+
+
+def _by_text(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int, phrase_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """What one block of phrases finds in each document, and None; of several blocks the key, digest and number of words of each document, and what all find in each text that has a hit, by the text's SHA-256.
+
+    Blocks are searched one after another, each in a pass that writes the few rows with hits; texts are never shuffled, and a block's broadcast goes when its pass is done.
+    """
+    blocks = phrase_blocks(benchmark, item, item_text, phrase_bytes)
+    first, second = next(blocks), next(blocks, None)
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    if second is None:
+        return _searched(rows, Phrases(first, window), True, ["key"])[0], None
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    tables = []
+    for n, items in enumerate(chain([first, second], blocks)):
+        found, sent = _searched(rows, Phrases(items, window), n == 0, ["key", "digest"])
+        tables.append(c.stored(found.withColumn("block", F.lit(n)), f"phrases-{n}"))
+        sent.destroy()
+    hits = reduce(DataFrame.unionByName, [x.where("n_hit > 0").select("digest", "block", "spans", "items") for x in tables])
+    # documents of one text have the same hits
+    return tables[0].select("key", "digest", "n_words"), _merged(hits.dropDuplicates(["digest", "block"]))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """Per document: key, n_words, n_hit, spans (merged word spans to remove, first to last, last excluded), items.
 
-    One row for each input row. ``key`` is an integer column. More benchmark
-    text than ``phrase_bytes`` is searched block by block and the blocks' spans
-    are merged for each document.
+    One row for each input row. ``key`` is an integer column. More benchmark text than ``phrase_bytes`` is searched block by block.
     """
-    spark = docs.sparkSession
-    parts = []
-    for items in phrase_blocks(benchmark, item, item_text, phrase_bytes):
-        sent = spark.sparkContext.broadcast(Phrases(items, window))
+    rows, hits = _by_text(docs, benchmark, key, text, item, item_text, window, phrase_bytes)
+    if hits is None:
+        return rows.withColumnRenamed("key", key)
+    met = rows.join(hits, "digest", "left")
+    none = lambda k: F.coalesce(k, F.expr(f"cast(array() as {hits.schema[k].dataType.simpleString()})")).alias(k)
+    return met.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), none("spans"), none("items"))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows, data, offsets in c.blocks(batch, "text"):
-                    words, hits, (first, last), spans, items, n_items = shard(data, offsets, sent.value)
-                    pairs = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["first", "last"])
-                    columns = [rows.column("key"), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), c.nested(pairs, spans), c.nested(pa.array(items, pa.string()), n_items)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "n_words", "n_hit", "spans", "items"])
-
-        parts.append((docs, run))
-    if len(parts) == 1:
-        rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-        return c.batched(rows, parts[0][1], SCHEMA).withColumnRenamed("key", key)
-    return _merged([c.batched(docs.select(F.xxhash64(key, text).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]), run, SCHEMA) for _, run in parts], docs, key, text)
-
-
-def _merged(parts: list[DataFrame], docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The blocks' findings of each document as one row."""
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    found = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """The blocks' findings in each text as one row."""
+    found = hits.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.aggregate(
         "spans",
         F.expr("cast(array() as array<struct<first:int,last:int>>)"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(done, F.array(s))),
     )
-    found = found.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"]))
-    keyed = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(key, text).alias("key"))
-    return keyed.join(found, "key").select(F.col("doc").alias(key), "n_words", "n_hit", "spans", "items")
+    return found.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"]))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -261,9 +283,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         return docs.mapInArrow(run, schema)
 
     mark, spans = c.free_name(docs, "_text"), c.free_name(docs, "_spans")
-    texts = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).dropDuplicates(["mark"])
-    found = find(texts, benchmark, "mark", "text", window=window, phrase_bytes=phrase_bytes).where("n_hit > 0")
-    joined = docs.withColumn(mark, F.xxhash64(text)).join(found.select(F.col("mark").alias(mark), F.col("spans").alias(spans)), mark, "left")
+    _, hits = _by_text(docs.withColumn(mark, F.lit(0)), benchmark, mark, text, "item_id", "text", window, phrase_bytes)
+    joined = docs.withColumn(mark, F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(hits.select(F.col("digest").alias(mark), F.col("spans").alias(spans)), mark, "left")
 
     def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

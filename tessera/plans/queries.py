@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.functions import times
 from tessera.lexicon import GENERIC_TITLES, SAMPLE
-from tessera.operators import context, correlate, dedup, delivery, enrich, graph, items, scoring, state, theses
-from tessera.sources import apis, html_pages
-from tessera.streaming import jobs
+from tessera.operators import context, correlate, dedup, delivery, enrich, graph, items, scoring, snapshots, state, theses
+from tessera.sources import apis, collectors, html_pages, listing, registry
+from tessera.streaming import jobs, trailing
 from tessera.tables import fresh_path, stored
 
 #: The time of the run: 24 days after the first item. Items until day 9 are history.
@@ -546,6 +547,128 @@ def stream_cards(spark, sf_dir):
     return jobs.appended(jobs.with_cards(e.select("user_id", "event_id"), cards, "user_id"), fresh_path(spark, "met"), fresh_path(spark, "offsets"))
 
 
+#: A registry with a source of each method: id, method, and the rules that it needs.
+SOURCES = (
+    ("feed-rss", "rss", {}), ("feed-atom", "atom", {}), ("feed-rdf", "rdf", {"summary_chars": 40}), ("search", "publisher_rss", {"url": "https://news.example/rss?q=site%3Asearch.example"}), ("map", "sitemap", {}),
+    ("notices", "notices_json", {}), ("news", "news_json", {}), ("releases", "releases_json", {"zone": "Asia/Singapore"}), ("filings", "filings_json", {"forms": ["8-K"], "path": "^/Archives/"}),
+    ("shards", "shards_json", {"exclude": ["Excluded"]}), ("broken", "rss", {}), ("off", "rss", {"enabled": False}), ("menus", "listing_html", {"path": "^/[A-Za-z]{3,}$", "date": "none"}),
+    ("quiet", "rss", {}), ("same", "atom", {}), ("down", "sitemap", {}),
+)
+
+
+def _registry(spark: SparkSession) -> DataFrame:
+    """A row of fixed settings for each source."""
+    given = [{"source_id": k, "name": k, "method": m, "url": f"https://{k}.example/feed", "authority_tier": 1, "host": f"{k}.example", "enabled": True} | rules for k, m, rules in SOURCES]
+    columns = [f.split()[0] for f in registry.SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r.get(c) for c in columns) for r in given], registry.SCHEMA)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as answers of the first twelve sources, a hundred in each, in the format of their method; pages as listings; an unchanged answer and a failure."""
+    at, key, url = F.col("ts").cast("timestamp"), F.concat(F.lit("e"), F.col("event_id").cast("string")), F.col("link")
+    names = F.array(*[F.lit(k) for k, *_ in SOURCES[:12]])
+    e = _table(spark, sf_dir, "events").select("event_id", "ts", "value", F.get(names, (F.col("event_id") % 12).cast("int")).alias("source_id"), F.expr("event_id div 1200").cast("int").alias("place"), F.concat("event_type", F.lit(" by "), F.col("user_id").cast("string")).alias("title"))
+    off = F.col("value") > 95
+    host = F.when(off, "elsewhere").otherwise(F.col("source_id"))
+    e = e.withColumn("link", F.concat(F.lit("https://"), host, F.lit(".example/2024/"), F.col("event_id").cast("string")))
+    again = e.where("source_id = 'feed-rss' AND event_id % 5 = 0").withColumn("place", F.col("place") + 1_000_000)
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    date = tag("pubDate", F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+    item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", url), tag("guid", key), date, tag("description", F.lit("&lt;p&gt;More &amp;amp; more&lt;/p&gt;")), F.lit("</item>"))
+    found = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", F.concat(F.lit("https://news.example/articles/"), key)), tag("guid", key), date, tag("description", F.concat(F.lit('&lt;a href="'), url, F.lit('"&gt;x&lt;/a&gt;'))), F.lit("</item>"))
+    rdf = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", url), tag("dc:date", iso), tag("description", F.repeat(F.lit("many words "), 9)), F.lit("</item>"))
+    entry = F.concat(F.lit("<entry>"), tag("id", key), tag("title", F.col("title")), F.lit('<link rel="alternate" href="'), url, F.lit('"/>'), tag("updated", iso), F.lit("</entry>"))
+    place = F.concat(F.lit("<url>"), tag("loc", url), tag("lastmod", iso), F.lit("</url>"))
+    one = F.when(F.col("source_id") == "feed-atom", entry).when(F.col("source_id") == "feed-rdf", rdf).when(F.col("source_id") == "search", found).when(F.col("source_id") == "map", place).otherwise(item)
+    xml = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", one.alias("x")))), lambda x: x["x"]), "\n")
+    of = lambda **x: F.collect_list(F.struct(*[v.alias(k) for k, v in x.items()]))
+    day = F.date_format(at, "yyyy-MM-dd")
+    answers = (e.unionByName(again)).groupBy("source_id", "place").agg(
+        xml.alias("xml"),
+        of(document_number=key, title=F.col("title"), html_url=url, publication_date=day).alias("notices"),
+        of(uuid=key, title=F.col("title"), url=url, date=F.unix_timestamp(at).cast("string")).alias("news"),
+        of(MediaReleaseId=key, Title=F.col("title"), Url=F.when(off, url).otherwise(F.concat(F.lit("/2024/"), F.col("event_id").cast("string"))), DateTime=F.date_format(F.from_utc_timestamp(at, "Asia/Singapore"), "yyyy-MM-dd'T'HH:mm:ss")).alias("releases"),
+        of(a=key, f=F.when(off, "10-Q").otherwise("8-K"), d=day, t=F.col("title")).alias("filings"),
+        of(id=key, title=F.col("title"), url=url, date=F.date_format(at, "MMMM d, yyyy"), category=F.when(off, "Excluded").otherwise("Kept")).alias("shards"),
+    )
+    column = lambda k: F.transform("filings", lambda x: x[k])
+    filings = F.struct(F.lit("7").alias("cik"), F.lit("Co").alias("name"), F.struct(F.struct(column("a").alias("accessionNumber"), column("f").alias("form"), column("d").alias("filingDate"), F.transform("filings", lambda x: F.lit("d.htm")).alias("primaryDocument"), column("t").alias("primaryDocDescription")).alias("recent")).alias("filings"))
+    source = F.col("source_id")
+    rss = F.concat(F.lit('<?xml version="1.0" encoding="us-ascii"?><rss><channel>'), F.col("xml"), F.lit("</channel></rss>"))
+    # every second feed of this source stops in its last item
+    text = (
+        F.when(source == "feed-atom", F.concat(F.lit("<feed>"), F.col("xml"), F.lit("</feed>")))
+        .when(source == "feed-rdf", F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?><rdf:RDF xmlns:dc="d">'), F.col("xml"), F.lit("</rdf:RDF>")))
+        .when(source == "map", F.concat(F.lit("<urlset>"), F.col("xml"), F.lit("</urlset>")))
+        .when(source == "notices", F.to_json(F.struct(F.col("notices").alias("results"))))
+        .when(source == "news", F.to_json(F.struct(F.col("news").alias("results"))))
+        .when(source == "releases", F.to_json(F.struct(F.struct(F.col("releases").alias("items")).alias("result"))))
+        .when(source == "filings", F.to_json(filings))
+        .when(source == "shards", F.to_json("shards"))
+        .when((source == "broken") & (F.col("place") % 2 == 1), F.regexp_replace(rss, "</item></channel></rss>$", ""))
+        .otherwise(rss)
+    )
+    none = F.lit(None).cast("string")
+    made = answers.select("source_id", "place", F.concat(F.lit("https://"), source, F.lit(".example/feed")).alias("url"), F.lit(200).alias("status"), none.alias("content_type"), F.encode(text, "UTF-8").alias("body"), none.alias("failure"))
+    pages = _table(spark, sf_dir, "pages").select(F.lit("menus").alias("source_id"), F.col("page_id").cast("int").alias("place"), F.lit("https://menus.example/list").alias("url"), F.lit(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"), none.alias("failure"))
+    rest = spark.createDataFrame([("same", 0, "https://same.example/feed", 304, None, None, None), ("down", 0, "https://down.example/feed", 503, None, None, "status 503")], made.schema)
+    return made.unionByName(pages).unionByName(rest)
+
+
+def _collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return collectors.collect(_registry(spark), _answers(spark, sf_dir), _day(60), keep=stored)
+
+
+def collected_items(spark, sf_dir):
+    """Every source of a registry by its method, in one call."""
+    items_, _ = _collected(spark, sf_dir)
+    return items_.select("source_id", "native_id", "title", "url", F.unix_micros("published_at").alias("published_us"), "summary", "place", "n_places", "problem")
+
+
+def collected_statuses(spark, sf_dir):
+    _, statuses = _collected(spark, sf_dir)
+    return statuses.select("source_id", "status", "n_answers", "n_rows", "n_problems", "n_failures", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+def stream_listing(spark, sf_dir):
+    """Events as twenty listings, newest first, a hundred a page: a stream reads their first pages at mid month and, begun again at its end, what has come since."""
+    from pyspark.sql import Window
+
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("source"), F.col("event_id").cast("string").alias("native_id"), F.col("event_type").alias("title"), F.lit("https://shop.example/").alias("url"), F.col("ts").cast("timestamp").alias("published_at"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("published_at"), F.desc("native_id"))) - 1
+    out, offsets = fresh_path(spark, "listed"), fresh_path(spark, "offsets")
+    for until in (15, 60):
+        path = fresh_path(spark, "listing")
+        pages = e.where(F.col("published_at") < _day(until)).withColumns({"page": F.floor(rank / 100).cast("int"), "place": (rank % 100).cast("int")})
+        pages.repartition("source").sortWithinPartitions("source", "page").write.partitionBy("source").parquet(path)
+        stream = listing.read(spark, [str(k) for k in range(20)], "tessera.sources.listing:stored_pages", path=path.removeprefix("file://"))
+        found = jobs.appended(stream, out, offsets)
+    return found.select("source", "native_id", "title")
+
+
+def stream_trailing(spark, sf_dir):
+    """Events as a stream: whether a user was seen in the day before, and with the same type."""
+    e = jobs.read(spark, f"{sf_dir}/events.parque[t]", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    rows = trailing.changes(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_id", "ts", "event_type", 24)
+    out = jobs.appended(rows, fresh_path(spark, "trailing"), fresh_path(spark, "offsets"))
+    return out.select(F.col("key").cast("bigint").alias("user_id"), F.col("id").alias("event_id"), "change", "before")
+
+
+def snapshot_versions(spark, sf_dir):
+    """The last order of each customer in three versions of a table: what each holds, what it refused (prices beyond a limit), and what a dry run would change."""
+    kind = snapshots.Kind("k bigint, o bigint, price double", ("k",), rules={"too dear": lambda: F.col("price") > 300_000})
+    table = snapshots.Table(spark, fresh_path(spark, "orders"), kind)
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    last = lambda until: rows.where(F.col("at") < F.lit(until).cast("timestamp")).groupBy("k").agg(F.max_by(F.struct("o", "price"), F.struct("at", "o")).alias("r")).select("k", "r.*")
+    for until in ("1994-01-01", "1996-01-01", "1999-01-01"):
+        table.write(last(until))
+    held = [table.read(v).select(F.lit(v).alias("version"), F.lit("kept").alias("what"), "k", "o") for v in table.versions()]
+    refused = [table.refused(v).select(F.lit(v).alias("version"), F.col("problem").alias("what"), "k", "o") for v in table.versions()]
+    would = table.changes(last("1994-01-01").where("price <= 300000")).select(F.lit(0).alias("version"), F.col("change").alias("what"), "k", F.lit(None).cast("bigint").alias("o"))
+    return reduce(DataFrame.unionByName, [*held, *refused, would])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -555,6 +678,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         candidates_normalized, publication_keys, recommended_actions, allowed_items, saved_progress, state_inventory, model_selection, near_misses, outbox_first, observation_preview, retained_cards,
         seen_fingerprints, released_retries, merged_branches, prior_events, thesis_context, thesis_revisions, parameter_products, undelivered_events, acronyms, event_types, event_messages,
         evaluation_counts, stream_daily_counts, stream_latest, stream_cards, cluster_members, frontier_state, term_frontiers,
+        collected_items, collected_statuses, stream_listing, stream_trailing, snapshot_versions,
         retention_per_source, undelivered_orders, source_rotation, listing_frontier, event_signatures, messages, context_for_items, stated_negatives, event_properties, page_texts, page_links, conversation_bundles,
     )
 }

@@ -188,6 +188,45 @@ NAMES = {"thnt": ("thanedble", "attion"), "une": ("eriner",)}
 _TITLE = "title || CASE WHEN item_id % 2 = 0 THEN ' launched today' WHEN item_id % 5 = 0 THEN ' plans to launch' ELSE '' END"
 _NEWS = "lower(trim(regexp_replace(title || ' selected as custodian ' || CASE WHEN item_id % 4 = 0 THEN ' petition ' ELSE '' END || summary, '\\s+', ' ', 'g')))"
 
+
+#: Events and pages as the items of a registry's sources, see ``queries.collected_items``.
+_COLLECTED = """
+WITH e AS (SELECT event_id, value, ts, event_id // 1200 AS place, event_type || ' by ' || user_id AS t,
+                  ['feed-rss', 'feed-atom', 'feed-rdf', 'search', 'map', 'notices', 'news', 'releases', 'filings', 'shards', 'broken', 'off'][event_id % 12 + 1] AS source_id FROM events),
+u AS (SELECT *, 'https://' || CASE WHEN value > 95 THEN 'elsewhere' ELSE source_id END || '.example/2024/' || event_id AS link, max(event_id) OVER (PARTITION BY source_id, place) AS last FROM e WHERE source_id <> 'off'),
+i AS (SELECT source_id,
+             CASE WHEN source_id IN ('feed-rdf', 'map') THEN link ELSE 'e' || event_id END AS native_id,
+             CASE source_id WHEN 'map' THEN CAST(event_id AS VARCHAR) WHEN 'filings' THEN 'Co 8-K ' || t ELSE t END AS title,
+             CASE WHEN source_id = 'search' AND value > 95 THEN 'https://news.example/articles/e' || event_id
+                  WHEN source_id = 'filings' THEN 'https://filings.example/Archives/edgar/data/7/e' || event_id || '/d.htm' ELSE link END AS url,
+             epoch_us(CASE WHEN source_id IN ('notices', 'filings', 'shards') THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END) AS published_us,
+             CASE WHEN source_id IN ('feed-rss', 'broken') THEN 'More & more' WHEN source_id = 'search' THEN 'x' WHEN source_id = 'feed-rdf' THEN left(repeat('many words ', 9), 40) ELSE '' END AS summary,
+             CAST(place AS INT) AS place, CASE WHEN source_id = 'feed-rss' AND event_id % 5 = 0 THEN 2 ELSE 1 END AS n_places,
+             CASE WHEN value > 95 AND source_id NOT IN ('filings', 'shards') THEN 'not an official link' END AS problem
+      FROM u WHERE NOT (source_id IN ('filings', 'shards') AND value > 95) AND NOT (source_id = 'broken' AND place % 2 = 1 AND event_id = last)),
+l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[A-Za-z]{3,})">', 1)) AS path FROM pages),
+m AS (SELECT 'menus' AS source_id, path AS native_id, substr(path, 2) AS title, 'https://menus.example' || path AS url, CAST(NULL AS BIGINT) AS published_us, '' AS summary,
+             CAST(min(page_id) AS INT) AS place, count(DISTINCT page_id) AS n_places, CAST(NULL AS VARCHAR) AS problem
+      FROM l WHERE lower(substr(path, 2)) NOT IN ('more', 'view', 'details') GROUP BY path),
+a AS (SELECT * FROM i UNION ALL SELECT * FROM m)
+"""
+_STATUSES = (
+    _COLLECTED
+    + """,
+n AS (SELECT source_id, count(DISTINCT place) + CASE WHEN source_id = 'feed-rss' THEN count(DISTINCT CASE WHEN event_id % 5 = 0 THEN place END) ELSE 0 END AS n_answers,
+             CASE WHEN source_id = 'broken' THEN count(DISTINCT CASE WHEN place % 2 = 1 THEN place END) ELSE 0 END AS n_failures FROM u GROUP BY source_id
+      UNION ALL SELECT 'menus', count(*), 0 FROM pages),
+g AS (SELECT source_id, count(*) FILTER (problem IS NULL) AS n_rows, count(problem) AS n_problems FROM a GROUP BY source_id)
+SELECT n.source_id, CASE WHEN n_rows > 0 AND n_problems + n_failures > 0 THEN 'partial' WHEN n_problems + n_failures > 0 THEN 'failed' WHEN n_rows = 0 THEN 'empty' ELSE 'success' END AS status,
+       n_answers, n_rows, n_problems, n_failures,
+       concat_ws('; ', CASE WHEN n_failures > 0 THEN 'a feed that is cut off' END, CASE WHEN n_problems > 0 THEN 'not an official link' END) AS reasons
+FROM n JOIN g ON g.source_id = n.source_id
+UNION ALL VALUES ('quiet', 'unread', 0, 0, 0, 0, ''), ('same', 'not_modified', 1, 0, 0, 0, ''), ('down', 'failed', 1, 0, 0, 1, 'status 503')
+"""
+)
+_VERSION = """SELECT {v} AS version, o_custkey AS k, o_orderkey AS o, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '{until}' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+
+
 SQL = {
     "items_normalized": f"""WITH {ITEMS}, s AS (SELECT *, {_SQUEEZE.format(x='title')} AS t FROM items),
       p AS (SELECT *, regexp_extract(t, '^(.*?)[ ]+[|—–-][ ]+([^|—–]*)$', 2) AS tail FROM s)
@@ -287,6 +326,18 @@ SQL = {
       CASE WHEN item_id % 5 = 0 THEN '**Updated by:** event-a, event-b' END)[:2000]) AS message FROM m""",
     "evaluation_counts": f"WITH {ITEMS} SELECT regexp_matches(lower(title), 'th') AND regexp_matches(lower(title), 't.e') AND NOT regexp_matches(lower(title), 'qu|oi') AS passed, count(*) AS n_cases FROM items GROUP BY 1",
     "stream_daily_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY date_trunc('day', ts), event_type HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
+    "collected_items": _COLLECTED + "SELECT source_id, native_id, title, url, published_us, summary, place, CAST(n_places AS BIGINT) AS n_places, problem FROM a",
+    "collected_statuses": _STATUSES,
+    "stream_listing": """SELECT source, native_id, title FROM (SELECT CAST(user_id % 20 AS VARCHAR) AS source, CAST(event_id AS VARCHAR) AS native_id, event_type AS title, ts, ts >= TIMESTAMP '2024-01-16' AS late FROM events WHERE ts < TIMESTAMP '2024-03-01')
+        QUALIFY late OR row_number() OVER (PARTITION BY source, late ORDER BY ts DESC, native_id DESC) <= 100""",
+    "stream_trailing": """SELECT user_id, event_id, CASE WHEN before_ts IS NULL OR epoch_us(ts) - epoch_us(before_ts) > 86400000000 THEN 'new' WHEN was = event_type THEN 'same' ELSE 'changed' END AS change,
+        CASE WHEN before_ts IS NULL OR epoch_us(ts) - epoch_us(before_ts) > 86400000000 THEN NULL ELSE was END AS before
+        FROM (SELECT *, lag(ts) OVER w AS before_ts, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""",
+    "snapshot_versions": f"""WITH v AS ({_VERSION.format(v=1, until='1994-01-01')} UNION ALL {_VERSION.format(v=2, until='1996-01-01')} UNION ALL {_VERSION.format(v=3, until='1999-01-01')}),
+        old AS (SELECT * FROM v WHERE version = 3 AND price <= 300000), new AS (SELECT * FROM v WHERE version = 1 AND price <= 300000)
+        SELECT version, CASE WHEN price > 300000 THEN 'too dear' ELSE 'kept' END AS what, k, o FROM v
+        UNION ALL SELECT 0, CASE WHEN old.k IS NULL THEN 'new' WHEN new.k IS NULL THEN 'gone' ELSE 'changed' END, coalesce(old.k, new.k), NULL
+        FROM old FULL OUTER JOIN new ON old.k = new.k WHERE old.k IS NULL OR new.k IS NULL OR old.o <> new.o OR old.price <> new.price""",
     "stream_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stream_cards": "SELECT user_id, event_id, c_mktsegment FROM events JOIN customer ON c_custkey = user_id",
     "cluster_members": """WITH RECURSIVE e AS (SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey <> y.o_orderkey WHERE abs(x.o_totalprice - y.o_totalprice) / greatest(abs(x.o_totalprice), abs(y.o_totalprice), 1) <= 0.03),

@@ -2,65 +2,70 @@
 
 from __future__ import annotations
 
+import html as html_entities
 import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import times
+from tessera.functions import markup, times
 
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
 DATE = re.compile(rf"\b(?:(?:{MONTHS})\.? \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{MONTHS}) \d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}})\b")
 
 
-class _Links(HTMLParser):
+class _Links:
     """Links with their text and place, and dates with their place, by character of the page's text."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+    def __init__(self, source: str) -> None:
         self.links: list[list] = []
         self.dates: list[tuple[int, str]] = []
-        self.at, self.open, self.skip = 0, None, 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag in ("script", "style"):
-            self.skip += 1
-        elif tag == "a" and a.get("href") is not None:
-            self.open = [a["href"].strip(), "", self.at, a.get("aria-label") or a.get("title") or ""]
-            self.links.append(self.open)
-        elif tag == "img" and self.open is not None and not self.open[3]:
-            self.open[3] = a.get("alt") or ""
-        elif tag == "time" and a.get("datetime"):
-            self.dates.append((self.at, a["datetime"].strip()))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.skip = max(0, self.skip - 1)
-        elif tag == "a":
-            self.open = None
-
-    def handle_data(self, data: str) -> None:
-        if self.skip:
-            return
-        self.dates += [(self.at + m.start(), m[0]) for m in DATE.finditer(data)]
-        if self.open is not None:
-            self.open[1] += data
-        self.at += len(data)
+        self.at = 0
+        link, skipped = None, 0
+        words: list[str] = []
+
+        def end_link() -> None:
+            if link is not None:
+                link[1] = "".join(words)
+            words.clear()
+
+        for kind, what, written in markup.tokens(source):
+            if kind == "text":
+                if skipped:
+                    continue
+                data = html_entities.unescape(what)
+                self.dates += [(self.at + m.start(), m[0]) for m in DATE.finditer(data)]
+                if link is not None:
+                    words.append(data)
+                self.at += len(data)
+            elif kind == "start" and what in ("script", "style"):
+                skipped += 1
+            elif kind == "end" and what in ("script", "style"):
+                skipped = max(0, skipped - 1)
+            elif kind == "start" and what == "a":
+                a = markup.attributes(written)
+                if "href" in a:
+                    end_link()
+                    link = [a["href"].strip(), "", self.at, a.get("aria-label") or a.get("title") or ""]
+                    self.links.append(link)
+            elif kind == "start" and what == "img" and link is not None and not link[3]:
+                link[3] = markup.attributes(written).get("alt") or ""
+            elif kind == "start" and what == "time" and (at := markup.attributes(written).get("datetime")):
+                self.dates.append((self.at, at.strip()))
+            elif kind == "end" and what == "a":
+                end_link()
+                link = None
+        end_link()
 
 
 def parsed(html: str | None) -> _Links:
-    p = _Links()
-    p.feed(html or "")
-    p.close()
-    return p
+    return _Links(html or "")
 
 
 def nearest(links: list[list], dates: list[tuple[int, str]], most: int = 2500) -> dict[int, str]:

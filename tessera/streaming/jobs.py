@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions import times
+from tessera.operators import snapshots
 
 STREAK = "source_id bigint, n_attempts bigint, last_status string, consecutive_failures int, consecutive_empty int, status_started_at timestamp"
 
@@ -73,19 +74,23 @@ def appended(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def latest_by_key(stream: DataFrame, key: str, at: str, tie: str, path: str, checkpoint: str) -> DataFrame:
+def latest_by_key(stream: DataFrame, key: str, at: str, tie: str, path: str, checkpoint: str, keep: int = 2) -> DataFrame:
     """Run a stream over all that is there into a table of the last row of each key; a late row replaces nothing newer.
 
-    Each batch writes the table anew under its own number and reads its predecessor's, so a batch that comes again gives the same.
+    The table is kept in versions, ``keep`` of them: each batch writes the next one with its own number, and a batch that comes
+    again, which the newest version already has, writes nothing. A run without new rows leaves the table as it was.
     """
-    rows = F.struct(*stream.columns)
+    spark, rows = stream.sparkSession, F.struct(*stream.columns)
+    kind = snapshots.Kind(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema), (key,))
 
     def work(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        every = batch if number == 0 else batch.unionByName(spark.read.schema(stream.schema).parquet(f"{path}/{number - 1}"))
-        last = every.groupBy(key).agg(F.max_by(rows, F.struct(at, tie)).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{path}/{number}")
-
-    query = each_batch(stream, work, checkpoint)
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{query.lastProgress['batchId']}")
+        table = snapshots.Table(batch.sparkSession, path, kind)
+        newest = table.manifest()
+        if newest is not None and int(newest["note"]) >= number:
+            return
+        every = batch.unionByName(table.read())
+        table.write(every.groupBy(key).agg(F.max_by(rows, F.struct(at, tie)).alias("r")).select("r.*"), note=str(number))
+        table.expire(keep)
+
+    each_batch(stream, work, checkpoint).awaitTermination()
+    return snapshots.Table(spark, path, kind).read()

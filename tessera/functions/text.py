@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-from tessera.functions import markup
+from tessera.functions import markup, phrases
 from tessera.lexicon import STOPWORDS
 
 
+#: So many terms are looked for in the JVM one by one.
+FEW = 250
+
+
 def literal(term: str) -> str:
     """A term as a pattern that Java's engine and RE2 read alike."""
     return re.sub(r"([^\w\s])", r"\\\1", term)
@@ -59,12 +63,14 @@ def listed(terms: list[str] | tuple[str, ...]) -> Column:
 
 
 def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
-    """The terms (folded) that stand between word boundaries of a folded text: words by one split and a hash set, phrases where the text contains them at all."""
-    every = tuple(dict.fromkeys(map(fold, terms)))
+    """The terms (folded) that stand between word boundaries of a folded text: words by one split and a hash set, phrases where the text contains them at all; of more than ``FEW`` terms by an automaton in Arrow batches."""
+    every = tuple(x for x in dict.fromkeys(map(fold, terms)) if x)
+    if len(every) > FEW:
+        return phrases.phrase_hits(text, every)
     single = [x for x in every if re.fullmatch(r"\w+", x)]
     found = F.array_intersect(F.split(text, r"[^\p{L}\p{N}_]+"), listed(single))
-    phrases = [F.when(text.contains(x) & text.rlike(phrase_pattern((x,))), x) for x in every if x not in single]
-    return F.concat(found, F.array_compact(F.array(*phrases))) if phrases else found
+    longer = [F.when(text.contains(x) & text.rlike(phrase_pattern((x,))), x) for x in every if x not in single]
+    return F.concat(found, F.array_compact(F.array(*longer))) if longer else found
 
 
 def squeezed(text: Column) -> Column:

@@ -25,6 +25,40 @@ class Category:
     unless: str = ""
 
 
+#: What a leaf of a rule looks at.
+LEAVES = ("terms", "title", "exact", "title_exact", "pattern", "title_pattern", "entity", "name", "source", "quality", "category")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A category that holds when ``when`` does: a leaf, or ``{"all": [...]}``, ``{"any": [...]}``, ``{"not": ...}``, ``{"atleast": n, "of": [...]}`` of such.
+
+    A leaf is ``kind:name``, of terms the name alone: ``terms`` (one of a group in title or summary), ``title`` (in the title), ``exact`` and
+    ``title_exact`` (as written), ``pattern`` and ``title_pattern`` (one of the lexicon's patterns), ``entity`` (any of a group), ``name`` (that
+    one), ``source`` (the row's source is one of a group of terms), ``quality``, ``category`` (a rule before this one holds).
+    """
+
+    name: str
+    when: object
+
+    def leaves(self) -> list[tuple[str, str]]:
+        found, todo = [], [self.when]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                kind, colon, name = x.partition(":")
+                found.append((kind, name) if colon else ("terms", x))
+            elif isinstance(x, dict) and set(x) in ({"all"}, {"any"}):
+                todo += next(iter(x.values()))
+            elif isinstance(x, dict) and set(x) == {"not"}:
+                todo.append(x["not"])
+            elif isinstance(x, dict) and set(x) == {"atleast", "of"} and type(x["atleast"]) is int:
+                todo += x["of"]
+            else:
+                raise ValueError(f"rule {self.name}: {x!r} is no rule")
+        return found
+
+
 @dataclass(frozen=True)
 class Theme:
     name: str
@@ -76,6 +110,9 @@ class Lexicon:
     keywords: dict[str, tuple[str, ...]] = field(default_factory=dict)
     terms: dict[str, tuple[str, ...]] = field(default_factory=dict)
     categories: tuple[Category, ...] = ()
+    #: regular expressions by name, and further categories by rules of any form, after the others
+    patterns: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    rules: tuple[Rule, ...] = ()
     #: categories that make a row topical, and those that earn the action bonus
     topical: tuple[str, ...] = ()
     action: tuple[str, ...] = ()
@@ -101,13 +138,19 @@ class Lexicon:
             raise ValueError("scores lie between 0 and 100, weights are whole and not negative")
         if any(not a.strip() for g in self.entities.values() for aliases in g.values() for a in aliases):
             raise ValueError("an alias is empty")
-        kinds = {c.name for c in self.categories}
+        kinds = {c.name for c in (*self.categories, *self.rules)}
         if unknown := [x for x in (*self.topical, *self.action, *self.protocol, *self.ledger, *self.institutional, *self.by_rail) if x not in kinds]:
             raise ValueError(f"unknown categories: {unknown}")
         groups = set(self.terms) | {f"entity:{g}" for g in self.entities}
         for c in self.categories:
             if missing := [g for g in (*c.all_of, *c.any_of, *c.none_of) if g not in groups]:
                 raise ValueError(f"category {c.name} needs unknown groups {missing}")
+        before = {c.name for c in self.categories}
+        known = dict.fromkeys(("terms", "title", "exact", "title_exact", "source"), set(self.terms)) | dict.fromkeys(("pattern", "title_pattern"), set(self.patterns)) | {"entity": set(self.entities), "name": names, "quality": {"primary", "high_signal", "discovery"}, "category": before}
+        for rule in self.rules:
+            if missing := [f"{k}:{n}" for k, n in rule.leaves() if n not in known.get(k, ())]:
+                raise ValueError(f"rule {rule.name} needs unknown {missing}")
+            before.add(rule.name)
 
     def ordered(self) -> list[tuple[str, str, tuple[str, ...]]]:
         """(group, canonical name, aliases) in the order of results."""
@@ -121,17 +164,19 @@ class Lexicon:
 
     def title_terms(self) -> tuple[str, ...]:
         kinds = self.landing.kinds if self.landing else ()
-        return tuple(dict.fromkeys([*kinds, *(x for g in self.keywords.values() for x in g)]))
+        ruled = [x for rule in self.rules for kind, name in rule.leaves() if kind == "title" for x in self.terms[name]]
+        return tuple(dict.fromkeys([*kinds, *ruled, *(x for g in self.keywords.values() for x in g)]))
 
     @classmethod
     def read(cls, text: str) -> "Lexicon":
         """From JSON with the fields above; unknown fields are refused."""
         raw = json.loads(text)
         lists = {k: tuple(raw[k]) for k in ("high_value", "incident_entities", "incident_terms", "event_terms", "region_terms", "across_terms", "finance_terms", "exact", "topical", "action", "commentary", "bare", "protocol", "ledger", "institutional", "by_rail", "rail") if k in raw}
-        maps = {k: {n: tuple(v) for n, v in raw[k].items()} for k in ("keywords", "terms") if k in raw}
+        maps = {k: {n: tuple(v) for n, v in raw[k].items()} for k in ("keywords", "terms", "patterns") if k in raw}
         made = {
             "entities": {g: {n: tuple(a) for n, a in m.items()} for g, m in raw["entities"].items()},
             "categories": tuple(Category(**{k: tuple(v) if isinstance(v, list) else v for k, v in c.items()}) for c in raw.get("categories", [])),
+            "rules": tuple(Rule(r["name"], r["when"]) for r in raw.get("rules", [])),
             "landing": Landing(**raw["landing"] | {"kinds": tuple(raw["landing"]["kinds"])}) if raw.get("landing") else None,
             "themes": tuple(Theme(t["name"], tuple(t["terms"])) for t in raw.get("themes", [])),
         }

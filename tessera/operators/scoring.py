@@ -59,9 +59,42 @@ def _categories(items: DataFrame, lexicon: Lexicon) -> DataFrame:
         if c.none_of:
             rule = rule & ~t.any_of([column[g] for g in c.none_of])
         held[c.name] = rule & ~held[c.unless] if c.unless else rule
+    for r in lexicon.rules:
+        held[r.name] = F.coalesce(_ruled(r.when, lexicon, held), F.lit(False))
     return items.withColumn("categories", F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in held.items()])))
 
 
+def _leaf(kind: str, name: str, lexicon: Lexicon, held: dict[str, F.Column]) -> F.Column:
+    both, title = F.concat_ws(" ", "title", "summary"), F.coalesce("title", F.lit(""))
+    if kind in ("exact", "title_exact"):
+        text = title if kind == "title_exact" else both
+        return t.any_of([text.contains(x) & text.rlike(t.phrase_pattern((x,)).removeprefix("(?i)")) for x in lexicon.terms[name]])
+    if kind in ("pattern", "title_pattern"):
+        return t.any_of([(title if kind == "title_pattern" else both).rlike(x) for x in lexicon.patterns[name]])
+    if kind == "entity":
+        return F.arrays_overlap("entities", t.listed(list(lexicon.entities[name])))
+    if kind == "name":
+        return F.array_contains("entities", name)
+    if kind == "source":
+        return F.col("source_id").isin(*lexicon.terms[name])
+    if kind == "quality":
+        return F.col("quality") == name
+    return held[name] if kind == "category" else hit(lexicon.terms[name], TITLE_HITS if kind == "title" else HITS)
+
+
+def _ruled(when: object, lexicon: Lexicon, held: dict[str, F.Column]) -> F.Column:
+    """A rule as one expression; what a row lacks (a source, a title) makes a leaf false."""
+    if isinstance(when, str):
+        kind, colon, name = when.partition(":")
+        return F.coalesce(_leaf(kind, name, lexicon, held) if colon else _leaf("terms", when, lexicon, held), F.lit(False))
+    if "not" in when:
+        return ~_ruled(when["not"], lexicon, held)
+    if "all" in when:
+        return t.all_of([_ruled(x, lexicon, held) for x in when["all"]])
+    parts = [_ruled(x, lexicon, held) for x in when.get("any", when.get("of"))]
+    return t.any_of(parts) if "any" in when else sum((x.cast("int") for x in parts), F.lit(0)) >= when["atleast"]
+
+
 def with_categories(items: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``categories`` in the lexicon's order, by its rules over term and entity groups; needs ``entities``."""
     return _categories(with_hits(items, lexicon), lexicon).drop(HITS, TITLE_HITS)

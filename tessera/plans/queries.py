@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.functions import times
-from tessera.lexicon import GENERIC_TITLES, SAMPLE
+from tessera.lexicon import GENERIC_TITLES, SAMPLE, Rule
 from tessera.operators import context, correlate, dedup, delivery, enrich, graph, items, scoring, snapshots, state, theses
 from tessera.sources import apis, collectors, html_pages, listing, registry
 from tessera.streaming import jobs, trailing
@@ -547,6 +548,39 @@ def stream_cards(spark, sf_dir):
     return jobs.appended(jobs.with_cards(e.select("user_id", "event_id"), cards, "user_id"), fresh_path(spark, "met"), fresh_path(spark, "offsets"))
 
 
+#: Rules with leaves of every kind.
+RULED = replace(
+    SAMPLE,
+    categories=(), topical=(), action=(), protocol=(), ledger=(), institutional=(), by_rail=(),
+    terms=SAMPLE.terms | {"names": ("Une", "Elle", "Thre"), "desk": ("src1", "src7", "src14"), "phrase": ("and the", "auch nicht")},
+    patterns={"ing": (r"(^|[^\p{L}\p{N}_])[A-Z][a-z]+ing($|[^\p{L}\p{N}_])",), "opens": ("^(The|Th[a-z]+|Die|Ni[a-z]+) ",)},
+    rules=(
+        Rule("surface", {"all": ["name:Thanea", {"any": ["topic", "phrase"]}]}),
+        Rule("written", {"any": ["exact:names", "title_exact:names"]}),
+        Rule("patterned", {"all": ["pattern:ing", {"not": "category:surface"}]}),
+        Rule("headline", {"any": ["title:action", "title_pattern:opens"]}),
+        Rule("desk", {"all": ["source:desk", {"any": ["quality:primary", "category:headline"]}]}),
+        Rule("two", {"atleast": 2, "of": ["action", "quiet", "entity:authority"]}),
+    ),
+)
+
+
+def category_rules(spark, sf_dir):
+    """Categories by rules over words, titles, exact words, patterns, sources and other categories."""
+    named = scoring.with_entities(scoring.with_hits(items.from_documents(spark, sf_dir), RULED), RULED)
+    return scoring.with_categories(named, RULED).select("item_id", F.concat_ws(",", "categories").alias("categories"))
+
+
+def lexicon_phrases(spark, sf_dir):
+    """A large lexicon: every pair of words side by side in the benchmark, looked for in all items."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    pairs = _table(spark, sf_dir, "benchmark").select(w.alias("w")).where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.concat_ws(" ", F.element_at("w", k), F.element_at("w", k + 1)))).alias("pair")).distinct()
+    # the benchmark is a list of fixed size; what goes with the plan is checked there
+    lexicon = tuple(sorted(r.pair for r in pairs.collect()))
+    rows = items.from_documents(spark, sf_dir).select("item_id", t.term_hits(F.lower(F.concat_ws(" ", "title", "summary")), lexicon).alias("hits"))
+    return rows.select("item_id", F.size("hits").cast("bigint").alias("n_phrases"), F.sha2(F.concat_ws(",", F.array_sort("hits")), 256).alias("phrases"))
+
+
 #: A registry with a source of each method: id, method, and the rules that it needs.
 SOURCES = (
     ("feed-rss", "rss", {}), ("feed-atom", "atom", {}), ("feed-rdf", "rdf", {"summary_chars": 40}), ("search", "publisher_rss", {"url": "https://news.example/rss?q=site%3Asearch.example"}), ("map", "sitemap", {}),
@@ -678,7 +712,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         candidates_normalized, publication_keys, recommended_actions, allowed_items, saved_progress, state_inventory, model_selection, near_misses, outbox_first, observation_preview, retained_cards,
         seen_fingerprints, released_retries, merged_branches, prior_events, thesis_context, thesis_revisions, parameter_products, undelivered_events, acronyms, event_types, event_messages,
         evaluation_counts, stream_daily_counts, stream_latest, stream_cards, cluster_members, frontier_state, term_frontiers,
-        collected_items, collected_statuses, stream_listing, stream_trailing, snapshot_versions,
+        collected_items, collected_statuses, category_rules, lexicon_phrases, stream_listing, stream_trailing, snapshot_versions,
         retention_per_source, undelivered_orders, source_rotation, listing_frontier, event_signatures, messages, context_for_items, stated_negatives, event_properties, page_texts, page_links, conversation_bundles,
     )
 }

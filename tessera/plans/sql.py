@@ -326,6 +326,20 @@ SQL = {
       CASE WHEN item_id % 5 = 0 THEN '**Updated by:** event-a, event-b' END)[:2000]) AS message FROM m""",
     "evaluation_counts": f"WITH {ITEMS} SELECT regexp_matches(lower(title), 'th') AND regexp_matches(lower(title), 't.e') AND NOT regexp_matches(lower(title), 'qu|oi') AS passed, count(*) AS n_cases FROM items GROUP BY 1",
     "stream_daily_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY date_trunc('day', ts), event_type HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
+    "category_rules": f"""WITH {ENTITIES}, r AS (SELECT item_id, title, source_id, quality, {BOTH} AS t, entities FROM named),
+        a AS (SELECT *, list_contains(entities, 'Thanea') AND ({_has('t', SAMPLE.terms['topic'])} OR {_has('t', ('and the', 'auch nicht'))}) AS surface,
+                     {_has('title', SAMPLE.terms['action'])} OR regexp_matches(title, '^(The|Th[a-z]+|Die|Ni[a-z]+) ') AS headline FROM r)
+        SELECT item_id, concat_ws(',', CASE WHEN surface THEN 'surface' END, CASE WHEN regexp_matches(t, '{phrase_pattern(('Une', 'Elle', 'Thre')).removeprefix('(?i)')}') THEN 'written' END,
+          CASE WHEN regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]+ing($|[^\\p{{L}}\\p{{N}}_])') AND NOT surface THEN 'patterned' END, CASE WHEN headline THEN 'headline' END,
+          CASE WHEN source_id IN ('src1', 'src7', 'src14') AND (quality = 'primary' OR headline) THEN 'desk' END,
+          CASE WHEN CAST({_has('t', SAMPLE.terms['action'])} AS INT) + CAST({_has('t', SAMPLE.terms['quiet'])} AS INT) + CAST(list_has_any(entities, {_list(SAMPLE.entities['authority'])}) AS INT) >= 2 THEN 'two' END) AS categories FROM a""",
+    "lexicon_phrases": f"""WITH {ITEMS}, b AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+        l AS (SELECT DISTINCT w[k] AS x, w[k + 1] AS y FROM (SELECT w, unnest(range(1, len(w))) AS k FROM b)),
+        p AS (SELECT item_id, string_split(lower({BOTH}), ' ') AS p FROM items),
+        e AS (SELECT item_id, p[k] AS a, p[k + 1] AS z FROM (SELECT item_id, p, unnest(range(1, len(p))) AS k FROM p)),
+        f AS (SELECT DISTINCT item_id, x || ' ' || y AS phrase FROM (SELECT item_id, regexp_extract(a, '([\\p{{L}}\\p{{N}}_]+)$', 1) AS x, regexp_extract(z, '^([\\p{{L}}\\p{{N}}_]+)', 1) AS y FROM e) JOIN l USING (x, y)),
+        g AS (SELECT item_id, count(*) AS n, string_agg(phrase, ',' ORDER BY phrase) AS s FROM f GROUP BY item_id)
+        SELECT item_id, coalesce(n, 0) AS n_phrases, sha256(coalesce(s, '')) AS phrases FROM items LEFT JOIN g USING (item_id)""",
     "collected_items": _COLLECTED + "SELECT source_id, native_id, title, url, published_us, summary, place, CAST(n_places AS BIGINT) AS n_places, problem FROM a",
     "collected_statuses": _STATUSES,
     "stream_listing": """SELECT source, native_id, title FROM (SELECT CAST(user_id % 20 AS VARCHAR) AS source, CAST(event_id AS VARCHAR) AS native_id, event_type AS title, ts, ts >= TIMESTAMP '2024-01-16' AS late FROM events WHERE ts < TIMESTAMP '2024-03-01')

@@ -13,7 +13,7 @@ from tessera.functions import text as t
 from tessera.functions import times
 from tessera.lexicon import GENERIC_TITLES, SAMPLE, Rule
 from tessera.operators import context, correlate, dedup, delivery, enrich, graph, items, scoring, snapshots, state, theses
-from tessera.sources import apis, collectors, html_pages, listing, registry
+from tessera.sources import apis, collectors, html_pages, listing, registry, scan
 from tessera.streaming import jobs, trailing
 from tessera.tables import fresh_path, stored
 
@@ -665,6 +665,29 @@ def collected_statuses(spark, sf_dir):
     return statuses.select("source_id", "status", "n_answers", "n_rows", "n_problems", "n_failures", F.concat_ws("; ", "reasons").alias("reasons"))
 
 
+def paged(spark, sf_dir):
+    """Each user's events as a listing in pages of ten, newest first, and the frontier that was saved for it: none, near, deep, gone, older than the window, or none at all."""
+    from pyspark.sql import Window
+
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), "user_id", F.col("event_id").cast("string").alias("native_id"), F.col("ts").cast("timestamp").alias("published_at"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("published_at"), F.desc("native_id"))) - 1
+    rows = stored(e.withColumn("r", rank), "paged")
+    kind = F.col("user_id") % 7
+    place = F.when(kind == 1, 4).when(kind == 2, 13).when(kind == 3, 28).when(kind == 4, 37).when(kind == 5, 55)
+    some = rows.where(kind > 0).groupBy("source", kind.alias("kind")).agg(F.max(F.when(F.col("r") == place, F.struct("native_id", "published_at"))).alias("b"))
+    gone = F.col("kind") == 6
+    saved = some.select("source", F.when(gone, F.lit("none")).otherwise(F.col("b.native_id")).alias("boundary_id"), F.when(gone, F.lit("2024-01-20").cast("date")).otherwise(F.to_date("b.published_at")).alias("boundary_date"), F.when(F.col("kind") == 3, 2).when(F.col("kind") == 4, 1).when(gone, 2).otherwise(1).alias("hint"))
+    saved = saved.withColumn("hint", F.when(F.col("source").cast("int") % 11 == 5, 0).otherwise(F.col("hint")))
+    return rows.select("source", F.expr("r div 10").cast("int").alias("page"), (F.col("r") % 10).alias("place"), "native_id", "published_at"), saved
+
+
+def adaptive_scan(spark, sf_dir):
+    """What a run under a budget of three pages makes of every frontier."""
+    pages, saved = paged(spark, sf_dir)
+    _, states = scan.scan(scan.stored_reader(pages), pages.select("source"), saved, _day(9).cast("date"))
+    return states.select("source", "outcome", "n_pages", "boundary_id", F.date_format("boundary_date", "yyyy-MM-dd").alias("boundary_date"), "hint")
+
+
 def stream_listing(spark, sf_dir):
     """Events as twenty listings, newest first, a hundred a page: a stream reads their first pages at mid month and, begun again at its end, what has come since."""
     from pyspark.sql import Window
@@ -712,7 +735,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         candidates_normalized, publication_keys, recommended_actions, allowed_items, saved_progress, state_inventory, model_selection, near_misses, outbox_first, observation_preview, retained_cards,
         seen_fingerprints, released_retries, merged_branches, prior_events, thesis_context, thesis_revisions, parameter_products, undelivered_events, acronyms, event_types, event_messages,
         evaluation_counts, stream_daily_counts, stream_latest, stream_cards, cluster_members, frontier_state, term_frontiers,
-        collected_items, collected_statuses, category_rules, lexicon_phrases, stream_listing, stream_trailing, snapshot_versions,
+        collected_items, collected_statuses, category_rules, lexicon_phrases, adaptive_scan, stream_listing, stream_trailing, snapshot_versions,
         retention_per_source, undelivered_orders, source_rotation, listing_frontier, event_signatures, messages, context_for_items, stated_negatives, event_properties, page_texts, page_links, conversation_bundles,
     )
 }

@@ -157,6 +157,17 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\*_`~|>\[\]()@])", r"\\$1")
 
 
+@pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else html.unescape(x))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded, in an Arrow UDF, to which only texts with a "&" go."""
+    marked = text.contains("&")
+    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
+
+
 def signatures(titles: Column, summary: Column, generic: tuple[str, ...]) -> Column:
     """Exact-content keys of an event: of titles (folded) of five words or more, and of a summary of ten or more."""
 

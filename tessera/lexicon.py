@@ -76,8 +76,12 @@ INCIDENT_TERMS = ("hack", "hacked", "exploit", "exploited", "breach", "breached"
 EVENT_TERMS = ("cross", "border", "settlement", "stablecoin", "tokenized", "tokenised", "payment", "payments", "custody", "wallet", "ledger", "initiative", "partnership", "digital", "blockchain")
 REGION_TERMS = ("singapore", "malaysia", "thailand", "indonesia", "philippines", "vietnam", "cambodia", "laos", "myanmar", "brunei", "brazil", "canada", "mexico", "india", "china", "japan", "korea", "australia", "switzerland", "uae", "saudi", "europe")
 FINANCE_TERMS = ("settlement", "stablecoin", "tokenized", "tokenised", "payment", "payments", "digital", "money", "blockchain", "ledger")
-# Some of the markers of speculative headlines; more are configuration.
-COMMENTARY = ("price prediction", "price forecast", "price target", "price analysis", "technical analysis", "chart analysis")
+# The markers of speculative headlines.
+COMMENTARY = (
+    "price prediction", "price predictions", "price forecast", "price forecasts", "price outlook", "price target", "price targets", "price analysis", "technical analysis", "chart analysis",
+    "analyst predicts", "analysts predict", "analyst expects", "analysts expect", "expert predicts", "experts predict",
+    "price could reach", "price could hit", "price may reach", "price might reach", "could reach $", "could hit $", "may reach $", "might reach $", "how high can xrp", "how high will xrp",
+)
 
 
 @dataclass(frozen=True)

@@ -5,34 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import phrases
 from tessera.functions import text as t
 
 #: Aliases are looked up by so many of their first words; of longer ones the rest is compared.
 MOST = 4
+#: Characters of aliases that go to every worker.
+SENT = 4 << 20
 
 
 def matches(items: DataFrame, records: DataFrame) -> DataFrame:
     """(item, record, score): an alias occurs as whole words in title or summary.
 
-    An equi-join on word sequences: the item's distinct runs of one to four
-    words meet the first words of the aliases; a longer alias must then stand in the
-    item as a whole.
+    Aliases of ``SENT`` characters at most go to the workers as one automaton, and a text is read once. More of them are met
+    by an equi-join on word sequences: the item's distinct runs of one to four words, those that open an alias, meet the
+    first words of the aliases; a longer alias must then stand in the item as a whole.
     """
     alias = records.select("record_id", "topic", "date", "priority", F.explode(F.array_distinct("aliases")).alias("alias"))
     alias = alias.withColumn("w", t.words(F.col("alias"))).where(F.size("w") > 0).withColumns({"key": F.concat_ws(" ", F.slice("w", 1, MOST)), "whole": F.concat_ws(" ", F.lit(""), "w", F.lit("")), "size": F.size("w")}).drop("alias")
+    weight = F.when(F.col("size") >= 2, 3 + F.least(F.lit(2), F.col("size") - 2)).otherwise(2)
+    alias = alias.withColumn("weight", weight).drop("w")
+    size = alias.agg(F.coalesce(F.sum(F.char_length("whole")), F.lit(0))).first()[0]
+    hit = _sent(items, alias) if size <= SENT else _met(items, alias)
+    hit = hit.groupBy("item_id", "record_id", "topic", "date", "priority").agg(F.sum("weight").alias("alias_score"))
+    year = F.expr("try_cast(substring(date, 1, 4) AS int)")
+    recency = F.coalesce(F.least(F.lit(6), F.greatest(F.lit(0), year - 2020)), F.lit(0))
+    return hit.select("item_id", "record_id", "topic", "date", (F.col("alias_score") * 4 + F.col("priority") * 3 + recency).cast("bigint").alias("score"))
+
+
+def _sent(items: DataFrame, alias: DataFrame) -> DataFrame:
+    terms = tuple(sorted(r.a for r in alias.select(F.trim("whole").alias("a")).distinct().collect()))
+    said = items.select("item_id", phrases.phrase_hits(F.concat_ws(" ", t.words(F.concat_ws(" ", "title", "summary"))), terms).alias("hits"))
+    return said.select("item_id", F.explode("hits").alias("a")).join(alias.withColumn("a", F.trim("whole")), "a")
+
+
+def _met(items: DataFrame, alias: DataFrame) -> DataFrame:
     sizes = F.array(*[F.lit(k) for k in range(1, MOST + 1)])
     text = items.select("item_id", t.words(F.concat_ws(" ", "title", "summary")).alias("w"))
+    opens = alias.select(F.substring_index("key", " ", 1).alias("first")).distinct()
     runs = text.select("item_id", "w", F.explode(sizes).alias("n")).where(F.size("w") >= F.col("n"))
     runs = runs.select("item_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - n + 1), k -> concat_ws(' ', slice(w, k, n)))"))).alias("key"))
+    runs = runs.withColumn("first", F.substring_index("key", " ", 1)).join(opens, "first", "left_semi").drop("first")
     n = F.col("size")
-    weight = F.when(n >= 2, 3 + F.least(F.lit(2), n - 2)).otherwise(2)
-    found = runs.join(alias.withColumn("weight", weight).drop("w"), "key")
+    found = runs.join(alias, "key")
     whole = text.select("item_id", F.concat_ws(" ", F.lit(""), "w", F.lit("")).alias("said"))
     held = found.where(n > MOST).alias("f").join(whole.alias("t"), (F.col("f.item_id") == F.col("t.item_id")) & F.contains("said", "whole"), "left_semi")
-    hit = found.where(n <= MOST).unionByName(held).groupBy("item_id", "record_id", "topic", "date", "priority").agg(F.sum("weight").alias("alias_score"))
-    year = F.expr("try_cast(substring(date, 1, 4) AS int)")
-    recency = F.coalesce(F.least(F.lit(6), F.greatest(F.lit(0), year - 2020)), F.lit(0))
-    return hit.select("item_id", "record_id", "topic", "date", (F.col("alias_score") * 4 + F.col("priority") * 3 + recency).cast("bigint").alias("score"))
+    return found.where(n <= MOST).unionByName(held)
 
 
 def select(items: DataFrame, records: DataFrame, most: int) -> DataFrame:
@@ -64,9 +82,12 @@ def prior_events(items: DataFrame, events: DataFrame, most: int = 3) -> DataFram
         return named.select(key, "entity", F.explode(F.slice("rare", 1, F.greatest(F.size("rare") - 1, F.lit(1)))).alias("token"))
 
     met = keyed(items, "item_id").join(keyed(events, "event_id"), ["entity", "token"]).select("item_id", "event_id").distinct()
-    both = met.join(items.select("item_id", F.col("tokens").alias("x"), F.col("entities").alias("ex")), "item_id").join(events.select("event_id", "date", F.col("tokens").alias("y"), F.col("entities").alias("ey")), "event_id")
-    shared, common = F.array_intersect("ex", "ey"), F.array_intersect("x", "y")
-    own = F.flatten(F.transform(shared, lambda x: F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), 1)))
+    # the words of each entity's name travel with the items: no pattern is matched for a pair
+    named = F.transform("entities", lambda x: F.struct(x.alias("e"), F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), 1).alias("w")))
+    both = met.join(items.select("item_id", F.col("tokens").alias("x"), F.col("entities").alias("ex"), named.alias("named")), "item_id").join(events.select("event_id", "date", F.col("tokens").alias("y"), F.col("entities").alias("ey")), "event_id")
+    both = both.withColumns({"shared": F.array_intersect("ex", "ey"), "common": F.array_intersect("x", "y")}).where("size(common) >= 2")
+    shared, common = F.col("shared"), F.col("common")
+    own = F.flatten(F.transform(F.filter("named", lambda x: F.array_contains("ey", x["e"])), lambda x: x["w"]))
     found = both.where(F.size(F.array_except(common, own)) >= 2).withColumn("score", F.size(shared) * 3 + F.size(common))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "date", "event_id"))
     return found.withColumn("rank", rank).where(f"rank <= {most}").select("item_id", "rank", "event_id", "score")

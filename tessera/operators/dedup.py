@@ -19,16 +19,24 @@ def unseen(items: DataFrame, seen: DataFrame, key: str = "fingerprint") -> DataF
 
 
 def first_arrivals(items: DataFrame, key: str = "event_key", order: str = "item_id") -> DataFrame:
-    """The first row of each key, with what its copies add: ``n_copies``, other sources and URLs in order of arrival.
+    """The first row of each key, with what its copies add: ``n_copies``, and the other sources in order of arrival.
 
-    One shuffle by the key, with partial aggregation before it; the lists are of distinct sources.
+    A row for each key and source first, with partial aggregation before its shuffle, so that a key's rows never meet in one list:
+    what is gathered is one entry for each source. The copies' links are rows, see ``duplicate_links``.
     """
     cols = [c for c in items.columns if c != key]
-    first = F.min_by(F.struct(*cols), order).alias("first")
-    sources = F.array_sort(F.collect_set("source_id")).alias("sources")
-    grouped = items.groupBy(key).agg(first, F.count("*").alias("n_rows"), sources)
-    own = F.array(F.col("first.source_id"))
-    return grouped.select(key, "first.*", (F.col("n_rows") - 1).alias("n_copies"), F.array_except("sources", own).alias("duplicate_sources"))
+    each = items.groupBy(key, F.col("source_id").alias("_source")).agg(F.min(order).alias("_at"), F.min_by(F.struct(*cols), order).alias("_first"), F.count("*").alias("_n"))
+    told = F.array_sort(F.collect_list(F.when(F.col("_source").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_source").alias("source")))))
+    grouped = each.groupBy(key).agg(F.min_by("_first", "_at").alias("first"), F.sum("_n").alias("n_rows"), told.alias("told"))
+    sources = F.array_compact(F.transform("told", lambda x: F.when(~x["source"].eqNullSafe(F.col("first.source_id")), x["source"])))
+    return grouped.select(key, "first.*", (F.col("n_rows") - 1).alias("n_copies"), sources.alias("duplicate_sources"))
+
+
+def duplicate_links(items: DataFrame, key: str = "event_key", order: str = "item_id", url: str = "url") -> DataFrame:
+    """``key``, ``url``, ``arrived``: each other link of a key's copies, with the first of them that had it; ``arrived`` gives their order."""
+    links = items.where(F.col(url).isNotNull()).groupBy(key, F.col(url).alias("url")).agg(F.min(order).alias("arrived"))
+    first = items.groupBy(key).agg(F.min_by(url, order).alias("_own"))
+    return links.join(first, key).where(~F.col("url").eqNullSafe(F.col("_own"))).select(key, "url", "arrived")
 
 
 def near_titles(items: DataFrame, ratio: float = RATIO, order: str = "item_id") -> DataFrame:
@@ -83,12 +91,13 @@ def greedy(items: DataFrame, pairs: DataFrame, order: str = "item_id") -> DataFr
 
 
 def reconsidered(items: DataFrame, cards: DataFrame, fresh: DataFrame, gate: int, now: F.Column, hours: int = 72, days: int = 14) -> DataFrame:
-    """Known items that now reach the gate and did not before: seen within ``hours``, not older than ``days``, not fresh themselves."""
+    """Known items that now reach the gate and did not before: seen within ``hours``, not older than ``days``, not fresh themselves; the best first, of equal ones the latest."""
     before = cards.select("item_id", F.col("score").alias("score_before"), "last_seen")
     recent = F.unix_timestamp("last_seen") >= F.unix_timestamp(now) - hours * 3600
     young = F.coalesce(F.unix_timestamp("published_at") >= F.unix_timestamp(now) - days * 86400, F.lit(True))
     found = items.join(before, "item_id").where((F.col("score_before") < gate) & (F.col("score") >= gate) & recent & young)
-    return found.join(fresh.select("item_id"), "item_id", "left_anti").join(fresh.select("event_key").distinct(), "event_key", "left_anti")
+    found = found.join(fresh.select("item_id"), "item_id", "left_anti").join(fresh.select("event_key").distinct(), "event_key", "left_anti")
+    return found.orderBy(F.desc("score"), F.desc("published_at"), F.lower("title"), "item_id")
 
 
 def newest(rows: DataFrame, n: int, order: str, tie: str, by: str | None = None) -> DataFrame:

@@ -12,16 +12,17 @@ from tessera.functions import text as t
 
 
 def messages(items: DataFrame) -> DataFrame:
-    """``message``: title, summary, source with date and up to four entities, link."""
-    title = F.coalesce(F.nullif(t.clipped(t.escaped(F.col("title")), 220), F.lit("")), F.lit("Untitled source item"))
-    summary = t.clipped(t.escaped(F.col("summary")), 360)
+    """``message``: title, summary (both with character references decoded), source with date and up to four entities, link."""
+    say = lambda c, n: t.clipped(t.escaped(t.unescaped(F.col(c))), n)
+    title = F.coalesce(F.nullif(say("title", 220), F.lit("")), F.lit("Untitled source item"))
+    summary = say("summary", 360)
     names = F.concat_ws(", ", F.slice("entities", 1, 4))
     meta = F.concat(F.coalesce(F.col("source_id"), F.lit("Unknown source")), F.lit(" · "), F.date_format("published_at", "yyyy-MM-dd"), F.when(names != "", F.concat(F.lit(" · "), names)).otherwise(""))
     link = F.when(F.col("url").rlike(r"^https://[^ \t\n\r\f]+$"), F.concat(F.lit("Source: "), F.col("url")))
     return items.withColumn("message", F.concat_ws("\n", F.concat(F.lit("**"), title, F.lit("**")), F.nullif(summary, F.lit("")), F.concat(F.lit("*"), meta, F.lit("*")), link))
 
 
-#: How many claims, conflicts, open questions, sources, names and later events a message shows, and its length.
+# How many claims, conflicts, open questions, sources, names and later events a message shows, and its length.
 CAPS = {"claims": 4, "conflicts": 3, "uncertainties": 3, "evidence": 4, "entities": 6, "updated_by": 3}
 LONGEST = 2000
 

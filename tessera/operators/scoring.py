@@ -16,7 +16,7 @@ BANDS = (("0-14", 0, 14), ("15-29", 15, 29), ("30-49", 30, 49), ("50-69", 50, 69
 
 
 HITS, TITLE_HITS = "_hits", "_title_hits"
-#: A figure that a report names.
+# Fixed value: a figure that a report names.
 FIGURE = r"(?i)([$€£]\s*\d|(^|[^\p{L}\p{N}_])\d+([.,]\d+)?\s*(%|(million|billion|thousand|m|b)($|[^\p{L}\p{N}_])))"
 
 
@@ -170,7 +170,7 @@ def source_yield(items: DataFrame, gate: int) -> DataFrame:
 
 def is_commentary(lexicon: Lexicon) -> F.Column:
     """Speculative headlines of second-tier sources."""
-    return (F.col("quality") == "high_signal") & t.any_of([F.lower("title").contains(m) for m in lexicon.commentary])
+    return (F.col("quality") == "high_signal") & F.lower("title").rlike("|".join(t.literal(t.fold(m)) for m in lexicon.commentary))
 
 
 def top(items: DataFrame, k: int, gate: int = 0) -> DataFrame:

@@ -60,6 +60,10 @@ def first_arrivals(spark, sf_dir):
     return found.select("event_key", "item_id", F.col("n_copies").cast("bigint").alias("n_copies"), F.concat_ws(",", "duplicate_sources").alias("duplicate_sources"))
 
 
+def duplicate_links(spark, sf_dir):
+    return dedup.duplicate_links(_keyed(spark, sf_dir).select("event_key", "item_id", "url"))
+
+
 def unseen_items(spark, sf_dir):
     """Items whose headline did not occur in the history."""
     base = items.from_documents(spark, sf_dir).withColumn("headline", F.sha2(F.concat_ws(" ", t.words(F.col("title"))), 256))
@@ -729,7 +733,7 @@ def snapshot_versions(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        items_normalized, item_keys, first_arrivals, unseen_items, near_duplicate_headlines, entities, relevance, source_yield, score_bands, publish_gates, publish_top, reconsidered_items,
+        items_normalized, item_keys, first_arrivals, duplicate_links, unseen_items, near_duplicate_headlines, entities, relevance, source_yield, score_bands, publish_gates, publish_top, reconsidered_items,
         correlation, correlation_by_tokens, history_correlation, buried_signals, delivery_duplicates, near_amounts, event_clusters, graph_nodes, graph_edges, supersession, thesis_rollup,
         event_freshness, event_evidence, weekly_digest, queue_health, health_streaks, health_warnings, change_detection, keyed_upsert, insert_if_absent, key_collisions, event_revisions,
         candidates_normalized, publication_keys, recommended_actions, allowed_items, saved_progress, state_inventory, model_selection, near_misses, outbox_first, observation_preview, retained_cards,

@@ -234,8 +234,10 @@ SQL = {
       {_SQUEEZE.format(x="regexp_replace(summary, '<[^>]*>', ' ', 'g')")} AS summary, 'https://' || lower(coalesce(source_id, 'none')) || '.example/' || item_id AS url, quality FROM p""",
     "item_keys": f"WITH {KEYS} SELECT item_id, fingerprint, event_key, 'item-' || substring(sha256(concat_ws('|', source_id, fingerprint)), 1, 24) AS candidate_id FROM keys",
     "first_arrivals": f"""WITH {KEYS}, f AS (SELECT event_key, min(item_id) AS item_id, count(*) - 1 AS n_copies FROM keys GROUP BY 1)
-      SELECT f.event_key, f.item_id, f.n_copies, coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT k.source_id AS s FROM keys k WHERE k.event_key = f.event_key AND k.source_id <> o.source_id)), '') AS duplicate_sources
+      SELECT f.event_key, f.item_id, f.n_copies, coalesce((SELECT string_agg(s, ',' ORDER BY arrived) FROM (SELECT k.source_id AS s, min(k.item_id) AS arrived FROM keys k WHERE k.event_key = f.event_key AND k.source_id <> o.source_id GROUP BY k.source_id)), '') AS duplicate_sources
       FROM f JOIN keys o USING (item_id)""",
+    "duplicate_links": f"""WITH {KEYS}, f AS (SELECT event_key, min(item_id) AS item_id FROM keys GROUP BY 1)
+      SELECT k.event_key, k.url, min(k.item_id) AS arrived FROM keys k JOIN f ON f.event_key = k.event_key JOIN keys o ON o.item_id = f.item_id WHERE k.url <> o.url GROUP BY ALL""",
     "unseen_items": f"WITH {ITEMS}, h AS (SELECT *, sha256(array_to_string({WORDS}, ' ')) AS headline FROM items) SELECT item_id, headline FROM h WHERE tm >= {HISTORY} AND headline NOT IN (SELECT headline FROM h WHERE tm < {HISTORY})",
     "entities": f"WITH {ENTITIES} SELECT item_id, array_to_string(entities, ',') AS entities FROM named",
     "relevance": f"WITH {SCORED} SELECT item_id, array_to_string(categories, ',') AS categories, score, array_to_string(reasons, '; ') AS reasons, {_BAND} AS band FROM scored",

@@ -63,6 +63,9 @@ def test_first_arrivals_and_seen(spark):
     rows = spark.createDataFrame([(2, "k", "b"), (1, "k", "a"), (3, "k", "b"), (4, "m", "a")], "item_id bigint, event_key string, source_id string")
     got = {r.event_key: r for r in dedup.first_arrivals(rows).collect()}
     assert got["k"].item_id == 1 and got["k"].n_copies == 2 and got["k"].duplicate_sources == ["b"]
+    more = spark.createDataFrame([(5, "k", "b", "u5"), (1, "k", "z", "u1"), (2, "k", None, "u2"), (3, "k", "c", "u1"), (4, "k", "b", "u2"), (6, "k", "a", None)], "item_id bigint, event_key string, source_id string, url string")
+    assert [(r.item_id, r.source_id, r.n_copies, r.duplicate_sources) for r in dedup.first_arrivals(more).collect()] == [(1, "z", 5, ["c", "b", "a"])]
+    assert {(r.url, r.arrived) for r in dedup.duplicate_links(more).collect()} == {("u2", 2), ("u5", 5)}
     assert [r.item_id for r in dedup.unseen(rows, rows.where("item_id < 4"), "event_key").collect()] == [4]
 
 

@@ -190,12 +190,6 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@pandas_udf(StringType())
-def unescaped(text: pd.Series) -> pd.Series:
-    """Character references as characters."""
-    return text.map(lambda t: None if t is None else html.unescape(t))
-
-
 @pandas_udf(StringType())
 def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
@@ -215,8 +209,33 @@ def ratio(x: str | None, y: str | None, least: float = 0.0) -> float:
         a, b = (Counter(map("".join, zip(z, z[1:], z[2:], strict=False))) for z in (x, y))
         if ((a - b) + (b - a)).total() > 5 * edits:
             return 0.0
+    # longest common parts first, as the measure has it; what is still open can add no more than its letters have in common
     m = SequenceMatcher(None, x, y)
-    return m.ratio() if m.quick_ratio() >= least else 0.0
+    need, found, bound = least * (len(x) + len(y)) / 2 - 1e-9, 0, _common(x, y)
+    rest = [(0, len(x), 0, len(y), bound)]
+    while rest:
+        if found + bound < need:
+            return 0.0
+        alo, ahi, blo, bhi, most = rest.pop()
+        bound -= most
+        i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
+        if k:
+            found += k
+            for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                most = _common(x[part[0] : part[1]], y[part[2] : part[3]])
+                if most:
+                    bound += most
+                    rest.append((*part, most))
+    return 2.0 * found / (len(x) + len(y))
+
+
+def _common(x: str, y: str) -> int:
+    """How many letters two texts have in common, in any order."""
+    if not x or not y:
+        return 0
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(min(x.count(c), y.count(c)) for c in set(x))
 
 
 def sequence_ratio(a: Column, b: Column, least: Column | float = 0.0) -> Column:

@@ -661,7 +661,7 @@ def _collected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def collected_items(spark, sf_dir):
     """Every source of a registry by its method, in one call."""
     items_, _ = _collected(spark, sf_dir)
-    return items_.select("source_id", "native_id", "title", "url", F.unix_micros("published_at").alias("published_us"), "summary", "place", "n_places", "problem")
+    return items_.select("source_id", "native_id", "title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at"), "summary", "place", "n_places", "problem")
 
 
 def collected_statuses(spark, sf_dir):
@@ -726,7 +726,7 @@ def snapshot_versions(spark, sf_dir):
         table.write(last(until))
     held = [table.read(v).select(F.lit(v).alias("version"), F.lit("kept").alias("what"), "k", "o") for v in table.versions()]
     refused = [table.refused(v).select(F.lit(v).alias("version"), F.col("problem").alias("what"), "k", "o") for v in table.versions()]
-    would = table.changes(last("1994-01-01").where("price <= 300000")).select(F.lit(0).alias("version"), F.col("change").alias("what"), "k", F.lit(None).cast("bigint").alias("o"))
+    would = table.changes(last("1994-01-01").where("price <= 300000")).select(F.lit(0).alias("version"), F.col("change").alias("what"), "k", F.lit(0).cast("bigint").alias("o"))
     return reduce(DataFrame.unionByName, [*held, *refused, would])
 
 

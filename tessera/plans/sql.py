@@ -199,13 +199,13 @@ i AS (SELECT source_id,
              CASE source_id WHEN 'map' THEN CAST(event_id AS VARCHAR) WHEN 'filings' THEN 'Co 8-K ' || t ELSE t END AS title,
              CASE WHEN source_id = 'search' AND value > 95 THEN 'https://news.example/articles/e' || event_id
                   WHEN source_id = 'filings' THEN 'https://filings.example/Archives/edgar/data/7/e' || event_id || '/d.htm' ELSE link END AS url,
-             epoch_us(CASE WHEN source_id IN ('notices', 'filings', 'shards') THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END) AS published_us,
+             strftime(CASE WHEN source_id IN ('notices', 'filings', 'shards') THEN CAST(date_trunc('day', ts) AS TIMESTAMP) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS published_at,
              CASE WHEN source_id IN ('feed-rss', 'broken') THEN 'More & more' WHEN source_id = 'search' THEN 'x' WHEN source_id = 'feed-rdf' THEN left(repeat('many words ', 9), 40) ELSE '' END AS summary,
              CAST(place AS INT) AS place, CASE WHEN source_id = 'feed-rss' AND event_id % 5 = 0 THEN 2 ELSE 1 END AS n_places,
              CASE WHEN value > 95 AND source_id NOT IN ('filings', 'shards') THEN 'not an official link' END AS problem
       FROM u WHERE NOT (source_id IN ('filings', 'shards') AND value > 95) AND NOT (source_id = 'broken' AND place % 2 = 1 AND event_id = last)),
 l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[A-Za-z]{3,})">', 1)) AS path FROM pages),
-m AS (SELECT 'menus' AS source_id, path AS native_id, substr(path, 2) AS title, 'https://menus.example' || path AS url, CAST(NULL AS BIGINT) AS published_us, '' AS summary,
+m AS (SELECT 'menus' AS source_id, path AS native_id, substr(path, 2) AS title, 'https://menus.example' || path AS url, CAST(NULL AS VARCHAR) AS published_at, '' AS summary,
              CAST(min(page_id) AS INT) AS place, count(DISTINCT page_id) AS n_places, CAST(NULL AS VARCHAR) AS problem
       FROM l WHERE lower(substr(path, 2)) NOT IN ('more', 'view', 'details') GROUP BY path),
 a AS (SELECT * FROM i UNION ALL SELECT * FROM m)
@@ -342,7 +342,7 @@ SQL = {
         f AS (SELECT DISTINCT item_id, x || ' ' || y AS phrase FROM (SELECT item_id, regexp_extract(a, '([\\p{{L}}\\p{{N}}_]+)$', 1) AS x, regexp_extract(z, '^([\\p{{L}}\\p{{N}}_]+)', 1) AS y FROM e) JOIN l USING (x, y)),
         g AS (SELECT item_id, count(*) AS n, string_agg(phrase, ',' ORDER BY phrase) AS s FROM f GROUP BY item_id)
         SELECT item_id, coalesce(n, 0) AS n_phrases, sha256(coalesce(s, '')) AS phrases FROM items LEFT JOIN g USING (item_id)""",
-    "collected_items": _COLLECTED + "SELECT source_id, native_id, title, url, published_us, summary, place, CAST(n_places AS BIGINT) AS n_places, problem FROM a",
+    "collected_items": _COLLECTED + "SELECT source_id, native_id, title, url, published_at, summary, place, CAST(n_places AS BIGINT) AS n_places, problem FROM a",
     "collected_statuses": _STATUSES,
     "stream_listing": """SELECT source, native_id, title FROM (SELECT CAST(user_id % 20 AS VARCHAR) AS source, CAST(event_id AS VARCHAR) AS native_id, event_type AS title, ts, ts >= TIMESTAMP '2024-01-16' AS late FROM events WHERE ts < TIMESTAMP '2024-03-01')
         QUALIFY late OR row_number() OVER (PARTITION BY source, late ORDER BY ts DESC, native_id DESC) <= 100""",
@@ -352,7 +352,7 @@ SQL = {
     "snapshot_versions": f"""WITH v AS ({_VERSION.format(v=1, until='1994-01-01')} UNION ALL {_VERSION.format(v=2, until='1996-01-01')} UNION ALL {_VERSION.format(v=3, until='1999-01-01')}),
         old AS (SELECT * FROM v WHERE version = 3 AND price <= 300000), new AS (SELECT * FROM v WHERE version = 1 AND price <= 300000)
         SELECT version, CASE WHEN price > 300000 THEN 'too dear' ELSE 'kept' END AS what, k, o FROM v
-        UNION ALL SELECT 0, CASE WHEN old.k IS NULL THEN 'new' WHEN new.k IS NULL THEN 'gone' ELSE 'changed' END, coalesce(old.k, new.k), NULL
+        UNION ALL SELECT 0, CASE WHEN old.k IS NULL THEN 'new' WHEN new.k IS NULL THEN 'gone' ELSE 'changed' END, coalesce(old.k, new.k), 0
         FROM old FULL OUTER JOIN new ON old.k = new.k WHERE old.k IS NULL OR new.k IS NULL OR old.o <> new.o OR old.price <> new.price""",
     "stream_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "stream_cards": "SELECT user_id, event_id, c_mktsegment FROM events JOIN customer ON c_custkey = user_id",

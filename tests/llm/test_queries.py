@@ -12,7 +12,7 @@ import zlib
 import duckdb
 import pytest
 
-from tessera.llm import chat_format, language_id, media, queries, sentencepiece_codec
+from tessera.llm import chat_format, language_id, media, quality, queries, sentencepiece_codec
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -74,6 +74,41 @@ def test_op4_scores_all_and_tells_held_out_labels(spark):
     assert sum(found[d].predicted == q for d, q in own) >= 0.85 * len(own) > 0
 
 
+def test_op4_scores_are_size_differences_on_the_fitted_curve(spark):
+    import zstandard
+
+    docs, labels = (queries.c.table(spark, SF, n) for n in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    found = {r.doc_id: r.score for r in queries.op4_quality_classifier(spark, SF).collect()}
+
+    def size(text, dictionary):
+        out = 0
+        for k in range(0, max(len(text), 1), quality.SPAN):
+            out += len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False).compress(text[k : k + quality.SPAN]))
+        return out
+
+    assert model.good and model.bad and model.a > 0
+    for d, t in rows("documents", "doc_id, text"):
+        raw = (t or "").encode()
+        x = (size(raw, model.bad) - size(raw, model.good)) / (len(raw) + quality.SOFT)
+        assert abs(found[d] - 1 / (1 + math.exp(-(model.a * x + model.b)))) < 1e-9
+
+
+def test_op4_learns_from_whole_texts_and_from_labels_with_a_document(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(quality, "Model", lambda good, bad: taken.update(good=good, bad=bad))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 60_000)
+    docs = [(k, ("good " if k % 2 else "bad ") + f"text {k}", 1) for k in range(40)] + [(100, "good long " * 4_000, 1), (101, "good longer " * 9_000, 1), (102, None, 1)]
+    learned = spark.createDataFrame(docs, "doc_id bigint, text string, label int")
+    labels = [(k, k % 2) for k in range(40)] + [(100, 1), (101, 1), (102, 1)] + [(k, q) for k in range(1_000, 4_000) for q in (0, 1)]  # most labels have no document
+    quality.fit(learned, spark.createDataFrame(labels, "doc_id bigint, quality int"), sample=30, held_out=None)
+    assert sorted(taken["bad"]) == sorted(t for k, t, _ in docs[:40] if k % 2 == 0)
+    # the text that alone is larger than the allowance is passed over; the other long one is whole
+    assert sorted(taken["good"]) == sorted([*(t for k, t, _ in docs[:40] if k % 2), "good long " * 4_000])
+    quality.fit(learned, spark.createDataFrame(labels, "doc_id bigint, quality int"), sample=7, held_out=None)
+    assert len(taken["good"]) <= 7 and len(taken["bad"]) == 7
+
+
 def test_op5_counts_and_base_equal_brute_force(spark):
     docs = rows("documents", "doc_id, text")
     found = {r.doc_id: r for r in queries.op5_lm_scoring(spark, SF).collect()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.tables import stored
+from tessera.tables import dropped, stored
 
 RATIO = 0.94
 #: Pieces of a headline that must stand unchanged in a near-equal one are found by so many characters.
@@ -84,8 +84,10 @@ def greedy(items: DataFrame, pairs: DataFrame, order: str = "item_id") -> DataFr
         known = edges.join(nodes.select(F.col("id").alias("earlier"), F.col("kept").alias("k")), "earlier")
         said = known.groupBy(F.col("later").alias("id")).agg(F.max(F.coalesce("k", F.lit(False))).alias("hit"), F.max(F.col("k").isNull()).alias("open"))
         turn = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        nodes = stored(nodes.join(said, "id", "left").select("id", turn.alias("kept")), "nodes")
+        last, nodes = nodes, stored(nodes.join(said, "id", "left").select("id", turn.alias("kept")), "nodes")
+        dropped(last)
         if nodes.where("kept IS NULL").isEmpty():
+            dropped(edges)
             break
     return items.select(F.col(order).alias("id")).join(nodes, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
-from tessera.tables import stored
+from tessera.tables import dropped, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id``, ``root``: the smallest id that links lead to. Labels go to neighbours and then to the root's root until none changes."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
-    now = stored(nodes.select("id", F.col("id").alias("root")).distinct(), "labels")
+    now = last = stored(nodes.select("id", F.col("id").alias("root")).distinct(), "labels")
     while True:
         heard = both.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("heard"))
         step = now.join(heard, "id", "left").select("id", "root", F.least("root", F.coalesce("heard", "root")).alias("next"))
         jump = now.select(F.col("id").alias("next"), F.col("root").alias("far"))
         step = stored(step.join(jump, "next", "left").select("id", F.col("root").alias("was"), F.least("next", F.coalesce("far", "next")).alias("root")), "labels")
         done = step.where("was != root").isEmpty()
-        now = step.select("id", "root")
+        dropped(last)
+        now, last = step.select("id", "root"), step
         if done:
+            dropped(both)
             return now
 
 
@@ -50,11 +52,12 @@ def projection(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def chain_ends(replaces: DataFrame) -> DataFrame:
     """``old``, ``new``: who replaces whom. Returns each old id with the end of its chain; pointers double in each round, so a cycle ends as well (at the id it started from)."""
-    now = stored(replaces.select("old", "new").where("old != new"), "chain")
+    now = last = stored(replaces.select("old", "new").where("old != new"), "chain")
     for _ in range(64):
         on = now.select(F.col("old").alias("new"), F.col("new").alias("far"))
         step = stored(now.join(on, "new", "left").select("old", F.col("new").alias("was"), F.when(F.col("far") == F.col("old"), F.col("new")).otherwise(F.coalesce("far", "new")).alias("new")), "chain")
+        dropped(last)
+        now, last = step.select("old", "new"), step
         if step.where("was != new").isEmpty():
             break
-        now = step.select("old", "new")
     return now

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.tables import stored
+from tessera.tables import dropped, stored
 
 FRONTIER = "source string, boundary_id string, boundary_date date, hint int"
 
@@ -79,13 +79,14 @@ def scan(read: Callable[[DataFrame], DataFrame], sources: DataFrame, saved: Data
             ahead = F.col("ask") + 1
         broke = F.when(F.col("_failed") == 0, "failed").when(F.col("_failed").isNotNull(), "partial")
         keep = lambda now, name: F.when(open_, now).otherwise(F.col(name)).alias(name)
-        state = stored(
+        last, state = state, stored(
             both.select(
                 "source", "boundary_id", "boundary_date", "hint", "problem", keep(F.coalesce(broke, stop), "outcome"), found.alias("found_page"), keep(ahead, "ask"),
                 keep(F.col("n_pages") + width, "n_pages"), keep(end, "last_page"), keep(empty, "ended"),
             ),
             "scan-state",
         )
+        dropped(last)
 
     every = reduce(DataFrame.unionByName, parts).where("native_id IS NOT NULL")
     at = F.struct("page", "place")

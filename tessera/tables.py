@@ -21,4 +21,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write and read again."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a table that ``stored`` gave and that no later result reads: the last state of a loop, once the next is written."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

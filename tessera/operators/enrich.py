@@ -1,72 +1,27 @@
 """Enrichment by a text model under checks of evidence.
 
-Clusters are analysed where they lie, in Arrow batches: a provider (any callable
-from prompt to JSON text) answers, the answer is read within bounds, and every
-claim, name and number in it must stand in the evidence it cites. What fails is
-a row with its error, never a lost batch; the provider being away ends the task.
+A provider (any callable from question to JSON text) answers in Arrow batches, and every answer is held to the evidence it cites
+(``grounding``). What fails is a row with its error, never a lost batch; the provider being away ends the task.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import grounding
+from tessera.tables import stored
+
 ATTEMPTS = 3
-#: What an answer may hold at most.
-BOUNDS = {"claims": 12, "entities": 20, "uncertainties": 12}
-FIELDS = ("publisher", "title", "summary")
-SCHEMA = "cluster_id string, ok boolean, error string, attempts int, summary string, entities array<string>, claims array<struct<text: string, evidence: array<string>>>"
-#: Names, acronyms and numbers: what a claim must not bring in by itself.
-ANCHOR = re.compile(r"\b(?:[A-Z][\w&.-]*[A-Za-z0-9]|[A-Z]{2,}|\$?\d[\d,.]*\d|\d)\b")
-PLAIN = frozenset("A An And As At But By For From He If In It Its On Or She That The These They This To We When While With".split())
 
 
 class Unavailable(RuntimeError):
     """The provider can't be reached."""
 
 
-def one_naming(text: F.Column, source: F.Column, expansions: dict[str, tuple[str, ...]]) -> F.Column:
-    """A text in which names stand as their source has them: where the source has only an acronym its expansion becomes that, and the other way round.
-
-    ``expansions``: acronym (lower case) to the names that it stands for. "Name (ACR)" and "ACR (Name)" become the one that is kept.
-    """
-    said = F.lower(source)
-    whole = lambda x: rf"\b{re.escape(x)}\b"
-    for short, names in expansions.items():
-        for long in names:
-            has_short, has_long = said.rlike(whole(short)), said.rlike(whole(long))
-
-            def put(value: F.Column, gone: str, kept: str) -> F.Column:
-                either = rf"(?i)\b{re.escape(gone)}\s*\(\s*{re.escape(kept)}\s*\)|\b{re.escape(kept)}\s*\(\s*{re.escape(gone)}\s*\)|\b{re.escape(gone)}\b"
-                return F.regexp_replace(value, either, kept)
-
-            text = F.when(has_short & ~has_long, put(text, long, short.upper())).when(has_long & ~has_short, put(text, short, long.title())).otherwise(text)
-    return text
-
-
-# Words of completed and of planned launches, of formal filings, and of the choice of a custodian.
-LAUNCHED, PLANNED = r"\blaunch(es|ed)?\b", r"\bto launch\b|\bplans? to launch\b|\bplanned launch\b"
-FILED = r"\b(filed|filing|submitted|petition|complaint|motion|registration statement|form [a-z0-9-]+)\b"
-CHOSEN, CUSTODY = r"\b(selects?|selected|appoints?|appointed)\b", r"\b(custody|custodian|custodial)\b"
-
-
-def event_type(given: F.Column, title: F.Column, source: F.Column, acquired: tuple[str, ...], not_final: str) -> F.Column:
-    """The type of an event, put right where its source says so; null for an acquisition that the source does not bear out.
-
-    ``acquired``: phrases one of which such a source must have; ``not_final``: a pattern that it must not.
-    """
-    head, said = F.lower(F.trim(title)), F.lower(F.trim(F.regexp_replace(source, r"\s+", " ")))
-    launch = (given == "announcement") & head.rlike(LAUNCHED) & ~head.rlike(PLANNED)
-    partner = (given == "filing") & said.rlike(CHOSEN) & said.rlike(CUSTODY) & ~said.rlike(FILED)
-    final = F.coalesce(*[F.when(said.contains(x), True) for x in acquired], F.lit(False)) & ~said.rlike(not_final)
-    return F.when(launch, "product_launch").when(partner, "partnership").when((given == "acquisition") & ~final, None).otherwise(given)
-
-
 def select(items: DataFrame, k: int, gate: int, specificity: F.Column) -> DataFrame:
     """The k items to analyse: highest score, then most specific, latest, title, id."""
     return items.where(F.col("score") >= gate).orderBy(F.desc("score"), specificity, F.desc("published_at"), F.lower("title"), "item_id").limit(k)
@@ -88,93 +43,32 @@ def evidence(items: DataFrame) -> DataFrame:
     return one.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct(F.col("r.item_id").alias("item_id"), F.col("source_id").alias("publisher"), F.col("r.title").alias("title"), F.col("r.summary").alias("summary")))).alias("sources"))
 
 
-def prompt(sources: list[dict]) -> str:
-    lines = [f"source-{k} {field}: {s.get(field) or ''}" for k, s in enumerate(sources, 1) for field in FIELDS]
-    return "Answer with one JSON object: summary, entities, claims (text, evidence labels), uncertainties.\n" + "\n".join(lines)
-
-
-def read_answer(text: str) -> dict:
-    """The bounded content of an answer; fields that aren't known are left out."""
-    try:
-        raw = json.loads(text)
-    except ValueError as e:
-        raise ValueError("not JSON") from e
-    if not isinstance(raw, dict) or not isinstance(raw.get("summary"), str) or not raw["summary"].strip():
-        raise ValueError("no summary")
-    out = {"summary": raw["summary"].strip()}
-    for name, most in BOUNDS.items():
-        value = raw.get(name, [])
-        if not isinstance(value, list):
-            raise ValueError(f"{name} is not a list")
-        out[name] = value[:most]
-    if any(not isinstance(c, dict) or not isinstance(c.get("text"), str) or not isinstance(c.get("evidence", []), list) for c in out["claims"]):
-        raise ValueError("a claim is malformed")
-    out["entities"] = list(dict.fromkeys(e.strip() for e in out["entities"] if isinstance(e, str) and e.strip()))
-    return out
-
-
-def anchors(text: str) -> list[str]:
-    """Names and numbers of a text, without common words that open sentences."""
-    return list(dict.fromkeys(m for m in ANCHOR.findall(text) if m not in PLAIN))
-
-
-def holds(text: str, anchor: str) -> bool:
-    return re.search(rf"(?<!\w){re.escape(anchor)}(?!\w)", text, re.I) is not None
-
-
-def grounded(answer: dict, sources: list[dict]) -> dict:
-    """The answer with claims whose labels exist and whose anchors stand in them; a missing anchor may be found in another given field, whose label is added. Else ValueError."""
-    given = {f"source-{k} {field}": s.get(field) or "" for k, s in enumerate(sources, 1) for field in FIELDS}
-    claims = []
-    for claim in answer["claims"]:
-        labels = [x for x in claim.get("evidence", []) if isinstance(x, str)]
-        if not labels or any(x not in given for x in labels):
-            raise ValueError("a claim cites no evidence that was given")
-        if all(x.endswith(" publisher") for x in labels):
-            raise ValueError("a publisher's name alone bears out no claim")
-        for anchor in anchors(claim["text"]):
-            if not any(holds(given[x], anchor) for x in labels):
-                found = next((x for x in given if holds(given[x], anchor)), None)
-                if found is None:
-                    raise ValueError(f"a claim names {anchor}, which no source does")
-                labels.append(found)
-        claims.append({"text": claim["text"], "evidence": list(dict.fromkeys(labels))})
-    every = "\n".join(given.values())
-    for name in answer["entities"]:
-        if not holds(every, name):
-            raise ValueError(f"the entity {name} is in no source")
-    for anchor in anchors(answer["summary"]):
-        if not holds(every, anchor):
-            raise ValueError(f"the summary names {anchor}, which no source does")
-    return answer | {"claims": claims}
-
-
-def analysed(sources: list[dict], provider: Callable[[str], str], attempts: int = ATTEMPTS) -> tuple[dict | None, str, int]:
-    """(answer, error, attempts): up to ``attempts`` tries; the same error twice in a row ends them."""
-    asked, last = prompt(sources), ""
-    for n in range(1, attempts + 1):
+def enrich(clusters: DataFrame, provider: Callable[[str], str], rules: grounding.Rules = grounding.Rules(), attempts: int = ATTEMPTS) -> DataFrame:
+    """One row for each cluster of ``evidence`` (``history`` may stand beside it): the analysis, whether it holds, its error and the attempts.
+
+    A round asks about all clusters that are open; a refused answer is asked again with its error, until ``attempts`` are used
+    or the error is the same twice. A round is a table, so that a lost executor repeats the questions of its own task only.
+    """
+
+    def answer(asked: str) -> str | None:
         try:
-            return grounded(read_answer(provider(asked)), sources), "", n
-        except ValueError as e:
-            if str(e) == last:
-                return None, last, n
-            last = str(e)
-            asked = prompt(sources) + f"\nThe last answer was refused: {last}"
-    return None, last, attempts
-
-
-def enrich(clusters: DataFrame, provider: Callable[[str], str]) -> DataFrame:
-    """One row for each cluster of ``evidence``: the checked analysis, or the error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, sources in zip(b["cluster_id"], b["sources"], strict=True):
-                found, error, n = analysed([dict(s) for s in sources], provider)
-                rows.append((key, found is not None, error or None, n, found and found["summary"], found and found["entities"], found and found["claims"]))
-            yield pd.DataFrame(rows, columns=["cluster_id", "ok", "error", "attempts", "summary", "entities", "claims"])
-
-    return clusters.select("cluster_id", "sources").mapInPandas(run, SCHEMA)
+            return provider(asked)
+        except ValueError:
+            return None
+
+    ask = F.pandas_udf(lambda asked: asked.map(answer), "string").asNondeterministic()
+    history = F.col("history") if "history" in clusters.columns else F.lit("")
+    rows = clusters.select("cluster_id", "sources", history.alias("history"), F.lit("").alias("asked_for"))
+    closed = []
+    for n in range(1, attempts + 1):
+        asked = F.concat(grounding.question(F.col("sources"), F.col("history")), F.when(F.col("asked_for") == "", "").otherwise(grounding.correction(F.col("asked_for"), F.lit(n == attempts))))
+        judged = stored(grounding.checked(rows.withColumn("answer", ask(asked)), rules).drop("answer"), "answers")
+        over = F.col("ok") | F.lit(n == attempts) | (F.col("error") == F.col("asked_for"))
+        closed.append(judged.where(over).withColumn("attempts", F.lit(n)).select("cluster_id", "ok", "error", "attempts", *grounding.FOUND))
+        rows = judged.where(~over).select("cluster_id", "sources", "history", F.col("error").alias("asked_for"))
+        if n == attempts or rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, closed)
 
 
 def evaluated(answers: DataFrame, cases: DataFrame) -> DataFrame:

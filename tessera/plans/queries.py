@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.functions import times
 from tessera.lexicon import GENERIC_TITLES, SAMPLE, Rule
-from tessera.operators import context, correlate, dedup, delivery, enrich, graph, items, scoring, snapshots, state, theses
+from tessera.operators import context, correlate, dedup, delivery, enrich, graph, grounding, items, scoring, snapshots, state, theses
 from tessera.sources import apis, collectors, html_pages, listing, registry, scan
 from tessera.streaming import jobs, trailing
 from tessera.tables import fresh_path, stored
@@ -502,7 +502,7 @@ NAMES = {"thnt": ("thanedble", "attion"), "une": ("eriner",)}
 
 def acronyms(spark, sf_dir):
     rows = items.from_documents(spark, sf_dir)
-    return rows.select("item_id", F.sha2(enrich.one_naming(F.concat(F.lit("Thnt (Thanedble), Eriner and une. "), "title"), F.col("summary"), NAMES), 256).alias("named"))
+    return rows.select("item_id", F.sha2(grounding.one_naming(F.concat(F.lit("Thnt (Thanedble), Eriner and une. "), "title"), F.col("summary"), NAMES), 256).alias("named"))
 
 
 def event_types(spark, sf_dir):
@@ -511,7 +511,37 @@ def event_types(spark, sf_dir):
     given = F.when(F.col("item_id") % 3 == 0, "announcement").when(F.col("item_id") % 3 == 1, "filing").otherwise("acquisition")
     title = F.concat("title", F.when(F.col("item_id") % 2 == 0, " launched today").when(F.col("item_id") % 5 == 0, " plans to launch").otherwise(""))
     source = F.concat("title", F.lit(" selected as custodian "), F.when(F.col("item_id") % 4 == 0, " petition ").otherwise(""), "summary")
-    return rows.select("item_id", enrich.event_type(given, title, source, ("thnt", "thre"), r"\bsich\b").alias("event_type"))
+    return rows.select("item_id", grounding.event_type(given, title, source, ("thnt", "thre"), r"\bsich\b").alias("event_type"))
+
+
+#: What no answer of ``grounded_answers`` may bring in, and what bears out an acquisition.
+HELD = grounding.Rules(terms={"thanea": ("thanea",)}, acquired=("thnt", "thre"), not_final=r"\bsich\b")
+
+
+def _told(spark, sf_dir):
+    """Each item with an answer about it: its words as claims with labels that need repair, and by its number what an answer must not do."""
+    every = lambda n, k=0: F.col("item_id") % n == k
+    rows = items.from_documents(spark, sf_dir).select("item_id", "title", "summary", F.coalesce("source_id", F.lit("")).alias("publisher"))
+    claim = lambda text, *labels: F.struct(text.alias("text"), F.array(*[F.lit(x) for x in labels]).alias("evidence"))
+    claims = [
+        claim(F.col("title"), "source-1 summary"), claim(F.concat(F.lit("According to "), "publisher", F.lit(", "), F.lower(F.left("summary", F.lit(300)))), "source-1 publisher"),
+        F.when(every(7), claim(F.lit("Quoxel takes 99% of it"), "source-1 title")), F.when(every(11), claim(F.col("title"), "source-2 title")),
+    ]
+    said = F.struct(
+        F.when(every(8, 1), "acquisition").when(every(8, 2), "announcement").otherwise("none").alias("event_type"), F.when(every(3), F.concat(F.lit("Thanea "), "title")).otherwise(F.col("title")).alias("event_summary"),
+        F.when(every(6), F.lit("Omegan lines go on")).otherwise("").alias("significance"), F.filter(F.array(*claims), lambda c: c.isNotNull()).alias("claims"),
+        F.array(F.when(every(5), "Quox").otherwise(F.regexp_extract("title", "[A-Za-z]+", 0))).alias("entities"),
+        F.array(F.when(every(9), "Zubin denies source 1").otherwise("")).alias("conflicts"), F.array(F.when(every(10), "Vexa is open").otherwise("")).alias("uncertainties"),
+    )
+    answer = F.when(every(13), "{").otherwise(F.to_json(said))
+    return rows.select("item_id", F.array(F.struct("publisher", "title", "summary")).alias("sources"), answer.alias("answer"), F.when(every(12), "Omegan lines began").alias("history"))
+
+
+def grounded_answers(spark, sf_dir):
+    """What becomes of each answer: held or refused with the first reason, its type and its claims' labels."""
+    out = grounding.checked(_told(spark, sf_dir), HELD)
+    labels = F.concat_ws("; ", F.transform("claims", lambda c: F.concat_ws(",", F.array_sort(c["evidence"]))))
+    return out.select("item_id", "ok", F.coalesce("error", F.lit("")).alias("error"), "event_type", labels.alias("labels"))
 
 
 def event_messages(spark, sf_dir):
@@ -737,7 +767,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         correlation, correlation_by_tokens, history_correlation, buried_signals, delivery_duplicates, near_amounts, event_clusters, graph_nodes, graph_edges, supersession, thesis_rollup,
         event_freshness, event_evidence, weekly_digest, queue_health, health_streaks, health_warnings, change_detection, keyed_upsert, insert_if_absent, key_collisions, event_revisions,
         candidates_normalized, publication_keys, recommended_actions, allowed_items, saved_progress, state_inventory, model_selection, near_misses, outbox_first, observation_preview, retained_cards,
-        seen_fingerprints, released_retries, merged_branches, prior_events, thesis_context, thesis_revisions, parameter_products, undelivered_events, acronyms, event_types, event_messages,
+        seen_fingerprints, released_retries, merged_branches, prior_events, thesis_context, thesis_revisions, parameter_products, undelivered_events, acronyms, event_types, grounded_answers, event_messages,
         evaluation_counts, stream_daily_counts, stream_latest, stream_cards, cluster_members, frontier_state, term_frontiers,
         collected_items, collected_statuses, category_rules, lexicon_phrases, adaptive_scan, stream_listing, stream_trailing, snapshot_versions,
         retention_per_source, undelivered_orders, source_rotation, listing_frontier, event_signatures, messages, context_for_items, stated_negatives, event_properties, page_texts, page_links, conversation_bundles,

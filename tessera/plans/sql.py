@@ -8,6 +8,7 @@ from __future__ import annotations
 from tessera.functions import text
 from tessera.functions.text import phrase_pattern
 from tessera.lexicon import GENERIC_TITLES, SAMPLE, STOPWORDS, Category
+from tessera.operators import grounding
 from tessera.operators.items import START
 
 NOW, HISTORY = START + 24 * 86400, START + 10 * 86400
@@ -226,6 +227,41 @@ UNION ALL VALUES ('quiet', 'unread', 0, 0, 0, 0, ''), ('same', 'not_modified', 1
 )
 _VERSION = """SELECT {v} AS version, o_custkey AS k, o_orderkey AS o, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '{until}' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
 
+def _anchors(x: str) -> str:
+    """Names and figures; letters beyond ASCII are part of words, which RE2's boundaries don't know."""
+    return f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace({x}, '[^\\x00-\\x7F]', '_', 'g'), '{grounding.ANCHOR.removeprefix('(?U)')}'), lambda y: lower(y)), lambda y: NOT list_contains({_list(grounding.PLAIN)}, y))))"
+
+
+def _holds(text: str, anchor: str) -> str:
+    return f"regexp_matches({text}, '(^|[^a-z0-9])' || regexp_escape({anchor}) || '($|[^a-z0-9])')"
+
+
+def _unfounded(x: str, allowed: str) -> str:
+    return f"list_filter({_anchors(f"regexp_replace({x}, '(?i)\\b(source|article)\\s*[-#]?\\s*\\d+\\b', '', 'g')")}, lambda a: NOT {_holds(allowed, 'a')} AND NOT (NOT regexp_matches(a, '\\d') AND {_holds('lower(publisher)', 'a')}))"
+
+
+def _outside(name: str) -> str:
+    return f"WHEN len(no_{name}) > 0 THEN '{name} names what no source does: ' || array_to_string(no_{name}[1:8], ', ')"
+
+
+_THANEA = "(^|[^\\p{L}\\p{N}_])thanea($|[^\\p{L}\\p{N}_])"
+_ANSWERS = f"""{ITEMS}, a0 AS (SELECT item_id, title, summary, coalesce(source_id, '') AS publisher, lower(title || chr(10) || summary) AS low, left(trim(title), 500) AS t1,
+    left(trim(CASE WHEN item_id % 3 = 0 THEN 'Thanea ' ELSE '' END || title), 1000) AS said, left(trim('According to ' || coalesce(source_id, '') || ', ' || lower(left(summary, 300))), 500) AS t2,
+    CASE WHEN item_id % 6 = 0 THEN 'Omegan lines go on' ELSE '' END AS why, CASE WHEN item_id % 5 = 0 THEN 'Quox' ELSE regexp_extract(title, '[A-Za-z]+') END AS entity FROM items),
+  a1 AS (SELECT *, low || chr(10) || CASE WHEN item_id % 12 = 0 THEN 'omegan lines began' ELSE '' END AS wide,
+    list_filter({_anchors('t1')}, lambda a: NOT {_holds('lower(summary)', 'a')}) AS m1, list_filter({_anchors('t2')}, lambda a: NOT {_holds('lower(publisher)', 'a')}) AS m2 FROM a0),
+  a2 AS (SELECT *, list_filter(m1, lambda a: NOT {_holds('lower(title)', 'a')}) AS l1, list_filter(m2, lambda a: NOT {_holds('low', 'a')}) AS l2, {_holds('lower(title)', "'99%'")} AS n99,
+    list_transform(list_filter(m2, lambda a: {_holds('low', 'a')}), lambda a: CASE WHEN {_holds('lower(title)', 'a')} THEN 'source-1 title' ELSE 'source-1 summary' END) AS s2,
+    {_unfounded('said', 'low')} AS no_summary, {_unfounded('why', 'wide')} AS no_significance, {_unfounded("CASE WHEN item_id % 9 = 0 THEN 'Zubin denies source 1' ELSE '' END", 'low')} AS no_conflicts,
+    {_unfounded("CASE WHEN item_id % 10 = 0 THEN 'Vexa is open' ELSE '' END", 'low')} AS no_uncertainties,
+    item_id % 8 = 1 AND (NOT regexp_matches(low, 'thnt|thre') OR regexp_matches(low, '\\bsich\\b')) AS unborne FROM a1),
+  a3 AS (SELECT *, CASE WHEN item_id % 13 = 0 THEN 'the answer is not JSON' WHEN item_id % 11 = 0 AND t1 <> '' THEN 'a claim cites no evidence that was given: source-2 title' WHEN unborne THEN 'no source bears out an acquisition'
+      WHEN regexp_matches(lower(said || ' ' || why), '{_THANEA}') AND NOT regexp_matches(wide, '{_THANEA}') THEN 'the answer speaks of thanea, which no source does'
+      WHEN len(l1) > 0 THEN 'a claim names ' || l1[1] || ', which no source does: ' || left(regexp_replace(t1, '\\s+', ' ', 'g'), 180) WHEN len(l2) > 0 THEN 'a claim names ' || l2[1] || ', which no source does: ' || left(regexp_replace(t2, '\\s+', ' ', 'g'), 180)
+      WHEN item_id % 7 = 0 THEN 'a claim names ' || CASE WHEN {_holds('low', "'99%'")} THEN 'quoxel' ELSE '99%' END || ', which no source does: Quoxel takes 99% of it'
+      WHEN entity <> '' AND NOT {_holds("lower(publisher || ' ' || title || ' ' || summary)", 'lower(entity)')} THEN 'an entity is in no source: ' || entity
+      {_outside('summary')} {_outside('significance')} {_outside('conflicts')} {_outside('uncertainties')} ELSE '' END AS error FROM a2)"""
+
 
 SQL = {
     "items_normalized": f"""WITH {ITEMS}, s AS (SELECT *, {_SQUEEZE.format(x='title')} AS t FROM items),
@@ -320,6 +356,9 @@ SQL = {
       SELECT item_id, CASE WHEN given = 'announcement' AND regexp_matches(head, '\\blaunch(es|ed)?\\b') AND NOT regexp_matches(head, '\\bto launch\\b|\\bplanned launch\\b') THEN 'product_launch'
       WHEN given = 'filing' AND NOT regexp_matches(said, '\\b(filed|filing|submitted|petition|complaint|motion|registration statement|form [a-z0-9-]+)\\b') THEN 'partnership'
       WHEN given = 'acquisition' AND (NOT (contains(said, 'thnt') OR contains(said, 'thre')) OR regexp_matches(said, '\\bsich\\b')) THEN NULL ELSE given END AS event_type FROM g""",
+    "grounded_answers": f"""WITH {_ANSWERS} SELECT item_id, error = '' AS ok, error, CASE WHEN item_id % 13 = 0 THEN 'other' WHEN item_id % 8 = 1 THEN 'acquisition' WHEN item_id % 8 = 2 THEN CASE WHEN regexp_matches(lower(title), '\\blaunch(es|ed)?\\b') THEN 'product_launch' ELSE 'announcement' END ELSE 'other' END AS event_type,
+      CASE WHEN item_id % 13 = 0 THEN '' ELSE concat_ws('; ', CASE WHEN t1 <> '' THEN 'source-1 summary' || CASE WHEN len(m1) > len(l1) THEN ',source-1 title' ELSE '' END END, array_to_string(list_sort(list_distinct(list_append(s2, 'source-1 publisher'))), ','),
+        CASE WHEN item_id % 7 = 0 THEN 'source-1 title' || CASE WHEN {_holds('lower(summary)', "'99%'")} AND NOT n99 THEN ',source-1 summary' ELSE '' END END, CASE WHEN item_id % 11 = 0 AND t1 <> '' THEN concat_ws(',', CASE WHEN len({_anchors('t1')}) > 0 THEN 'source-1 title' END, 'source-2 title') END) END AS labels FROM a3""",
     "event_messages": f"""WITH {ENTITIES}, m AS (SELECT *, list_sort(list_distinct(entities)) AS names FROM named) SELECT item_id, sha256(concat_ws(chr(10), CASE WHEN quality = 'primary' THEN '**Partnership**' ELSE '**Regulatory Action**' END, {_say('title', 420)},
       CASE WHEN item_id % 2 = 0 AND trim(summary) <> '' THEN CASE WHEN quality = 'primary' THEN '**Strategic read-through:** ' ELSE '**Why it matters:** ' END || {_say('summary', 700)} END, '**Status:** reported',
       CASE WHEN len(names) > 0 THEN '**Key entities:** ' || array_to_string(names[1:6], ', ') END, '**Grounded updates:**' || chr(10) || '• ' || CASE WHEN quality = 'primary' THEN '*confirmed* — ' ELSE '' END || {_say('title', 240)},

@@ -518,7 +518,7 @@ def event_types(spark, sf_dir):
 HELD = grounding.Rules(terms={"thanea": ("thanea",)}, acquired=("thnt", "thre"), not_final=r"\bsich\b")
 
 
-def _told(spark, sf_dir):
+def _model_answers(spark, sf_dir):
     """Each item with an answer about it: its words as claims with labels that need repair, and by its number what an answer must not do."""
     every = lambda n, k=0: F.col("item_id") % n == k
     rows = items.from_documents(spark, sf_dir).select("item_id", "title", "summary", F.coalesce("source_id", F.lit("")).alias("publisher"))
@@ -539,7 +539,7 @@ def _told(spark, sf_dir):
 
 def grounded_answers(spark, sf_dir):
     """What becomes of each answer: held or refused with the first reason, its type and its claims' labels."""
-    out = grounding.checked(_told(spark, sf_dir), HELD)
+    out = grounding.checked(_model_answers(spark, sf_dir), HELD)
     labels = F.concat_ws("; ", F.transform("claims", lambda c: F.concat_ws(",", F.array_sort(c["evidence"]))))
     return out.select("item_id", "ok", F.coalesce("error", F.lit("")).alias("error"), "event_type", labels.alias("labels"))
 

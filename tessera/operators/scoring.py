@@ -6,7 +6,7 @@ are one short array, against which entities, term groups and keywords are tested
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
@@ -176,3 +176,9 @@ def is_commentary(lexicon: Lexicon) -> F.Column:
 def top(items: DataFrame, k: int, gate: int = 0) -> DataFrame:
     """The k best, ties to the later, then by title, then by id; they come oldest first."""
     return items.where(F.col("score") >= gate).orderBy(F.desc("score"), F.desc("published_at"), F.lower("title"), "item_id").limit(k).orderBy("published_at", "item_id")
+
+
+def audit(items: DataFrame, k: int) -> DataFrame:
+    """The k best with their ``rank``, ties by title and then id: what a report of a run shows of all that it saw."""
+    best = items.orderBy(F.desc("score"), F.lower("title"), "item_id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.lower("title"), "item_id")))

@@ -13,7 +13,7 @@ from tessera.functions import text as t
 from tessera.functions import times
 from tessera.lexicon import GENERIC_TITLES, SAMPLE, Rule
 from tessera.operators import context, correlate, dedup, delivery, enrich, graph, grounding, items, scoring, snapshots, state, theses
-from tessera.sources import apis, collectors, html_pages, listing, registry, scan
+from tessera.sources import apis, collectors, feeds, html_pages, listing, registry, scan
 from tessera.streaming import jobs, trailing
 from tessera.tables import fresh_path, stored
 
@@ -108,6 +108,21 @@ def publish_top(spark, sf_dir):
     return scoring.top(rows, 10, GATE).select("item_id", "score")
 
 
+def audit_top(spark, sf_dir):
+    """The five best items of the run, and the five best below the gate, by score and then title."""
+    rows = _judged(spark, sf_dir)
+    best = scoring.audit(rows, 5).select(F.lit("observed").alias("part"), "rank", "item_id", "score")
+    return best.unionByName(scoring.audit(rows.where(F.col("score") < GATE), 5).select(F.lit("below").alias("part"), "rank", "item_id", "score"))
+
+
+def listing_digests(spark, sf_dir):
+    """Each user's day of events as a listing of one file an event, and the digest by which a later run knows it."""
+    e = _table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "event_type")
+    files = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("files"))
+    name = lambda x: F.concat(F.lit("https://e.example/"), x["event_type"], F.lit("/"), x["event_id"].cast("string"))
+    return files.select("user_id", "day", feeds.content_digest(F.transform("files", name)).alias("digest"))
+
+
 def reconsidered_items(spark, sf_dir):
     """Known items (cards of the history, scored by their title alone) that reach the gate with their whole text."""
     keyed = items.with_keys(_judged(spark, sf_dir))
@@ -464,9 +479,9 @@ def merged_branches(spark, sf_dir):
 
 
 def _told(spark, sf_dir):
-    named = scoring.with_entities(items.from_documents(spark, sf_dir), SAMPLE)
-    # filtered after it is written: a filter on entities would repeat what finds them
-    return stored(items.with_tokens(named).select("item_id", "published_at", "tokens", "entities"), "told").where(F.size("entities") > 0)
+    # tokens first: a later Arrow UDF would have the hits found again for each entity (16 s for 4); filtered after it is written, as a filter would repeat them too
+    named = scoring.with_entities(items.with_tokens(items.from_documents(spark, sf_dir)), SAMPLE)
+    return stored(named.select("item_id", "published_at", "tokens", "entities"), "told").where(F.size("entities") > 0)
 
 
 def prior_events(spark, sf_dir):
@@ -769,7 +784,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         candidates_normalized, publication_keys, recommended_actions, allowed_items, saved_progress, state_inventory, model_selection, near_misses, outbox_first, observation_preview, retained_cards,
         seen_fingerprints, released_retries, merged_branches, prior_events, thesis_context, thesis_revisions, parameter_products, undelivered_events, acronyms, event_types, grounded_answers, event_messages,
         evaluation_counts, stream_daily_counts, stream_latest, stream_cards, cluster_members, frontier_state, term_frontiers,
-        collected_items, collected_statuses, category_rules, lexicon_phrases, adaptive_scan, stream_listing, stream_trailing, snapshot_versions,
+        audit_top, listing_digests, collected_items, collected_statuses, category_rules, lexicon_phrases, adaptive_scan, stream_listing, stream_trailing, snapshot_versions,
         retention_per_source, undelivered_orders, source_rotation, listing_frontier, event_signatures, messages, context_for_items, stated_negatives, event_properties, page_texts, page_links, conversation_bundles,
     )
 }

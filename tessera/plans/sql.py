@@ -282,6 +282,8 @@ SQL = {
     "publish_gates": f"""WITH {SCORED} SELECT item_id, CASE WHEN tm > {NOW} + 86400 THEN 'future' WHEN score < {GATE} THEN 'below'
       WHEN quality = 'high_signal' AND ({' OR '.join(f"contains(lower(title), '{m}')" for m in SAMPLE.commentary)}) THEN 'commentary' WHEN tm < {NOW} - 14 * 86400 THEN 'stale' ELSE 'publish' END AS disposition,
       CAST(greatest(0, floor(({NOW} - tm) / 86400)) AS INT) AS age_days FROM scored""",
+    "audit_top": " UNION ALL ".join(f"SELECT * FROM (WITH {SCORED} SELECT '{part}' AS part, CAST(row_number() OVER (ORDER BY score DESC, lower(title), item_id) AS INT) AS rank, item_id, score FROM scored WHERE {which} QUALIFY rank <= 5)" for part, which in (("observed", "true"), ("below", f"score < {GATE}"))),
+    "listing_digests": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, sha256(string_agg('https://e.example/' || event_type || '/' || event_id, chr(92) || 'n' ORDER BY event_id)) AS digest FROM events GROUP BY 1, 2",
     "publish_top": f"WITH {SCORED} SELECT item_id, score FROM scored WHERE tm <= {NOW} + 86400 AND tm >= {NOW} - 14 * 86400 AND score >= {GATE} ORDER BY score DESC, tm DESC, lower(title), item_id LIMIT 10",
     "reconsidered_items": f"""WITH {SCORED}, k AS (SELECT item_id, event_key FROM (WITH {KEYS} SELECT * FROM keys)),
       o AS (SELECT * FROM (WITH {SCORED.replace("substring(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS summary", "'' AS summary")} SELECT item_id, score AS score_before FROM scored WHERE tm < {NOW})),

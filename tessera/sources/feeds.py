@@ -63,5 +63,13 @@ def listing_digest(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("url", "published_at").cast("decimal(38,0)")).alias("digest"))
 
 
+def content_digest(parts: F.Column) -> F.Column:
+    """SHA-256 of a listing's files in their order: equal to the last run's, nothing has changed. Null files count as empty; null for no listing.
+
+    Fixed value: the files are joined by a backslash and an n, two characters.
+    """
+    return F.sha2(F.array_join(F.transform(parts, lambda x: F.coalesce(x, F.lit(""))), "\\n"), 256)
+
+
 def latest(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("published_at"), F.desc("url")).limit(n)

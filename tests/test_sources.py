@@ -132,3 +132,10 @@ def test_a_stream_in_batches_keeps_the_last_of_each_key(spark, tmp_path):
         stream = jobs.read(spark, f"{tmp_path}/in", "k int, at int, v string", files_per_batch=1)
         found = jobs.latest_by_key(stream, "k", "at", "v", f"{tmp_path}/out", f"{tmp_path}/offsets").collect()
     assert {r.k: r.v for r in found} == {1: "a", 2: "c"}
+
+
+def test_a_listing_is_known_by_its_files(spark):
+    import hashlib
+
+    row = spark.range(1).select(*[feeds.content_digest(x).alias(n) for n, x in (("two", F.array(F.lit("a"), F.lit("b"))), ("gap", F.array(F.lit("a"), F.lit(None).cast("string"))), ("none", F.lit(None).cast("array<string>")))]).first()
+    assert row.two == hashlib.sha256(rb"a\nb").hexdigest() and row.gap == hashlib.sha256(rb"a\n").hexdigest() and row.none is None

@@ -209,6 +209,9 @@ def ratio(x: str | None, y: str | None, least: float = 0.0) -> float:
         a, b = (Counter(map("".join, zip(z, z[1:], z[2:], strict=False))) for z in (x, y))
         if ((a - b) + (b - a)).total() > 5 * edits:
             return 0.0
+    # the parts stand in both texts in one order: together they are a common subsequence
+    if 2 * _in_order(x, y) < least * (len(x) + len(y)) - 1e-9:
+        return 0.0
     # longest common parts first, as the measure has it; what is still open can add no more than its letters have in common
     m = SequenceMatcher(None, x, y)
     need, found, bound = least * (len(x) + len(y)) / 2 - 1e-9, 0, _common(x, y)
@@ -229,6 +232,18 @@ def ratio(x: str | None, y: str | None, least: float = 0.0) -> float:
     return 2.0 * found / (len(x) + len(y))
 
 
+def _in_order(x: str, y: str) -> int:
+    """The length of the longest common subsequence: a bit for each letter of x, a step for each of y."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << k
+    every = rest = (1 << len(x)) - 1
+    for c in y:
+        hit = rest & at.get(c, 0)
+        rest = ((rest + hit) | (rest - hit)) & every
+    return len(x) - rest.bit_count()
+
+
 def _common(x: str, y: str) -> int:
     """How many letters two texts have in common, in any order."""
     if not x or not y:

@@ -54,19 +54,22 @@ class Rules:
     not_final: str = r"\b(potential|possible|proposed|rumou?red) (an? )?acquisition\b|\b(to|may|might|could|would) acquire\b"
 
 
-def one_naming(text: F.Column, source: F.Column, expansions: dict[str, tuple[str, ...]]) -> F.Column:
+def one_naming(text: F.Column, source: F.Column, expansions: dict[str, tuple[str, ...]], letter: str = r"[\p{L}\p{N}_]") -> F.Column:
     """A text in which names stand as their source has them: where the source has only an acronym its expansion becomes that, and the other way round.
 
     ``expansions``: acronym (lower case) to the names that it stands for. "Name (ACR)" and "ACR (Name)" become the one that is kept.
+    ``letter``: what belongs to a word; RE2's boundaries know ``[A-Za-z0-9_]`` only.
     """
     said = F.lower(source)
-    whole = lambda x: rf"\b{re.escape(x)}\b"
+    # written out, as what Java takes for a boundary depends on its version
+    begin, end = rf"(?<!{letter})", rf"(?!{letter})"
+    whole = lambda x: rf"{begin}{re.escape(x)}{end}"
     for short, names in expansions.items():
         for long in names:
             has_short, has_long = said.rlike(whole(short)), said.rlike(whole(long))
 
             def put(value: F.Column, gone: str, kept: str) -> F.Column:
-                either = rf"(?i)\b{re.escape(gone)}\s*\(\s*{re.escape(kept)}\s*\)|\b{re.escape(kept)}\s*\(\s*{re.escape(gone)}\s*\)|\b{re.escape(gone)}\b"
+                either = rf"(?i){begin}{re.escape(gone)}\s*\(\s*{re.escape(kept)}\s*\)|{begin}{re.escape(kept)}\s*\(\s*{re.escape(gone)}\s*\)|{whole(gone)}"
                 return F.regexp_replace(value, either, kept)
 
             text = F.when(has_short & ~has_long, put(text, long, short.upper())).when(has_long & ~has_short, put(text, short, long.title())).otherwise(text)

@@ -107,3 +107,11 @@ def test_refused_answers_are_asked_again_with_their_error(spark):
     got = {r.cluster_id: r for r in enrich.enrich(rows, provider).collect()}
     assert {k: (r.ok, r.attempts) for k, r in got.items()} == {"Learns": (True, 3), "Never": (False, 3), "Stuck": (False, 2), "Fails": (False, 2)}
     assert got["Learns"].claims[0].text == "Acme buys Learns" and "omega" in got["Stuck"].error and "not JSON" in got["Fails"].error
+
+
+def test_letters_of_a_word_are_told(spark):
+    rows = spark.createDataFrame([("Eriner", "uneêti eriné"), ("Eriner", "une eriné"), ("Eriner", "unes eriné")], "text string, source string")
+    named = lambda *letter: [r[0] for r in rows.select(grounding.one_naming(F.col("text"), F.col("source"), {"une": ("eriner",)}, *letter)).collect()]
+    assert named() == ["Eriner", "UNE", "Eriner"]
+    # as RE2 has it, in which the SQL of acronyms is written
+    assert named("[A-Za-z0-9_]") == ["UNE", "UNE", "Eriner"]

@@ -34,6 +34,8 @@ from tessera.sources.answers import named
 
 ROWS = "source string, page int, native_id string, title string, url string, published_at timestamp"
 Row = tuple[str, str | None, str | None, datetime | None]
+#: A pager over stored pages reads so many at once.
+AHEAD = 100
 
 
 class ListingError(RuntimeError):
@@ -125,9 +127,18 @@ def stored_pages(options: dict[str, str]) -> Callable[[str, int], list[Row]]:
     system, root = pyarrow.fs.FileSystem.from_uri(path) if ":/" in path else (pyarrow.fs.LocalFileSystem(), path)
     kept = ds.dataset(root, filesystem=system, partitioning=ds.partitioning(pa.schema([("source", pa.string())]), flavor="hive"), format="parquet")
 
+    held: dict[str, tuple[int, int, dict[int, list[Row]]]] = {}
+
     def page(source: str, k: int) -> list[Row]:
-        rows = kept.to_table(["place", "native_id", "title", "url", "published_at"], filter=(pc.field("source") == source) & (pc.field("page") == k)).sort_by("place").drop(["place"])
-        at = rows.column("published_at").cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
-        return list(zip(*(rows.column(c).to_pylist() for c in ("native_id", "title", "url")), at.to_pylist(), strict=True))
+        # the first page alone, as an offset asks for; whoever reads on gets the next ones with it
+        begin, end, pages = held.get(source, (0, 0, {}))
+        if not begin <= k < end:
+            begin, end, pages = k, k + (AHEAD if k else 1), {}
+            rows = kept.to_table(["page", "place", "native_id", "title", "url", "published_at"], filter=(pc.field("source") == source) & (pc.field("page") >= begin) & (pc.field("page") < end)).sort_by([("page", "ascending"), ("place", "ascending")])
+            at = rows.column("published_at").cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
+            for n, *row in zip(*(rows.column(c).to_pylist() for c in ("page", "native_id", "title", "url")), at.to_pylist(), strict=True):
+                pages.setdefault(n, []).append(tuple(row))
+            held[source] = begin, end, pages
+        return pages.get(k, [])
 
     return page

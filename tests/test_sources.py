@@ -139,3 +139,25 @@ def test_a_listing_is_known_by_its_files(spark):
 
     row = spark.range(1).select(*[feeds.content_digest(x).alias(n) for n, x in (("two", F.array(F.lit("a"), F.lit("b"))), ("gap", F.array(F.lit("a"), F.lit(None).cast("string"))), ("none", F.lit(None).cast("array<string>")))]).first()
     assert row.two == hashlib.sha256(rb"a\nb").hexdigest() and row.gap == hashlib.sha256(rb"a\n").hexdigest() and row.none is None
+
+
+def test_a_batch_may_read_every_page_of_the_longest_listing(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from tessera.plans import queries
+    from tessera.sources import listing
+
+    spark.range(350).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-02 00:00:00' AS ts", "20L * (id % 2) AS user_id", "'view' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    asked = {}
+
+    def read(*args, **options):
+        asked.update(options)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(listing, "read", read)
+    with pytest.raises(KeyboardInterrupt):
+        queries.stream_listing(spark, str(tmp_path))
+    assert asked["pages"] == 4
+    page = listing.stored_pages({"path": asked["path"]})
+    every = [row[0] for k in range(5) for row in page("0", k)]
+    assert [len(page("0", k)) for k in (0, 3, 4, 1)] == [100, 50, 0, 100] and sorted(map(int, every)) == list(range(350))

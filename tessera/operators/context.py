@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import phrases
 from tessera.functions import text as t
+from tessera.operators import tiles
 
 #: Aliases are looked up by so many of their first words; of longer ones the rest is compared.
 MOST = 4
@@ -69,30 +74,43 @@ def prior_events(items: DataFrame, events: DataFrame, most: int = 3) -> DataFram
     """``item_id``, ``rank``, ``event_id``, ``score``: earlier events of an entity of the item that share two more words with it.
 
     Both tables have ``tokens`` and ``entities``; events have ``date``. Score: three for each entity, one for each word; ties to the older.
-    Candidates meet by (entity, rare word): of two common words one is not the most frequent of either.
+    They meet in tiles of an entity, and a tile gives an item its best ones there.
     """
-    every = items.select("tokens").unionByName(events.select("tokens")).select(F.explode("tokens").alias("token"))
-    counts = every.groupBy("token").agg(F.count("*").alias("n"))
-
-    def keyed(rows: DataFrame, key: str) -> DataFrame:
-        each = rows.select(key, F.explode("tokens").alias("token")).join(counts, "token")
-        rare = F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"])
-        lists = each.groupBy(key).agg(rare.alias("rare"))
-        named = rows.select(key, F.explode("entities").alias("entity")).join(lists, key)
-        return named.select(key, "entity", F.explode(F.slice("rare", 1, F.greatest(F.size("rare") - 1, F.lit(1)))).alias("token"))
-
-    met = keyed(items, "item_id").join(keyed(events, "event_id"), ["entity", "token"]).select("item_id", "event_id").distinct()
-    # the words of each entity's name travel with the items: no pattern is matched for a pair
-    named = F.transform("entities", lambda x: F.struct(x.alias("e"), F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), 1).alias("w")))
-    both = met.join(items.select("item_id", F.col("tokens").alias("x"), F.col("entities").alias("ex"), named.alias("named")), "item_id").join(events.select("event_id", "date", F.col("tokens").alias("y"), F.col("entities").alias("ey")), "event_id")
-    both = both.withColumns({"shared": F.array_intersect("ex", "ey"), "common": F.array_intersect("x", "y")}).where("size(common) >= 2")
-    shared, common = F.col("shared"), F.col("common")
-    own = F.flatten(F.transform(F.filter("named", lambda x: F.array_contains("ey", x["e"])), lambda x: x["w"]))
-    found = both.where(F.size(F.array_except(common, own)) >= 2).withColumn("score", F.size(shared) * 3 + F.size(common))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "date", "event_id"))
+    none = F.lit(None).cast("string").alias("source_id")
+
+    def keyed(rows: DataFrame, key: str, *more: F.Column) -> DataFrame:
+        return rows.where(F.size("tokens") >= 2).select(F.col(key).alias("id"), none, F.concat_ws(" ", F.array_sort("tokens")).alias("row"), F.col("entities").alias("high"), F.explode(F.array_distinct("entities")).alias("entity"), *more)
+
+    # an event without a date comes before others of its score
+    dated = keyed(events, "event_id", F.coalesce(F.unix_date("date"), F.lit(-(1 << 31))).alias("day"))
+    kind = lambda rows, key: rows.schema[key].dataType.simpleString()
+    found = tiles.tiled(keyed(items, "item_id"), dated, ["entity"], lambda key, a, b: _best(tiles.Tile(key[0].as_py(), a, b), most), f"item_id {kind(items, 'item_id')}, event_id {kind(events, 'event_id')}, score int, day int")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "day", "event_id"))
     return found.withColumn("rank", rank).where(f"rank <= {most}").select("item_id", "rank", "event_id", "score")
 
 
+def _best(tile: tiles.Tile, most: int) -> Iterator[dict]:
+    """For each row of the left the best events of a tile; words of the shared entities' names don't count as common."""
+    day, order = tile.b.column("day").to_numpy(), np.unique(tile.ids_b, return_inverse=True)[1]
+    of: dict[str, list[str]] = {}
+    for name in tile.names.names:
+        for w in re.findall("[a-z0-9]+", name.lower()):
+            of.setdefault(w, []).append(name)
+    bits = {w: tile.names.bits(names) for w, names in of.items()}
+    for u, row in tile.rows(lambda u, common, jaccard: np.ones(len(common), dtype=bool), apart=False):
+        texts, own = tile.of_b[row.others], np.zeros(len(row.others), dtype=np.int64)
+        for w in tile.words_a[u]:
+            if w in bits and w in tile.postings:
+                has = np.zeros(len(tile.said_b), dtype=bool)
+                has[tile.postings[w]] = True
+                own += has[texts] & (row.shared & bits[w][:, None]).any(axis=0)
+        good = np.flatnonzero(row.common - own >= 2)
+        score = np.bitwise_count(row.shared[:, good]).sum(axis=0, dtype=np.int64) * 3 + row.common[good]
+        js = row.others[good]
+        for k in np.lexsort((order[js], day[js], -score))[:most]:
+            yield {"item_id": tile.ids_a[row.at], "event_id": tile.ids_b[js[k]], "score": int(score[k]), "day": int(day[js[k]])}
+
+
 def theses_of(items: DataFrame, theses: DataFrame, most: int = 3) -> DataFrame:
     """``item_id``, ``rank``, ``thesis_id``: theses of the item's entities; supported before mixed before weakened, then the latest.
 

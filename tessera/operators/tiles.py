@@ -128,8 +128,8 @@ class Tile:
         order = np.argsort(self.of_a, kind="stable")
         self.rows_a = np.split(order, np.searchsorted(self.of_a[order], np.arange(1, len(self.said_a))))
 
-    def rows(self, possible: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, Row]]:
-        """Each text of the left with its rows, and what of the right has two tokens in common, another source, and this entity as the first shared; ``possible`` tells by texts."""
+    def rows(self, possible: Callable[[int, np.ndarray, np.ndarray], np.ndarray], apart: bool = True) -> Iterator[tuple[int, Row]]:
+        """Each text of the left with its rows, and what of the right has two tokens in common, another source, and this entity as the first shared; ``possible`` tells by texts. ``apart``: without rows of the same id."""
         for u, words in enumerate(self.words_a):
             common = counted(words, self.postings, len(self.said_b))
             if not (common >= 2).any():
@@ -138,7 +138,7 @@ class Tile:
             others = np.flatnonzero(((common >= 2) & possible(u, common, jaccard))[self.of_b])
             for i in self.rows_a[u]:
                 shared = self.high_b[:, others] & self.high_a[:, i, None]
-                good = (self.ids_b[others] != self.ids_a[i]) & (self.source_b[others] != self.source_a[i]) & self.names.first(shared, self.entity)
+                good = (not apart or self.ids_b[others] != self.ids_a[i]) & (self.source_b[others] != self.source_a[i]) & self.names.first(shared, self.entity)
                 if good.any():
                     js = others[good]
                     yield u, Row(int(i), js, common[self.of_b[js]], jaccard[self.of_b[js]], shared[:, good])

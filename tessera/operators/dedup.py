@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as t
+from tessera.operators import tiles
 from tessera.tables import dropped, stored
 
 RATIO = 0.94
-#: Pieces of a headline that must stand unchanged in a near-equal one are found by so many characters.
-GRAM = 6
 
 
 def unseen(items: DataFrame, seen: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -42,33 +46,56 @@ def duplicate_links(items: DataFrame, key: str = "event_key", order: str = "item
 def near_titles(items: DataFrame, ratio: float = RATIO, order: str = "item_id") -> DataFrame:
     """Pairs (later, earlier) of one day whose headlines have at least this similarity ratio.
 
-    Headlines count from six words and 30 characters. At the ratio r at most
-    (1 - r) of both lengths differ, so of that many pieces and one more of a
-    headline one stands unchanged in the other, not far from its place: pieces
-    are joined by their first characters and the stretch of the headline that they
-    stand in (or beside), lengths and places are compared, and only then the ratio
-    itself.
+    Headlines count from six words and 30 characters. They meet in tiles of a day
+    and a band of lengths (see ``tiles``), which a band spans by doubling; a headline
+    whose length a shorter band's may come near to is dealt to that band as well.
+    No join is left for the driver to broadcast: a pair is a row once it is near.
     """
     w = t.words(F.col("title"))
     base = items.select(F.col(order).alias("id"), F.to_date("published_at").alias("day"), F.concat_ws(" ", w).alias("norm"), F.size(w).alias("n"), F.length(F.concat_ws("", w)).alias("solid"))
-    base = stored(base.where((F.col("n") >= 6) & (F.col("solid") >= 30)).select("id", "day", "norm", F.length("norm").alias("len")), "headlines")
-    # pieces and grams travel without their headlines, whose length would be squared
-    gram = lambda at: F.struct(at.alias("at"), F.substring("norm", at, F.lit(GRAM)).alias("gram"))
-    slack = lambda n: F.floor((1 - ratio) * (2 / ratio) * n + 1e-9).cast("int")
-    # stretches are a power of two that is longer than the slack; a near headline's length may call for the next one up or down
-    stretch = lambda n: F.ceil(F.log2(slack(n) + 1.0)).cast("int")
-    pieces = base.withColumn("slack", slack(F.col("len"))).withColumn("step", F.floor(F.col("len") / (F.col("slack") + 1)).cast("int"))
-    starts = F.transform(F.sequence(F.lit(0), F.col("slack")), lambda k: gram(k * F.col("step") + 1))
-    grams = pieces.select("id", "day", "len", "slack", stretch(F.col("len")).alias("bits"), F.inline(starts))
-    grams = grams.withColumn("part", F.explode(F.expr("transform(array(-1, 0, 1), k -> shiftright(at, bits) + k)")))
-    every = base.select("id", "day", "len", F.inline(F.transform(F.sequence(F.lit(1), F.col("len") - GRAM + 1), gram))).toDF("id_b", "day", "len_b", "at_b", "gram")
-    sizes = F.array_distinct(F.array(*[stretch(F.col("len_b") * x) for x in (ratio / (2 - ratio), 1.0, (2 - ratio) / ratio)]))
-    every = every.withColumn("bits", F.explode(sizes)).withColumn("part", F.expr("shiftright(at_b, bits)"))
-    close = (F.abs(F.col("at") - F.col("at_b")) <= F.col("slack")) & (F.col("id") != F.col("id_b")) & (2 * F.least("len", "len_b") >= ratio * (F.col("len") + F.col("len_b")) - 1e-9)
-    pairs = grams.join(every, ["day", "gram", "bits", "part"]).where(close).select(F.greatest("id", "id_b").alias("later"), F.least("id", "id_b").alias("earlier")).distinct()
-    text = base.select("id", "norm")
-    both = pairs.join(text.toDF("later", "x"), "later").join(text.toDF("earlier", "y"), "earlier")
-    return both.where(t.sequence_ratio(F.col("x"), F.col("y"), ratio) >= ratio).select("later", "earlier")
+    base = stored(base.where((F.col("n") >= 6) & (F.col("solid") >= 30)).select("id", "day", "norm"), "headlines")
+    size = F.length("norm")
+    band = lambda n: F.floor(F.log2(n)).cast("int")
+    near = base.withColumn("own", band(size)).withColumn("band", F.explode(F.array_distinct(F.array("own", band(size * (ratio / (2 - ratio)) * (1 - 1e-9))))))
+    return tiles.tiled(base.withColumn("band", band(size)), near, ["day", "band"], partial(_near_of_tile, ratio), "later bigint, earlier bigint")
+
+
+def _trigrams(texts: list[str], places: int) -> np.ndarray:
+    """How many trigrams of each text fall on each of so many places."""
+    out = np.zeros((len(texts), places), dtype=np.int16)
+    for k, x in enumerate(texts):
+        c = np.frombuffer(x.encode(), dtype=np.uint8).astype(np.uint32)
+        grams = ((c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]) * np.uint32(2654435761)
+        out[k] = np.minimum(np.bincount((grams >> np.uint32(12)) & np.uint32(places - 1), minlength=places), 8000)
+    return out
+
+
+def _near_of_tile(ratio: float, key: tuple, a: pa.Table, b: pa.Table) -> Iterator[dict]:
+    """Near pairs of two parts of a band, each pair of one band once.
+
+    At that ratio at most (1 - r) of both lengths are inserted or deleted, each of
+    which changes five trigrams at most: how trigrams fall on a few places, and
+    then on more of them, tells most pairs apart before the ratio itself.
+    """
+    order = np.argsort(np.asarray([len(x) for x in b.column("norm").to_pylist()]), kind="stable")
+    b = b.take(order)
+    texts_a, texts_b = a.column("norm").to_pylist(), b.column("norm").to_pylist()
+    ids_a, ids_b = a.column("id").to_numpy(), b.column("id").to_numpy()
+    same = b.column("own").to_numpy() == key[1].as_py()
+    sizes_b = np.asarray([len(x) for x in texts_b])
+    places = int(min(4096, max(256, 1 << int(2 * max(map(len, texts_a))).bit_length())))
+    fine_a, fine_b = _trigrams(texts_a, places), _trigrams(texts_b, places)
+    coarse_a, coarse_b = (x.reshape(len(x), 4, places // 4).sum(1, dtype=np.int16) for x in (fine_a, fine_b))
+    for i, x in enumerate(texts_a):
+        lo, hi = np.searchsorted(sizes_b, [len(x) * ratio / (2 - ratio) - 1e-6, len(x) * (2 - ratio) / ratio + 1e-6], side="left")
+        js = lo + np.flatnonzero(~same[lo:hi] | (ids_b[lo:hi] > ids_a[i]))
+        most = 5 * ((1 - ratio) * (len(x) + sizes_b) + 1e-9)
+        for mine, theirs in ((coarse_a[i], coarse_b), (fine_a[i], fine_b)):
+            js = np.concatenate([part[np.abs(theirs[part] - mine).sum(1, dtype=np.int32) <= most[part]] for part in np.array_split(js, max(1, len(js) * places >> 22))])
+        for j in js:
+            one, two = sorted(((int(ids_a[i]), x), (int(ids_b[j]), texts_b[j])))
+            if t.ratio(two[1], one[1], ratio) >= ratio:
+                yield {"later": two[0], "earlier": one[0]}
 
 
 def greedy(items: DataFrame, pairs: DataFrame, order: str = "item_id") -> DataFrame:
@@ -78,18 +105,19 @@ def greedy(items: DataFrame, pairs: DataFrame, order: str = "item_id") -> DataFr
     stays; only rows with neighbours take part, and each round decides the
     first undecided row of every chain at least.
     """
+    # states grow with the pairs: their joins are merged, so that none goes through the driver
     edges = stored(pairs, "near")
     nodes = stored(edges.select(F.col("later").alias("id")).union(edges.select("earlier")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "nodes")
     while True:
-        known = edges.join(nodes.select(F.col("id").alias("earlier"), F.col("kept").alias("k")), "earlier")
+        known = edges.join(nodes.select(F.col("id").alias("earlier"), F.col("kept").alias("k")).hint("merge"), "earlier")
         said = known.groupBy(F.col("later").alias("id")).agg(F.max(F.coalesce("k", F.lit(False))).alias("hit"), F.max(F.col("k").isNull()).alias("open"))
         turn = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        last, nodes = nodes, stored(nodes.join(said, "id", "left").select("id", turn.alias("kept")), "nodes")
+        last, nodes = nodes, stored(nodes.join(said.hint("merge"), "id", "left").select("id", turn.alias("kept")), "nodes")
         dropped(last)
         if nodes.where("kept IS NULL").isEmpty():
             dropped(edges)
             break
-    return items.select(F.col(order).alias("id")).join(nodes, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    return items.select(F.col(order).alias("id")).join(nodes.hint("merge"), "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def reconsidered(items: DataFrame, cards: DataFrame, fresh: DataFrame, gate: int, now: F.Column, hours: int = 72, days: int = 14) -> DataFrame:

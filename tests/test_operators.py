@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -59,6 +60,24 @@ def test_greedy_near_duplicates(spark):
     assert {r.id for r in found.where("kept").collect()} == greedy(rows)
 
 
+def test_near_titles_of_all_lengths_send_no_headline_through_the_driver(spark):
+    rng, rows = random.Random(9), []
+    for k, size in enumerate([34, 60, 63, 64, 66, 120, 127, 128, 135, 250, 256, 600] * 4):
+        base = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(size // 6 + 6))
+        for _ in range(3):  # copies with letters put in, taken out or changed, around what the ratio lets pass
+            w = list(base)
+            for _ in range(rng.randint(0, len(w) // 9)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "yz"])
+            rows.append((len(rows), "".join(w), k % 2))
+    table = items(spark, [(k, title, "", "s", "primary", d) for k, title, d in rows])
+    found = dedup.near_titles(table)
+    norm = {k: " ".join(re.findall("[a-z0-9]+", title)) for k, title, _ in rows}
+    near = {(b, a) for b, _, d in rows for a, _, e in rows if a < b and d == e and t.ratio(norm[b], norm[a]) >= 0.94}
+    assert len(near) > 30 and sorted(map(tuple, found.collect())) == sorted(near)
+    assert not re.search(r"Join \[(later|earlier|gram)#|Join \[day#.*gram#", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_first_arrivals_and_seen(spark):
     rows = spark.createDataFrame([(2, "k", "b"), (1, "k", "a"), (3, "k", "b"), (4, "m", "a")], "item_id bigint, event_key string, source_id string")
     got = {r.event_key: r for r in dedup.first_arrivals(rows).collect()}

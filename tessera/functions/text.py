@@ -41,10 +41,26 @@ def fold(term: str) -> str:
     return unicodedata.normalize("NFKC", term).casefold()
 
 
+# Letters and signs beyond ASCII that NFKC leaves as they are, beside any other of these, and that case folding only makes small
+# (ß and the sigma at a word's end aside): Latin, Greek, Cyrillic, Hebrew, Arabic, Chinese, Japanese, Korean, punctuation and pictures.
+STEADY = (
+    (0xA1, 0xA7), (0xA9, 0xA9), (0xAB, 0xAE), (0xB0, 0xB1), (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0x12F), (0x131, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E),
+    (0x386, 0x386), (0x388, 0x38A), (0x38C, 0x38C), (0x38E, 0x38F), (0x391, 0x3A1), (0x3A3, 0x3AF), (0x3B1, 0x3CE), (0x400, 0x482), (0x48A, 0x52F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x640, 0x64A),
+    (0x200D, 0x200D), (0x2010, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023), (0x2027, 0x2027), (0x2030, 0x2032), (0x2039, 0x203A), (0x20AC, 0x20AC), (0x2190, 0x222B), (0x2500, 0x27BF),
+    (0x3001, 0x3029), (0x3030, 0x3035), (0x3041, 0x3096), (0x30A1, 0x30FE), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFE0F, 0xFE0F), (0x1F300, 0x1FAFF),
+)
+#: Any other letter beyond ASCII. ASCII is told first, by one comparison.
+UNSTEADY = r"[\x{80}-\x{10FFFF}&&[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in STEADY) + "]]"
+
+
+def _unsteady(text: Column) -> Column:
+    """The text if it must be folded letter by letter, else null."""
+    return F.when((F.octet_length(text) != F.char_length(text)) & text.rlike(UNSTEADY), text)
+
+
 def folded(text: Column) -> Column:
-    """NFKC and case folding: of ASCII in the JVM, of other texts in an Arrow UDF, to which ASCII goes as null."""
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, F.lower(text)).otherwise(nfkc_casefold(F.when(~plain, text)))
+    """NFKC and case folding: in the JVM where all letters are ``STEADY`` or ASCII; other texts in an Arrow UDF, to which these go as null."""
+    return F.coalesce(nfkc_casefold(_unsteady(text)), F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ")))
 
 
 def folded_ascii(text: Column) -> Column:
@@ -54,8 +70,7 @@ def folded_ascii(text: Column) -> Column:
 
 def composed(text: Column) -> Column:
     """NFKC, in the same way."""
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
+    return F.coalesce(nfkc(_unsteady(text)), text)
 
 
 def listed(terms: list[str] | tuple[str, ...]) -> Column:

@@ -94,3 +94,23 @@ def test_signatures(spark):
     rows = [(["one two three four five", "Read more"], "a b c d e f g h i https://x.y/z j"), (["short one"], None)]
     got = [r.x for r in values(spark, rows, "a array<string>, s string", x=t.signatures(F.col("a"), F.col("s"), ("read more",)))]
     assert len(got[0]) == 2 and got[1] == []
+
+
+def test_steady_letters_are_folded_in_the_jvm(spark, monkeypatch):
+    """Each alone and beside others as in Python, and none goes to a worker."""
+    letters = [chr(c) for a, b in t.STEADY for c in range(a, b + 1)]
+    random.Random(3).shuffle(letters)
+    rows = [(x,) for x in (*letters, *("a".join(letters[k : k + 40]) for k in range(0, len(letters), 40)), "ÉTÉ Straße ΟΔΟΣ, ΣΑΣ", None)]
+
+    def none_in_python(text):
+        return F.when(text.isNotNull(), F.raise_error(F.lit("a text went to Python")).cast("string"))
+
+    monkeypatch.setattr(t, "nfkc_casefold", none_in_python)
+    monkeypatch.setattr(t, "nfkc", none_in_python)
+    got = spark.createDataFrame(rows, "x string").select("x", t.folded(F.col("x")).alias("f"), t.composed(F.col("x")).alias("c")).collect()
+    assert len(got) == len(rows) and all((r.f, r.c) == ((None, None) if r.x is None else (t.fold(r.x), r.x)) for r in got)
+
+
+def test_other_letters_are_folded_in_python(spark):
+    texts = ["ﬁn", "ét", "İx", "ſ", "x²", "½", " ", "ΐ", "ﾊﾟ", "가", "é ﬁ"]
+    assert [r.f for r in spark.createDataFrame([(x,) for x in texts], "x string").coalesce(1).select(t.folded(F.col("x")).alias("f")).collect()] == list(map(t.fold, texts))

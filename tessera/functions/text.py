@@ -156,6 +156,15 @@ def amounts_match(a: Column, b: Column, tolerance: float = 0.03) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0)) <= tolerance))
 
 
+def opening(text: Column, limit: int) -> Column:
+    """As much of a text as its first ``limit`` letters need when character references are decoded, marks escaped and white space squeezed; else all of it.
+
+    The opening ends where no reference goes on, and has more than ``limit`` letters beside white space and references, which all stay.
+    """
+    head = F.regexp_replace(F.substring(text, 1, 2 * limit), r"&[^\t\n\f <&]*+\z", "")
+    return F.when(F.char_length(F.regexp_replace(head, r"&[^\t\n\f <&]*+|[ \t\n\r\f]+", "")) > limit, head).otherwise(text)
+
+
 def clipped(text: Column, limit: int) -> Column:
     """One line; an ellipsis where it was longer than ``limit``."""
     line = squeezed(text)
@@ -179,8 +188,7 @@ def _unescaped(text: pd.Series) -> pd.Series:
 
 def unescaped(text: Column) -> Column:
     """Character references decoded, in an Arrow UDF, to which only texts with a "&" go."""
-    marked = text.contains("&")
-    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
+    return F.coalesce(_unescaped(F.when(text.contains("&"), text)), text)
 
 
 def signatures(titles: Column, summary: Column, generic: tuple[str, ...]) -> Column:

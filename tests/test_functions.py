@@ -114,3 +114,15 @@ def test_steady_letters_are_folded_in_the_jvm(spark, monkeypatch):
 def test_other_letters_are_folded_in_python(spark):
     texts = ["ﬁn", "ét", "İx", "ſ", "x²", "½", " ", "ΐ", "ﾊﾟ", "가", "é ﬁ"]
     assert [r.f for r in spark.createDataFrame([(x,) for x in texts], "x string").coalesce(1).select(t.folded(F.col("x")).alias("f")).collect()] == list(map(t.fold, texts))
+
+
+def test_an_opening_is_clipped_as_the_whole_text(spark):
+    rng = random.Random(8)
+    pieces = ["a", "Word", "é", "&amp;", "&", "&#0000000000000000000000065;", "&#x41;", "&notit;", "&lt", "@*", ";", "#", " ", "\n\n", "\t   ", "<", "😀"]
+    rows = [("".join(rng.choice(pieces) for _ in range(rng.randint(0, 90))),) for _ in range(600)] + [(None,), (" " * 500 + "late",), ("&" + "#0" * 300 + " end",), ("x" * 300,), ("&#" + "0" * 300 + "65;" + "y" * 40,)]
+    say = lambda x, n: t.clipped(t.escaped(t.unescaped(x)), n)
+    d = spark.createDataFrame(rows, "x string")
+    for n in (1, 7, 20, 60):
+        assert d.where(~say(F.col("x"), n).eqNullSafe(say(t.opening(F.col("x"), n), n))).count() == 0
+    prose = spark.createDataFrame([("some words &amp; more " * 1000,)], "x string")
+    assert prose.select(F.char_length(t.opening(F.col("x"), 20)).alias("n")).collect()[0].n <= 40

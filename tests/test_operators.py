@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.lexicon import SAMPLE, Category, Lexicon
 from tessera.operators import context, correlate, dedup, delivery, enrich, graph, scoring, state, theses
+from tessera.plans import queries
 
 DAY = datetime(2024, 1, 10)
 
@@ -232,6 +233,19 @@ def test_messages_and_delivery(spark):
     assert [r.key for r in state.undelivered(q, ledger).collect()] == [4]
 
 
+def test_messages_look_for_terms_once(spark):
+    """An Arrow UDF above the hits had the search for terms repeated for each entity."""
+    plan = queries.messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
+
+
+def test_messages_read_openings(spark):
+    """A long text, a late one and a reference at the cut give the lines that the whole texts give."""
+    title, summary = "T" * 215 + "&amp;&amp;&amp; and more " * 100, " " * 3000 + "late &lt;b&gt; [x]" + " y" * 2000
+    got = delivery.messages(items(spark, [(1, title, summary, "src", "primary", 0)]).withColumn("entities", F.array(F.lit("E")))).collect()[0].message.split("\n")
+    assert got[0] == "**" + "T" * 215 + "&&& …**".replace(" …", "…") and got[1].startswith("late <b\\> \\[x\\] y y") and len(got[1]) <= 360 and got[1].endswith("…")
+
+
 def test_streaks_go_on_over_chunks(spark):
     rng = random.Random(4)
     rows = [(k % 2, k, DAY + timedelta(hours=5 * k + rng.randint(0, 4)), rng.choice(["failed"] * 6 + ["empty", "partial", "success"])) for k in range(120)]

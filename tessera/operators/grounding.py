@@ -200,9 +200,15 @@ def attributes(claim: Column, publisher: Column) -> Column:
 
 
 def _with_holders(claim: Column, given: Column) -> Column:
-    """The claim with ``found``: each of its anchors and the labels of the fields that bear it out, articles before publishers."""
+    """The claim with ``found``: each of its anchors and the labels of the fields that bear it out, articles before publishers.
+
+    A claim that cites a label which no source has is refused in any case; the label that was meant is that of the field it quotes, where it quotes one, though its names there be pieces of longer words or cut at the bound.
+    """
     rests = lambda f, a: holds(f["low"], a) & (~f["own"] | attributes(claim["text"], f["text"]))
-    found = F.transform(anchors(claim["text"]), lambda a: F.struct(a.alias("anchor"), F.transform(F.filter(given, lambda f: rests(f, a)), lambda f: f["label"]).alias("labels")))
+    label = lambda f: f["label"]
+    astray = F.size(F.array_except(claim["evidence"], F.transform(given, label))) > 0
+    quoted = F.when(astray, F.transform(F.filter(given, lambda f: ~f["own"] & F.contains(f["text"], claim["text"])), label)).otherwise(_each())
+    found = _let(quoted, lambda q: F.transform(anchors(claim["text"]), lambda a: F.struct(a.alias("anchor"), F.when(F.size(q) > 0, q).otherwise(F.transform(F.filter(given, lambda f: rests(f, a)), label)).alias("labels"))))
     return claim.withField("found", found)
 
 

@@ -115,3 +115,27 @@ def test_letters_of_a_word_are_told(spark):
     assert named() == ["Eriner", "UNE", "Eriner"]
     # as RE2 has it, in which the SQL of acronyms is written
     assert named("[A-Za-z0-9_]") == ["UNE", "UNE", "Eriner"]
+
+
+def test_grounded_answers_equal_their_sql_where_names_are_pieces_of_words(spark, tmp_path):
+    # titles of which every eleventh item's claim cites a label that no source has
+    import duckdb
+
+    from tessera.plans import queries, sql
+
+    titles = ["key 7a0f55bb is set", "x" * 494 + " Quellen are cut here", "Sammen gone", "no name here", "part 7a0f of a key", "Ordinary Names stand"]
+    texts = [f"{titles[k // 11 % 6] if k % 11 == 0 else 'plain words'}\n{'7a and Sammen are words here, Quel too' if k // 66 % 2 else 'nothing more'}" for k in range(264)]
+    rows = spark.createDataFrame([(k, x, "en", f"src{k % 20}", len(x)) for k, x in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r for r in own.sql(sql.SQL["grounded_answers"]).fetchall()}
+    assert {r.item_id: tuple(r) for r in queries.grounded_answers(spark, str(tmp_path)).collect()} == want and len(want) == 264
+
+
+def test_a_quote_tells_the_label_that_was_meant(spark):
+    cases = {"quoted": claim("cquires 7a0", "source-9 title"), "told": claim("The Beta deal", "source-9 title"), "good_label": claim("cquires 7a0", "source-1 summary")}
+    rows = spark.createDataFrame([(k, v, [("Wire", "Beta acquires 7a0f", "a deal")]) for k, v in cases.items()], "key string, answer string, sources array<struct<publisher: string, title: string, summary: string>>")
+    got = {r.key: (r.error, r.claims[0].evidence) for r in grounding.checked(rows).collect()}
+    assert got["quoted"][1] == got["told"][1] == ["source-9 title", "source-1 title"] and "source-9 title" in got["quoted"][0] and "source-9 title" in got["told"][0]
+    assert got["good_label"] == ("a claim names 0, which no source does: cquires 7a0", ["source-1 summary"])

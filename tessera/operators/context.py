@@ -97,7 +97,7 @@ def _best(tile: tiles.Tile, most: int) -> Iterator[dict]:
         for w in re.findall("[a-z0-9]+", name.lower()):
             of.setdefault(w, []).append(name)
     bits = {w: tile.names.bits(names) for w, names in of.items()}
-    for u, row in tile.rows(lambda u, common, jaccard: np.ones(len(common), dtype=bool), apart=False):
+    for u, row in tile.rows(lambda us, common, jaccard: np.ones(common.shape, dtype=bool), apart=False):
         texts, own = tile.of_b[row.others], np.zeros(len(row.others), dtype=np.int64)
         for w in tile.words_a[u]:
             if w in bits and w in tile.postings:

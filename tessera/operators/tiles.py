@@ -23,6 +23,8 @@ from tessera.tables import stored
 TILE = 4096
 #: Tiles of one join are dealt into so many tasks at most.
 TASKS = 4096
+#: So many different texts of the left are counted at once.
+TEXTS = 512
 
 
 def tiled(left: DataFrame, right: DataFrame, keys: list[str], find: Callable[[tuple, pa.Table, pa.Table], Iterator[dict]], schema: str) -> DataFrame:
@@ -119,26 +121,30 @@ class Tile:
         self.of_a, self.words_a, self.said_a = texts(a.column("row"))
         self.of_b, self.words_b, self.said_b = texts(b.column("row"))
         self.postings = index(self.words_b)
-        self.size_b, self.chars_b = (np.asarray([f(x) for x in of], dtype=np.int64) for f, of in ((len, self.words_b), (len, self.said_b)))
+        self.size_a, self.size_b, self.chars_a, self.chars_b = (np.asarray([len(x) for x in of], dtype=np.int64) for of in (self.words_a, self.words_b, self.said_a, self.said_b))
         self.names = Names(a.column("high"), b.column("high"))
         self.high_a, self.high_b = self.names.sides
         self.ids_a, self.ids_b = (x.column("id").to_numpy() for x in (a, b))
         codes = {x: k for k, x in enumerate({*a.column("source_id").to_pylist(), *b.column("source_id").to_pylist()} - {None, ""}, 1)}
         self.source_a, self.source_b = (np.asarray([codes.get(x, none) for x in side.column("source_id").to_pylist()]) for side, none in ((a, -1), (b, 0)))
-        order = np.argsort(self.of_a, kind="stable")
-        self.rows_a = np.split(order, np.searchsorted(self.of_a[order], np.arange(1, len(self.said_a))))
-
-    def rows(self, possible: Callable[[int, np.ndarray, np.ndarray], np.ndarray], apart: bool = True) -> Iterator[tuple[int, Row]]:
-        """Each text of the left with its rows, and what of the right has two tokens in common, another source, and this entity as the first shared; ``possible`` tells by texts. ``apart``: without rows of the same id."""
-        for u, words in enumerate(self.words_a):
-            common = counted(words, self.postings, len(self.said_b))
-            if not (common >= 2).any():
-                continue
-            jaccard = common / (len(words) + self.size_b - common)
-            others = np.flatnonzero(((common >= 2) & possible(u, common, jaccard))[self.of_b])
-            for i in self.rows_a[u]:
-                shared = self.high_b[:, others] & self.high_a[:, i, None]
-                good = (not apart or self.ids_b[others] != self.ids_a[i]) & (self.source_b[others] != self.source_a[i]) & self.names.first(shared, self.entity)
-                if good.any():
-                    js = others[good]
-                    yield u, Row(int(i), js, common[self.of_b[js]], jaccard[self.of_b[js]], shared[:, good])
+        self.rows_a, self.rows_b = ([*np.split(order := np.argsort(of, kind="stable"), np.searchsorted(of[order], np.arange(1, n)))] for of, n in ((self.of_a, len(self.said_a)), (self.of_b, len(self.said_b))))
+
+    def rows(self, possible: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], apart: bool = True) -> Iterator[tuple[int, Row]]:
+        """Each text of the left with its rows, and what of the right has two tokens in common, another source, and this entity as the first shared; ``possible`` tells by texts, of some of the left at once. ``apart``: without rows of the same id."""
+        for begin in range(0, len(self.words_a), TEXTS):
+            us = np.arange(begin, min(begin + TEXTS, len(self.words_a)))
+            common = np.stack([counted(self.words_a[u], self.postings, len(self.said_b)) for u in us])
+            jaccard = common / (self.size_a[us, None] + self.size_b - common)
+            good = (common >= 2) & possible(us, common, jaccard)
+            for u in us[good.any(axis=1)]:
+                yield from ((int(u), row) for row in self._rows_of(u, good[u - begin], common[u - begin], jaccard[u - begin], apart))
+
+    def _rows_of(self, u: int, good: np.ndarray, common: np.ndarray, jaccard: np.ndarray, apart: bool) -> Iterator[Row]:
+        vs = np.flatnonzero(good)
+        others = np.sort(np.concatenate([self.rows_b[v] for v in vs])) if 8 * len(vs) < len(good) else np.flatnonzero(good[self.of_b])
+        for i in self.rows_a[u]:
+            shared = self.high_b[:, others] & self.high_a[:, i, None]
+            fits = (not apart or self.ids_b[others] != self.ids_a[i]) & (self.source_b[others] != self.source_a[i]) & self.names.first(shared, self.entity)
+            if fits.any():
+                js = others[fits]
+                yield Row(int(i), js, common[self.of_b[js]], jaccard[self.of_b[js]], shared[:, fits])

@@ -127,13 +127,24 @@ class Tile:
         self.ids_a, self.ids_b = (x.column("id").to_numpy() for x in (a, b))
         codes = {x: k for k, x in enumerate({*a.column("source_id").to_pylist(), *b.column("source_id").to_pylist()} - {None, ""}, 1)}
         self.source_a, self.source_b = (np.asarray([codes.get(x, none) for x in side.column("source_id").to_pylist()]) for side, none in ((a, -1), (b, 0)))
+        self.one_a, self.one_b = (self._one(*x) for x in ((self.of_a, self.source_a, -1), (self.of_b, self.source_b, 0)))
         self.rows_a, self.rows_b = ([*np.split(order := np.argsort(of, kind="stable"), np.searchsorted(of[order], np.arange(1, n)))] for of, n in ((self.of_a, len(self.said_a)), (self.of_b, len(self.said_b))))
 
+    @staticmethod
+    def _one(of: np.ndarray, source: np.ndarray, none: int) -> np.ndarray:
+        """The source of each text, ``none`` where its rows have several or none."""
+        least, most = (np.full(of.max(initial=-1) + 1, x) for x in (np.iinfo(np.int64).max, -1))
+        np.minimum.at(least, of, source)
+        np.maximum.at(most, of, source)
+        return np.where((least == most) & (least > 0), least, none)
+
     def rows(self, possible: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], apart: bool = True) -> Iterator[tuple[int, Row]]:
         """Each text of the left with its rows, and what of the right has two tokens in common, another source, and this entity as the first shared; ``possible`` tells by texts, of some of the left at once. ``apart``: without rows of the same id."""
         for begin in range(0, len(self.words_a), TEXTS):
             us = np.arange(begin, min(begin + TEXTS, len(self.words_a)))
             common = np.stack([counted(self.words_a[u], self.postings, len(self.said_b)) for u in us])
+            # texts of one source only are no pair
+            common[self.one_a[us, None] == self.one_b] = 0
             jaccard = common / (self.size_a[us, None] + self.size_b - common)
             good = (common >= 2) & possible(us, common, jaccard)
             for u in us[good.any(axis=1)]:
